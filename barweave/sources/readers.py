@@ -40,12 +40,15 @@ def read_news(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
         subset=["ts", "entity"])
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Per-entity price files as one table; the entity is the upper-cased file stem."""
+def read_prices(spark: SparkSession, path: str, stem: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+    """Per-entity price files as one table; the entity is the upper-cased file stem.
+
+    ``stem`` extracts it from the path, e.g. ``entity=([^/]+)/`` for folder layouts.
+    """
     schema = T.StructType([T.StructField(c, T.StringType() if c == "date" else T.DoubleType()) for c in PRICE_COLUMNS])
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    stem = F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1))
-    named = raw.withColumn("entity", stem).withColumnRenamed("adj close", "adj_close")
+    files = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    symbol = F.upper(F.regexp_extract(F.col("_metadata.file_path"), stem, 1))
+    named = files.csv(path).withColumn("entity", symbol).withColumnRenamed("adj close", "adj_close")
     return named.withColumn("date", F.to_date(to_utc(F.col("date")))).dropna(subset=["date"])
 
 
