@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barweave.functions.maths import as_col, at_least, inf_to_null, safe_corr, safe_div
+from barweave.functions.maths import as_col, at_least, inf_to_null, safe_div
 
 EPS = 1e-9
 TRADING_DAYS = 252.0
@@ -71,100 +71,140 @@ def kline(df: DataFrame) -> DataFrame:
     })
 
 
-# ---- rolling families: each returns a Column over window w ----------------
+# ---- rolling families -------------------------------------------------------
+#
+# Sums and counts of a trailing frame are differences of running totals, and long extremes combine
+# extremes of short adjacent frames. A row is therefore visited a fixed number of times whatever the
+# window lengths, where sliding frames would revisit it once per row of every frame.
 
 def log_return(w: WindowSpec, d: int = 1, close: str = "close") -> Column:
     return F.ln(safe_div(F.col(close), at_least(F.lag(close, d).over(w), EPS)))
 
 
-def ret(w: WindowSpec, d: int) -> Column:
-    return log_return(w, d)
-
-
-def ma_ratio(w: WindowSpec, d: int) -> Column:
-    mean = F.avg("close").over(trailing(w, d))
-    return full_frame(safe_div(F.col("close"), mean + EPS) - 1.0, "close", w, d)
-
-
-def ret_std(w: WindowSpec, d: int, ret1: str = "_r1") -> Column:
-    return full_frame(F.stddev_samp(ret1).over(trailing(w, d)), ret1, w, d)
+def ingredients(df: DataFrame, w: WindowSpec) -> DataFrame:
+    """Shared inputs: 1-row log return, floored volume, its log and change, and the pairs known in both.
 
+    Levels are centred on the entity's mean so that running totals stay small.
+    """
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    floored = df.withColumn("_v", at_least(F.col("volume").cast("double"), 1.0)).withColumn("_lv", F.ln("_v"))
+    stepped = floored.withColumns({
+        "_r": log_return(w), "_dlv": F.col("_lv") - F.lag("_lv").over(w),
+        "_mc": F.avg("close").over(whole), "_mv": F.avg("_v").over(whole), "_ml": F.avg("_lv").over(whole)})
+    both = F.col("_r").isNotNull() & F.col("_dlv").isNotNull()
+    return stepped.withColumns({
+        "_x": F.when(both, F.col("_r")), "_y": F.when(both, F.col("_dlv")), "_c": F.col("close") - F.col("_mc"),
+        "_u": F.col("_v") - F.col("_mv"), "_l": F.col("_lv") - F.col("_ml"), "_s": F.col("scaled_sentiment")})
 
-def extreme_ratio(w: WindowSpec, d: int, pick) -> Column:
-    return full_frame(safe_div(pick("close").over(trailing(w, d)), F.col("close") + EPS) - 1.0, "close", w, d)
 
+SHORT_FRAME = 5  # divides every window length
 
-def rank_pct(w: WindowSpec, d: int, col: str = "close") -> Column:
-    """Average-tie percentile of the current value in the last ``d`` (at most 60) rows."""
-    held = F.collect_list(col).over(trailing(w, d))
-    less = F.size(F.filter(held, lambda v: v < F.col(col)))
-    equal = F.size(F.filter(held, lambda v: v == F.col(col)))
-    return full_frame((less + (equal + 1) / 2.0) / float(d), col, w, d)
+# Running totals by name: value and optional second factor; "n_" entries count known values.
+TOTALS = {
+    "n_c": ("_c",), "n_r": ("_r",), "n_u": ("_u",), "n_x": ("_x",), "n_s": ("_s",),
+    "s_c": ("_c",), "s_u": ("_u",), "s_r": ("_r",), "s_rr": ("_r", "_r"), "s_l": ("_l",), "s_ll": ("_l", "_l"),
+    "s_x": ("_x",), "s_y": ("_y",), "s_xx": ("_x", "_x"), "s_yy": ("_y", "_y"), "s_xy": ("_x", "_y"),
+    "s_s": ("_s",), "s_ss": ("_s", "_s"),
+}
+EXTREMES = {"max_c": ("max", "close"), "min_c": ("min", "close"), "max_h": ("max", "high"), "min_l": ("min", "low")}
 
 
-def hl_range(w: WindowSpec, d: int) -> Column:
-    span = F.max("high").over(trailing(w, d)) - F.min("low").over(trailing(w, d))
-    return full_frame(safe_div(span, F.col("close") + EPS), "close", w, d)
+def running_total(name: str, w: WindowSpec) -> Column:
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    cols = [F.col(c) for c in TOTALS[name]]
+    if name.startswith("n_"):
+        return F.count(cols[0]).over(past)
+    return F.coalesce(F.sum(cols[0] * cols[1] if len(cols) == 2 else cols[0]).over(past), F.lit(0.0))
 
 
-def vma(w: WindowSpec, d: int, vol: str = "_v") -> Column:
-    mean = F.avg(vol).over(trailing(w, d))
-    return full_frame(safe_div(F.col(vol), mean + EPS) - 1.0, vol, w, d)
+def spread(squares: Column, plain: Column, d: int) -> Column:
+    """Sum of squared deviations of ``d`` values from their raw sums."""
+    return F.greatest(squares - plain * plain / d, F.lit(0.0))
 
 
-def vstd(w: WindowSpec, d: int, log_vol: str = "_lv") -> Column:
-    return full_frame(F.stddev_samp(log_vol).over(trailing(w, d)), log_vol, w, d)
+def sample_sd(squares: Column, plain: Column, d: int) -> Column:
+    return F.sqrt(spread(squares, plain, d) / (d - 1))
 
 
-def vp_corr(w: WindowSpec, d: int, ret1: str = "_r1", dlv: str = "_dlv") -> Column:
-    both = F.when(F.col(ret1).isNotNull() & F.col(dlv).isNotNull(), 1)
-    return full_frame(safe_corr(ret1, dlv, trailing(w, d)), both, w, d)
+def frame_corr(a: dict[str, Column], d: int) -> Column:
+    vx, vy = spread(a["s_xx"], a["s_x"], d), spread(a["s_yy"], a["s_y"], d)
+    cov = a["s_xy"] - a["s_x"] * a["s_y"] / d
+    return F.when((vx / d > NOISE) & (vy / d > NOISE), cov / F.sqrt(vx * vy))
 
 
-def mom(w: WindowSpec, d: int) -> Column:
-    past = F.lag("close", d).over(w)
-    return safe_div(F.col("close") - past, past + EPS)
+NOISE = 1e-13  # a variance at or below this is rounding noise of a constant frame
 
 
-def sent_ma(w: WindowSpec, d: int, col: str = "scaled_sentiment") -> Column:
-    return full_frame(F.avg(col).over(trailing(w, d)) - 0.5, col, w, d)
+def rank_of(d: int) -> Column:
+    """Average-tie percentile of the current close among the last ``d`` values of the held list."""
+    recent = F.slice("_held", -d, d)
+    less = F.array_position(F.sort_array(recent), F.col("close")) - 1
+    equal = d - F.size(F.array_remove(recent, F.col("close")))
+    return (less + (equal + 1) / 2.0) / float(d)
 
 
-def sent_std(w: WindowSpec, d: int, col: str = "scaled_sentiment") -> Column:
-    return full_frame(F.stddev_samp(col).over(trailing(w, d)), col, w, d)
+C = F.col
+# family -> (totals and extremes it needs, the count that must reach d, formula)
+FAMILIES = {
+    "MA": (["n_c", "s_c"], "n_c", lambda a, d: safe_div(C("close"), C("_mc") + a["s_c"] / d + EPS) - 1.0),
+    "STD": (["n_r", "s_r", "s_rr"], "n_r", lambda a, d: sample_sd(a["s_rr"], a["s_r"], d)),
+    "MAX": (["n_c", "max_c"], "n_c", lambda a, d: safe_div(a["max_c"], C("close") + EPS) - 1.0),
+    "MIN": (["n_c", "min_c"], "n_c", lambda a, d: safe_div(a["min_c"], C("close") + EPS) - 1.0),
+    "RANK": (["n_c"], "n_c", lambda a, d: rank_of(d)),
+    "HL": (["n_c", "max_h", "min_l"], "n_c", lambda a, d: safe_div(a["max_h"] - a["min_l"], C("close") + EPS)),
+    "VMA": (["n_u", "s_u"], "n_u", lambda a, d: safe_div(C("_v"), C("_mv") + a["s_u"] / d + EPS) - 1.0),
+    "VSTD": (["n_u", "s_l", "s_ll"], "n_u", lambda a, d: sample_sd(a["s_ll"], a["s_l"], d)),
+    "CORR": (["n_x", "s_x", "s_y", "s_xx", "s_yy", "s_xy"], "n_x", frame_corr),
+    "SENT_MA": (["n_s", "s_s"], "n_s", lambda a, d: a["s_s"] / d - 0.5),
+    "SENT_STD": (["n_s", "s_s", "s_ss"], "n_s", lambda a, d: sample_sd(a["s_ss"], a["s_s"], d)),
+}
 
 
-def ingredients(df: DataFrame, w: WindowSpec) -> DataFrame:
-    """Shared inputs of the rolling families: 1-row log return, floored volume, its log and change."""
-    floored = df.withColumn("_v", at_least(F.col("volume").cast("double"), 1.0)).withColumn("_lv", F.ln("_v"))
-    return floored.withColumns({"_r1": log_return(w), "_dlv": F.col("_lv") - F.lag("_lv").over(w)})
-
-
-def rolling_families(w: WindowSpec) -> dict[str, Column]:
-    cols: dict[str, Column] = {}
-    for d in WINDOWS:
-        cols |= {
-            f"RET_{d}": ret(w, d), f"MA_{d}": ma_ratio(w, d), f"STD_{d}": ret_std(w, d),
-            f"MAX_{d}": extreme_ratio(w, d, F.max), f"MIN_{d}": extreme_ratio(w, d, F.min),
-            f"RANK_{d}": rank_pct(w, d), f"HL_{d}": hl_range(w, d),
-            f"VMA_{d}": vma(w, d), f"VSTD_{d}": vstd(w, d),
-        }
-    cols |= {f"CORR_{d}": vp_corr(w, d) for d in VOLUME_PRICE_WINDOWS}
-    cols |= {f"MOM_{d}": mom(w, d) for d in MOMENTUM_WINDOWS}
-    cols["SENT_DELTA"] = F.col("scaled_sentiment") - 0.5
-    cols |= {f"SENT_MA_{d}": sent_ma(w, d) for d in SENTIMENT_WINDOWS}
-    cols |= {f"SENT_STD_{d}": sent_std(w, d) for d in SENTIMENT_WINDOWS}
-    return cols
+def frame_value(name: str, d: int, w: WindowSpec) -> Column:
+    """Value of one total or extreme over the last ``d`` rows, from columns one window pass earlier."""
+    col = f"_{name}"
+    if name in TOTALS:
+        return F.col(col) - F.coalesce(F.lag(col, d).over(w), F.lit(0))
+    pick = F.greatest if EXTREMES[name][0] == "max" else F.least
+    pieces = [F.col(col)] + [F.lag(col, k).over(w) for k in range(SHORT_FRAME, d, SHORT_FRAME)]
+    return pick(*pieces) if len(pieces) > 1 else pieces[0]
 
 
 def rolling(bars: DataFrame, names: list[str], entity: str = "entity", date: str = "date") -> DataFrame:
-    """Add only the named rolling features; unused families never reach the plan."""
+    """Add the named rolling features; inputs of unused families never reach the plan."""
     w = by_entity(entity, date)
     if "scaled_sentiment" not in bars.columns:
         bars = bars.withColumn("scaled_sentiment", F.lit(0.5))
-    cols = rolling_families(w)
-    out = ingredients(bars, w).withColumns({n: cols[n] for n in names})
-    return inf_to_null(out, names).drop("_v", "_lv", "_r1", "_dlv")
+    split = {n: (n.rpartition("_")[0], n.rpartition("_")[2]) for n in names}
+    parts = {n: (f, int(d)) for n, (f, d) in split.items() if f in FAMILIES}
+    lagged = {int(d) for f, d in split.values() if f in ("RET", "MOM")}
+    ranks = sorted(d for f, d in parts.values() if f == "RANK")
+    needed = {(a, d) for f, d in parts.values() for a in FAMILIES[f][0]}
+
+    first = {f"_past_{k}": F.lag("close", k).over(w) for k in sorted(lagged)}
+    if ranks:
+        first["_held"] = F.collect_list("close").over(trailing(w, ranks[-1]))
+    for a in sorted({a for a, _ in needed}):
+        if a in TOTALS:
+            first[f"_{a}"] = running_total(a, w)
+        else:
+            kind, col = EXTREMES[a]
+            first[f"_{a}"] = getattr(F, kind)(col).over(trailing(w, SHORT_FRAME))
+    features = {}
+    for name, (family, d) in split.items():
+        if name in parts:
+            aggregates, count, formula = FAMILIES[family]
+            cols = {a: F.col(f"_{a}_{d}") for a in aggregates}
+            features[name] = F.when(cols[count] == int(d), formula(cols, int(d)))
+        elif family == "RET":
+            features[name] = F.ln(safe_div(F.col("close"), at_least(f"_past_{d}", EPS)))
+        elif family == "MOM":
+            features[name] = safe_div(F.col("close") - F.col(f"_past_{d}"), F.col(f"_past_{d}") + EPS)
+        else:
+            features[name] = F.col("scaled_sentiment") - 0.5  # SENT_DELTA
+    out = ingredients(bars, w).withColumns(first)
+    out = out.withColumns({f"_{a}_{d}": frame_value(a, d, w) for a, d in sorted(needed)})
+    return inf_to_null(out.withColumns(features).select(*bars.columns, *names), names)
 
 
 def alpha_features(bars: DataFrame, entity: str = "entity", date: str = "date") -> DataFrame:

@@ -83,7 +83,7 @@ def portfolio(panel: DataFrame, sizes=GRID, mode: str = "long_short", bps=[20.0]
 # ---- model-style predictions ----------------------------------------------------------
 
 PREDICTED = f"""predicted AS (
-  SELECT entity, date, mu, log_sigma2, 0.5 * log_sigma2 AS log_vol, exp(0.5 * greatest(-12.0, least(4.0, log_sigma2))) AS sigma FROM (
+  SELECT entity, date, mu, log_sigma2, 0.5 * log_sigma2 AS log_vol, CASE WHEN log_sigma2 IS NOT NULL THEN exp(0.5 * greatest(-12.0, least(4.0, log_sigma2))) END AS sigma FROM (
     SELECT entity, date, -(close - lag(close, 4) OVER w) / 100000.0 AS mu,
       CASE WHEN count(r) OVER w20 = 20 THEN ln(var_pop(r) OVER w20 + 1e-6) END AS log_sigma2
     FROM (SELECT *, ln(close / lag(close) OVER ({W})) AS r FROM bars) b
