@@ -27,20 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
-    """One bar per (supplier, week or day); first and last trade by a total order of the line items."""
+    """One bar per (supplier, week or day).
+
+    Trades are ordered by (ship date, price, discount), packed into one integer so that first and last
+    trade come out of the same hash aggregation as the other measures.
+    """
     li = table(spark, sf_dir, "lineitem")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    price = F.col("l_extendedprice")
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    cents = lambda c: F.round(c * 100).cast("bigint")
+    order = F.unix_date(F.to_date("l_shipdate")).cast("bigint") * 10**12 + cents(price) * 100 + cents(discount)
     day = F.to_date(F.date_trunc(grain, "l_shipdate"))
-    last = F.max_by(F.struct(price.alias("c"), (price * (1 - F.col("l_discount"))).alias("a")), order)
     per = li.groupBy(F.col("l_suppkey").alias("entity"), day.alias("date")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        last.alias("_last"), F.sum("l_quantity").alias("volume"))
-    return per.select("entity", "date", "open", "high", "low", F.col("_last.c").alias("close"), "volume",
-                      F.col("_last.a").alias("adj_close"))
+        F.max_by(price, order).alias("close"), F.sum("l_quantity").alias("volume"),
+        F.max_by(price * (1 - discount), order).alias("adj_close"))
+    return per
 
 
-ROW_ORDER = "row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)"
+ROW_ORDER = "row(l_shipdate, l_extendedprice, l_discount)"
 
 
 def bars_sql(grain: str = "week") -> str:

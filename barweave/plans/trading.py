@@ -42,7 +42,11 @@ def held_sql(sizes: list[int], mode: str = "long_short", source: str = "ranked")
             f"FROM {source}, {grid_sql(sizes)} g(n) WHERE n_valid >= 2 * n AND {hit}")
 
 
-POS = f"pos AS MATERIALIZED ({held_sql(GRID)})"
+def pos_sql(sizes: list[int], mode: str = "long_short") -> str:
+    return f"sizes AS (SELECT * FROM {grid_sql(sizes)} s(top_n)), pos AS MATERIALIZED ({held_sql(sizes, mode)})"
+
+
+POS = pos_sql(GRID)
 ROWS = f"""prow AS MATERIALIZED (SELECT {CELLS}, date, row_number() OVER (PARTITION BY {CELLS} ORDER BY date) - 1 AS row_idx
   FROM (SELECT DISTINCT {CELLS}, date FROM panel) d)"""
 
@@ -58,7 +62,7 @@ traded AS (
 port AS MATERIALIZED (
   SELECT strategy, horizon, fold, top_n, date, row_idx, coalesce(n_held, 0) AS n_held, CASE WHEN coalesce(n_held, 0) > 0 OR coalesce(turnover, 0) > 0 THEN coalesce(turnover, 0) ELSE 0 END AS turnover,
     CASE WHEN coalesce(n_held, 0) > 0 OR coalesce(turnover, 0) > 0 THEN coalesce(gross, 0) END AS gross
-  FROM (SELECT r.*, s.top_n FROM prow r JOIN (SELECT DISTINCT strategy, horizon, fold, top_n FROM pos) s USING (strategy, horizon, fold)) g
+  FROM (SELECT r.*, s.top_n FROM prow r, sizes s) g
   LEFT JOIN traded USING (strategy, horizon, fold, top_n, row_idx))"""
 
 
@@ -76,8 +80,7 @@ def clipped(r: str) -> str:
 
 
 def portfolio(panel: DataFrame, sizes=GRID, mode: str = "long_short", bps=[20.0], **options) -> DataFrame:
-    pos = pf.positions(panel, CELL, sizes, mode)
-    return pf.portfolio_returns(pos, pf.panel_rows(panel, CELL), CELL, bps, **options)
+    return pf.backtest(panel, CELL, sizes, mode, bps, **options)
 
 
 # ---- model-style predictions ----------------------------------------------------------
@@ -329,7 +332,7 @@ def argmax_topn(spark, sf_dir):
     return pf.select_topn(sweep(val_panel(spark, sf_dir)), CELL, GRID, "val_sharpe")
 
 
-LONG_POS = f"pos AS MATERIALIZED ({held_sql([3, 30], 'long_only')})"
+LONG_POS = pos_sql([3, 30], "long_only")
 
 
 @query("long_only_appendix", f"{SERIES_SPEC} cost_bps:f net_sharpe:f net_cumulative_return:g",
@@ -349,22 +352,18 @@ VOLZ = f"""volz AS (SELECT entity, date, CASE WHEN row_number() OVER ({W}) > 40
 def vol_kill_switch(spark, sf_dir):
     panel = test_panel(spark, sf_dir)
     pos = pf.positions(panel, CELL)
-    ts = pf.portfolio_returns(pos, pf.panel_rows(panel, CELL), CELL)
+    ts = pf.portfolio_returns(pos, pf.panel_rows(panel, CELL), CELL, GRID)
     z = ft.vol_zscore(ft.realized_vol(bars(spark, sf_dir))).select("entity", "date", "vol_z")
     return pf.vol_gate(ts, pos.join(z, ["entity", "date"]), SERIES, 0.5)
 
 
-EXPORT_POS = f"pos AS MATERIALIZED ({held_sql([10])})"
-EXPORT_LONG = f"pos AS MATERIALIZED ({held_sql([30], 'long_only')})"
+EXPORT_POS = pos_sql([10])
 
 
 def timeseries(panel: DataFrame, n: int = 10, bps: float = 20.0, long_n: int = 30) -> DataFrame:
     """Daily and every-H-th-row series of the long-short and the long-only book, gross and net."""
-    rows = pf.panel_rows(panel, CELL)
-
     def book(size: int, mode: str, prefix: str) -> DataFrame:
-        ts = pf.portfolio_returns(pf.positions(panel, CELL, [size], mode), rows, CELL, [bps],
-                                  sizes=rows.select(*CELL).distinct().withColumn("top_n", F.lit(size)))
+        ts = portfolio(panel, [size], mode, [bps])
         on = F.col("row_idx") % F.col("horizon") == 0
         return ts.select(*CELL, "date", "row_idx", F.col("gross").alias(f"{prefix}_gross_daily"), F.col("net").alias(f"{prefix}_net_daily"),
                          F.when(on, F.col("gross")).alias(f"{prefix}_gross_nonoverlap"), F.when(on, F.col("net")).alias(f"{prefix}_net_nonoverlap"))
