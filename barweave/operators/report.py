@@ -56,10 +56,10 @@ def grid(cells: DataFrame, arms: list[str], horizons: list[int], done: DataFrame
 
 
 def trial_pool(summaries: DataFrame, keys: list[str], sweep: str = "sweep_topn", fallback: str = "ic_mean",
-               sharpe: str = "net_sharpe") -> DataFrame:
+               sharpe: str = "net_sharpe", entry: str = "val_sharpe_gross") -> DataFrame:
     """Trial Sharpes per pool: every sweep entry; a cell without a sweep gives its IC mean; a pool with
     fewer than two trials gives its cell Sharpes."""
-    listed = F.coalesce(F.col(sweep)["val_sharpe"], F.array().cast("array<double>"))
+    listed = F.coalesce(F.col(sweep)[entry], F.array().cast("array<double>"))
     own = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.col(fallback)))
     long = summaries.select(*keys, F.explode(own).alias("sharpe")).where(F.col("sharpe").isNotNull())
     rich = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2).select(*keys)
@@ -72,6 +72,6 @@ def headline_dsr(summaries: DataFrame, ts: DataFrame, ids: list[str], arm: str,
     """Deflated Sharpe of the best cell against the trials of its own arm, from the 20 bps series."""
     best = best_cell(summaries, metric, ids).select(*ids, F.col(metric).alias("winning_sharpe"))
     won = ts.join(best.select(*ids), ids, "left_semi").where(F.col("row_idx") % F.col(horizon) == 0)
-    pool = trial_pool(summaries, [arm]).withColumnRenamed("sharpe", "trial_sharpe")
+    pool = trial_pool(summaries, [arm], sharpe=metric).withColumnRenamed("sharpe", "trial_sharpe")
     out = deflated_sharpe(won.where(F.col(ret).isNotNull()), pool, ids, [arm], horizon, ret, "trial_sharpe")
     return out.join(best, ids)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from barweave.plans import rolling, samples, selection, tables, trading  # noqa: F401
+from barweave.plans import evidence, rolling, samples, selection, tables, trading  # noqa: F401
 from barweave.plans.registry import REGISTRY
 
 QUERIES = REGISTRY

@@ -61,8 +61,11 @@ DAY_BARS = bars_sql("day")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as scored articles."""
-    ev = table(spark, sf_dir, "events")
+    return score_events(table(spark, sf_dir, "events"))
+
+
+def score_events(ev: DataFrame) -> DataFrame:
+    """Events (a table or a stream) as scored articles."""
     kind, v = F.col("event_type"), F.col("value")
     raw = lambda *names: 1.0 + F.when(kind.isin(*names), v).otherwise(0.0)
     scored = ev.select(
