@@ -66,29 +66,35 @@ def polynomial(coefficients: list[float], x: Column) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm_cdf(x) -> Column:
     """Standard normal distribution function to double precision."""
-    x = as_col(x)
-    a = F.abs(x)
-    bell = F.exp(-a * a / 2.0)
-    body = bell * polynomial(CDF_NUM, a) / polynomial(CDF_DEN, a)
-    fraction = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
-    tail = F.when(a > 37.0, 0.0).when(a < 7.07106781186547, body).otherwise(bell / fraction / 2.506628274631)
-    return F.when(x > 0, 1.0 - tail).otherwise(tail)
+    def upper_tail(a):
+        bell = F.exp(-a * a / 2.0)
+        body = bell * polynomial(CDF_NUM, a) / polynomial(CDF_DEN, a)
+        fraction = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
+        return F.when(a > 37.0, 0.0).when(a < 7.07106781186547, body).otherwise(bell / fraction / 2.506628274631)
+
+    return let(as_col(x), lambda v: let(upper_tail(F.abs(v)), lambda t: F.when(v > 0, 1.0 - t).otherwise(t)))
 
 
 def norm_ppf(p) -> Column:
     """Standard normal quantile to double precision; NULL outside (0, 1)."""
-    p = as_col(p)
-    q = p - 0.5
-    rc = 0.180625 - q * q
-    centre = q * polynomial(PPF_CENTRE_NUM, rc) / polynomial(PPF_CENTRE_DEN, rc)
-    r = F.sqrt(-F.ln(F.least(p, 1.0 - p)))
-    rs, rt = r - 1.6, r - 5.0
-    shoulder = polynomial(PPF_SHOULDER_NUM, rs) / polynomial(PPF_SHOULDER_DEN, rs)
-    tail = polynomial(PPF_TAIL_NUM, rt) / polynomial(PPF_TAIL_DEN, rt)
-    outer = F.when(r <= 5.0, shoulder).otherwise(tail)
-    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, centre).when(q < 0, -outer).otherwise(outer))
+    ratio = lambda num, den, v: polynomial(num, v) / polynomial(den, v)
+    centre = lambda q: q * ratio(PPF_CENTRE_NUM, PPF_CENTRE_DEN, 0.180625 - q * q)
+    outer = lambda r: F.when(r <= 5.0, ratio(PPF_SHOULDER_NUM, PPF_SHOULDER_DEN, r - 1.6)).otherwise(
+        ratio(PPF_TAIL_NUM, PPF_TAIL_DEN, r - 5.0))
+
+    def inside(v):
+        q = v - 0.5
+        far = let(F.sqrt(-F.ln(F.least(v, 1.0 - v))), outer)
+        return F.when(F.abs(q) <= 0.425, centre(q)).when(q < 0, -far).otherwise(far)
+
+    return let(as_col(p), lambda v: F.when((v > 0) & (v < 1), inside(v)))
 
 
 def safe_corr(x, y, over: WindowSpec | None = None) -> Column:

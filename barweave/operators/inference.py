@@ -11,24 +11,24 @@ from barweave.functions.maths import TINY, as_col, norm_cdf, norm_ppf, safe_div
 from barweave.operators.features import TRADING_DAYS
 from barweave.operators.metrics import moments, periods
 from barweave.operators.ordering import value_ranks
+from barweave.session import cut_lineage
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
 
 
-def paired_values(panel: DataFrame, group: list[str], x: str, y: str, min_pairs: int) -> DataFrame:
-    """Distinct (x, y) pairs with multiplicity, for groups with at least ``min_pairs`` rows."""
+def paired_values(panel: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """Distinct (x, y) pairs with multiplicity; ties collapse before anything is ranked."""
     known = panel.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    big = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= min_pairs).select(*group)
-    pairs = known.groupBy(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
+    return known.groupBy(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
         F.count(F.lit(1)).alias("w"))
-    return pairs.join(big, group, "left_semi")
 
 
-def ranked_pairs(panel: DataFrame, group: list[str], x: str, y: str, min_pairs: int) -> DataFrame:
-    pairs = paired_values(panel, group, x, y, min_pairs)
+def ranked_pairs(panel: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """Pairs with both ranks. The pairs feed several branches, so they are written out once."""
+    pairs = cut_lineage(paired_values(panel, group, x, y))
     ranks = lambda c: value_ranks(pairs, group, c, weight=F.col("w")).select(
         *group, F.col("value").alias(c), F.col("n_eq").alias(f"{c}_eq"), F.col("n_less").alias(f"{c}_less"),
-        F.col("bucket").alias(f"{c}_bucket"))
+        F.col("bucket").alias(f"{c}_bucket"), *([F.col("n_total").alias("n")] if c == "x" else []))
     return pairs.join(ranks("x"), [*group, "x"]).join(ranks("y"), [*group, "y"])
 
 
@@ -38,7 +38,7 @@ def spearman_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "a
     Sums run over rank deviations (the mean rank is known to be (n+1)/2), so one
     aggregation is enough and no group is gathered for sorting.
     """
-    ranked = ranked_pairs(panel, group, x, y, min_pairs)
+    ranked = ranked_pairs(panel, group, x, y)
     w = F.col("w").cast("double")
     centre = lambda c: F.col(f"{c}_less") + (F.col(f"{c}_eq") + 1) / 2.0
     sums = ranked.withColumns({"_a": centre("x"), "_b": centre("y")}).groupBy(*group).agg(
@@ -46,7 +46,7 @@ def spearman_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "a
         F.sum(w * F.col("_a") * F.col("_a")).alias("_aa"), F.sum(w * F.col("_b") * F.col("_b")).alias("_bb"))
     mean = (F.col("n") + 1) / 2.0
     cov, va, vb = (F.col(c) - F.col("n") * mean * mean for c in ("_ab", "_aa", "_bb"))
-    return sums.select(*group, "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("ic"))
+    return sums.where(F.col("n") >= min_pairs).select(*group, "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("ic"))
 
 
 def kendall_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "actual", min_pairs: int = 5) -> DataFrame:
@@ -57,11 +57,9 @@ def kendall_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "ac
     prefix it is therefore enough to count set bits at strictly smaller x. The count is a running sum over
     x, split by the x buckets of the ranking so that the top level is not a single task.
     """
-    ranked = ranked_pairs(panel, group, x, y, min_pairs)
-    size = ranked.groupBy(*group).agg(F.sum("w").alias("n"))
+    ranked = ranked_pairs(panel, group, x, y).where(F.col("n") >= min_pairs)
     levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + 1)).cast("int"))
-    rows = ranked.join(size, group).select(
-        *group, "n", "x_less", "x_bucket", "y_less", "w", F.explode(levels).alias("level"))
+    rows = ranked.select(*group, "n", "x_less", "x_bucket", "y_less", "w", F.explode(levels).alias("level"))
     shifted = F.col("y_less") / F.pow(F.lit(2.0), F.col("level"))
     digit = F.floor(shifted)
     rows = rows.withColumns({"prefix": F.floor(digit / 2), "bit": digit % 2})
@@ -75,11 +73,12 @@ def kendall_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "ac
     discordant = local.join(carried, [*cell, "x_bucket"]).groupBy(*group).agg(
         F.sum(F.col("w") * (F.col("_carry") + F.col("_local"))).cast("double").alias("_d"))
 
+    # Tie counts: summing (t - 1)/2 over the t rows of a tie gives its t(t - 1)/2 pairs.
     pairs_of = lambda c: c * (c - 1) / 2.0
-    tie = lambda c: ranked.groupBy(*group, f"{c}_less").agg(F.first(f"{c}_eq").alias("_t")).groupBy(*group).agg(
-        F.sum(pairs_of(F.col("_t"))).alias(f"_{c}t"))
-    both = ranked.groupBy(*group).agg(F.sum("w").alias("n"), F.sum(pairs_of(F.col("w"))).alias("_xyt"))
-    out = both.join(tie("x"), group).join(tie("y"), group).join(discordant, group, "left")
+    both = ranked.groupBy(*group).agg(
+        F.max("n").alias("n"), F.sum(pairs_of(F.col("w"))).alias("_xyt"),
+        F.sum(F.col("w") * (F.col("x_eq") - 1) / 2.0).alias("_xt"), F.sum(F.col("w") * (F.col("y_eq") - 1) / 2.0).alias("_yt"))
+    out = both.join(discordant, group, "left")
     total, d = pairs_of(F.col("n")), F.coalesce(F.col("_d"), F.lit(0.0))
     agree = total - F.col("_xt") - F.col("_yt") + F.col("_xyt") - d
     base = (total - F.col("_xt")) * (total - F.col("_yt"))

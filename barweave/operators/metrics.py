@@ -43,12 +43,12 @@ def hit_rate(ret) -> Column:
 
 
 def drawdown_path(ts: DataFrame, keys: list[str], ret: str = "net", row: str = "row_idx") -> DataFrame:
-    """Log equity and its running peak; the peak starts at the first value, not at zero.
+    """Log equity and its running peak; the peak starts at the first known value, not at zero.
 
-    A cell's series holds at most one row per panel date.
+    Unknown returns leave both unchanged. A cell's series holds at most one row per panel date.
     """
     past = Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    out = ts.where(F.col(ret).isNotNull()).withColumn("log_equity", F.sum(F.log1p(at_least(ret, -0.99))).over(past))
+    out = ts.withColumn("log_equity", F.sum(F.log1p(at_least(ret, -0.99))).over(past))
     return out.withColumn("log_peak", F.max("log_equity").over(past))
 
 

@@ -17,16 +17,16 @@ from barweave.operators import portfolio as pf
 from barweave.operators import report as rp
 from barweave.operators import risk as rk
 from barweave.plans.fixtures import (
-    ARTICLES, BARS, CELL, FOLD_ROWS, PANEL_CTES, SAMPLES, SIGNAL_CTES, VAL_CTES, bars, score_events, table, test_panel, val_panel,
+    ARTICLES, BARS, CELL, FOLD_ROWS, PANEL_CTES, SAMPLES, SIGNAL_CTES, VAL_CTES, bars, score_events, signals, table, test_panel, val_panel,
 )
 from barweave.plans.registry import query
 from barweave.plans.rolling import W, sql_corr
 from barweave.plans.selection import BLOCK_AGGS, BLOCK_FAILURES
 from barweave.plans.trading import (
     BY_SERIES, CELL_SPEC, CELLS, COSTED, COST_TABLE, GRID, NET, PORT_CTES, PREDICTED, RANKED, ROWS, SERIES, SWEPT, VAL_PORT_CTES,
-    cost_table, gate_sql, port_sql, portfolio, pos_sql, predictions, sharpe_sql, sigma_panel, sweep,
+    cost_rows, gate_sql, port_sql, portfolio, pos_sql, predictions, sharpe_sql, sigma_panel, sweep,
 )
-from barweave.session import scratch_path
+from barweave.session import cut_lineage, scratch_path
 from barweave.sources import load_summaries, write_summaries
 from barweave.sources.readers import COST_METRICS
 from barweave.streaming import audit_stream, daily_sentiment_stream, drain
@@ -127,6 +127,11 @@ def five(spark, sf_dir) -> DataFrame:
     return pf.non_overlap(portfolio(test_panel(spark, sf_dir), [5]))
 
 
+def saved_five(spark, sf_dir) -> DataFrame:
+    """The same, written out: resampling reads the short series several times."""
+    return cut_lineage(five(spark, sf_dir))
+
+
 def uniform_sql(seed: int, tag: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || cell || '|' || rep || '|' || i || '|{tag}'), 1, 8))::UBIGINT / 4294967296.0)"
 
@@ -148,7 +153,7 @@ BOOT = resample_sql("rets", CELL, ["net"], REPS, 42)
 
 @query("stationary_bootstrap", f"{CELL_SPEC} rep:i s_net:f", "SELECT * FROM boot", [*FIVE_CTES, RETURNS, BOOT])
 def stationary_bootstrap(spark, sf_dir):
-    return bs.stationary_bootstrap(five(spark, sf_dir), CELL, REPS)
+    return bs.stationary_bootstrap(saved_five(spark, sf_dir), CELL, REPS)
 
 
 @query("block_length", f"{CELL_SPEC} n:i block:f", f"SELECT DISTINCT {CELLS}, n, block FROM rets", [*FIVE_CTES, RETURNS])
@@ -159,11 +164,11 @@ def block_length(spark, sf_dir):
 PW = """pw_x AS MATERIALIZED (SELECT strategy, horizon, fold, i, n, net - avg(net) OVER (PARTITION BY strategy, horizon, fold) AS x FROM rets),
 pw_lag AS MATERIALIZED (SELECT l.*, c0, abs(c) < 2 * sqrt(log10(n) / n) * c0 AS quiet FROM (
   SELECT a.strategy, a.horizon, a.fold, a.n, a.i - b.i AS lag, sum(a.x * b.x) / a.n AS c FROM pw_x a JOIN pw_x b ON a.strategy = b.strategy AND a.horizon = b.horizon AND a.fold = b.fold
-    AND a.i - b.i BETWEEN 1 AND least(CAST(ceil(sqrt(a.n)) AS BIGINT) + 5, a.n - 1) GROUP BY ALL) l JOIN (SELECT strategy, horizon, fold, avg(x * x) AS c0 FROM pw_x GROUP BY ALL) v USING (strategy, horizon, fold)),
+    AND a.i - b.i BETWEEN 1 AND least(CAST(ceil(sqrt(a.n)) AS BIGINT) + 5, a.n - 1) GROUP BY a.strategy, a.horizon, a.fold, a.n, a.i - b.i) l JOIN (SELECT strategy, horizon, fold, avg(x * x) AS c0 FROM pw_x GROUP BY 1, 2, 3) v USING (strategy, horizon, fold)),
 pw_m AS (SELECT strategy, horizon, fold, least(coalesce(2 * min(lag) FILTER (calm = 5), max(lag)), max(lag)) AS m FROM (
-  SELECT *, count(*) FILTER (quiet) OVER (PARTITION BY strategy, horizon, fold ORDER BY lag ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS calm FROM pw_lag) q GROUP BY ALL),
+  SELECT *, count(*) FILTER (quiet) OVER (PARTITION BY strategy, horizon, fold ORDER BY lag ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS calm FROM pw_lag) q GROUP BY 1, 2, 3),
 pw_s AS (SELECT strategy, horizon, fold, n, max(c0) + 2 * sum(wt * c) AS lr, 2 * sum(wt * lag * c) AS g FROM (
-  SELECT l.*, CASE WHEN lag * 1.0::DOUBLE / m <= 0.5 THEN 1.0::DOUBLE ELSE 2 * (1 - lag * 1.0::DOUBLE / m) END AS wt FROM pw_lag l JOIN pw_m USING (strategy, horizon, fold) WHERE lag <= m) z GROUP BY ALL)"""
+  SELECT l.*, CASE WHEN lag * 1.0::DOUBLE / m <= 0.5 THEN 1.0::DOUBLE ELSE 2 * (1 - lag * 1.0::DOUBLE / m) END AS wt FROM pw_lag l JOIN pw_m USING (strategy, horizon, fold) WHERE lag <= m) z GROUP BY 1, 2, 3, 4)"""
 
 
 @query("block_length_automatic", f"{CELL_SPEC} n:i block:f",
@@ -171,7 +176,7 @@ pw_s AS (SELECT strategy, horizon, fold, n, max(c0) + 2 * sum(wt * c) AS lr, 2 *
   SELECT *, CASE WHEN abs(lr) > 1e-12 THEN least(pow(g * g / (lr * lr) * n, 1.0 / 3.0), ceil(least(3 * sqrt(n), n / 3.0))) END AS b FROM pw_s) q""",
        [*FIVE_CTES, RETURNS, PW])
 def block_length_automatic(spark, sf_dir):
-    return bs.block_length(five(spark, sf_dir), CELL, automatic=True)
+    return bs.block_length(saved_five(spark, sf_dir), CELL, automatic=True)
 
 
 def quantiles_sql(v: str, name: str) -> str:
@@ -186,7 +191,7 @@ POINT = f"point AS (SELECT {CELLS}, max(n) AS n, max(block) AS block, {sharpe_sq
   SELECT {CELLS}, {quantiles_sql('s_net', 'sharpe')}, stddev_samp(s_net) AS boot_se, avg(CASE WHEN s_net < point_net THEN 1.0::DOUBLE WHEN s_net IS NULL THEN NULL ELSE 0 END) * 100 AS point_percentile
   FROM boot JOIN point USING (strategy, horizon, fold) WHERE n >= 6 GROUP BY {CELLS}) b USING (strategy, horizon, fold)""", [*FIVE_CTES, RETURNS, BOOT, POINT])
 def sharpe_ci(spark, sf_dir):
-    return bs.sharpe_ci(five(spark, sf_dir), CELL, REPS)
+    return bs.sharpe_ci(saved_five(spark, sf_dir), CELL, REPS)
 
 
 HF = ["horizon", "fold"]
@@ -202,7 +207,7 @@ PAIRED = f"""paired AS (SELECT *, point_a - point_b AS point_diff FROM (
 
 
 def arm_pairs(spark, sf_dir) -> DataFrame:
-    ts = five(spark, sf_dir)
+    ts = saved_five(spark, sf_dir)
     arm = lambda s: ts.where(F.col("strategy") == s)
     return bs.pair_arms(arm("xs_momentum"), arm("xs_reversal"), HF)
 
@@ -240,7 +245,7 @@ OVERLAP_PAIRED = PAIRED.replace("max(horizon)", "max(eff)").replace("max(n) AS n
 @query("overlap_fallback", "horizon:i fold:s n:i used_overlap:b n_valid:i point_diff:f diff_lo:f diff_hi:f p_one_sided:f",
        "SELECT * FROM paired WHERE n_valid >= 100", [*FIVE_CTES, DAILY_FIVE, OVERLAP, OVERLAP_BOOT, OVERLAP_PAIRED])
 def overlap_fallback(spark, sf_dir):
-    ts = portfolio(test_panel(spark, sf_dir), [5])
+    ts = cut_lineage(portfolio(test_panel(spark, sf_dir), [5]))
     arm = lambda s: ts.where(F.col("strategy") == s)
     return bs.paired_by_cell(arm("xs_momentum"), arm("xs_reversal"), HF, 20, REPS)
 
@@ -356,7 +361,20 @@ def deflated_sharpe(spark, sf_dir):
 
 def cells_of_both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Test returns of the five-name books and the validation sweep."""
-    return five(spark, sf_dir), sweep(val_panel(spark, sf_dir))
+    both = all_books(spark, sf_dir)
+    test = both.where((F.col("split") == "test") & (F.col("top_n") == 5) & (F.col("cost_bps") == 20.0))
+    return pf.non_overlap(test).drop("split"), sweep_of(both.where((F.col("split") == "val") & (F.col("cost_bps") == 0.0)))
+
+
+def all_books(spark, sf_dir) -> DataFrame:
+    """Series of every cell, split, book size and cost from one pass over the signals, written out for reuse."""
+    books = pf.backtest(signals(spark, sf_dir), ["split", *CELL], GRID, bps=pf.BPS_GRID)
+    return cut_lineage(books)
+
+
+def sweep_of(val: DataFrame) -> DataFrame:
+    ts = pf.non_overlap(val)
+    return ts.groupBy(*SERIES).agg(mt.sharpe("gross", "horizon").alias("val_sharpe"), F.count("gross").alias("val_n_obs"))
 
 
 # ---- cell summaries -------------------------------------------------------------------------------
@@ -369,12 +387,13 @@ ARM_SQL = "CASE WHEN strategy = 'xs_reversal' THEN 'riskhead' ELSE 'mse' END"
 TRADED_COSTS = [0.0, 20.0, 50.0]
 
 
-def cell_summaries(spark, sf_dir) -> DataFrame:
+def cell_summaries(books: DataFrame) -> DataFrame:
     """One nested document per cell: cost map of the five-name book and the validation sweep."""
-    costs = cost_table(test_panel(spark, sf_dir), [5])
-    nested = rp.cost_map(costs, CELL, COST_METRICS)
+    test = books.where((F.col("split") == "test") & (F.col("top_n") == 5)).drop("split")
+    nested = rp.cost_map(cost_rows(test), CELL, COST_METRICS)
     entry = F.struct(F.col("top_n").cast("int").alias("top_n"), F.col("val_sharpe").alias("val_sharpe_gross"), F.col("val_n_obs").cast("long").alias("val_n_obs"))
-    swept = sweep(val_panel(spark, sf_dir)).groupBy(*CELL).agg(F.array_sort(F.collect_list(entry)).alias("sweep_topn"))
+    val = books.where((F.col("split") == "val") & (F.col("cost_bps") == 0.0)).drop("split")
+    swept = sweep_of(val).groupBy(*CELL).agg(F.array_sort(F.collect_list(entry)).alias("sweep_topn"))
     joined = nested.join(swept, CELL, "left").withColumn("arm", arm_column())
     return joined.withColumnRenamed("strategy", "model").withColumn("ic_mean", F.lit(None).cast("double"))
 
@@ -390,8 +409,8 @@ SUMMARY_CTES = [*SIGNAL_CTES, PANEL_CTES[-1], RANKED, pos_sql([5]), ROWS, port_s
     "SELECT *, 5 AS n_sizes FROM flat", SUMMARY_CTES)
 def load_cell_summaries(spark, sf_dir):
     path = scratch_path(spark, "summaries")
-    write_summaries(cell_summaries(spark, sf_dir), path)
-    docs = load_summaries(spark, path)
+    write_summaries(cell_summaries(all_books(spark, sf_dir)), path)
+    docs = load_summaries(spark, path, one_per_file=False)
     keys = ["model", "horizon", "fold", "arm"]
     return rp.flatten_costs(docs.withColumn("n_sizes", F.size("sweep_topn")), [*keys, "n_sizes"], TRADED_COSTS, ["net_sharpe", "avg_turnover_per_rebalance"])
 
@@ -400,7 +419,7 @@ def load_cell_summaries(spark, sf_dir):
        f"SELECT {ARM_SQL} AS arm, count(val_sharpe) AS n, avg(val_sharpe) AS mean_sharpe, max(val_sharpe) AS best_sharpe FROM swept WHERE val_sharpe IS NOT NULL GROUP BY 1",
        [*VAL_PORT_CTES, SWEPT])
 def trial_pool(spark, sf_dir):
-    docs = cell_summaries(spark, sf_dir).withColumn("net_sharpe", F.try_element_at("cost_sensitivity", F.lit("20.0"))["net_sharpe"])
+    docs = cell_summaries(all_books(spark, sf_dir)).withColumn("net_sharpe", F.try_element_at("cost_sensitivity", F.lit("20.0"))["net_sharpe"])
     return rp.trial_pool(docs, ["arm"]).groupBy("arm").agg(
         F.count(F.lit(1)).alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.max("sharpe").alias("best_sharpe"))
 
@@ -415,8 +434,10 @@ HEADLINE += DSR_SOLVED[DSR_SOLVED.index("dsr AS ("):]
 @query("headline_dsr", "model:s horizon:i fold:s winning_sharpe:f n_trials:i sr_zero:f dsr:f",
        "SELECT strategy AS model, * FROM dsr", [*FIVE_CTES, COSTED, COST_TABLE, MOMENTS, *VAL_TAIL, HEADLINE])
 def headline_dsr(spark, sf_dir):
-    docs = cell_summaries(spark, sf_dir).withColumn("c20_net_sharpe", F.try_element_at("cost_sensitivity", F.lit("20.0"))["net_sharpe"])
-    ts = portfolio(test_panel(spark, sf_dir), [5]).withColumn("arm", arm_column()).withColumnsRenamed({"strategy": "model", "net": "net20"})
+    books = all_books(spark, sf_dir)
+    docs = cell_summaries(books).withColumn("c20_net_sharpe", F.try_element_at("cost_sensitivity", F.lit("20.0"))["net_sharpe"])
+    won = books.where((F.col("split") == "test") & (F.col("top_n") == 5) & (F.col("cost_bps") == 20.0))
+    ts = won.withColumn("arm", arm_column()).withColumnsRenamed({"strategy": "model", "net": "net20"})
     return rp.headline_dsr(docs, ts, ["model", "horizon", "fold", "arm"], "arm", "c20_net_sharpe")
 
 
@@ -473,7 +494,7 @@ def margin_bce(spark, sf_dir):
 
 def event_stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return score_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet"))
+    return score_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
 ALL_DAYS = """all_days AS (SELECT entity, CAST(ts AS DATE) AS date, avg(composite_score) AS avg_composite, avg(positive_prob) AS avg_positive, avg(negative_prob) AS avg_negative,

@@ -298,13 +298,17 @@ COST_TABLE = f"""cost_table AS (
 
 
 def cost_table(panel: DataFrame, sizes=GRID, mode: str = "long_short") -> DataFrame:
-    ts = pf.non_overlap(portfolio(panel, sizes, mode, BPS))
+    return cost_rows(portfolio(panel, sizes, mode, BPS))
+
+
+def cost_rows(ts: DataFrame) -> DataFrame:
+    """Metrics per series and cost on the rebalance rows; idle rows count in the mean turnover only."""
     keys = [*SERIES, "cost_bps"]
-    perf = mt.perf_metrics(ts, keys).select(
-        *keys, F.col("sharpe").alias("net_sharpe"), F.col("mdd").alias("net_mdd"), F.col("cumulative_return").alias("net_cumulative_return"),
-        F.col("n_obs").cast("double").alias("net_n_obs_nonoverlap"))
-    cost = ts.groupBy(*keys).agg(F.avg("turnover").alias("avg_turnover_per_rebalance"))
-    return cost.join(perf, keys, "left")
+    path = mt.drawdown_path(pf.non_overlap(ts), keys)
+    return path.groupBy(*keys).agg(
+        mt.sharpe("net", "horizon").alias("net_sharpe"), (1.0 - F.exp(-F.max(F.col("log_peak") - F.col("log_equity")))).alias("net_mdd"),
+        mt.cumulative_return("net").alias("net_cumulative_return"), F.count("net").cast("double").alias("net_n_obs_nonoverlap"),
+        F.avg("turnover").alias("avg_turnover_per_rebalance"))
 
 
 @query("cost_sweep", f"{SERIES_SPEC} cost_bps:f net_sharpe:f net_cumulative_return:g net_n_obs_nonoverlap:f avg_turnover_per_rebalance:f",

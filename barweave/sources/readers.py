@@ -52,9 +52,9 @@ def read_prices(spark: SparkSession, path: str, stem: str = r"([^/]+)\.[^./]+$")
     return named.withColumn("date", F.to_date(to_utc(F.col("date")))).dropna(subset=["date"])
 
 
-def load_summaries(spark: SparkSession, path: str, fold: str | None = None) -> DataFrame:
-    """Cell summary documents (nested map and array kept typed)."""
-    docs = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True).option("allowNonNumericNumbers", True).json(path)
+def load_summaries(spark: SparkSession, path: str, fold: str | None = None, one_per_file: bool = True) -> DataFrame:
+    """Cell summary documents, one per file or one per line (nested map and array kept typed)."""
+    docs = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", one_per_file).option("allowNonNumericNumbers", True).json(path)
     return docs if fold is None else docs.where(F.col("fold") == fold)
 
 
