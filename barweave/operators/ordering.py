@@ -19,6 +19,12 @@ def with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(WHOLE, F.lit(1)), [WHOLE])
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the biggest group; one number reaches the driver. Meant for materialised input."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def value_ranks(df: DataFrame, keys: list[str], col: str, weight: Column | None = None,
                 splits: int = 32) -> DataFrame:
     """Per group, the distinct values with counts: ``value, n_eq, n_less, n_total, bucket``.

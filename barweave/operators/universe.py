@@ -139,8 +139,9 @@ def case_mismatch(universe: DataFrame, entity: str = "entity") -> DataFrame:
 def tier(df: DataFrame, col: str = "selection_news") -> DataFrame:
     """STRONG at or above the upper quartile, MEDIUM at or above the lower one, else WEAK."""
     cuts = exact_quantiles(df, [], col, {"q25": 0.25, "q75": 0.75})
-    q25, q75 = cuts.select("q25").scalar(), cuts.select("q75").scalar()
-    return df.withColumn("tier", F.when(F.col(col) >= q75, "STRONG").when(F.col(col) >= q25, "MEDIUM").otherwise("WEAK"))
+    both = df.withColumn("_q", cuts.select(F.struct("q25", "q75")).scalar())
+    label = F.when(F.col(col) >= F.col("_q.q75"), "STRONG").when(F.col(col) >= F.col("_q.q25"), "MEDIUM").otherwise("WEAK")
+    return both.withColumn("tier", label).drop("_q")
 
 
 def composite_score(a, b, dollars) -> Column:

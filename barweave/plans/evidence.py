@@ -250,14 +250,20 @@ def overlap_fallback(spark, sf_dir):
     return bs.paired_by_cell(arm("xs_momentum"), arm("xs_reversal"), HF, 20, REPS)
 
 
-@query("holm_bh_fdr", "horizon:i fold:s p_value:f p_holm:f p_bh:f significant_holm:b significant_bh:b",
-       """SELECT *, p_holm < 0.05 AS significant_holm, p_bh < 0.05 AS significant_bh FROM (
+ADJUSTED = """SELECT *, p_holm < 0.05 AS significant_holm, p_bh < 0.05 AS significant_bh FROM (
   SELECT *, max(least(p_value * (m - k + 1), 1)) OVER (ORDER BY k) AS p_holm, min(least(p_value * m / k, 1)) OVER (ORDER BY k DESC) AS p_bh FROM (
-    SELECT horizon, fold, p_one_sided AS p_value, row_number() OVER (ORDER BY p_one_sided, horizon || '/' || fold) AS k, count(*) OVER () AS m FROM paired) a) b""",
-       [*FIVE_CTES, PAIRS, PAIR_BOOT, PAIRED])
-def holm_bh_fdr(spark, sf_dir):
-    p = paired_bootstrap(spark, sf_dir).withColumn("hypothesis", F.concat_ws("/", *HF))
-    return inf.multiple_testing(p.withColumn("p_value", F.col("p_one_sided")), [])
+    SELECT horizon, fold, p_one_sided AS p_value, row_number() OVER (ORDER BY p_one_sided, horizon || '/' || fold) AS k, count(*) OVER () AS m FROM paired) a) b"""
+
+
+def register_adjusted(name: str, columns: str) -> None:
+    @query(name, f"horizon:i fold:s p_value:f {columns}", ADJUSTED, [*FIVE_CTES, PAIRS, PAIR_BOOT, PAIRED])
+    def run(spark, sf_dir):
+        p = paired_bootstrap(spark, sf_dir).withColumn("hypothesis", F.concat_ws("/", *HF))
+        return inf.multiple_testing(p.withColumn("p_value", F.col("p_one_sided")), [])
+
+
+register_adjusted("holm", "p_holm:f significant_holm:b")
+register_adjusted("bh_fdr", "p_bh:f significant_bh:b")
 
 
 # ---- deflated Sharpe ---------------------------------------------------------------------------
@@ -469,7 +475,8 @@ def register_score(name: str, columns: str) -> None:
 
 
 register_score("gaussian_nll", "gaussian_nll:f")
-register_score("return_vol_mse", "return_mse:f vol_mse:f")
+register_score("return_mse", "return_mse:f")
+register_score("vol_mse", "vol_mse:f")
 register_score("gated_sharpe", "gated_sharpe:f")
 
 

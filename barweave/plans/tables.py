@@ -256,3 +256,48 @@ def intersect_keys(spark, sf_dir):
 @query("case_mismatch", "s_name:s", "SELECT s_name FROM supplier WHERE s_name <> upper(s_name)")
 def case_mismatch(spark, sf_dir):
     return un.case_mismatch(table(spark, sf_dir, "supplier"), "s_name")
+
+
+# ---- scalar families ---------------------------------------------------------------------
+
+@query("string_functions", "s_suppkey:i trimmed:s cut:s is_supplier:b number:s swapped:s last_part:s",
+       """SELECT s_suppkey, trim('  ' || s_name || ' ') AS trimmed, substring(s_name, 1, 12) AS cut, starts_with(s_name, 'Supplier#') AS is_supplier,
+  regexp_extract(s_name, '^Supplier#(\\d+)$', 1) AS number, replace(s_name, '#', '_') AS swapped, string_split(s_name, '#')[-1] AS last_part FROM supplier""")
+def string_functions(spark, sf_dir):
+    n = F.col("s_name")
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.trim(F.concat(F.lit("  "), n, F.lit(" "))).alias("trimmed"), F.substring(n, 1, 12).alias("cut"),
+        F.startswith(n, F.lit("Supplier#")).alias("is_supplier"), F.regexp_extract(n, r"^Supplier#(\d+)$", 1).alias("number"),
+        F.replace(n, F.lit("#"), F.lit("_")).alias("swapped"), F.element_at(F.split(n, "#"), -1).alias("last_part"))
+
+
+@query("date_functions", "event_id:i parsed:d bad_is_null:b year:i days_in:i month_text:s",
+       """SELECT event_id, CAST(ts AS DATE) AS parsed, true AS bad_is_null, year(ts) AS year, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days_in,
+  strftime(ts, '%Y-%m') AS month_text FROM events""")
+def date_functions(spark, sf_dir):
+    from barweave.sources.readers import to_utc
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", utc_day(to_utc(text)).alias("parsed"), to_utc(F.concat(F.lit("x"), "event_type")).isNull().alias("bad_is_null"),
+        F.year("ts").alias("year"), F.date_diff(F.to_date("ts"), F.lit(Date(2024, 1, 1))).alias("days_in"),
+        F.date_format("ts", "yyyy-MM").alias("month_text"))
+
+
+@query("math_functions", "event_id:i a:f b:f c:f d:f e:f f:f g:f h:f",
+       """SELECT event_id, ln(value) AS a, ln(1 + value) AS b, log10(value) AS c, exp(-value / 100) AS d, exp(value / 1000) - 1 AS e, sqrt(value) AS f,
+  1 / (1 + exp(-(value - 50) / 10)) AS g, greatest(10.0, least(60.0, value)) AS h FROM events""")
+def math_functions(spark, sf_dir):
+    from barweave.functions.maths import bounded, sigmoid
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.ln(v).alias("a"), F.log1p(v).alias("b"), F.log10(v).alias("c"), F.exp(-v / 100).alias("d"),
+        F.expm1(v / 1000).alias("e"), F.sqrt(v).alias("f"), sigmoid((v - 50) / 10).alias("g"), bounded(v, 10.0, 60.0).alias("h"))
+
+
+@query("json_array_map", "event_id:i k:i doubled:i n_keys:i",
+       """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 2 * CAST(json_extract(props, '$.k') AS BIGINT) AS doubled, 1 AS n_keys FROM events""")
+def json_array_map(spark, sf_dir):
+    parsed = F.from_json("props", "map<string, bigint>")
+    return table(spark, sf_dir, "events").select("event_id", parsed.alias("m")).select(
+        "event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.size("m").alias("n_keys"), F.explode(F.map_entries("m")).alias("x")).select(
+        "event_id", "k", "n_keys", (F.col("x.value") * 2).alias("doubled"))
