@@ -125,7 +125,8 @@ def sharpe_ci(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float |
     status = F.when(F.col("n") < N_HARD, "refused").when(F.col("n") < N_WARN, "small").otherwise("ok")
     usable = rows if force else rows.where(F.col("n") >= N_HARD)
     reps = replicate_sharpes(usable, keys, [col], n_boot, seed, horizon).join(point.select(*keys, f"point_{col}"), keys)
-    below = F.avg((F.col(f"s_{col}") < F.col(f"point_{col}")).cast("double")) * 100.0
+    # A replicate equal to the point up to summation order is not below it.
+    below = F.avg((F.col(f"s_{col}") < F.col(f"point_{col}") - 1e-9).cast("double")) * 100.0
     ci = reps.groupBy(*keys).agg(
         *percentiles(f"s_{col}", "sharpe"), F.stddev_samp(f"s_{col}").alias("boot_se"), below.alias("point_percentile"))
     return point.join(ci, keys, "left").withColumn("status", status)

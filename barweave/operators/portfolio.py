@@ -40,8 +40,14 @@ def cross_section_rank(panel: DataFrame, keys: list[str], n_max: int, signal: st
     ranked = near.withColumns({
         "rank_low": F.row_number().over(whole.orderBy(*up)), "rank_high": F.row_number().over(whole.orderBy(*down)),
         "n_valid": F.sum(F.when(F.col("_lo") == 1, F.col("_n"))).over(whole)})
-    extreme = value.isNotNull() & ((F.col("rank_low") <= n_max) | (F.col("rank_high") <= n_max))
-    return ranked.where(extreme | (F.col("rank_low") == 1) if keep_dates else extreme).drop("_salt", "_lo", "_hi", "_n")
+    # Names dropped in the first step shift only ranks beyond n_max; those follow from the other end.
+    low, high, mirror = F.col("rank_low"), F.col("rank_high"), F.col("n_valid") + 1
+    extreme = value.isNotNull() & ((low <= n_max) | (high <= n_max))
+    kept = ranked.where(extreme | (low == 1) if keep_dates else extreme)
+    return kept.withColumns({
+        "rank_low": F.when((low <= n_max) | value.isNull(), low).otherwise(mirror - high),
+        "rank_high": F.when((high <= n_max) | value.isNull(), high).otherwise(mirror - low),
+    }).drop("_salt", "_lo", "_hi", "_n")
 
 
 def legs(panel: DataFrame, keys: list[str], top_n: list[int] | str, mode: str, signal: str, entity: str, date: str,

@@ -37,7 +37,9 @@ IC = f"""ranks AS (
   SELECT {CELLS}, date, rank() OVER (PARTITION BY {CELLS}, date ORDER BY pred) + (count(*) OVER (PARTITION BY {CELLS}, date, pred) - 1) / 2.0 AS rx,
     rank() OVER (PARTITION BY {CELLS}, date ORDER BY actual) + (count(*) OVER (PARTITION BY {CELLS}, date, actual) - 1) / 2.0 AS ry
   FROM panel WHERE pred IS NOT NULL AND actual IS NOT NULL),
-ic AS MATERIALIZED (SELECT {CELLS}, date, count(*) AS n, {sql_corr('rx', 'ry', '')} AS ic FROM ranks GROUP BY {CELLS}, date HAVING count(*) >= 5)"""
+ic AS MATERIALIZED (SELECT {CELLS}, date, n, CASE WHEN va > 0 AND vb > 0 THEN cv / sqrt(va * vb) END AS ic FROM (
+  SELECT {CELLS}, date, count(*) AS n, sum(rx * ry) - count(*) * pow((count(*) + 1) / 2.0, 2) AS cv, sum(rx * rx) - count(*) * pow((count(*) + 1) / 2.0, 2) AS va,
+    sum(ry * ry) - count(*) * pow((count(*) + 1) / 2.0, 2) AS vb FROM ranks GROUP BY {CELLS}, date HAVING count(*) >= 5) s)"""
 IC_ROWS = f"""icrow AS MATERIALIZED (SELECT r.*, ic.ic FROM prow r LEFT JOIN ic USING (strategy, horizon, fold, date))"""
 IC_CTES = [*PANEL_CTES, IC]
 IC_ROW_CTES = [*IC_CTES, ROWS, IC_ROWS]
@@ -173,7 +175,8 @@ pw_s AS (SELECT strategy, horizon, fold, n, max(c0) + 2 * sum(wt * c) AS lr, 2 *
 
 @query("block_length_automatic", f"{CELL_SPEC} n:i block:f",
        """SELECT strategy, horizon, fold, n, CASE WHEN n >= 4 AND b >= 2 THEN b WHEN n < 4 THEN 2.0 ELSE greatest(2.0, pow(n, 1.0 / 3.0)) END AS block FROM (
-  SELECT *, CASE WHEN abs(lr) > 1e-12 THEN least(pow(g * g / (lr * lr) * n, 1.0 / 3.0), ceil(least(3 * sqrt(n), n / 3.0))) END AS b FROM pw_s) q""",
+  SELECT *, CASE WHEN abs(lr) > 1e-12 THEN least(pow(g * g / (lr * lr) * n, 1.0 / 3.0), ceil(least(3 * sqrt(n), n / 3.0))) END AS b
+  FROM (SELECT DISTINCT strategy, horizon, fold, n FROM rets) r LEFT JOIN pw_s USING (strategy, horizon, fold, n)) q""",
        [*FIVE_CTES, RETURNS, PW])
 def block_length_automatic(spark, sf_dir):
     return bs.block_length(saved_five(spark, sf_dir), CELL, automatic=True)
@@ -188,7 +191,7 @@ POINT = f"point AS (SELECT {CELLS}, max(n) AS n, max(block) AS block, {sharpe_sq
 
 @query("sharpe_ci", f"{CELL_SPEC} n:i block:f point_net:f sharpe_lo:f sharpe_md:f sharpe_hi:f boot_se:f point_percentile:f status:s",
        f"""SELECT p.*, sharpe_lo, sharpe_md, sharpe_hi, boot_se, point_percentile, CASE WHEN n < 6 THEN 'refused' WHEN n < 12 THEN 'small' ELSE 'ok' END AS status FROM point p LEFT JOIN (
-  SELECT {CELLS}, {quantiles_sql('s_net', 'sharpe')}, stddev_samp(s_net) AS boot_se, avg(CASE WHEN s_net < point_net THEN 1.0::DOUBLE WHEN s_net IS NULL THEN NULL ELSE 0 END) * 100 AS point_percentile
+  SELECT {CELLS}, {quantiles_sql('s_net', 'sharpe')}, stddev_samp(s_net) AS boot_se, avg(CASE WHEN s_net < point_net - 1e-9 THEN 1.0::DOUBLE WHEN s_net IS NULL THEN NULL ELSE 0 END) * 100 AS point_percentile
   FROM boot JOIN point USING (strategy, horizon, fold) WHERE n >= 6 GROUP BY {CELLS}) b USING (strategy, horizon, fold)""", [*FIVE_CTES, RETURNS, BOOT, POINT])
 def sharpe_ci(spark, sf_dir):
     return bs.sharpe_ci(saved_five(spark, sf_dir), CELL, REPS)
@@ -219,7 +222,7 @@ def paired_bootstrap(spark, sf_dir):
 
 
 @query("studentized_diff", "horizon:i fold:s n_valid:i se_diff:f student_lo:f student_hi:f",
-       """SELECT p.*, point_diff - t_hi * se_diff AS student_lo, point_diff - t_lo * se_diff AS student_hi FROM paired p LEFT JOIN (
+       """SELECT p.*, CASE WHEN n_valid >= 100 THEN point_diff - t_hi * se_diff END AS student_lo, CASE WHEN n_valid >= 100 THEN point_diff - t_lo * se_diff END AS student_hi FROM paired p LEFT JOIN (
   SELECT horizon, fold, quantile_cont((s_a - s_b - point_diff) / se_diff, 0.025) AS t_lo, quantile_cont((s_a - s_b - point_diff) / se_diff, 0.975) AS t_hi
   FROM boot JOIN paired USING (horizon, fold) GROUP BY 1, 2) t USING (horizon, fold)""", [*FIVE_CTES, PAIRS, PAIR_BOOT, PAIRED])
 def studentized_diff(spark, sf_dir):
@@ -252,7 +255,7 @@ def overlap_fallback(spark, sf_dir):
 
 ADJUSTED = """SELECT *, p_holm < 0.05 AS significant_holm, p_bh < 0.05 AS significant_bh FROM (
   SELECT *, max(least(p_value * (m - k + 1), 1)) OVER (ORDER BY k) AS p_holm, min(least(p_value * m / k, 1)) OVER (ORDER BY k DESC) AS p_bh FROM (
-    SELECT horizon, fold, p_one_sided AS p_value, row_number() OVER (ORDER BY p_one_sided, horizon || '/' || fold) AS k, count(*) OVER () AS m FROM paired) a) b"""
+    SELECT horizon, fold, p_one_sided AS p_value, row_number() OVER (ORDER BY p_one_sided, horizon || '/' || fold) AS k, count(*) OVER () AS m FROM paired WHERE p_one_sided IS NOT NULL) a) b"""
 
 
 def register_adjusted(name: str, columns: str) -> None:

@@ -264,8 +264,8 @@ BLOCK = f"""block AS (
       CASE WHEN count(net) < 2 THEN NULL WHEN count(*) FILTER (net < 0) = 0 THEN 'inf'::DOUBLE
         WHEN sqrt(avg(net * net) FILTER (net < 0)) >= 1e-12 THEN avg(net) / sqrt(avg(net * net) FILTER (net < 0)) * sqrt(252.0 / horizon) END AS sortino,
       exp(sum({clipped('net')})) - 1 AS cumulative_return, CASE WHEN 1 + avg(net) > 0 THEN {ANNUAL} END AS annualized_return,
-      avg(CASE WHEN net > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate
-    FROM net WHERE net IS NOT NULL GROUP BY {BY_SERIES}) m JOIN dd USING ({BY_SERIES}))"""
+      avg(CASE WHEN net > 0 THEN 1.0::DOUBLE WHEN net IS NOT NULL THEN 0 END) AS hit_rate
+    FROM net GROUP BY {BY_SERIES}) m LEFT JOIN dd USING ({BY_SERIES}))"""
 BLOCK_CTES = [*PORT_CTES, NET, MDD, BLOCK]
 
 
