@@ -127,11 +127,12 @@ def positions_of(df: DataFrame, col: str, entity: str, date: str, max_t: int | N
         entity, "x", (F.col("t") - skip).alias("t"), (F.col("n") - skip).alias("n"))
 
 
-def dominant_periods(df: DataFrame, col: str, k: int = 2, max_t: int | None = 512, entity: str = "entity",
+def dominant_periods(df: DataFrame, col: str, k: int = 2, max_t: int | None = None, entity: str = "entity",
                      date: str = "date") -> DataFrame:
     """Top ``k`` non-zero frequencies by Fourier amplitude per entity, with period n // f.
 
-    ``max_t`` is the analysed span (as a model input length); rows times frequencies stay bounded by it.
+    The whole series is analysed unless ``max_t`` asks for its last rows only (as a model input length would);
+    the work per entity is rows times frequencies.
     """
     rows = positions_of(df, col, entity, date, max_t).withColumn("freq", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
     turn = 2.0 * math.pi * ((F.col("freq") * F.col("t")) % F.col("n")) / F.col("n")
