@@ -87,7 +87,7 @@ def moments(ts: DataFrame, keys: list[str], ret: str = "net") -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "actual") -> DataFrame:
-    """MSE, MAE, RMSE, R2, MAPE, MSPE, RRSE and the reference-style CORR per key.
+    """MSE, MAE, RMSE, R2, MAPE, MSPE, RRSE and a CORR of its own per key.
 
     CORR divides by the root of the summed squared products of deviations, which needs the group means:
     they are joined back on the keys (one small row per key).

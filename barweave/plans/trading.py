@@ -464,7 +464,7 @@ def sigma_panel(spark, sf_dir) -> DataFrame:
 
 
 @query("sigma_dispersion", "horizon:i sigma_cv:f n_dates:i", "SELECT * FROM cvs",
-       [BARS, FOLD_ROWS, SAMPLES.replace("UNION ALL", "UNION ALL"), PREDICTED, SIGMA_CV])
+       [BARS, FOLD_ROWS, SAMPLES, PREDICTED, SIGMA_CV])
 def sigma_dispersion(spark, sf_dir):
     return mt.sigma_cv(sigma_panel(spark, sf_dir).where(F.col("horizon").isin(HORIZONS)), ["horizon"])
 
