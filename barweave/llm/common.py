@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from barweave.session import scratch_path
 
@@ -136,3 +138,30 @@ def per_chunk(work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], tex
 
 def crc_text(value: int, n: int) -> int:
     return zlib.crc32(str(value).encode()) % n
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def annotated(docs: DataFrame, text_col: str, out: str, ddl: str, work: Callable[[list[bytes]], list], limit: int = CHUNK) -> DataFrame:
+    """All columns of ``docs`` and a struct ``out`` with fields ``ddl``; ``work`` maps a chunk of texts to one list a field.
+    No shuffle and no join, so repeated rows and null ids are answered row by row."""
+    fields = T.StructType.fromDDL(ddl)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, fields)])
+    arrow, at = to_arrow_type(fields), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = raw_bytes(batch.column(at))
+            for lo, hi in chunks(texts, limit):
+                columns = [pa.array(values, kind.type) for values, kind in zip(work(texts[lo:hi]), arrow)]
+                part = batch.slice(lo, hi - lo)
+                made = pa.StructArray.from_arrays(columns, fields=list(arrow))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=schema.names)
+
+    return docs.mapInArrow(run, schema)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barweave.llm import sql
 from barweave.llm.common import table
+from barweave.llm.decontaminate import contamination
 from barweave.llm.minhash import near_duplicates
+from barweave.llm.packing import pack
+from barweave.llm.pii import personal_data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +28,21 @@ def query(name: str, text: str | None = None):
     return register
 
 
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_suffix_array_decontamination", sql.CONTAMINATION)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
+
+
+@query("op9_disclosure_sanitisation")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op10_circulant_minhash", sql.NEAR_DUPLICATES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold="0.85")

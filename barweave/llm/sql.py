@@ -19,3 +19,17 @@ ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.other = e.a),
 comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp ON id = doc_id"""
+
+CONTAMINATION = f"""WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOW}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LOW}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (
+  SELECT item_id, ws, least(len(ws), 10) AS w, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM bw WHERE len(ws) > 0) AS x),
+dwin AS (SELECT doc_id, w, i, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (
+  SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM dw, (SELECT DISTINCT w FROM wins) AS l) AS x),
+hits AS (SELECT d.doc_id, d.i, d.w, n.item_id FROM dwin d JOIN wins n ON d.w = n.w AND d.g = n.g),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM hits) AS x GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) AS x GROUP BY 1)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)"""
