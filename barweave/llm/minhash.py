@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,9 @@ from barweave.llm.common import BLANK_SPLIT, Chunk, mix64, per_chunk, saved
 WIDTH = 5
 ROWS = 5
 MISS = 1e-6
-BLOCK = 64
+#: Sets per block: so many that their shingles stay within BLOCK_SHINGLES, between these two numbers.
+BLOCK = (32, 512)
+BLOCK_SHINGLES = 1 << 18
 _I = np.uint32
 
 
@@ -156,33 +157,53 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def shared_counts(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set in turn, how many elements it shares with every set."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holders, at = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2))
+    offset = 0
+    for s in sets:
+        own = code[offset : offset + len(s)]
+        offset += len(s)
+        count = at[own + 1] - at[own]
+        flat = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[own], count)
+        yield np.bincount(holders[flat], minlength=len(sets))
+
+
 def block_links(num: int, den: int):
-    """Links between different components inside one block of at most a few times BLOCK sets."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        level, left = int(key[1]), int(key[2])
-        order = np.argsort(rows["n_shingles"].to_numpy(), kind="stable")
-        ids, comps, sizes = (rows[c].to_numpy()[order] for c in ("id", "comp", "n_shingles"))
-        levels, parts = rows["level"].to_numpy()[order], rows["part"].to_numpy()[order]
-        sets = [np.asarray(s) for s in rows["shingles"].to_numpy()[order]]
-        right = int(key[3])
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        by_code = np.argsort(code, kind="stable")
-        holders, at = owner[by_code], np.searchsorted(code[by_code], np.arange(code.max() + 2))
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    """mapInArrow function over rows sorted by block: links between different components inside each block."""
+    keys = ["bucket", "at_level", "left", "right"]
+
+    def links(rows: pa.Table) -> list[tuple[int, int]]:
+        ids, comps, sizes, levels, parts = (rows[c].to_numpy() for c in ("id", "comp", "n_shingles", "level", "part"))
+        level, left, right = (rows[c][0].as_py() for c in keys[1:])
+        shingles = rows["shingles"].combine_chunks()
+        values, ends = shingles.flatten().to_numpy(), np.cumsum([0, *sizes])
+        sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
         found = []
-        for i in range(len(sets)):
-            shared = np.zeros(len(sets), np.int64)
-            for c in code[offsets[i] : offsets[i + 1]]:
-                shared[holders[at[c] : at[c + 1]]] += 1
-            j = np.arange(len(sets))
-            own = (np.minimum(levels[i], levels) == level) & (
-                ((parts[i] == left) & (parts == right)) | ((parts[i] == right) & (parts == left)))
-            ok = (j > i) & own & (comps != comps[i]) & (den * shared >= num * (sizes[i] + sizes - shared))
-            for k in np.flatnonzero(ok):
-                found.append((ids[i], ids[k]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        for i, shared in enumerate(shared_counts(sets)):
+            own = (np.minimum(levels[i], levels) == level) & (np.minimum(parts[i], parts) == left) & (np.maximum(parts[i], parts) == right)
+            ok = own & (comps > comps[i]) & (den * shared >= num * (sizes[i] + sizes - shared))
+            found += [(int(ids[i]), int(ids[k])) for k in np.flatnonzero(ok)]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            marks = np.stack([held[c].to_numpy() for c in keys], axis=1)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            yield result([p for a, b in zip([0, *cuts[:-1]], cuts) for p in links(held.slice(a, b - a))])
+            held = held.slice(int(cuts[-1])) if len(cuts) else held
+        if held is not None and held.num_rows:
+            yield result(links(held))
+
+    def result(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found) if found else ((), ())
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -222,11 +243,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("left_over"))
     open_buckets = open_buckets.where(F.col("lo") != F.col("hi")).select("bucket", "left_over")
-    leveled = placed.join(open_buckets, "bucket").withColumns({
-        "level": F.floor(F.ln(F.col("n_shingles")) / F.lit(-math.log(float(share)) + 1e-9)).cast("int"),
-        "parts": F.ceil(F.col("left_over") / F.lit(BLOCK)).cast("int")})
-    leveled = leveled.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    step = -math.log(float(share)) + 1e-9  # two linked sizes are one level apart at most
+    leveled = placed.join(open_buckets, "bucket").withColumn("level", F.floor(F.ln(F.col("n_shingles")) / F.lit(step)).cast("int"))
     home = leveled.withColumn("at_level", F.explode(F.array(F.col("level"), F.col("level") - 1)))
+    per = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.lit(BLOCK_SHINGLES) / F.exp(F.col("at_level") * F.lit(step))))
+    home = home.withColumn("parts", F.ceil(F.col("left_over") / per).cast("int"))
+    home = home.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     home = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = home.select("bucket", "at_level", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"),
                          "id", "comp", "n_shingles", "level", "part")
@@ -234,7 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = blocks.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("level").alias("low"))
     mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("low") == F.col("at_level"))).select(*keys)
     blocks = blocks.join(mixed, keys).join(sized.select("id", "shingles"), "id")
-    across = blocks.groupBy(*keys).applyInPandas(block_links(num, den), "a bigint, b bigint").distinct()
+    dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
+    across = dealt.mapInArrow(block_links(num, den), "a bigint, b bigint").distinct()
     label = components(saved(stars.union(across), "links"))
 
     grouped = classes.join(label, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"), "copies", "id")
