@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from barweave.llm import sql
 from barweave.llm.common import table
 from barweave.llm.decontaminate import contamination
+from barweave.llm.language import languages
 from barweave.llm.minhash import near_duplicates
 from barweave.llm.packing import pack
 from barweave.llm.pii import personal_data
+from barweave.llm.quality import quality_scores
+from barweave.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +41,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
+@query("op5_multiple_instance_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentences")
+
+
+@query("op7_subword_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_additive_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_disclosure_sanitisation")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
