@@ -141,8 +141,9 @@ def terms(found: DataFrame) -> DataFrame:
         "key", "copies", "entity", "context", "w.term", "w.start", "w.end")
 
 
-def disclosures(docs: DataFrame, text_col: str, near: DataFrame, found: DataFrame, support: int, coverage: float) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough evidence; document counts are over all of ``docs``."""
+def disclosures(docs: DataFrame, text_col: str, near: DataFrame, found: DataFrame, support: int, coverage: float, least: float) -> DataFrame:
+    """(entity, term, disclosure) of the pairs with enough evidence that disclose ``least`` or more; document counts are over
+    all of ``docs``."""
     listed = found.where(F.size("contexts") > 0).groupBy("key").agg(F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("copies"))
     each = listed.select("key", "copies", F.explode("contexts").alias("c")).select(
         "key", "copies", F.col("c.entity").alias("entity"), F.xxhash64("c.left", "c.right").alias("context"))
@@ -152,19 +153,19 @@ def disclosures(docs: DataFrame, text_col: str, near: DataFrame, found: DataFram
     ct_ctx = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts_ct"))
     ct_ctx = ct_ctx.where(F.col("contexts_ct") >= support)
     pairs = ct_ctx.join(c_ctx, "entity").where(F.col("contexts_ct") >= coverage * F.col("contexts_c")).join(ct_docs, ["entity", "term"]).join(c_docs, "entity")
-    pairs = saved(pairs, "pairs")
+    # Documents with t in any context are at most all documents with t: a pair whose bound stays below the limit is out.
+    t_near = near.groupBy("term", "key").agg(F.first("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("docs_near"))
+    n = F.lit(docs.count())
+    surprise = F.ln(n / F.col("docs_c"))
+    share = lambda of: F.when(surprise > 0, 1 + F.ln(F.least(F.col("docs_ct") / F.col(of), F.lit(1.0))) / surprise)  # an entity of every document is no secret
+    pairs = saved(pairs.join(t_near, "term").where(share("docs_near") >= least), "pairs")
 
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
     slots = pairs.select(slot("term").alias("slot")).distinct()  # at most SIEVE numbers
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole(F.col(text_col))), F.lit(TERM), F.lit(0)))
     seen = docs.select(F.explode(words).alias("term")).withColumn("slot", slot("term")).join(F.broadcast(slots), "slot", "left_semi")
     t_docs = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    n = F.lit(total.first()["n"])
-    reveal = F.ln(F.least(F.col("docs_ct") / F.col("docs_t"), F.lit(1.0)))
-    surprise = F.ln(n / F.col("docs_c"))
-    share = F.when(surprise > 0, 1 + reveal / surprise)  # an entity of every document is no secret
-    return pairs.join(t_docs, "term").select("entity", "term", share.alias("disclosure"))
+    return pairs.join(t_docs, "term").select("entity", "term", share("docs_t").alias("disclosure")).where(F.col("disclosure") >= least)
 
 
 def searched(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, coverage: float = COVERAGE,
@@ -176,7 +177,7 @@ def searched(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, co
     strip = lambda k: F.transform(F.col(f"pii_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
     found = saved(found.select("id", "key", "contexts", *[strip(k) for k in KINDS]), "pii")
     near = saved(terms(found), "near")
-    pairs = disclosures(docs, text_col, near, found, support, coverage).where(F.col("disclosure") >= generalise)
+    pairs = disclosures(docs, text_col, near, found, support, coverage, generalise)
     kind = F.when(F.col("disclosure") >= erase, "erase").otherwise("term")
     extra = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max(F.struct("disclosure", kind.alias("kind"))).alias("top"))
     extra = extra.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("top.kind").alias("kind")))).alias("extra"))
