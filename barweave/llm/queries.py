@@ -16,6 +16,7 @@ from barweave.llm.packing import pack
 from barweave.llm.pii import personal_data
 from barweave.llm.quality import quality_scores
 from barweave.llm.toxicity import toxicity_scores
+from barweave.llm.urls import document_labels, judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +32,16 @@ def query(name: str, text: str | None = None):
     return register
 
 
+#: Fixed rules of the contract: host, path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op1_path_template_urls")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages, document_labels(pages, table(spark, sf_dir, "labels")), RULES)
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
