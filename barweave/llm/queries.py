@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barweave.llm import sql
 from barweave.llm.common import table
@@ -15,6 +16,7 @@ from barweave.llm.minhash import near_duplicates
 from barweave.llm.packing import pack
 from barweave.llm.pii import personal_data
 from barweave.llm.quality import quality_scores
+from barweave.llm.topk import EVERY, top_inner_products
 from barweave.llm.toxicity import toxicity_scores
 from barweave.llm.urls import document_labels, judged
 
@@ -42,6 +44,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, document_labels(pages, table(spark, sf_dir, "labels")), RULES)
 
 
+@query("op2_norm_sorted_topk", sql.TOP_PRODUCTS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
