@@ -19,6 +19,7 @@ from barweave.llm.quality import quality_scores
 from barweave.llm.topk import EVERY, top_inner_products
 from barweave.llm.toxicity import toxicity_scores
 from barweave.llm.urls import document_labels, judged
+from barweave.llm.warc import capture_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,6 +66,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentences")
 
 
+@query("op6_warc_capture_index", sql.CAPTURES)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_subword_language")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
