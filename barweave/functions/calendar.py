@@ -22,12 +22,12 @@ PARTS_BY_FREQUENCY = {
 
 
 def utc_day(col) -> Column:
-    """Timestamp to its UTC day (session time zone is UTC)."""
-    return F.to_date(as_col(col))
+    """The UTC day of an instant, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(as_col(col).cast("timestamp")) / F.lit(86_400_000_000)).cast("int"))
 
 
 def utc_day_text(col) -> Column:
-    return F.concat(F.date_format(as_col(col), "yyyy-MM-dd"), F.lit(" 00:00:00+00:00"))
+    return F.concat(utc_day(col).cast("string"), F.lit(" 00:00:00+00:00"))
 
 
 def calendar_part(name: str, ts) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.functions.maths import TINY, hash_uniform
+from barweave.functions.maths import TINY, hash_uniform, let
 from barweave.operators.inference import lag_pairs
 from barweave.operators.metrics import periods, sharpe
 
@@ -90,10 +90,46 @@ def resample(rows: DataFrame, keys: list[str], n_boot: int, seed: int, block: st
 
 def replicate_sharpes(rows: DataFrame, keys: list[str], values: list[str], n_boot: int, seed: int,
                       horizon: str = "horizon", block: str = "block") -> DataFrame:
-    """Sharpe of every value column per (cell, replicate); all columns share the same draws."""
-    drawn = resample(rows, keys, n_boot, seed, block)
-    taken = drawn.join(rows.select(*keys, F.col("i").alias("pick"), horizon, *values), [*keys, "pick"])
-    return taken.groupBy(*keys, "rep").agg(*[sharpe(v, horizon).alias(f"s_{v}") for v in values])
+    """Sharpe of every value column per (cell, replicate); all columns share the draws of ``resample``.
+
+    A cell's series, one value per date, travels once as a list. Each replicate walks its draws in a fold over that list, so
+    nothing is shuffled by replicate; sums are taken around the cell's mean.
+    """
+    entry = F.struct("i", *[F.col(v).cast("double").alias(v) for v in values])
+    lists = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(entry)).alias("_s"), F.first("n").alias("_n"), F.first(block).alias("_b"),
+        F.first(periods(horizon)).alias("_periods"), *[F.avg(v).alias(f"_m_{v}") for v in values])
+    cell = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    reps = lists.withColumn("_cell", cell).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), *[
+        x for v in values for x in (F.lit(0.0).alias(f"s_{v}"), F.lit(0.0).alias(f"q_{v}"), F.lit(float("inf")).alias(f"lo_{v}"), F.lit(float("-inf")).alias(f"hi_{v}"))])
+
+    def walk(acc: Column, i: Column) -> Column:
+        restart = (i == 0) | (hash_uniform(F.lit(seed), "_cell", "rep", i, F.lit("r")) < 1.0 / F.col("_b"))
+        drawn = F.floor(hash_uniform(F.lit(seed), "_cell", "rep", i, F.lit("p")) * F.col("_n"))
+        return F.when(restart, drawn).otherwise((acc["pos"] + 1) % F.col("_n"))
+
+    def step(acc: Column, i: Column) -> Column:
+        def add(pos: Column) -> Column:
+            row = F.get("_s", pos.cast("int"))
+            parts = []
+            for v in values:
+                x, d = row[v], row[v] - F.col(f"_m_{v}")
+                parts += [(acc[f"s_{v}"] + d).alias(f"s_{v}"), (acc[f"q_{v}"] + d * d).alias(f"q_{v}"),
+                          F.least(acc[f"lo_{v}"], x).alias(f"lo_{v}"), F.greatest(acc[f"hi_{v}"], x).alias(f"hi_{v}")]
+            return F.struct(pos.cast("bigint").alias("pos"), *parts)
+
+        return let(walk(acc, i), add)
+
+    walked = reps.withColumn("_w", F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), zero, step))
+
+    def ratio(v: str) -> Column:
+        n, s = F.col("_n"), F.col(f"_w.s_{v}")
+        sd = F.sqrt(F.greatest(F.col(f"_w.q_{v}") - s * s / n, F.lit(0.0)) / (n - 1))
+        moves = (n >= 2) & (F.col(f"_w.hi_{v}") > F.col(f"_w.lo_{v}"))
+        return F.when(moves, F.when(sd >= TINY, (F.col(f"_m_{v}") + s / n) / sd * F.sqrt("_periods")))
+
+    return walked.select(*keys, "rep", *[ratio(v).alias(f"s_{v}") for v in values])
 
 
 def point_sharpes(rows: DataFrame, keys: list[str], values: list[str], horizon: str = "horizon") -> DataFrame:
@@ -101,14 +137,21 @@ def point_sharpes(rows: DataFrame, keys: list[str], values: list[str], horizon:
         F.first("n").alias("n"), F.first("block").alias("block"), *[sharpe(v, horizon).alias(f"point_{v}") for v in values])
 
 
-def with_block(rows: DataFrame, block: float | None) -> DataFrame:
-    return rows.withColumn("block", default_block() if block is None else F.lit(max(2.0, float(block))))
+def with_block(rows: DataFrame, block: float | str | None, keys: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
+    """Expected block length of each cell: the cube-root rule (None), a number, or "auto", the mean of the plug-in lengths of
+    the value columns."""
+    if block != "auto":
+        return rows.withColumn("block", default_block() if block is None else F.lit(max(2.0, float(block))))
+    for v in values:
+        rows = rows.join(block_length(rows, keys, v, "i", automatic=True).select(*keys, F.col("block").alias(f"_block_{v}")), keys)
+    mean = sum((F.col(f"_block_{v}") for v in values), F.lit(0.0)) / len(values)
+    return rows.withColumn("block", mean).drop(*[f"_block_{v}" for v in values])
 
 
-def stationary_bootstrap(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float | None = None,
+def stationary_bootstrap(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float | str | None = None,
                          seed: int = 42, col: str = "net", horizon: str = "horizon") -> DataFrame:
     """Sharpe per (cell, replicate)."""
-    rows = with_block(indexed(ts, keys, [col]), block)
+    rows = with_block(indexed(ts, keys, [col]), block, keys, [col])
     return replicate_sharpes(rows, keys, [col], n_boot, seed, horizon)
 
 
@@ -117,10 +160,10 @@ def percentiles(col: str, name: str) -> list[Column]:
     return [p[0].alias(f"{name}_lo"), p[1].alias(f"{name}_md"), p[2].alias(f"{name}_hi")]
 
 
-def sharpe_ci(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float | None = None, seed: int = 42,
+def sharpe_ci(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float | str | None = None, seed: int = 42,
               force: bool = False, col: str = "net", horizon: str = "horizon") -> DataFrame:
     """Percentile interval, standard error and the point's own percentile; cells below six rows are refused."""
-    rows = with_block(indexed(ts, keys, [col]), block)
+    rows = with_block(indexed(ts, keys, [col]), block, keys, [col])
     point = point_sharpes(rows, keys, [col], horizon)
     status = F.when(F.col("n") < N_HARD, "refused").when(F.col("n") < N_WARN, "small").otherwise("ok")
     usable = rows if force else rows.where(F.col("n") >= N_HARD)
@@ -132,13 +175,13 @@ def sharpe_ci(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float |
     return point.join(ci, keys, "left").withColumn("status", status)
 
 
-def paired_bootstrap(pairs: DataFrame, keys: list[str], n_boot: int = 2000, block: float | None = None,
+def paired_bootstrap(pairs: DataFrame, keys: list[str], n_boot: int = 2000, block: float | str | None = None,
                      seed: int = 42, horizon: str = "horizon", studentized: bool = False) -> DataFrame:
     """Intervals of both Sharpes and their difference from shared draws; one-sided p = share(diff <= 0).
 
     ``studentized`` adds the interval of (diff - point)/se reflected around the point (from 100 replicates on).
     """
-    rows = pairs if "block" in pairs.columns else with_block(pairs, block)
+    rows = pairs if "block" in pairs.columns else with_block(pairs, block, keys, ["a", "b"])
     point = point_sharpes(rows, keys, ["a", "b"], horizon).withColumn("point_diff", F.col("point_a") - F.col("point_b"))
     reps = replicate_sharpes(rows, keys, ["a", "b"], n_boot, seed, horizon).dropna(subset=["s_a", "s_b"])
     reps = reps.withColumn("s_diff", F.col("s_a") - F.col("s_b"))
@@ -149,31 +192,31 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], n_boot: int = 2000, bloc
     out = point.join(ci, keys, "left")
     if not studentized:
         return out
-    t = reps.join(out.select(*keys, "point_diff", "se_diff"), keys).withColumn(
-        "t", F.when(F.col("se_diff") >= TINY, (F.col("s_diff") - F.col("point_diff")) / F.col("se_diff")))
-    q = t.groupBy(*keys).agg(F.percentile("t", F.lit(0.025)).alias("t_lo"), F.percentile("t", F.lit(0.975)).alias("t_hi"))
-    enough = F.col("n_valid") >= N_REPLICATES
-    return out.join(q, keys, "left").withColumns({
-        "student_lo": F.when(enough, F.col("point_diff") - F.col("t_hi") * F.col("se_diff")),
-        "student_hi": F.when(enough, F.col("point_diff") - F.col("t_lo") * F.col("se_diff"))})
+    # Quantiles of (diff - point)/se are those of diff, shifted and scaled, so the reflected interval needs no second pass.
+    enough = (F.col("n_valid") >= N_REPLICATES) & (F.col("se_diff") >= TINY)
+    return out.withColumns({
+        "student_lo": F.when(enough, 2 * F.col("point_diff") - F.col("diff_hi")),
+        "student_hi": F.when(enough, 2 * F.col("point_diff") - F.col("diff_lo"))})
 
 
 def paired_by_cell(a: DataFrame, b: DataFrame, keys: list[str], min_n: int = N_HARD, n_boot: int = 2000,
-                   seed: int = 2026, col: str = "net", horizon: str = "horizon") -> DataFrame:
-    """Paired bootstrap per cell on every H-th row; cells with fewer than ``min_n`` pairs use all rows.
+                   seed: int = 2026, col: str = "net", horizon: str = "horizon", block: float | str | None = "auto") -> DataFrame:
+    """Paired bootstrap per cell on every H-th row; cells with fewer than ``min_n`` such pairs use all rows.
 
-    The fallback floors the block at the horizon and annualises as daily.
+    The block is the mean of both arms' plug-in lengths; the fallback floors it at the horizon and annualises as daily. Every
+    cell with a pair is answered: ``status`` is "refused" (fewer than ``min_n`` pairs even so, no interval), "few" (fewer than
+    100 valid replicates) or "ok".
     """
     sparse = lambda ts: ts.where(F.col("row_idx") % F.col(horizon) == 0)
     h = a.select(*keys, horizon).distinct()
     grid = pair_arms(sparse(a), sparse(b), keys, col).where(F.col("n") >= min_n).withColumn("used_overlap", F.lit(False))
-    daily = pair_arms(a, b, keys, col).where(F.col("n") >= min_n).withColumn("used_overlap", F.lit(True))
+    daily = pair_arms(a, b, keys, col).withColumn("used_overlap", F.lit(True))
     daily = daily.join(grid.select(*keys).distinct(), keys, "left_anti")
     rows = grid.unionByName(daily).join(h, keys) if horizon not in keys else grid.unionByName(daily)
-    base = default_block()
-    rows = rows.withColumns({
-        "block": F.when(F.col("used_overlap"), F.greatest(base, F.col(horizon).cast("double"))).otherwise(base),
+    rows = with_block(rows, block, keys, ["a", "b"]).withColumns({
+        "block": F.when(F.col("used_overlap"), F.greatest("block", F.col(horizon).cast("double"))).otherwise(F.col("block")),
         "eff_horizon": F.when(F.col("used_overlap"), 1).otherwise(F.col(horizon))})
-    out = paired_bootstrap(rows, keys, n_boot, None, seed, "eff_horizon")
-    flag = rows.groupBy(*keys).agg(F.first("used_overlap").alias("used_overlap"))
-    return out.join(flag, keys).where(F.col("n_valid") >= N_REPLICATES)
+    out = paired_bootstrap(rows.where(F.col("n") >= min_n), keys, n_boot, None, seed, "eff_horizon").drop("n", "block")
+    cells = rows.groupBy(*keys).agg(F.first("used_overlap").alias("used_overlap"), F.first("n").alias("n"), F.first("block").alias("block"))
+    status = F.when(F.col("n") < min_n, "refused").when(F.coalesce("n_valid", F.lit(0)) < N_REPLICATES, "few").otherwise("ok")
+    return cells.join(out, keys, "left").withColumn("status", status)

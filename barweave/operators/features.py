@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barweave.functions.maths import as_col, at_least, inf_to_null, safe_div
+from barweave.functions.maths import as_col, at_least, inf_to_null, safe_corr, safe_div
 
 EPS = 1e-9
 TRADING_DAYS = 252.0
@@ -73,138 +73,78 @@ def kline(df: DataFrame) -> DataFrame:
 
 # ---- rolling families -------------------------------------------------------
 #
-# Sums and counts of a trailing frame are differences of running totals, and long extremes combine
-# extremes of short adjacent frames. A row is therefore visited a fixed number of times whatever the
-# window lengths, where sliding frames would revisit it once per row of every frame.
+# Every value comes from its own trailing frame, so a missing or odd bar affects the frames that hold it and no
+# later one. Window lengths are parameters of the feature set, so the work per row is bounded whatever the history.
 
 def log_return(w: WindowSpec, d: int = 1, close: str = "close") -> Column:
     return F.ln(safe_div(F.col(close), at_least(F.lag(close, d).over(w), EPS)))
 
 
-def ingredients(df: DataFrame, w: WindowSpec) -> DataFrame:
-    """Shared inputs: 1-row log return, floored volume, its log and change, and the pairs known in both.
-
-    Levels are centred on the entity's mean so that running totals stay small.
-    """
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    floored = df.withColumn("_v", at_least(F.col("volume").cast("double"), 1.0)).withColumn("_lv", F.ln("_v"))
-    stepped = floored.withColumns({
-        "_r": log_return(w), "_dlv": F.col("_lv") - F.lag("_lv").over(w),
-        "_mc": F.avg("close").over(whole), "_mv": F.avg("_v").over(whole), "_ml": F.avg("_lv").over(whole)})
-    both = F.col("_r").isNotNull() & F.col("_dlv").isNotNull()
-    return stepped.withColumns({
-        "_x": F.when(both, F.col("_r")), "_y": F.when(both, F.col("_dlv")), "_c": F.col("close") - F.col("_mc"),
-        "_u": F.col("_v") - F.col("_mv"), "_l": F.col("_lv") - F.col("_ml"), "_s": F.col("scaled_sentiment")})
-
-
-SHORT_FRAME = 5  # divides every window length
-
-# Running totals by name: value and optional second factor; "n_" entries count known values.
-TOTALS = {
-    "n_c": ("_c",), "n_r": ("_r",), "n_u": ("_u",), "n_x": ("_x",), "n_s": ("_s",),
-    "s_c": ("_c",), "s_u": ("_u",), "s_r": ("_r",), "s_rr": ("_r", "_r"), "s_l": ("_l",), "s_ll": ("_l", "_l"),
-    "s_x": ("_x",), "s_y": ("_y",), "s_xx": ("_x", "_x"), "s_yy": ("_y", "_y"), "s_xy": ("_x", "_y"),
-    "s_s": ("_s",), "s_ss": ("_s", "_s"),
-}
-EXTREMES = {"max_c": ("max", "close"), "min_c": ("min", "close"), "max_h": ("max", "high"), "min_l": ("min", "low")}
-
-
-def running_total(name: str, w: WindowSpec) -> Column:
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    cols = [F.col(c) for c in TOTALS[name]]
-    if name.startswith("n_"):
-        return F.count(cols[0]).over(past)
-    return F.coalesce(F.sum(cols[0] * cols[1] if len(cols) == 2 else cols[0]).over(past), F.lit(0.0))
-
-
-def spread(squares: Column, plain: Column, d: int) -> Column:
-    """Sum of squared deviations of ``d`` values from their raw sums."""
-    return F.greatest(squares - plain * plain / d, F.lit(0.0))
+def finite(col: str) -> Column:
+    """NaN and infinity count as missing."""
+    x = F.col(col).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def sample_sd(squares: Column, plain: Column, d: int) -> Column:
-    return F.sqrt(spread(squares, plain, d) / (d - 1))
-
-
-def frame_corr(a: dict[str, Column], d: int) -> Column:
-    vx, vy = spread(a["s_xx"], a["s_x"], d), spread(a["s_yy"], a["s_y"], d)
-    cov = a["s_xy"] - a["s_x"] * a["s_y"] / d
-    return F.when((vx / d > NOISE) & (vy / d > NOISE), cov / F.sqrt(vx * vy))
-
-
-NOISE = 1e-13  # a variance at or below this is rounding noise of a constant frame
+def ingredients(df: DataFrame, w: WindowSpec) -> DataFrame:
+    """Shared inputs: finite prices, 1-row log return, floored volume, its log and change, and the pairs known in both."""
+    known = df.withColumns({
+        **{name: finite(c) for name, c in (("_c", "close"), ("_h", "high"), ("_low", "low"), ("_s", "scaled_sentiment")) if c in df.columns},
+        "_v": at_least(finite("volume"), 1.0)}).withColumn("_lv", F.ln("_v"))
+    stepped = known.withColumns({"_r": log_return(w, close="_c"), "_dlv": F.col("_lv") - F.lag("_lv").over(w)})
+    both = F.col("_r").isNotNull() & F.col("_dlv").isNotNull()
+    return stepped.withColumns({"_x": F.when(both, F.col("_r")), "_y": F.when(both, F.col("_dlv"))})
 
 
 def rank_of(d: int) -> Column:
     """Average-tie percentile of the current close among the last ``d`` values of the held list."""
     recent = F.slice("_held", -d, d)
-    less = F.array_position(F.sort_array(recent), F.col("close")) - 1
-    equal = d - F.size(F.array_remove(recent, F.col("close")))
+    less = F.array_position(F.sort_array(recent), F.col("_c")) - 1
+    equal = d - F.size(F.array_remove(recent, F.col("_c")))
     return (less + (equal + 1) / 2.0) / float(d)
 
 
-C = F.col
-# family -> (totals and extremes it needs, the count that must reach d, formula)
+# family -> (column whose frame must be full, formula over the frame and its length)
 FAMILIES = {
-    "MA": (["n_c", "s_c"], "n_c", lambda a, d: safe_div(C("close"), C("_mc") + a["s_c"] / d + EPS) - 1.0),
-    "STD": (["n_r", "s_r", "s_rr"], "n_r", lambda a, d: sample_sd(a["s_rr"], a["s_r"], d)),
-    "MAX": (["n_c", "max_c"], "n_c", lambda a, d: safe_div(a["max_c"], C("close") + EPS) - 1.0),
-    "MIN": (["n_c", "min_c"], "n_c", lambda a, d: safe_div(a["min_c"], C("close") + EPS) - 1.0),
-    "RANK": (["n_c"], "n_c", lambda a, d: rank_of(d)),
-    "HL": (["n_c", "max_h", "min_l"], "n_c", lambda a, d: safe_div(a["max_h"] - a["min_l"], C("close") + EPS)),
-    "VMA": (["n_u", "s_u"], "n_u", lambda a, d: safe_div(C("_v"), C("_mv") + a["s_u"] / d + EPS) - 1.0),
-    "VSTD": (["n_u", "s_l", "s_ll"], "n_u", lambda a, d: sample_sd(a["s_ll"], a["s_l"], d)),
-    "CORR": (["n_x", "s_x", "s_y", "s_xx", "s_yy", "s_xy"], "n_x", frame_corr),
-    "SENT_MA": (["n_s", "s_s"], "n_s", lambda a, d: a["s_s"] / d - 0.5),
-    "SENT_STD": (["n_s", "s_s", "s_ss"], "n_s", lambda a, d: sample_sd(a["s_ss"], a["s_s"], d)),
+    "MA": ("_c", lambda f, d: safe_div(F.col("_c"), F.avg("_c").over(f) + EPS) - 1.0),
+    "STD": ("_r", lambda f, d: F.stddev_samp("_r").over(f)),
+    "MAX": ("_c", lambda f, d: safe_div(F.max("_c").over(f), F.col("_c") + EPS) - 1.0),
+    "MIN": ("_c", lambda f, d: safe_div(F.min("_c").over(f), F.col("_c") + EPS) - 1.0),
+    "RANK": ("_c", lambda f, d: rank_of(d)),
+    "HL": ("_c", lambda f, d: safe_div(F.max("_h").over(f) - F.min("_low").over(f), F.col("_c") + EPS)),
+    "VMA": ("_v", lambda f, d: safe_div(F.col("_v"), F.avg("_v").over(f) + EPS) - 1.0),
+    "VSTD": ("_v", lambda f, d: F.stddev_samp("_lv").over(f)),
+    "CORR": ("_x", lambda f, d: safe_corr("_x", "_y", f)),
+    "SENT_MA": ("_s", lambda f, d: F.avg("_s").over(f) - 0.5),
+    "SENT_STD": ("_s", lambda f, d: F.stddev_samp("_s").over(f)),
 }
 
 
-def frame_value(name: str, d: int, w: WindowSpec) -> Column:
-    """Value of one total or extreme over the last ``d`` rows, from columns one window pass earlier."""
-    col = f"_{name}"
-    if name in TOTALS:
-        return F.col(col) - F.coalesce(F.lag(col, d).over(w), F.lit(0))
-    pick = F.greatest if EXTREMES[name][0] == "max" else F.least
-    pieces = [F.col(col)] + [F.lag(col, k).over(w) for k in range(SHORT_FRAME, d, SHORT_FRAME)]
-    return pick(*pieces) if len(pieces) > 1 else pieces[0]
-
-
 def rolling(bars: DataFrame, names: list[str], entity: str = "entity", date: str = "date") -> DataFrame:
-    """Add the named rolling features; inputs of unused families never reach the plan."""
+    """Add the named rolling features, of any window length; inputs of unused families never reach the plan."""
     w = by_entity(entity, date)
-    if "scaled_sentiment" not in bars.columns:
-        bars = bars.withColumn("scaled_sentiment", F.lit(0.5))
+    rows = bars if "scaled_sentiment" in bars.columns else bars.withColumn("scaled_sentiment", F.lit(0.5))
     split = {n: (n.rpartition("_")[0], n.rpartition("_")[2]) for n in names}
-    parts = {n: (f, int(d)) for n, (f, d) in split.items() if f in FAMILIES}
-    lagged = {int(d) for f, d in split.values() if f in ("RET", "MOM")}
-    ranks = sorted(d for f, d in parts.values() if f == "RANK")
-    needed = {(a, d) for f, d in parts.values() for a in FAMILIES[f][0]}
-
-    first = {f"_past_{k}": F.lag("close", k).over(w) for k in sorted(lagged)}
+    out = ingredients(rows, w)
+    ranks = [int(d) for f, d in split.values() if f == "RANK"]
     if ranks:
-        first["_held"] = F.collect_list("close").over(trailing(w, ranks[-1]))
-    for a in sorted({a for a, _ in needed}):
-        if a in TOTALS:
-            first[f"_{a}"] = running_total(a, w)
-        else:
-            kind, col = EXTREMES[a]
-            first[f"_{a}"] = getattr(F, kind)(col).over(trailing(w, SHORT_FRAME))
+        out = out.withColumn("_held", F.collect_list("_c").over(trailing(w, max(ranks))))
+    full = {(FAMILIES[f][0], int(d)) for f, d in split.values() if f in FAMILIES}
+    out = out.withColumns({f"_full{c}_{d}": F.count(c).over(trailing(w, d)) == d for c, d in sorted(full)})
     features = {}
     for name, (family, d) in split.items():
-        if name in parts:
-            aggregates, count, formula = FAMILIES[family]
-            cols = {a: F.col(f"_{a}_{d}") for a in aggregates}
-            features[name] = F.when(cols[count] == int(d), formula(cols, int(d)))
+        if family in FAMILIES:
+            counted, formula = FAMILIES[family]
+            features[name] = F.when(F.col(f"_full{counted}_{d}"), formula(trailing(w, int(d)), int(d)))
         elif family == "RET":
-            features[name] = F.ln(safe_div(F.col("close"), at_least(f"_past_{d}", EPS)))
+            features[name] = F.ln(safe_div(F.col("_c"), at_least(F.lag("_c", int(d)).over(w), EPS)))
         elif family == "MOM":
-            features[name] = safe_div(F.col("close") - F.col(f"_past_{d}"), F.col(f"_past_{d}") + EPS)
+            past = F.lag("_c", int(d)).over(w)
+            features[name] = safe_div(F.col("_c") - past, past + EPS)
         else:
-            features[name] = F.col("scaled_sentiment") - 0.5  # SENT_DELTA
-    out = ingredients(bars, w).withColumns(first)
-    out = out.withColumns({f"_{a}_{d}": frame_value(a, d, w) for a, d in sorted(needed)})
-    return inf_to_null(out.withColumns(features).select(*bars.columns, *names), names)
+            features[name] = F.col("_s") - 0.5  # SENT_DELTA
+    kept = [c for c in rows.columns if c not in names]
+    return inf_to_null(out.select(*kept, *[c.alias(n) for n, c in features.items()]), names)
 
 
 def alpha_features(bars: DataFrame, entity: str = "entity", date: str = "date") -> DataFrame:

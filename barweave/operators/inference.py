@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from barweave.functions.maths import TINY, as_col, norm_cdf, norm_ppf, safe_div
 from barweave.operators.features import TRADING_DAYS
 from barweave.operators.metrics import moments, periods
-from barweave.operators.ordering import largest_group, value_ranks
-from barweave.session import cut_lineage
+from barweave.operators.ordering import value_ranks
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
-SMALL_GROUP = 200_000  # rows one task sorts comfortably
 
 
 def paired_values(panel: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
@@ -24,35 +22,22 @@ def paired_values(panel: DataFrame, group: list[str], x: str, y: str) -> DataFra
         F.count(F.lit(1)).alias("w"))
 
 
-def ranked_pairs(panel: DataFrame, group: list[str], x: str, y: str, small: int = SMALL_GROUP) -> DataFrame:
-    """Pairs with ``{c}_less``, ``{c}_eq`` and ``{c}_bucket`` for both sides, and the group size ``n``.
-
-    The pairs are written out once and their largest group is measured. Up to ``small`` distinct pairs a
-    group is ranked by one window sort; beyond it the bucketed ranking takes over.
-    """
-    pairs = cut_lineage(paired_values(panel, group, x, y))
-    if largest_group(pairs, group) <= small:
-        own = Window.partitionBy(*group)
-        out = pairs.withColumn("n", F.sum("w").over(own))
-        for c in ("x", "y"):
-            upto = F.sum("w").over(own.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-            out = out.withColumn(f"{c}_eq", F.sum("w").over(Window.partitionBy(*group, c)))
-            out = out.withColumns({f"{c}_less": upto - F.col(f"{c}_eq"), f"{c}_bucket": F.lit(0)})
-        return out
+def ranked_pairs(panel: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """Pairs with ``{c}_less``, ``{c}_eq`` and ``{c}_bucket`` for both sides, and the group size ``n``, ranked by buckets."""
+    pairs = paired_values(panel, group, x, y)
     ranks = lambda c: value_ranks(pairs, group, c, weight=F.col("w")).select(
         *group, F.col("value").alias(c), F.col("n_eq").alias(f"{c}_eq"), F.col("n_less").alias(f"{c}_less"),
         F.col("bucket").alias(f"{c}_bucket"), *([F.col("n_total").alias("n")] if c == "x" else []))
     return pairs.join(ranks("x"), [*group, "x"]).join(ranks("y"), [*group, "y"])
 
 
-def spearman_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "actual", min_pairs: int = 5,
-                small: int = SMALL_GROUP) -> DataFrame:
+def spearman_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "actual", min_pairs: int = 5) -> DataFrame:
     """Spearman correlation per group from exact average ranks.
 
     Sums run over rank deviations (the mean rank is known to be (n+1)/2), so one
     aggregation is enough and no group is gathered for sorting.
     """
-    ranked = ranked_pairs(panel, group, x, y, small)
+    ranked = ranked_pairs(panel, group, x, y)
     w = F.col("w").cast("double")
     centre = lambda c: F.col(f"{c}_less") + (F.col(f"{c}_eq") + 1) / 2.0
     sums = ranked.withColumns({"_a": centre("x"), "_b": centre("y")}).groupBy(*group).agg(
@@ -63,8 +48,7 @@ def spearman_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "a
     return sums.where(F.col("n") >= min_pairs).select(*group, "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("ic"))
 
 
-def kendall_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "actual", min_pairs: int = 5,
-               small: int = SMALL_GROUP) -> DataFrame:
+def kendall_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "actual", min_pairs: int = 5) -> DataFrame:
     """Kendall tau-b per group in n log n rows, without forming pairs.
 
     A discordant pair has x in order and y out of order. Writing the y rank in binary, the two ranks
@@ -72,7 +56,7 @@ def kendall_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "ac
     prefix it is therefore enough to count set bits at strictly smaller x. The count is a running sum over
     x, split by the x buckets of the ranking so that the top level is not a single task.
     """
-    ranked = ranked_pairs(panel, group, x, y, small).where(F.col("n") >= min_pairs)
+    ranked = ranked_pairs(panel, group, x, y).where(F.col("n") >= min_pairs)
     levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + 1)).cast("int"))
     rows = ranked.select(*group, "n", "x_less", "x_bucket", "y_less", "w", F.explode(levels).alias("level"))
     shifted = F.col("y_less") / F.pow(F.lit(2.0), F.col("level"))
@@ -101,9 +85,9 @@ def kendall_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "ac
 
 
 def rank_ic(panel: DataFrame, keys: list[str], method: str = "spearman", min_pairs: int = 5, x: str = "pred",
-            y: str = "actual", date: str = "date", small: int = SMALL_GROUP) -> DataFrame:
+            y: str = "actual", date: str = "date") -> DataFrame:
     by = {"spearman": spearman_ic, "kendall": kendall_ic}[method]
-    return by(panel, [*keys, date], x, y, min_pairs, small)
+    return by(panel, [*keys, date], x, y, min_pairs)
 
 
 def ic_series(panel: DataFrame, ic: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,14 +119,22 @@ def val_rank_ic(panel: DataFrame, keys: list[str], min_pairs: int = 5, x: str =
 
 # ---- serial correlation ------------------------------------------------------
 
-def lag_pairs(ts: DataFrame, keys: list[str], idx: str, col: str, max_lag: Column | int) -> DataFrame:
-    """(x_t, x_(t-k)) for k = 1..max_lag by an equi-join on (keys, idx)."""
+def lag_pairs(ts: DataFrame, keys: list[str], idx: str, col: str, max_lag: Column | int, circular: bool = False) -> DataFrame:
+    """(x_t, x_(t-k)) for k = 1..max_lag. ``idx`` counts the rows of a key without gaps; ``max_lag`` may depend on the keys.
+
+    A key's series, one value per date, travels once as a sorted list; pairs are made from slices of it, so the exchange
+    carries rows, not rows x lags. ``circular`` continues a series at its start.
+    """
+    lists = ts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(col).alias("x")))).alias("_s"))
     top = F.lit(max_lag) if isinstance(max_lag, int) else max_lag
-    ahead = ts.withColumn("_top", top).where(F.col("_top") >= 1).select(
-        *keys, F.col(idx), F.col(col).alias("x"), F.explode(F.sequence(F.lit(1), F.col("_top").cast("int"))).alias("lag"))
-    ahead = ahead.withColumn("_at", F.col(idx) - F.col("lag"))
-    behind = ts.select(*keys, F.col(idx).alias("_at"), F.col(col).alias("x_lag"))
-    return ahead.join(behind, [*keys, "_at"]).drop("_at")
+    lists = lists.select(*keys, F.transform("_s", lambda s: s["x"]).alias("_x"), F.least(top.cast("int"), F.size("_s") - 1).alias("_top"))
+    lags = lists.where(F.col("_top") >= 1).withColumn("lag", F.explode(F.sequence(F.lit(1), F.col("_top"))))
+    rest = F.size("_x") - F.col("lag")
+    late, early = F.slice("_x", F.col("lag") + 1, rest), F.slice("_x", F.lit(1), rest)
+    if circular:
+        late, early = F.concat(late, F.slice("_x", F.lit(1), F.col("lag"))), F.col("_x")
+    return lags.select(*keys, "lag", F.explode(F.arrays_zip(late.alias("x"), early.alias("x_lag"))).alias("_p")).select(
+        *keys, "lag", F.col("_p.x"), F.col("_p.x_lag"))
 
 
 def newey_west(ts: DataFrame, keys: list[str], col: str = "ic", lag: str | int = "nw_lag", order: str = "row_idx") -> DataFrame:

@@ -12,19 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WHOLE = "_whole"
-
-
-def with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(keys)) if keys else (df.withColumn(WHOLE, F.lit(1)), [WHOLE])
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group; one number reaches the driver. Meant for materialised input."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def value_ranks(df: DataFrame, keys: list[str], col: str, weight: Column | None = None,
                 splits: int = 32) -> DataFrame:
     """Per group, the distinct values with counts: ``value, n_eq, n_less, n_total, bucket``.
@@ -33,43 +20,43 @@ def value_ranks(df: DataFrame, keys: list[str], col: str, weight: Column | None
     by most rows costs one row. Up to ``splits`` edges per group are taken by a
     hash order, which Spark limits inside each map task before the shuffle.
     """
-    df, ks = with_keys(df, keys)
     counts = (
         df.where(F.col(col).isNotNull())
-        .groupBy(*ks, F.col(col).alias("value"))
+        .groupBy(*keys, F.col(col).alias("value"))
         .agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("n_eq"))
     )
-    pick = Window.partitionBy(*ks).orderBy(F.xxhash64("value"), "value")
-    edges = (
-        counts.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= splits)
-        .groupBy(*ks).agg(F.collect_list("value").alias("_edges"))
-    )
-    placed = counts.join(edges, ks).withColumn(
-        "bucket", F.size(F.filter("_edges", lambda e: e <= F.col("value")))
-    ).drop("_edges")
-    by_bucket = Window.partitionBy(*ks).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col("value")))
+    if keys:
+        pick = Window.partitionBy(*keys).orderBy(F.xxhash64("value"), "value")
+        edges = (
+            counts.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= splits)
+            .groupBy(*keys).agg(F.collect_list("value").alias("_edges"))
+        )
+        placed = counts.join(edges, keys).withColumn("bucket", upto("_edges")).drop("_edges")
+    else:
+        first = counts.orderBy(F.xxhash64("value"), "value").limit(splits)
+        placed = counts.withColumn("_edges", first.agg(F.collect_list("value")).scalar()).withColumn("bucket", upto("_edges")).drop("_edges")
+    own = Window.partitionBy(*keys)
+    by_bucket = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     offsets = (
-        placed.groupBy(*ks, "bucket").agg(F.sum("n_eq").alias("_b"))
-        .select(*ks, "bucket",
-                (F.sum("_b").over(by_bucket) - F.col("_b")).alias("_before"),
-                F.sum("_b").over(Window.partitionBy(*ks)).alias("n_total"))
+        placed.groupBy(*keys, "bucket").agg(F.sum("n_eq").alias("_b"))
+        .select(*keys, "bucket", (F.sum("_b").over(by_bucket) - F.col("_b")).alias("_before"), F.sum("_b").over(own).alias("n_total"))
     )
-    inside = Window.partitionBy(*ks, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(offsets, [*ks, "bucket"]).select(
-        *ks, "value", "n_eq",
+    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(offsets, [*keys, "bucket"]).select(
+        *keys, "value", "n_eq",
         (F.col("_before") + F.sum("n_eq").over(inside) - F.col("n_eq")).alias("n_less"),
         "n_total", "bucket",
     )
-    return out if keys else out.drop(WHOLE)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-                    interpolate: bool = True) -> DataFrame:
-    """Exact quantiles per group, one output column per entry of ``probs``.
+                    interpolate: bool = True, splits: int = 32) -> DataFrame:
+    """Exact quantiles per group, one output column per entry of ``probs``; ``splits`` as in ``value_ranks``.
 
     ``interpolate`` gives the linear rule; otherwise the lower order statistic.
     """
-    ranked, ks = with_keys(value_ranks(df, keys, col), keys)
+    ranked = value_ranks(df, keys, col, splits=splits)
     aggs = []
     for name, p in probs.items():
         at = (F.col("n_total") - 1) * F.lit(float(p))
@@ -81,7 +68,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, f
         aggs += [F.max(F.when(holds(low), F.col("value"))).alias(f"_lo_{name}"),
                  F.max(F.when(holds(high), F.col("value"))).alias(f"_hi_{name}"),
                  F.max(at - low).alias(f"_w_{name}")]
-    out = ranked.groupBy(*ks).agg(*aggs, F.max("n_total").alias("n"))
+    out = ranked.groupBy(*keys).agg(*aggs, F.max("n_total").alias("n"))
     lo = lambda n: F.col(f"_lo_{n}").cast("double")
     return out.select(*(keys or []), "n", *[
         (lo(n) + (F.col(f"_hi_{n}") - lo(n)) * F.col(f"_w_{n}") if interpolate else lo(n)).alias(n)

@@ -91,7 +91,7 @@ def audit_entity(merged: DataFrame, col: str = "scaled_sentiment", min_rows: int
     return per.withColumn("status", status)
 
 
-def audit_cache(scaled: DataFrame, n: int | None = 50, col: str = "scaled_sentiment", entity: str = "entity") -> DataFrame:
+def audit_cache(scaled: DataFrame, n: int | None = None, col: str = "scaled_sentiment", entity: str = "entity") -> DataFrame:
     """Population spread of the cached column; ``n`` limits the check to the first entities by name."""
     if n is not None:
         first = scaled.select(entity).distinct().orderBy(entity).limit(n)

@@ -51,14 +51,14 @@ def block_states(ends: DataFrame, factor: float, entity: str) -> DataFrame:
 def discounted(df: DataFrame, col: str, decay: float, entity: str, date: str) -> DataFrame:
     """s_t = decay·s_(t-1) + (1-decay)·x_t from zero as ``_s``, with the 1-based row number ``t``.
 
-    Inside blocks of rows the sum has a closed form as a running window sum; only the block ends are folded.
+    Blocks of ``BLOCK`` rows are folded row by row, which holds for any decay from 0 to 1; then the block ends are folded.
     """
     rows = df.where(F.col(col).isNotNull()).withColumn("t", F.row_number().over(by_entity(entity, date)))
     rows = rows.withColumns({"block": F.floor((F.col("t") - 1) / BLOCK), "_j": (F.col("t") - 1) % BLOCK})
     power = lambda k: F.pow(F.lit(decay), k)
     inside = Window.partitionBy(entity, "block").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    local = (1.0 - decay) * power(F.col("_j")) * F.sum(F.col(col) * power(-F.col("_j"))).over(inside)
-    rows = rows.withColumn("_local", local)
+    folded = F.aggregate(F.collect_list(F.col(col).cast("double")).over(inside), F.lit(0.0), lambda acc, x: acc * decay + x)
+    rows = rows.withColumn("_local", (1.0 - decay) * folded)
     ends = rows.where(F.col("_j") == BLOCK - 1).select(
         entity, F.col("block").cast("long").alias("block"), F.col("_local").alias("end"))
     carried = block_states(ends, decay ** BLOCK, entity).withColumn("_after", F.col("carry") * decay ** BLOCK)
@@ -144,21 +144,19 @@ def dominant_periods(df: DataFrame, col: str, k: int = 2, max_t: int | None = No
         entity, "rank", "freq", F.floor(F.col("n") / F.col("freq")).alias("period"), "amplitude")
 
 
-def autocorr_top_lags(df: DataFrame, col: str, max_lag: int = 60, factor: float = 1.0, k: int | None = None,
+def autocorr_top_lags(df: DataFrame, col: str, max_lag: int | None = None, factor: float = 1.0, k: int | None = None,
                       circular: bool = False, entity: str = "entity", date: str = "date") -> DataFrame:
     """Strongest lags of each entity's autocorrelation with softmax weights.
 
-    ``k`` defaults to floor(factor·ln n). ``circular`` wraps around the end of the series.
+    All lags from 1 to n-1 are tried unless ``max_lag`` asks for fewer; ``k`` defaults to floor(factor·ln n). ``circular``
+    wraps around the end of the series.
     """
     rows = positions_of(df, col, entity, date)
-    if circular:
-        ahead = rows.withColumn("lag", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_lag), F.col("n").cast("int") - 1))))
-        ahead = ahead.withColumn("_at", (F.col("t") - F.col("lag") + F.col("n")) % F.col("n"))
-        pairs = ahead.join(rows.select(entity, F.col("t").alias("_at"), F.col("x").alias("x_lag")), [entity, "_at"])
-    else:
-        pairs = lag_pairs(rows, [entity, "n"], "t", "x", F.least(F.lit(max_lag), F.col("n").cast("int") - 1))
+    top = F.col("n").cast("int") - 1
+    pairs = lag_pairs(rows, [entity, "n"], "t", "x", top if max_lag is None else F.least(F.lit(max_lag), top), circular)
     acf = pairs.groupBy(entity, "n", "lag").agg(safe_corr("x", "x_lag").alias("autocorr")).where(F.col("autocorr").isNotNull())
-    top = Window.partitionBy(entity).orderBy(F.desc("autocorr"), "lag")
+    # A circular series gives lags k and n-k the same value; rounding keeps the smaller one first.
+    top = Window.partitionBy(entity).orderBy(F.desc(F.round("autocorr", 9) if circular else F.col("autocorr")), "lag")
     wanted = F.lit(k) if k is not None else F.floor(factor * F.ln(F.col("n").cast("double")))
     kept = acf.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= wanted)
     whole = Window.partitionBy(entity)

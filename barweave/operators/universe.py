@@ -122,8 +122,8 @@ def semi_join_universe(df: DataFrame, universe: DataFrame, entity: str = "entity
 def prefilter(news: DataFrame, universe: DataFrame, max_chars: int | None = None, entity: str = "entity",
               body: str = "body") -> DataFrame:
     """Articles of the universe with upper-cased symbol; ``max_chars`` cuts bodies only when asked."""
-    upper = news.withColumn(entity, norm_symbol(F.col(entity).cast("string"), strip=False))
-    known = universe.select(norm_symbol(F.col(entity).cast("string"), strip=False).alias(entity)).distinct()
+    upper = news.withColumn(entity, norm_symbol(F.col(entity).cast("string"), trimmed=False))
+    known = universe.select(norm_symbol(F.col(entity).cast("string"), trimmed=False).alias(entity)).distinct()
     kept = upper.join(known, entity, "left_semi")
     return kept if max_chars is None else kept.withColumn(body, F.substring(body, 1, max_chars))
 

@@ -65,10 +65,9 @@ def rank_ic_spearman(spark, sf_dir):
   SELECT a.strategy, a.horizon, a.fold, a.date, a.n, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM coarse a JOIN coarse b
   ON a.strategy = b.strategy AND a.horizon = b.horizon AND a.fold = b.fold AND a.date = b.date AND a.entity < b.entity) p WHERE n >= 5 GROUP BY {CELLS}, date""",
        [*PANEL_CTES, f"""coarse AS MATERIALIZED (SELECT {CELLS}, date, entity, round(pred * 4) AS x, round(actual * 4) AS y, count(*) OVER (PARTITION BY {CELLS}, date) AS n
-  FROM panel WHERE pred IS NOT NULL AND strategy <> 'ridge_alpha')"""])
+  FROM panel WHERE pred IS NOT NULL)"""])
 def rank_ic_kendall(spark, sf_dir):
-    p = test_panel(spark, sf_dir).where(F.col("strategy") != "ridge_alpha")
-    coarse = p.withColumns({"pred": F.round(F.col("pred") * 4), "actual": F.round(F.col("actual") * 4)})
+    coarse = test_panel(spark, sf_dir).withColumns({"pred": F.round(F.col("pred") * 4), "actual": F.round(F.col("actual") * 4)})
     return inf.rank_ic(coarse, CELL, "kendall")
 
 
@@ -116,7 +115,7 @@ def ic_summary(spark, sf_dir):
 
 # ---- bootstrap -------------------------------------------------------------------------------
 
-REPS = 100
+REPS = 2000
 BLOCK_OF_N = "CASE WHEN n < 4 THEN 2.0 ELSE greatest(2.0, pow(n, 1.0 / 3.0)) END"
 FIVE = "five AS MATERIALIZED (SELECT * FROM net WHERE top_n = 5)"
 FIVE_CTES = [*SIGNAL_CTES, PANEL_CTES[-1], RANKED, pos_sql([5]), ROWS, port_sql(), NET, FIVE]
@@ -173,11 +172,12 @@ pw_s AS (SELECT strategy, horizon, fold, n, max(c0) + 2 * sum(wt * c) AS lr, 2 *
   SELECT l.*, CASE WHEN lag * 1.0::DOUBLE / m <= 0.5 THEN 1.0::DOUBLE ELSE 2 * (1 - lag * 1.0::DOUBLE / m) END AS wt FROM pw_lag l JOIN pw_m USING (strategy, horizon, fold) WHERE lag <= m) z GROUP BY 1, 2, 3, 4)"""
 
 
-@query("block_length_automatic", f"{CELL_SPEC} n:i block:f",
-       """SELECT strategy, horizon, fold, n, CASE WHEN n >= 4 AND b >= 2 THEN b WHEN n < 4 THEN 2.0 ELSE greatest(2.0, pow(n, 1.0 / 3.0)) END AS block FROM (
+AUTO = """auto AS MATERIALIZED (SELECT strategy, horizon, fold, n, CASE WHEN n >= 4 AND b >= 2 THEN b WHEN n < 4 THEN 2.0 ELSE greatest(2.0, pow(n, 1.0 / 3.0)) END AS block FROM (
   SELECT *, CASE WHEN abs(lr) > 1e-12 THEN least(pow(g * g / (lr * lr) * n, 1.0 / 3.0), ceil(least(3 * sqrt(n), n / 3.0))) END AS b
-  FROM (SELECT DISTINCT strategy, horizon, fold, n FROM rets) r LEFT JOIN pw_s USING (strategy, horizon, fold, n)) q""",
-       [*FIVE_CTES, RETURNS, PW])
+  FROM (SELECT DISTINCT strategy, horizon, fold, n FROM rets) r LEFT JOIN pw_s USING (strategy, horizon, fold, n)) q)"""
+
+
+@query("block_length_automatic", f"{CELL_SPEC} n:i block:f", "SELECT * FROM auto", [*FIVE_CTES, RETURNS, PW, AUTO])
 def block_length_automatic(spark, sf_dir):
     return bs.block_length(saved_five(spark, sf_dir), CELL, automatic=True)
 
@@ -186,21 +186,27 @@ def quantiles_sql(v: str, name: str) -> str:
     return ", ".join(f"quantile_cont({v}, {p}) AS {name}_{s}" for p, s in (("0.025", "lo"), ("0.5", "md"), ("0.975", "hi")))
 
 
-POINT = f"point AS (SELECT {CELLS}, max(n) AS n, max(block) AS block, {sharpe_sql('net', 'max(horizon)')} AS point_net FROM rets GROUP BY {CELLS})"
+POINT = f"point AS (SELECT {CELLS}, max(n) AS n, max(block) AS block, {sharpe_sql('net', 'max(horizon)')} AS point_net FROM blocked GROUP BY {CELLS})"
+BLOCKED = "blocked AS MATERIALIZED (SELECT r.strategy, r.horizon, r.fold, r.net, r.i, r.n, a.block FROM rets r JOIN auto a USING (strategy, horizon, fold))"
+AUTO_BOOT = resample_sql("blocked", CELL, ["net"], REPS, 42)
 
 
 @query("sharpe_ci", f"{CELL_SPEC} n:i block:f point_net:f sharpe_lo:f sharpe_md:f sharpe_hi:f boot_se:f point_percentile:f status:s",
        f"""SELECT p.*, sharpe_lo, sharpe_md, sharpe_hi, boot_se, point_percentile, CASE WHEN n < 6 THEN 'refused' WHEN n < 12 THEN 'small' ELSE 'ok' END AS status FROM point p LEFT JOIN (
   SELECT {CELLS}, {quantiles_sql('s_net', 'sharpe')}, stddev_samp(s_net) AS boot_se, avg(CASE WHEN s_net < point_net - 1e-9 THEN 1.0::DOUBLE WHEN s_net IS NULL THEN NULL ELSE 0 END) * 100 AS point_percentile
-  FROM boot JOIN point USING (strategy, horizon, fold) WHERE n >= 6 GROUP BY {CELLS}) b USING (strategy, horizon, fold)""", [*FIVE_CTES, RETURNS, BOOT, POINT])
+  FROM boot JOIN point USING (strategy, horizon, fold) WHERE n >= 6 GROUP BY {CELLS}) b USING (strategy, horizon, fold)""", [*FIVE_CTES, RETURNS, PW, AUTO, BLOCKED, AUTO_BOOT, POINT])
 def sharpe_ci(spark, sf_dir):
-    return bs.sharpe_ci(saved_five(spark, sf_dir), CELL, REPS)
+    return bs.sharpe_ci(saved_five(spark, sf_dir), CELL, REPS, "auto")
 
 
 HF = ["horizon", "fold"]
-PAIRS = f"""pairs AS MATERIALIZED (SELECT *, {BLOCK_OF_N} AS block FROM (SELECT horizon, fold, i, a.net AS a, b.net AS b, count(*) OVER (PARTITION BY horizon, fold) AS n FROM
+PAIRS = f"""raw_pairs AS MATERIALIZED (SELECT horizon, fold, i, a.net AS a, b.net AS b, count(*) OVER (PARTITION BY horizon, fold) AS n FROM
   (SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY row_idx) - 1 AS i FROM five WHERE net IS NOT NULL AND strategy = 'xs_momentum') a JOIN
-  (SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY row_idx) - 1 AS i FROM five WHERE net IS NOT NULL AND strategy = 'xs_reversal') b USING (horizon, fold, i)) q)"""
+  (SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY row_idx) - 1 AS i FROM five WHERE net IS NOT NULL AND strategy = 'xs_reversal') b USING (horizon, fold, i))"""
+#: Plug-in block of each arm of ``raw_pairs``, and their mean.
+ARM_BLOCKS = ["rets AS MATERIALIZED (SELECT 'a' AS strategy, horizon, fold, i, n, a AS net FROM raw_pairs UNION ALL SELECT 'b', horizon, fold, i, n, b FROM raw_pairs)",
+              PW, AUTO, "mean_block AS (SELECT horizon, fold, avg(block) AS block FROM auto GROUP BY 1, 2)"]
+PAIR_BLOCKS = [*ARM_BLOCKS, "pairs AS MATERIALIZED (SELECT p.*, m.block FROM raw_pairs p JOIN mean_block m USING (horizon, fold))"]
 PAIR_BOOT = resample_sql("pairs", HF, ["a", "b"], REPS, 42)
 PAIRED = f"""paired AS (SELECT *, point_a - point_b AS point_diff FROM (
   SELECT horizon, fold, max(n) AS n, {sharpe_sql('a', 'max(horizon)')} AS point_a, {sharpe_sql('b', 'max(horizon)')} AS point_b FROM pairs GROUP BY 1, 2) p LEFT JOIN (
@@ -216,17 +222,17 @@ def arm_pairs(spark, sf_dir) -> DataFrame:
 
 
 @query("paired_bootstrap", "horizon:i fold:s n:i n_valid:i point_a:f point_b:f point_diff:f a_lo:f a_md:f a_hi:f b_lo:f b_md:f b_hi:f diff_lo:f diff_md:f diff_hi:f p_one_sided:f",
-       "SELECT * FROM paired", [*FIVE_CTES, PAIRS, PAIR_BOOT, PAIRED])
+       "SELECT * FROM paired", [*FIVE_CTES, PAIRS, *PAIR_BLOCKS, PAIR_BOOT, PAIRED])
 def paired_bootstrap(spark, sf_dir):
-    return bs.paired_bootstrap(arm_pairs(spark, sf_dir), HF, REPS)
+    return bs.paired_bootstrap(arm_pairs(spark, sf_dir), HF, REPS, "auto")
 
 
 @query("studentized_diff", "horizon:i fold:s n_valid:i se_diff:f student_lo:f student_hi:f",
        """SELECT p.*, CASE WHEN n_valid >= 100 THEN point_diff - t_hi * se_diff END AS student_lo, CASE WHEN n_valid >= 100 THEN point_diff - t_lo * se_diff END AS student_hi FROM paired p LEFT JOIN (
   SELECT horizon, fold, quantile_cont((s_a - s_b - point_diff) / se_diff, 0.025) AS t_lo, quantile_cont((s_a - s_b - point_diff) / se_diff, 0.975) AS t_hi
-  FROM boot JOIN paired USING (horizon, fold) GROUP BY 1, 2) t USING (horizon, fold)""", [*FIVE_CTES, PAIRS, PAIR_BOOT, PAIRED])
+  FROM boot JOIN paired USING (horizon, fold) GROUP BY 1, 2) t USING (horizon, fold)""", [*FIVE_CTES, PAIRS, *PAIR_BLOCKS, PAIR_BOOT, PAIRED])
 def studentized_diff(spark, sf_dir):
-    return bs.paired_bootstrap(arm_pairs(spark, sf_dir), HF, REPS, studentized=True)
+    return bs.paired_bootstrap(arm_pairs(spark, sf_dir), HF, REPS, "auto", studentized=True)
 
 
 DAILY_FIVE = "dfive AS MATERIALIZED (SELECT *, gross - 20.0 / 10000.0 * turnover AS dnet FROM port WHERE top_n = 5)"
@@ -237,20 +243,24 @@ def daily_pairs(where: str) -> str:
     return (f"SELECT horizon, fold, i, a.dnet AS a, b.dnet AS b, count(*) OVER (PARTITION BY horizon, fold) AS n FROM {arm('xs_momentum')} a JOIN {arm('xs_reversal')} b USING (horizon, fold, i)")
 
 
-OVERLAP = f"""grid_pairs AS MATERIALIZED (SELECT * FROM ({daily_pairs('row_idx % horizon = 0')}) q WHERE n >= 20),
-pairs AS MATERIALIZED (
-  SELECT *, CASE WHEN used_overlap THEN greatest({BLOCK_OF_N}, CAST(horizon AS DOUBLE)) ELSE {BLOCK_OF_N} END AS block, CASE WHEN used_overlap THEN 1 ELSE horizon END AS eff FROM (
-    SELECT *, false AS used_overlap FROM grid_pairs UNION ALL SELECT *, true FROM ({daily_pairs('true')}) q WHERE n >= 20 AND (horizon, fold) NOT IN (SELECT (horizon, fold) FROM grid_pairs)) u)"""
+OVERLAP = f"""grid_pairs AS MATERIALIZED (SELECT * FROM ({daily_pairs('row_idx % horizon = 0')}) q WHERE n >= 40),
+raw_pairs AS MATERIALIZED (
+  SELECT *, false AS used_overlap FROM grid_pairs UNION ALL SELECT *, true FROM ({daily_pairs('true')}) q WHERE (horizon, fold) NOT IN (SELECT (horizon, fold) FROM grid_pairs))"""
+OVERLAP_PAIRS = """pairs AS MATERIALIZED (SELECT p.*, CASE WHEN used_overlap THEN greatest(m.block, CAST(horizon AS DOUBLE)) ELSE m.block END AS block,
+    CASE WHEN used_overlap THEN 1 ELSE horizon END AS eff FROM raw_pairs p JOIN mean_block m USING (horizon, fold) WHERE n >= 40)"""
 OVERLAP_BOOT = resample_sql("pairs", HF, ["a", "b"], REPS, 2026, "eff")
 OVERLAP_PAIRED = PAIRED.replace("max(horizon)", "max(eff)").replace("max(n) AS n,", "max(n) AS n, bool_or(used_overlap) AS used_overlap,")
 
 
-@query("overlap_fallback", "horizon:i fold:s n:i used_overlap:b n_valid:i point_diff:f diff_lo:f diff_hi:f p_one_sided:f",
-       "SELECT * FROM paired WHERE n_valid >= 100", [*FIVE_CTES, DAILY_FIVE, OVERLAP, OVERLAP_BOOT, OVERLAP_PAIRED])
+@query("overlap_fallback", "horizon:i fold:s n:i used_overlap:b n_valid:i point_diff:f diff_lo:f diff_hi:f p_one_sided:f status:s",
+       """SELECT c.*, n_valid, point_diff, diff_lo, diff_hi, p_one_sided, CASE WHEN c.n < 40 THEN 'refused' WHEN coalesce(n_valid, 0) < 100 THEN 'few' ELSE 'ok' END AS status
+  FROM (SELECT horizon, fold, max(n) AS n, bool_or(used_overlap) AS used_overlap FROM raw_pairs GROUP BY 1, 2) c
+  LEFT JOIN (SELECT * EXCLUDE (n, used_overlap) FROM paired) p USING (horizon, fold)""",
+       [*FIVE_CTES, DAILY_FIVE, OVERLAP, *ARM_BLOCKS, OVERLAP_PAIRS, OVERLAP_BOOT, OVERLAP_PAIRED])
 def overlap_fallback(spark, sf_dir):
     ts = cut_lineage(portfolio(test_panel(spark, sf_dir), [5]))
     arm = lambda s: ts.where(F.col("strategy") == s)
-    return bs.paired_by_cell(arm("xs_momentum"), arm("xs_reversal"), HF, 20, REPS)
+    return bs.paired_by_cell(arm("xs_momentum"), arm("xs_reversal"), HF, 40, REPS)
 
 
 ADJUSTED = """SELECT *, p_holm < 0.05 AS significant_holm, p_bh < 0.05 AS significant_bh FROM (
@@ -259,7 +269,7 @@ ADJUSTED = """SELECT *, p_holm < 0.05 AS significant_holm, p_bh < 0.05 AS signif
 
 
 def register_adjusted(name: str, columns: str) -> None:
-    @query(name, f"horizon:i fold:s p_value:f {columns}", ADJUSTED, [*FIVE_CTES, PAIRS, PAIR_BOOT, PAIRED])
+    @query(name, f"horizon:i fold:s p_value:f {columns}", ADJUSTED, [*FIVE_CTES, PAIRS, *PAIR_BLOCKS, PAIR_BOOT, PAIRED])
     def run(spark, sf_dir):
         p = paired_bootstrap(spark, sf_dir).withColumn("hypothesis", F.concat_ws("/", *HF))
         return inf.multiple_testing(p.withColumn("p_value", F.col("p_one_sided")), [])
@@ -502,9 +512,21 @@ def margin_bce(spark, sf_dir):
 
 # ---- streams ---------------------------------------------------------------------------------------------
 
+STREAM_PARTS = 3
+PART_SQL = f"CAST(floor({STREAM_PARTS} * (epoch_us(ts) - lo) / (hi - lo + 1.0)) AS BIGINT)"
+PARTS = f"parts AS (SELECT *, {PART_SQL} AS part FROM (SELECT *, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM articles) p)"
+
+
 def event_stream(spark, sf_dir) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return score_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    """The events as files that arrive one after another, each a third of the time span; one micro-batch per file."""
+    ev = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = ev.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
+    part = F.floor(STREAM_PARTS * (micros - span["lo"]) / F.lit(span["hi"] - span["lo"] + 1.0))
+    path = scratch_path(spark, "arrivals")
+    for k in range(STREAM_PARTS):
+        ev.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return score_events(spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
 ALL_DAYS = """all_days AS (SELECT entity, CAST(ts AS DATE) AS date, avg(composite_score) AS avg_composite, avg(positive_prob) AS avg_positive, avg(negative_prob) AS avg_negative,
@@ -512,19 +534,22 @@ ALL_DAYS = """all_days AS (SELECT entity, CAST(ts AS DATE) AS date, avg(composit
 DAY_SPEC = "entity:i date:d avg_composite:f avg_positive:f avg_negative:f avg_neutral:f article_count:i scaled_sentiment:f"
 
 
-@query("daily_sentiment_stream", DAY_SPEC, "SELECT * FROM all_days", [ARTICLES, ALL_DAYS])
+CLOSED = "SELECT * FROM all_days WHERE date + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
+
+@query("daily_sentiment_stream", DAY_SPEC, CLOSED, [ARTICLES, ALL_DAYS])
 def daily_stream(spark, sf_dir):
-    return drain(daily_sentiment_stream(event_stream(spark, sf_dir)), "daily-sentiment", "complete")
+    """Append: a day is written once, when the watermark has passed it, and its state is released."""
+    return drain(daily_sentiment_stream(event_stream(spark, sf_dir)), "daily-sentiment", "append")
 
 
-@query("daily_sentiment_stream_append", DAY_SPEC,
-       "SELECT * FROM all_days WHERE date + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)", [ARTICLES, ALL_DAYS])
-def daily_stream_append(spark, sf_dir):
-    return drain(daily_sentiment_stream(event_stream(spark, sf_dir)), "daily-sentiment-closed", "append")
+@query("daily_sentiment_stream_complete", DAY_SPEC, "SELECT * FROM all_days", [ARTICLES, ALL_DAYS])
+def daily_stream_complete(spark, sf_dir):
+    return drain(daily_sentiment_stream(event_stream(spark, sf_dir)), "daily-sentiment-all", "complete")
 
 
-@query("audit_stream", "n:i max_sum_error:f sd_positive:f uniform_share:f failures:s",
-       f"SELECT *, {BLOCK_FAILURES} AS failures FROM (SELECT {BLOCK_AGGS} FROM articles) b", [ARTICLES])
+@query("audit_stream", "batch:i n:i max_sum_error:f sd_positive:f uniform_share:f failures:s",
+       f"SELECT *, {BLOCK_FAILURES} AS failures FROM (SELECT part AS batch, {BLOCK_AGGS} FROM parts GROUP BY part) b", [ARTICLES, PARTS])
 def audited_stream(spark, sf_dir):
     sink = scratch_path(spark, "stream-audit")
     audit_stream(event_stream(spark, sf_dir), sink, scratch_path(spark, "stream-audit-progress")).awaitTermination()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date as Date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.operators.sentiment import sentiment_cols
@@ -84,29 +84,32 @@ ARTICLES = """articles AS (
     event_type FROM events) raw)"""
 
 
-def news_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles without the errors and views of even days, so that some days carry no news."""
-    a = articles(spark, sf_dir)
-    even = F.dayofmonth("ts") % 2 == 0
-    return a.where(~(even & F.col("event_type").isin("error", "view", "click")))
-
-
 DAILY = """daily AS (
   SELECT entity, CAST(ts AS DATE) AS date, avg(composite_score) AS avg_composite, avg(positive_prob) AS avg_positive,
     avg(negative_prob) AS avg_negative, avg(neutral_prob) AS avg_neutral, count(composite_score) AS article_count,
     (avg(composite_score) + 1.0) / 2.0 AS scaled_sentiment
-  FROM articles WHERE NOT (day(ts) % 2 = 0 AND event_type IN ('error','view','click')) GROUP BY 1, 2)"""
+  FROM articles GROUP BY 1, 2)"""
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bar per entity and day from its first to its last event; a day without events keeps the last close, volume 0, and
+    has no news."""
     ev = table(spark, sf_dir, "events")
-    return ev.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("date")).agg(
+    seen = ev.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("date")).agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
+    spans = ev.groupBy(F.col("user_id").alias("entity")).agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"))
+    days = spans.select("entity", F.explode(F.sequence("first", "last")).alias("date"))
+    held = Window.partitionBy("entity").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return days.join(seen, ["entity", "date"], "left").select(
+        "entity", "date", F.last("close", ignorenulls=True).over(held).alias("close"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
 EVENT_BARS = """event_bars AS (
-  SELECT user_id AS entity, CAST(ts AS DATE) AS date, arg_max(value, row(ts, event_id)) AS close,
-    CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2)"""
+  SELECT entity, date, last_value(close IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close,
+    coalesce(volume, 0.0::DOUBLE) AS volume FROM (
+    SELECT user_id AS entity, CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS date FROM events GROUP BY 1) d
+  LEFT JOIN (SELECT user_id AS entity, CAST(ts AS DATE) AS date, arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2) e
+  USING (entity, date))"""
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:

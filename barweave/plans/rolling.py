@@ -12,7 +12,7 @@ from barweave.operators import features as ft
 from barweave.operators import sentiment as st
 from barweave.operators import series as sr
 from barweave.plans.fixtures import (
-    ARTICLES, BARS, DAILY, DAY_BARS, EVENT_BARS, articles, bars, event_bars, news_days, table,
+    ARTICLES, BARS, DAILY, DAY_BARS, EVENT_BARS, articles, bars, event_bars, table,
 )
 from barweave.plans.registry import query
 
@@ -182,7 +182,7 @@ SENTIMENT = [ARTICLES, DAILY, EVENT_BARS, MERGED]
 
 
 def merged_bars(spark, sf_dir):
-    return st.merged_bars(event_bars(spark, sf_dir), st.daily_sentiment(news_days(spark, sf_dir)))
+    return st.merged_bars(event_bars(spark, sf_dir), st.daily_sentiment(articles(spark, sf_dir)))
 
 
 @query("sentiment_scores", "article_id:i composite_score:f scaled_sentiment:f",
@@ -195,13 +195,13 @@ def sentiment_scores(spark, sf_dir):
        "entity:i date:d avg_composite:f scaled_sentiment:f avg_positive:f avg_negative:f avg_neutral:f article_count:i",
        "SELECT * FROM daily", [ARTICLES, DAILY])
 def daily_sentiment(spark, sf_dir):
-    return st.daily_sentiment(news_days(spark, sf_dir))
+    return st.daily_sentiment(articles(spark, sf_dir))
 
 
 @query("merge_sentiment", "entity:i date:d close:f article_count:i scaled_sentiment:f",
        "SELECT * FROM merged", SENTIMENT)
 def merge_sentiment(spark, sf_dir):
-    return st.merge_daily(event_bars(spark, sf_dir), st.daily_sentiment(news_days(spark, sf_dir)))
+    return st.merge_daily(event_bars(spark, sf_dir), st.daily_sentiment(articles(spark, sf_dir)))
 
 
 @query("decay_impute", "entity:i date:d scaled_sentiment:f avg_composite:f",
@@ -290,14 +290,22 @@ def exp_smoothing(spark, sf_dir):
     return sr.exp_smoothing(unit_bars(spark, sf_dir), "unit", 0.7310585786300049, 0.4)
 
 
-@query("window_normalize", "entity:i date:d wn_close:f wl_close:f back:f",
-       f"""SELECT entity, date, (close - m) / s AS wn_close, 0.0 / s AS wl_close, close AS back FROM (
-  SELECT entity, date, close, row_number() OVER ({W}) AS rn, avg(close) OVER w52 AS m, sqrt(var_pop(close) OVER w52 + 1e-5) AS s
-  FROM bars WINDOW w52 AS ({W} ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) q WHERE rn >= 52""", [BARS])
-def window_normalize(spark, sf_dir):
-    out = sr.window_normalize(bars(spark, sf_dir), ["close"], 52)
-    back = sr.window_denormalize(out.withColumn("_keep", F.col("wn_close")), ["close"]).withColumn("back", F.col("close"))
-    return back.withColumn("wl_close", F.lit(0.0) / F.col("ws_close"))
+def normal_sql(centre: str) -> str:
+    return f"""SELECT entity, date, (close - {centre}) / s AS wn_close, (volume - {centre.replace('close', 'volume')}) / sv AS wn_volume, close AS back FROM (
+  SELECT entity, date, close, volume, row_number() OVER ({W}) AS rn, avg(close) OVER w52 AS m_close, avg(volume) OVER w52 AS m_volume,
+    sqrt(var_pop(close) OVER w52 + 1e-5) AS s, sqrt(var_pop(volume) OVER w52 + 1e-5) AS sv
+  FROM bars WINDOW w52 AS ({W} ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) q WHERE rn >= 52"""
+
+
+def register_normalize(name: str, centre: str, subtract_last: bool) -> None:
+    @query(name, "entity:i date:d wn_close:f wn_volume:f back:f", normal_sql(centre), [BARS])
+    def run(spark, sf_dir):
+        out = sr.window_normalize(bars(spark, sf_dir), ["close", "volume"], 52, subtract_last)
+        return sr.window_denormalize(out, ["close"]).withColumn("back", F.col("close"))
+
+
+register_normalize("window_normalize", "m_close", False)
+register_normalize("window_normalize_last", "close", True)
 
 
 @query("point_adjust", "entity:i event_id:i truth:b hit:b adjusted:b",
@@ -335,7 +343,17 @@ def dominant_periods(spark, sf_dir):
        f"""SELECT entity, rank, lag, r AS autocorr, exp(r) / sum(exp(r)) OVER (PARTITION BY entity) AS weight FROM (
   SELECT *, row_number() OVER (PARTITION BY entity ORDER BY r DESC, lag) AS rank FROM (
     SELECT a.entity, a.n, a.t - b.t AS lag, {sql_corr('a.x', 'b.x', '')} AS r FROM positioned a JOIN positioned b
-    ON a.entity = b.entity AND a.t - b.t BETWEEN 1 AND 60 GROUP BY a.entity, a.n, a.t - b.t) c WHERE r IS NOT NULL) d
+    ON a.entity = b.entity AND a.t > b.t GROUP BY a.entity, a.n, a.t - b.t) c WHERE r IS NOT NULL) d
   WHERE rank <= floor(ln(n))""", [BARS, POSITIONED])
 def autocorr_top_lags(spark, sf_dir):
     return sr.autocorr_top_lags(bars(spark, sf_dir), "close")
+
+
+@query("autocorr_circular", "entity:i rank:i lag:i autocorr:f weight:f",
+       f"""SELECT entity, rank, lag, r AS autocorr, exp(r) / sum(exp(r)) OVER (PARTITION BY entity) AS weight FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(r, 9) DESC, lag) AS rank FROM (
+    SELECT a.entity, a.n, (a.t - b.t + a.n) % a.n AS lag, {sql_corr('a.x', 'b.x', '')} AS r FROM positioned a JOIN positioned b
+    ON a.entity = b.entity AND a.t <> b.t GROUP BY a.entity, a.n, (a.t - b.t + a.n) % a.n) c WHERE r IS NOT NULL) d
+  WHERE rank <= floor(ln(n))""", [BARS, POSITIONED])
+def autocorr_circular(spark, sf_dir):
+    return sr.autocorr_top_lags(bars(spark, sf_dir), "close", circular=True)

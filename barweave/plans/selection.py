@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date as Date
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barweave.operators import quality as ql
@@ -11,7 +12,7 @@ from barweave.operators import sentiment as st
 from barweave.operators import universe as un
 from barweave.operators.splits import fit_minmax, apply_minmax, fold_table
 from barweave.plans.fixtures import (
-    ARTICLES, BARS, COUNTS, CURATION, DAILY, DAY_BARS, EVENT_BARS, FOLDS, articles, bars, event_bars, news, news_days, table,
+    ARTICLES, BARS, COUNTS, CURATION, DAILY, DAY_BARS, EVENT_BARS, FOLDS, articles, bars, event_bars, news, table,
 )
 from barweave.plans.registry import query
 from barweave.plans.rolling import MERGED, SENTIMENT, W, merged_bars, sql_corr
@@ -40,15 +41,18 @@ def news_year_pivot(spark, sf_dir):
     return coverage(spark, sf_dir)
 
 
+def wide_universe(spark, sf_dir) -> DataFrame:
+    """Customer numbers as a universe in which only those that are supplier numbers too have news and bars."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"))
+
+
 @query("coverage_buckets", "entity:i n_pre1997:i n_1997:i n_1998:i n_1999:i n_2000:i n_2001:i n_total:i",
-       "SELECT s_suppkey AS entity, coalesce(sum(n) FILTER (year < 1997), 0) AS n_pre1997, "
+       "SELECT c_custkey AS entity, coalesce(sum(n) FILTER (year < 1997), 0) AS n_pre1997, "
        + ", ".join(f"coalesce(sum(n) FILTER (year = {y}), 0) AS n_{y}" for y in range(1997, 2002))
-       + ", coalesce(sum(n), 0) AS n_total FROM supplier LEFT JOIN (SELECT * FROM counts WHERE entity % 9 <> 0) c ON entity = s_suppkey GROUP BY 1",
+       + ", coalesce(sum(n), 0) AS n_total FROM customer LEFT JOIN counts ON entity = c_custkey GROUP BY 1",
        [COUNTS])
 def coverage_buckets(spark, sf_dir):
-    universe = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"))
-    known = counts(spark, sf_dir).where(F.col("entity") % 9 != 0)
-    return un.coverage_buckets(universe, known, 1997, list(range(1997, 2002)))
+    return un.coverage_buckets(wide_universe(spark, sf_dir), counts(spark, sf_dir), 1997, list(range(1997, 2002)))
 
 
 @query("median_dollar_volume", "entity:i n_rows:i median_dollar_vol:f",
@@ -159,25 +163,31 @@ def check_coverage(spark, sf_dir):
     return out.withColumnRenamed("check", "check_name")
 
 
+# Folds of all years of the data, bent by the number of trades in the train-end year: validation starts late for some, the test
+# begins inside validation for others, so both answers occur.
+BENT = """bent AS (SELECT 'F' || (y - lo + 1) AS fold, make_date(y, 12, 31) AS train_end, make_date(y + 1, 1, 1) + CAST(n % 3 AS INTEGER) AS val_start,
+  make_date(y + 1, 12, 31) AS val_end, make_date(y + 2, 1, 1) - CAST(n % 2 AS INTEGER) AS test_start
+  FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS y, count(*) AS n, min(CAST(year(l_shipdate) AS INTEGER)) OVER () AS lo FROM lineitem GROUP BY 1) t
+  WHERE y <= (SELECT max(year(l_shipdate)) - 2 FROM lineitem))"""
+
+
 @query("check_calendar", "fold:s train_before_val:b val_before_test:b train_gap_one_day:b val_gap_one_day:b passed:b",
-       """SELECT 'F' || (y - (SELECT min(year(l_shipdate)) FROM lineitem) - 1) AS fold, true AS train_before_val, true AS val_before_test,
-  date_diff('day', make_date(y, 12, 31), make_date(y + 1, 1, 1)) = 1 AS train_gap_one_day,
-  date_diff('day', make_date(y + 1, 12, 31), make_date(y + 2, 1, 1)) = 1 AS val_gap_one_day, true AS passed
-  FROM (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS y FROM lineitem) t
-  WHERE y >= (SELECT min(year(l_shipdate)) + 2 FROM lineitem) AND y <= (SELECT max(year(l_shipdate)) - 2 FROM lineitem)""")
+       """SELECT *, train_before_val AND val_before_test AND train_gap_one_day AND val_gap_one_day AS passed FROM (
+  SELECT fold, train_end < val_start AS train_before_val, val_end < test_start AS val_before_test, date_diff('day', train_end, val_start) = 1 AS train_gap_one_day,
+    date_diff('day', val_end, test_start) = 1 AS val_gap_one_day FROM bent) c""", [BENT])
 def check_calendar(spark, sf_dir):
-    years = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
-    return ql.check_calendar(fold_table(years))
+    years = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    folds = fold_table(years, 1).withColumn("year", F.year("train_end")).join(years, "year")
+    return ql.check_calendar(folds.withColumns({
+        "val_start": F.date_add("val_start", (F.col("n") % 3).cast("int")), "test_start": F.date_sub("test_start", (F.col("n") % 2).cast("int"))}))
 
 
 @query("check_price_range", "entity:i first_date:d last_date:d status:s",
-       """SELECT s_suppkey AS entity, first_date, last_date, CASE WHEN first_date IS NULL THEN 'missing' WHEN first_date > DATE '1995-01-15' THEN 'starts_late'
-  WHEN last_date < DATE '2001-10-25' THEN 'ends_early' ELSE 'ok' END AS status FROM supplier LEFT JOIN (
-  SELECT entity, min(date) AS first_date, max(date) AS last_date FROM bars WHERE entity % 11 <> 0 GROUP BY 1) b ON entity = s_suppkey""", [DAY_BARS])
+       """SELECT c_custkey AS entity, first_date, last_date, CASE WHEN first_date IS NULL THEN 'missing' WHEN first_date > DATE '1995-01-15' THEN 'starts_late'
+  WHEN last_date < DATE '2001-10-25' THEN 'ends_early' ELSE 'ok' END AS status FROM customer LEFT JOIN (
+  SELECT entity, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY 1) b ON entity = c_custkey""", [DAY_BARS])
 def check_price_range(spark, sf_dir):
-    universe = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"))
-    known = bars(spark, sf_dir, "day").where(F.col("entity") % 11 != 0)
-    return ql.check_price_range(universe, known, Date(1995, 1, 15), Date(2001, 10, 25))
+    return ql.check_price_range(wide_universe(spark, sf_dir), bars(spark, sf_dir, "day"), Date(1995, 1, 15), Date(2001, 10, 25))
 
 
 # ---- article, daily and merged audits ------------------------------------------------
@@ -216,7 +226,7 @@ def audit_block(spark, sf_dir):
     count(*) - count(DISTINCT date) AS duplicates FROM (SELECT * FROM daily UNION ALL SELECT * FROM daily WHERE entity % 10 = 0) u GROUP BY 1) d""",
        [ARTICLES, DAILY])
 def audit_daily(spark, sf_dir):
-    d = st.daily_sentiment(news_days(spark, sf_dir))
+    d = st.daily_sentiment(articles(spark, sf_dir))
     twice = d.unionByName(d.where(F.col("entity") % 10 == 0))
     return ql.audit_daily(twice).withColumn("failures", F.concat_ws(",", "failures"))
 
@@ -241,11 +251,11 @@ def audit_entity(spark, sf_dir):
 @query("audit_cache", "entity:i sd:f failed:b",
        """SELECT entity, stddev_pop(mm) AS sd, stddev_pop(mm) < 1e-3 AS failed FROM (
   SELECT entity, (sent - min(sent) OVER e) / CASE WHEN max(sent) OVER e = min(sent) OVER e THEN 1 ELSE max(sent) OVER e - min(sent) OVER e END AS mm
-  FROM faded WINDOW e AS (PARTITION BY entity)) q WHERE entity IN (SELECT DISTINCT entity FROM faded ORDER BY entity LIMIT 50) GROUP BY 1""", SENTIMENT)
+  FROM faded WINDOW e AS (PARTITION BY entity)) q GROUP BY 1""", SENTIMENT)
 def audit_cache(spark, sf_dir):
     m = merged_bars(spark, sf_dir)
     scaled = apply_minmax(m, fit_minmax(m, ["scaled_sentiment"]), ["scaled_sentiment"])
-    return ql.audit_cache(scaled, 50, "mm_scaled_sentiment")
+    return ql.audit_cache(scaled, None, "mm_scaled_sentiment")
 
 
 @query("cross_entity_variance", "n_entities:i sd_means:f passed:b",

@@ -7,6 +7,7 @@ from datetime import date as Date
 from pyspark.sql import functions as F
 
 from barweave.functions import norm_symbol, select_text, text_source, utc_day, utc_day_text
+from barweave.functions.text import WHITE_SPACE
 from barweave.operators import report as rp
 from barweave.operators import sentiment as st
 from barweave.operators import universe as un
@@ -20,21 +21,22 @@ from barweave.sources.writers import stale_entities
 
 
 def texts(spark, sf_dir):
-    """Documents as raw articles: every 7th body is blank, every 14th has no title either."""
+    """Documents as raw articles: every 7th body is line ends and blanks only, every 14th has no title either."""
     d = table(spark, sf_dir, "documents")
     blank, bare = F.col("doc_id") % 7 == 0, F.col("doc_id") % 14 == 0
     return d.select(
         F.col("doc_id").alias("article_id"), F.col("source").alias("entity"),
         F.when(bare, " ").otherwise(F.concat_ws(" ", "source", "lang", "doc_id")).alias("title"),
-        F.when(blank, "  ").otherwise(F.col("text")).alias("body"))
+        F.when(blank, "\n \t" * 30).otherwise(F.col("text")).alias("body"))
 
 
 TEXTS = """texts AS (
   SELECT doc_id AS article_id, source AS entity, CASE WHEN doc_id % 14 = 0 THEN ' ' ELSE source || ' ' || lang || ' ' || doc_id END AS title,
-    CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE text END AS body FROM documents)"""
-CHOSEN = """chosen AS (
-  SELECT *, CASE WHEN length(trim(body)) > 50 THEN 'article' WHEN length(trim(title)) > 0 THEN 'title' ELSE 'empty' END AS text_source,
-    CASE WHEN length(trim(body)) > 50 THEN trim(body) WHEN length(trim(title)) > 0 THEN trim(title) ELSE '' END AS text_used FROM texts)"""
+    CASE WHEN doc_id % 7 = 0 THEN repeat(chr(10) || ' ' || chr(9), 30) ELSE text END AS body FROM documents)"""
+WHITE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
+CHOSEN = f"""chosen AS (
+  SELECT *, CASE text_source WHEN 'article' THEN body WHEN 'title' THEN title ELSE '' END AS text_used FROM (
+    SELECT *, CASE WHEN length(trim(body, {WHITE})) > 50 THEN 'article' WHEN length(trim(title, {WHITE})) > 0 THEN 'title' ELSE 'empty' END AS text_source FROM texts) t)"""
 
 
 @query("scan_news", "entity:s day:d publisher:s n:i",
@@ -45,9 +47,9 @@ def scan_news(spark, sf_dir):
     day = F.date_add(F.lit(Date(2020, 1, 1)), (F.col("doc_id") % 700).cast("int")).cast("string")
     stamp = F.when(F.col("doc_id") % 10 == 3, "n/a").when(F.col("doc_id") % 2 == 0, F.concat(day, F.lit(" 11:30:00 UTC"))) \
         .otherwise(F.concat(day, F.lit(" 11:30:00+00:00")))
-    raw = d.select(stamp.alias("Date"), F.concat(F.lit(" "), "source").alias("Stock_symbol"),
-                   F.col("source").alias("Article_title"), F.col("text").alias("Article"),
-                   F.lit("-").alias("Url"), F.col("lang").alias("Publisher"))
+    raw = d.select(F.col("doc_id").alias("Unnamed: 0"), F.col("lang").alias("publisher"), F.col("text").alias("Article"),
+                   F.concat(F.lit(" \n"), "source").alias("Stock_symbol"), F.col("source").alias("Article_title"),
+                   stamp.alias("Date"), F.lit("-").alias("Lsa_summary"))
     path = scratch_path(spark, "news")
     raw.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     out = read_news(spark, path)
@@ -59,7 +61,8 @@ def scan_news(spark, sf_dir):
        [BARS])
 def scan_prices(spark, sf_dir):
     path = scratch_path(spark, "prices")
-    raw = bars(spark, sf_dir).select("entity", "date", "open", "high", "low", "close", F.col("adj_close").alias("adj close"), "volume")
+    raw = bars(spark, sf_dir).select("entity", F.col("volume").alias("Volume"), F.lit("x").alias("note"), F.col("adj_close").alias("Adj Close"),
+                                     F.col("close").alias("Close"), "low", "high", "open", F.col("date").alias("Date"))
     raw.repartition("entity").write.partitionBy("entity").option("header", True).csv(path)
     out = read_prices(spark, path, stem=r"entity=([^/]+)/")
     return out.groupBy("entity").agg(
@@ -162,7 +165,7 @@ def scaled_cache(spark, sf_dir):
        "SELECT s_suppkey, upper(trim(' ' || lower(s_name) || '  ')) AS symbol, upper(' ' || lower(s_name) || '  ') AS kept FROM supplier")
 def normalize_symbol(spark, sf_dir):
     raw = F.concat(F.lit(" "), F.lower("s_name"), F.lit("  "))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", norm_symbol(raw).alias("symbol"), norm_symbol(raw, strip=False).alias("kept"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", norm_symbol(raw).alias("symbol"), norm_symbol(raw, trimmed=False).alias("kept"))
 
 
 @query("floor_to_utc_day", "event_id:i day:d day_text:s",

@@ -226,26 +226,22 @@ def portfolio_returns(spark, sf_dir):
     return portfolio(test_panel(spark, sf_dir))
 
 
-SPARSE_PANEL = PANEL.replace("WHERE split = 'test'", "WHERE split = 'test' AND NOT (month(date) % 3 = 0 AND entity % 10 <> 0)")
-
-
-def sparse_panel(spark, sf_dir) -> DataFrame:
-    """Test panel with only a tenth of the names in every third month: books go flat there."""
-    thin = (F.month("date") % 3 == 0) & (F.col("entity") % 10 != 0)
-    return test_panel(spark, sf_dir).where(~thin)
+#: The larger book needs 84 names, which some dates have and others have not: it goes flat and comes back.
+WIDE = [5, 42]
+WIDE_CTES = [*PANEL_CTES, RANKED, pos_sql(WIDE), ROWS, PORT]
 
 
 @query("portfolio_returns_legacy", f"{CELL_SPEC} top_n:i date:d row_idx:i gross:f turnover:f net:f",
        """SELECT strategy, horizon, fold, top_n, date, row_idx, CASE WHEN n_held > 0 THEN gross END AS gross, CASE WHEN n_held > 0 THEN turnover ELSE 0 END AS turnover,
-  CASE WHEN n_held > 0 THEN gross - 20.0 / 10000.0 * turnover END AS net FROM port""", [*SIGNAL_CTES, SPARSE_PANEL, RANKED, POS, ROWS, PORT])
+  CASE WHEN n_held > 0 THEN gross - 20.0 / 10000.0 * turnover END AS net FROM port""", WIDE_CTES)
 def portfolio_returns_legacy(spark, sf_dir):
-    return portfolio(sparse_panel(spark, sf_dir), charge_unwind=False)
+    return portfolio(test_panel(spark, sf_dir), WIDE, charge_unwind=False)
 
 
 @query("non_overlap_sample", f"{CELL_SPEC} top_n:i row_idx:i gross:f",
-       "SELECT * FROM port WHERE row_idx % horizon = 0", [*SIGNAL_CTES, SPARSE_PANEL, RANKED, POS, ROWS, PORT])
+       "SELECT * FROM port WHERE row_idx % horizon = 0", WIDE_CTES)
 def non_overlap_sample(spark, sf_dir):
-    return pf.non_overlap(portfolio(sparse_panel(spark, sf_dir)))
+    return pf.non_overlap(portfolio(test_panel(spark, sf_dir), WIDE))
 
 
 # ---- metric block ---------------------------------------------------------------------------
@@ -515,12 +511,12 @@ def best_cell(spark, sf_dir):
 @query("zip_pairs", "horizon:i fold:s i:i a:f b:f n:i",
        """SELECT horizon, fold, i, a.net AS a, b.net AS b, count(*) OVER (PARTITION BY horizon, fold) AS n FROM (
   SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY row_idx) - 1 AS i FROM net WHERE net IS NOT NULL AND strategy = 'xs_momentum' AND top_n = 5) a JOIN (
-  SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY row_idx) - 1 AS i FROM net WHERE net IS NOT NULL AND strategy = 'xs_reversal' AND top_n = 10) b USING (horizon, fold, i)""",
-       [*SIGNAL_CTES, SPARSE_PANEL, RANKED, POS, ROWS, PORT, NET])
+  SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY row_idx) - 1 AS i FROM net WHERE net IS NOT NULL AND strategy = 'xs_reversal' AND top_n = 42) b USING (horizon, fold, i)""",
+       [*WIDE_CTES, NET])
 def zip_pairs(spark, sf_dir):
-    ts = pf.non_overlap(portfolio(sparse_panel(spark, sf_dir), [5, 10]))
+    ts = pf.non_overlap(portfolio(test_panel(spark, sf_dir), WIDE))
     arm = lambda s, n: ts.where((F.col("strategy") == s) & (F.col("top_n") == n))
-    return pair_arms(arm("xs_momentum", 5), arm("xs_reversal", 10), ["horizon", "fold"])
+    return pair_arms(arm("xs_momentum", 5), arm("xs_reversal", 42), ["horizon", "fold"])
 
 
 @query("cell_grid", "strategy:s fold:s horizon:i arm:s",

@@ -28,22 +28,40 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "bar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster
-    names one; a fresh local folder only where it is unset (tests)."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the checkpoint folder already set.
+
+    Where neither is set, a one-machine session (tests) gets a folder of its own; a cluster gets an error, since executors
+    would write to their own disks.
+    """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
     context = spark.sparkContext
-    known = context.getCheckpointDir()
-    if known:
-        return known
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="barweave-"))
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"barweave-{context.applicationId}"))
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, never reused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the stored intermediates of this application; call it once no result that reads them is needed. Gives their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    context = spark.sparkContext
+    for p in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

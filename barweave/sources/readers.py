@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barweave.functions.text import norm_symbol
 
@@ -28,28 +27,51 @@ def to_utc(text: Column) -> Column:
     return F.try_to_timestamp(cleaned)
 
 
-def read_news(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
-    """News CSV with quoted multi-line bodies; rows with an unreadable date or no symbol are dropped.
+def by_name(raw: DataFrame, wanted: dict[str, str], optional: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``wanted`` (file name -> name here), found by header whatever their order, case or outer blanks; other
+    columns are left out. A missing required column is an error, a missing optional one is NULL."""
+    found = {}
+    for c in raw.columns:
+        found.setdefault(c.strip().lower(), c)
+    missing = [c for c in wanted if c.lower() not in found and c not in optional]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(raw.columns)}")
+    quoted = lambda c: F.col("`" + found[c.lower()].replace("`", "``") + "`")
+    return raw.select(*[(quoted(c) if c.lower() in found else F.lit(None).cast("string")).alias(n) for c, n in wanted.items()])
 
-    Columns nobody selects later are not parsed.
+
+def csv_texts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, every column as text."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("recursiveFileLookup", True).csv(path)
+
+
+def read_news(spark: SparkSession, path: str, trimmed: bool = True) -> DataFrame:
+    """News CSV with quoted multi-line bodies, columns by header name; rows with an unreadable date or no symbol are dropped.
+
+    A quoted line end makes a CSV file unsplittable: keep news in many files, or store them with ``stage_news`` once.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in NEWS_COLUMNS])
-    raw = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    named = raw.withColumnsRenamed(NEWS_COLUMNS)
-    return named.withColumn("ts", to_utc(F.col("ts"))).withColumn("entity", norm_symbol("entity", strip)).dropna(
-        subset=["ts", "entity"])
+    return news_rows(by_name(csv_texts(spark, path, True), NEWS_COLUMNS, ("Url", "Publisher", "Article_title")), trimmed)
+
+
+def news_rows(raw: DataFrame, trimmed: bool = True) -> DataFrame:
+    return raw.withColumn("ts", to_utc(F.col("ts"))).withColumn("entity", norm_symbol("entity", trimmed)).dropna(subset=["ts", "entity"])
+
+
+def stage_news(spark: SparkSession, path: str, out: str, parts: int) -> DataFrame:
+    """Read news files once and store them as ``parts`` splittable Parquet parts; gives the stored table."""
+    read_news(spark, path).repartition(parts).write.parquet(out)
+    return spark.read.parquet(out)
 
 
 def read_prices(spark: SparkSession, path: str, stem: str = r"([^/]+)\.[^./]+$") -> DataFrame:
-    """Per-entity price files as one table; the entity is the upper-cased file stem.
+    """Per-entity price files as one table, columns by header name; the entity is the upper-cased file stem.
 
-    ``stem`` extracts it from the path, e.g. ``entity=([^/]+)/`` for folder layouts.
+    ``stem`` extracts it from the path, e.g. ``entity=([^/]+)/`` for folder layouts. All files share one header.
     """
-    schema = T.StructType([T.StructField(c, T.StringType() if c == "date" else T.DoubleType()) for c in PRICE_COLUMNS])
-    files = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
-    symbol = F.upper(F.regexp_extract(F.col("_metadata.file_path"), stem, 1))
-    named = files.csv(path).withColumn("entity", symbol).withColumnRenamed("adj close", "adj_close")
-    return named.withColumn("date", F.to_date(to_utc(F.col("date")))).dropna(subset=["date"])
+    raw = csv_texts(spark, path).withColumn("_entity", F.upper(F.regexp_extract(F.col("_metadata.file_path"), stem, 1)))
+    rows = by_name(raw, {**{c: c.replace(" ", "_") for c in PRICE_COLUMNS}, "_entity": "entity"}, ("adj close",))
+    numbers = {c.replace(" ", "_"): F.col(c.replace(" ", "_")).try_cast("double") for c in PRICE_COLUMNS if c != "date"}
+    return rows.withColumns(numbers).withColumn("date", F.to_date(to_utc(F.col("date")))).dropna(subset=["date"])
 
 
 def load_summaries(spark: SparkSession, path: str, fold: str | None = None, one_per_file: bool = True) -> DataFrame:

@@ -37,7 +37,8 @@ def audit_stream(scored: DataFrame, sink: str, checkpoint: str) -> StreamingQuer
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a streaming result over everything available and return the written table.
 
-    ``append`` goes to a file sink; ``complete`` rewrites the whole result per micro-batch. Data and
+    ``append`` goes to a file sink and keeps state only for days the watermark has not passed; ``complete`` rewrites the whole
+    result per micro-batch and keeps all of it as state, so it is for bounded histories. Data and
     progress live in the shared folder, so a lost executor or driver restart resumes from there.
     """
     spark = stream.sparkSession

@@ -16,7 +16,7 @@ from barweave.session import local_session
 HEADLINE = [
     "daily_sentiment", "decay_impute", "score_articles", "curate_universe", "audit_block", "alpha_features", "purged_split",
     "collect_signals", "cross_section_rank", "portfolio_returns", "metric_block", "cost_sweep", "rank_ic_spearman",
-    "sharpe_ci", "deflated_sharpe", "daily_sentiment_stream",
+    "sharpe_ci", "deflated_sharpe", "daily_sentiment_stream", "vol_kill_switch", "pointwise_sharpe_median", "timeseries_export", "margin_bce",
 ]
 
 
