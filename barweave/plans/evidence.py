@@ -228,7 +228,7 @@ def paired_bootstrap(spark, sf_dir):
 
 
 @query("studentized_diff", "horizon:i fold:s n_valid:i se_diff:f student_lo:f student_hi:f",
-       """SELECT p.*, CASE WHEN n_valid >= 100 THEN point_diff - t_hi * se_diff END AS student_lo, CASE WHEN n_valid >= 100 THEN point_diff - t_lo * se_diff END AS student_hi FROM paired p LEFT JOIN (
+       """SELECT p.*, CASE WHEN n_valid >= 100 AND se_diff >= 1e-12 THEN point_diff - t_hi * se_diff END AS student_lo, CASE WHEN n_valid >= 100 AND se_diff >= 1e-12 THEN point_diff - t_lo * se_diff END AS student_hi FROM paired p LEFT JOIN (
   SELECT horizon, fold, quantile_cont((s_a - s_b - point_diff) / se_diff, 0.025) AS t_lo, quantile_cont((s_a - s_b - point_diff) / se_diff, 0.975) AS t_hi
   FROM boot JOIN paired USING (horizon, fold) GROUP BY 1, 2) t USING (horizon, fold)""", [*FIVE_CTES, PAIRS, *PAIR_BLOCKS, PAIR_BOOT, PAIRED])
 def studentized_diff(spark, sf_dir):
