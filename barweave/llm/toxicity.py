@@ -27,8 +27,9 @@ CUT = 0.3
 BITS = 20
 BEGINNINGS = (3, 4, 5, 6)
 LEAST = 3
-RATIO = 4
-CHANCE = 8
+RATIO = 15
+CHANCE = 6
+STRAYS = 10
 EPOCHS = 12
 UPDATES = 800
 #: Logit of a sentence without any telling feature.
@@ -91,7 +92,8 @@ class Model:
 
 
 def telling(bags: list[list[np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """Features found in LEAST toxic texts or more, RATIO times as often as in the others, beyond chance (G statistic)."""
+    """Features found in LEAST toxic texts or more, RATIO times as often as in the others, beyond chance: a G statistic so large
+    that about STRAYS of all features tried would reach it without any association."""
     seen = np.zeros((2, 1 << BITS))
     for bag, label in zip(bags, y):
         if bag:
@@ -101,7 +103,8 @@ def telling(bags: list[list[np.ndarray]], y: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * np.nansum([seen[1] * np.log(seen[1] / (share * toxic)), seen[0] * np.log(seen[0] / (share * others))], axis=0)
     often = (seen[1] + 0.1) / toxic >= RATIO * (seen[0] + 0.1) / others
-    return np.flatnonzero((seen[1] >= LEAST) & often & (g >= CHANCE))
+    tried = max(int((seen.sum(axis=0) >= LEAST).sum()), 1)
+    return np.flatnonzero((seen[1] >= LEAST) & often & (g >= max(CHANCE, 2 * np.log(tried / STRAYS))))
 
 
 def fit(bags: list[list[np.ndarray]], y: np.ndarray) -> Model:
