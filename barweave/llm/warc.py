@@ -2,7 +2,8 @@
 
 Writing: each page becomes one WARC/1.1 record. Of pages with equal payloads of at least ``LEAST`` bytes, the one with the
 largest id is a response, the others are revisits that refer to it; digests are compared, never payloads. A record is one text
-value and the blank line after it is the separator of Spark's text writer, so the archives are ordinary WARC files on any store.
+value and the blank line after it is the separator of Spark's text writer, so the archives are
+ordinary gzip-compressed WARC files on any store; offsets are those of the uncompressed archive.
 
 Reading: archives are read as whole files (``FILE`` bytes aimed at), parsed record by record by Content-Length, and every
 response's digest is checked. Each archive yields a run of index entries sorted by URL key and timestamp. The runs are dealt
@@ -16,6 +17,7 @@ url are percent-encoded.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -83,7 +85,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     mean = pages.agg(F.avg(F.octet_length(html_col))).first()[0] or 0
     per_file = max(1, int(file_bytes / (mean + 600)))
     out = records(pages, id_col, url_col, html_col, least)
-    out.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", per_file).text(path)
+    out.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -140,8 +142,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1)):
-                archive = name.as_py().rsplit("/", 1)[-1]
-                yield batch(sorted((entry(archive, *x) for x in parse(content.as_py())), key=order), SCHEMA)
+                archive, data = name.as_py().rsplit("/", 1)[-1], content.as_py()
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                yield batch(sorted((entry(archive, *x) for x in parse(data)), key=order), SCHEMA)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(run, INDEX)
