@@ -116,8 +116,5 @@ def hash_uniform(*parts) -> Column:
 
 
 def inf_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace NaN and infinities by NULL in the given columns."""
-    limit = float("inf")
-    return df.withColumns({
-        c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < limit), F.col(c)) for c in cols
-    })
+    """Replace NaN and infinities by NULL in the given columns (NaN compares as larger than any number)."""
+    return df.withColumns({c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in cols})

@@ -7,6 +7,8 @@ volume behind the bars.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -156,9 +158,18 @@ def alpha_features(bars: DataFrame, entity: str = "entity", date: str = "date")
 
 def complete_rows(df: DataFrame, cols: list[str], min_rows: int = 100, entity: str = "entity") -> DataFrame:
     """Drop rows with a missing feature, then entities left with fewer than ``min_rows``."""
-    kept = df.dropna(subset=cols)
-    n = F.count(F.lit(1)).over(Window.partitionBy(entity))
-    return kept.withColumn("_n", n).where(F.col("_n") >= min_rows).drop("_n")
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols])
+    own = Window.partitionBy(entity)
+    counted = df.withColumn("_known", known).withColumn("_n", F.count_if("_known").over(own))
+    return counted.where(F.col("_known") & (F.col("_n") >= min_rows)).drop("_known", "_n")
+
+
+def prepared_bars(bars: DataFrame, min_rows: int = 100, entity: str = "entity", date: str = "date") -> DataFrame:
+    """Model input from daily bars: prices adjusted, all features, log volume, complete rows only, entities with ``min_rows``
+    of them. ``close`` is the adjusted close, the base of return targets."""
+    adjusted = adjust_ohlc(bars)
+    out = alpha_features(adjusted, entity, date).withColumn("log_volume", log1p_volume())
+    return complete_rows(out, [*feature_names(), "log_volume"], min_rows, entity)
 
 
 # ---- volatility ------------------------------------------------------------

@@ -86,26 +86,30 @@ def moments(ts: DataFrame, keys: list[str], ret: str = "net") -> DataFrame:
         F.when(known, (F.kurtosis(ret) + 3.0) * shrink * shrink).alias("kurt"))
 
 
-def regression_metrics(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "actual") -> DataFrame:
-    """MSE, MAE, RMSE, R2, MAPE, MSPE, RRSE and a CORR of its own per key.
+def regression_metrics(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "actual", centre: float = 0.0) -> DataFrame:
+    """MSE, MAE, RMSE, R2, MAPE, MSPE, RRSE and a CORR of its own per key, in one pass.
 
-    CORR divides by the root of the summed squared products of deviations, which needs the group means:
-    they are joined back on the keys (one small row per key).
+    CORR divides by the root of the summed squared products of deviations. Both sums follow from the nine power sums of
+    (truth, pred) up to the second degree; ``centre`` is a rough level of the values, subtracted to keep the powers small.
     """
     both = df.where(F.col(pred).isNotNull() & F.col(truth).isNotNull())
     err = F.col(truth) - F.col(pred)
     rel = safe_div(err, F.col(truth))
+    t, p = F.col(truth) - centre, F.col(pred) - centre
     first = both.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
         F.avg(F.abs(rel)).alias("mape"), F.avg(rel * rel).alias("mspe"), F.var_pop(truth).alias("_var"),
-        F.avg(truth).alias("_mt"), F.avg(pred).alias("_mp"))
-    product = (F.col(truth) - F.col("_mt")) * (F.col(pred) - F.col("_mp"))
-    second = both.join(first.select(*keys, "_mt", "_mp"), keys).groupBy(*keys).agg(
-        safe_div(F.sum(product), F.sqrt(F.sum(product * product))).alias("corr"))
+        *[F.avg(F.pow(t, F.lit(i)) * F.pow(p, F.lit(j))).alias(f"_s{i}{j}") for i in range(3) for j in range(3) if i + j])
+    s = lambda i, j: F.col(f"_s{i}{j}")
+    a, b = s(1, 0), s(0, 1)
+    product = s(1, 1) - a * b
+    squared = (s(2, 2) - 2 * b * s(2, 1) + b * b * s(2, 0) - 2 * a * s(1, 2) + 4 * a * b * s(1, 1) - 2 * a * b * b * a
+               + a * a * s(0, 2) - 2 * a * a * b * b + a * a * b * b)
+    own = safe_div(product * F.sqrt("n"), F.sqrt(F.greatest(squared, F.lit(0.0))))
     ratio = safe_div(F.col("mse"), F.col("_var"))
-    return first.join(second, keys).select(
+    return first.select(
         *keys, "n", "mse", "mae", F.sqrt("mse").alias("rmse"), (1.0 - ratio).alias("r2"), "mape", "mspe",
-        F.sqrt(ratio).alias("rrse"), "corr")
+        F.sqrt(ratio).alias("rrse"), own.alias("corr"))
 
 
 def usd_metrics(df: DataFrame, scaler: DataFrame, keys: list[str], pred: str, truth: str, lo: str, hi: str,

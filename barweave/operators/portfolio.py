@@ -51,14 +51,14 @@ def cross_section_rank(panel: DataFrame, keys: list[str], n_max: int, signal: st
 
 
 def legs(panel: DataFrame, keys: list[str], top_n: list[int] | str, mode: str, signal: str, entity: str, date: str,
-         n_max: int | None = None, with_rows: bool = False) -> DataFrame:
+         n_max: int | None = None, with_rows: bool = False, salts: int = SALTS) -> DataFrame:
     """One row per held name: ``side`` (+1/-1) for every requested book size the date can fill.
 
     ``with_rows`` adds the panel row number and, once per date and size, a marker with side 0.
     """
     listed = not isinstance(top_n, str)
     n_max = max(top_n) if listed else n_max
-    ranked = cross_section_rank(panel, keys, n_max, signal, entity, date, keep_dates=with_rows)
+    ranked = cross_section_rank(panel, keys, n_max, signal, entity, date, salts, with_rows)
     if with_rows:
         by_date = Window.partitionBy(*keys).orderBy(date)
         ranked = ranked.withColumn("row_idx", F.dense_rank().over(by_date) - 1)
@@ -80,7 +80,8 @@ def legs(panel: DataFrame, keys: list[str], top_n: list[int] | str, mode: str, s
 def positions(panel: DataFrame, keys: list[str], top_n: list[int] | str = TOP_N_GRID, mode: str = "long_short",
               weighting: str = "equal", signal: str = "pred", min_abs: float | None = None, vol: str = "vol",
               sigma: str = "sigma", gate: str = "gate", gate_min: float = 0.0, alpha: float = 5.0,
-              n_max: int | None = None, entity: str = "entity", date: str = "date", with_rows: bool = False) -> DataFrame:
+              n_max: int | None = None, entity: str = "entity", date: str = "date", with_rows: bool = False,
+              salts: int = SALTS) -> DataFrame:
     """Sparse non-flat weights per (keys, top_n, date, entity).
 
     ``weighting``: 'equal', 'inv_vol' (1/max(vol, 1e-6), leg sums to 1) or 'risk_aware'
@@ -91,7 +92,7 @@ def positions(panel: DataFrame, keys: list[str], top_n: list[int] | str = TOP_N_
         score = F.when(F.col(gate) >= gate_min, F.col(signal) / at_least(sigma, 1e-3))
     if min_abs is not None:
         score = F.when(F.abs(F.col(signal)) > min_abs, score)
-    held = legs(panel.withColumn("_score", score), keys, top_n, mode, "_score", entity, date, n_max, with_rows)
+    held = legs(panel.withColumn("_score", score), keys, top_n, mode, "_score", entity, date, n_max, with_rows, salts)
     if weighting == "equal":
         return held.withColumn("weight", F.col("side") / F.col("top_n")).drop("_score")
     raw = {"inv_vol": lambda: 1.0 / at_least(vol, 1e-6),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barweave.functions.maths import as_col
@@ -37,9 +37,14 @@ def flatten_costs(summaries: DataFrame, keys: list[str], bps: list[float], metri
     return summaries.select(*keys, *cols)
 
 
-def pivot_arms(df: DataFrame, index: list[str], arms: list[str], metrics: list[str], arm: str = "arm") -> DataFrame:
-    """One row per index; ``{metric}_{arm}`` columns hold the first value of that arm."""
-    cols = [F.first(F.when(F.col(arm) == a, F.col(m)), ignorenulls=True).alias(f"{m}_{a}") for m in metrics for a in arms]
+def pivot_arms(df: DataFrame, index: list[str], arms: list[str], metrics: list[str], arm: str = "arm", order: str | None = None) -> DataFrame:
+    """One row per index; ``{metric}_{arm}`` columns hold that arm's known value, of several the first under ``order``, or the
+    largest where no order is given."""
+    def pick(m: str, a: str) -> Column:
+        known = (F.col(arm) == a) & F.col(m).isNotNull()
+        return F.max(F.when(known, F.col(m))) if order is None else F.min_by(F.col(m), F.when(known, F.col(order)))
+
+    cols = [pick(m, a).alias(f"{m}_{a}") for m in metrics for a in arms]
     return df.groupBy(*index).agg(*cols)
 
 

@@ -49,27 +49,30 @@ def score_by_words(df: DataFrame, text: str, positive: list[str], negative: list
     }).drop("_tokens", "_p", "_n")
 
 
-def score_by_model(df: DataFrame, text: str, scorer: Scorer, batch: int) -> DataFrame:
-    """Arrow batches through a user scorer returning n_tokens and the three probabilities."""
-    schema = df.schema.simpleString()[len("struct<"):-1]
+def score_by_model(df: DataFrame, text: str, scorer: Scorer | None, batch: int, load: Callable[[], Scorer] | None = None) -> DataFrame:
+    """A user scorer returning n_tokens and the three probabilities for a list of texts. Only the text column goes to Python.
+
+    ``load`` makes the scorer inside the task, once for all its batches; a ready ``scorer`` travels with the plan instead.
+    """
     fields = ["n_tokens", *PROBS]
+    make = load or (lambda: scorer)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start:start + batch].reset_index(drop=True)
-                scored = scorer(part[text].tolist())
-                yield pd.concat([part, scored[fields].reset_index(drop=True)], axis=1)
+    @F.pandas_udf("n_tokens int, " + ", ".join(f"{p} double" for p in PROBS))
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        score = make()
+        for texts in columns:
+            parts = [score(texts.iloc[k:k + batch].tolist())[fields] for k in range(0, len(texts), batch)]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=fields)
 
-    extra = "n_tokens:int," + ",".join(f"{p}:double" for p in PROBS)
-    return df.mapInPandas(run, f"{schema},{extra}")
+    return df.withColumn("_scored", run(F.col(text))).select(*df.columns, "_scored.*")
 
 
 def score_articles(df: DataFrame, scorer: Scorer | None = None, batch: int = 256, text: str = "text_used",
-                   positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS) -> DataFrame:
-    """Score every text; with no ``scorer`` the word-list scorer runs entirely in the JVM."""
-    scored = score_by_words(df, text, positive, negative) if scorer is None else \
-        score_by_model(df, text, scorer, batch)
+                   positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS,
+                   load: Callable[[], Scorer] | None = None) -> DataFrame:
+    """Score every text; with neither ``scorer`` nor ``load`` the word-list scorer runs entirely in the JVM."""
+    scored = score_by_words(df, text, positive, negative) if scorer is None and load is None else \
+        score_by_model(df, text, scorer, batch, load)
     return sentiment_cols(scored)
 
 

@@ -43,7 +43,7 @@ def year_sum(year: Column, n, test: Column) -> Column:
 def news_coverage(counts: DataFrame, years: list[int], entity: str = "entity") -> DataFrame:
     """One row per entity: total plus one zero-filled column per year; rows outside ``years`` count in the total."""
     cols = [year_sum(F.col("year"), "n", F.col("year") == y).alias(f"n_{y}") for y in years]
-    return counts.groupBy(entity).agg(F.sum("n").alias("n_total"), *cols).orderBy(F.desc("n_total"), entity)
+    return counts.groupBy(entity).agg(F.sum("n").alias("n_total"), *cols)
 
 
 def coverage_buckets(universe: DataFrame, counts: DataFrame, first: int, years: list[int],

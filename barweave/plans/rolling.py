@@ -164,6 +164,19 @@ def alpha(spark, sf_dir):
     return ft.alpha_features(b)
 
 
+ADJUSTED = [BARS.replace("bars AS (", "raw_bars AS (", 1), """bars AS (SELECT entity, date, open * k AS open, high * k AS high, low * k AS low, close * k AS close, volume FROM (
+  SELECT *, coalesce(adj_close, close) / CASE WHEN close > 1e-9 THEN close ELSE 1.0 END AS k FROM raw_bars) r)"""]
+PREPARED = ", ".join(f"{ALL_SQL[n]} AS {n}" for n in ft.feature_names())
+
+
+@query("prepared_bars", "entity:i date:d close:f log_volume:f " + " ".join(f"{n}:f" for n in ft.feature_names()),
+       f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY entity) AS kept FROM (
+  SELECT entity, date, close, ln(1 + greatest(volume, 0)) AS log_volume, {PREPARED} FROM (SELECT *, 0.5 AS scaled_sentiment FROM inputs) i {FRAME_SQL}) f
+  WHERE {" AND ".join(f"{n} IS NOT NULL" for n in ft.feature_names())}) g WHERE kept >= 200""", [*ADJUSTED, INPUTS])
+def prepared_bars(spark, sf_dir):
+    return ft.prepared_bars(bars(spark, sf_dir), 200)
+
+
 # ---- sentiment ----------------------------------------------------------------------
 
 MERGED = f"""merged AS (

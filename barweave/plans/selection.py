@@ -151,6 +151,13 @@ def coverage_stats(spark, sf_dir):
     return un.coverage_stats(coverage(spark, sf_dir), [f"n_{y}" for y in YEARS])
 
 
+@query("fold_shortfalls", "fold:s bad_val:i bad_test:i",
+       " UNION ALL ".join(f"SELECT '{f.name}' AS fold, count(*) FILTER (n_{f.val_year} < 80) AS bad_val, count(*) FILTER (n_{f.test_year} < 80) AS bad_test FROM coverage" for f in FOLDS),
+       [COUNTS, COVERAGE])
+def fold_shortfalls(spark, sf_dir):
+    return un.fold_shortfalls(coverage(spark, sf_dir), FOLDS, 80)
+
+
 CHECKS = [("year_1996", 1996, 70), ("year_1997", 1997, 70)] + [
     (f"{f.name}_{p}", y, 80) for f in FOLDS for p, y in (("val", f.val_year), ("test", f.test_year))]
 

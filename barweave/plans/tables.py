@@ -16,8 +16,8 @@ from barweave.operators.portfolio import panel_rows
 from barweave.plans.fixtures import ARTICLES, BARS, DAY_BARS, articles, bars, table
 from barweave.plans.registry import query
 from barweave.session import scratch_path
-from barweave.sources import manifest, minmax_cache, read_news, read_prices, unpivot_panel, write_by_entity
-from barweave.sources.writers import stale_entities
+from barweave.sources import manifest, read_news, read_prices, unpivot_panel, write_by_entity
+from barweave.sources.writers import refresh_cache, write_cache
 
 
 def texts(spark, sf_dir):
@@ -145,18 +145,18 @@ def panel_csv_unpivot(spark, sf_dir):
     return unpivot_panel(wide).where(F.col("pred").isNotNull() | F.col("actual").isNotNull())
 
 
-@query("scaled_cache", "entity:i date:d mm_close:f mm_volume:f stale:b",
+@query("scaled_cache", "entity:i date:d mm_close:f mm_volume:f rebuilt:b",
        """SELECT entity, date, (close - min(close) OVER e) / CASE WHEN max(close) OVER e = min(close) OVER e THEN 1 ELSE max(close) OVER e - min(close) OVER e END AS mm_close,
   (volume - min(volume) OVER e) / CASE WHEN max(volume) OVER e = min(volume) OVER e THEN 1 ELSE max(volume) OVER e - min(volume) OVER e END AS mm_volume,
-  entity % 2 = 1 AS stale FROM bars WINDOW e AS (PARTITION BY entity)""", [BARS])
+  entity % 4 <> 0 AS rebuilt FROM bars WINDOW e AS (PARTITION BY entity)""", [BARS])
 def scaled_cache(spark, sf_dir):
+    """A stored cache in which odd entities are outdated and every fourth is missing, brought up to date."""
     b = bars(spark, sf_dir)
-    val, test, older = Date(2000, 1, 1), Date(2001, 1, 1), Date(1999, 1, 1)
-    fresh = minmax_cache(b.where(F.col("entity") % 2 == 0), ["close", "volume"], val, test)
-    old = minmax_cache(b.where(F.col("entity") % 2 == 1), ["close", "volume"], older, test)
-    cache = fresh.unionByName(old)
-    flag = stale_entities(cache, val, test).withColumn("stale", F.lit(True))
-    return cache.join(flag, "entity", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    val, test, older, cols = Date(2000, 1, 1), Date(2001, 1, 1), Date(1999, 1, 1), ["close", "volume"]
+    part = F.col("entity") % 4
+    fresh = write_cache(b.where(part == 0), scratch_path(spark, "cache"), cols, val, test)
+    old = write_cache(b.where(part.isin(1, 3)), scratch_path(spark, "cache"), cols, older, test)
+    return refresh_cache(b, fresh.unionByName(old), scratch_path(spark, "cache"), cols, val, test)
 
 
 # ---- expressions ------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -332,13 +334,19 @@ def argmax_topn(spark, sf_dir):
     return pf.select_topn(sweep(val_panel(spark, sf_dir)), CELL, GRID, "val_sharpe")
 
 
-LONG_POS = pos_sql([3, 30], "long_only")
+LONG_POS = pos_sql([*GRID, 30], "long_only")
+#: The validation sweep beside the test panel: the same steps under other names.
+VAL_SIDE = [re.sub(r"\b(panel|ranked|sizes|pos|prow|placed|traded|port|swept|best)\b", r"val_\1", c) for c in [VAL, RANKED, POS, ROWS, PORT, SWEPT, BEST]]
 
 
 @query("long_only_appendix", f"{SERIES_SPEC} cost_bps:f net_sharpe:f net_cumulative_return:g",
-       "SELECT * FROM cost_table", [*PANEL_CTES, RANKED, LONG_POS, ROWS, PORT, COSTED, COST_TABLE])
+       "SELECT c.* FROM cost_table c WHERE top_n = 30 OR EXISTS (SELECT 1 FROM val_best b WHERE b.strategy = c.strategy AND b.horizon = c.horizon AND b.fold = c.fold AND b.top_n = c.top_n)",
+       [*SIGNAL_CTES, *VAL_SIDE, PANEL, RANKED, LONG_POS, ROWS, PORT, COSTED, COST_TABLE])
 def long_only_appendix(spark, sf_dir):
-    return cost_table(test_panel(spark, sf_dir), [3, 30], "long_only")
+    """Long-only books of the size that won on validation, and of 30 names."""
+    best = argmax_topn(spark, sf_dir)
+    table_ = cost_table(test_panel(spark, sf_dir), [*GRID, 30], "long_only")
+    return table_.where(F.col("top_n") == 30).unionByName(table_.where(F.col("top_n") != 30).join(best, [*CELL, "top_n"], "left_semi"))
 
 
 VOLZ = f"""volz AS (SELECT entity, date, CASE WHEN row_number() OVER ({W}) > 40 THEN (realized_vol - avg(realized_vol) OVER p) / (stddev_samp(realized_vol) OVER p + 1e-12) END AS vol_z

@@ -52,5 +52,24 @@ def stale_entities(cache: DataFrame, val_start: Date, test_start: Date, entity:
     return cache.where(stale).select(entity).distinct()
 
 
+def write_cache(bars: DataFrame, path: str, cols: list[str], val_start: Date, test_start: Date, entity: str = "entity",
+                date: str = "date") -> DataFrame:
+    """Scale, store and read back; every row carries the split dates it was built for."""
+    minmax_cache(bars, cols, val_start, test_start, entity, date).write.parquet(path)
+    return bars.sparkSession.read.parquet(path)
+
+
+def refresh_cache(bars: DataFrame, cache: DataFrame, path: str, cols: list[str], val_start: Date, test_start: Date,
+                  entity: str = "entity", date: str = "date") -> DataFrame:
+    """Next version of a stored cache below ``path``: entities built for other dates, or missing, are scaled anew, entities
+    without bars are left out, all others are copied. ``rebuilt`` tells which."""
+    due = bars.select(entity).distinct()
+    good = cache.select(entity).distinct().join(stale_entities(cache, val_start, test_start, entity), entity, "left_anti")
+    kept = cache.drop("rebuilt").join(due.join(good, entity, "left_semi"), entity, "left_semi").withColumn("rebuilt", F.lit(False))
+    again = minmax_cache(bars.join(due.join(good, entity, "left_anti"), entity, "left_semi"), cols, val_start, test_start, entity, date)
+    kept.unionByName(again.withColumn("rebuilt", F.lit(True))).write.parquet(path)
+    return bars.sparkSession.read.parquet(path)
+
+
 def write_summaries(summaries: DataFrame, path: str) -> None:
     summaries.write.mode("overwrite").json(path)

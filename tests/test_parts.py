@@ -41,13 +41,16 @@ def test_decay(spark, half_life):
 def test_text_choice_and_plugged_scorer(spark):
     rows = [(1, "t", "x" * 60), (2, " title ", "short"), (3, " ", None), (4, None, " " * 80)]
     df = st.with_text(spark.createDataFrame(rows, "article_id int, title string, body string"))
-    assert {r.article_id: (r.text_source, r.text_used) for r in df.collect()} == {1: ("article", "x" * 60), 2: ("title", "title")}
+    assert {r.article_id: (r.text_source, r.text_used) for r in df.collect()} == {1: ("article", "x" * 60), 2: ("title", " title ")}
 
     def scorer(texts):
         return pd.DataFrame({"n_tokens": [len(t) for t in texts], "positive_prob": 0.5, "negative_prob": 0.3, "neutral_prob": 0.2})
 
     got = st.score_articles(df, scorer, batch=1).orderBy("article_id").collect()
-    assert [r.n_tokens for r in got] == [60, 5] and np.isclose(got[0].composite_score, 0.2) and np.isclose(got[0].scaled_sentiment, 0.6)
+    assert [r.n_tokens for r in got] == [60, 7] and [r.text_source for r in got] == ["article", "title"]
+    loaded = st.score_articles(df, load=lambda: scorer, batch=1).orderBy("article_id").collect()
+    assert loaded == got
+    assert np.isclose(got[0].composite_score, 0.2) and np.isclose(got[0].scaled_sentiment, 0.6)
 
 
 def test_merge_keeps_bars(spark):
