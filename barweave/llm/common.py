@@ -35,6 +35,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, share: int = 1000) -> DataFrame:
+    """Inner join with ``right``, which has one row per key and in ``rows`` the number of left rows of that key. Keys with more
+    than 1/share of all left rows, fewer than ``share`` of them, are broadcast and meet their rows where those lie; the others
+    are shuffled."""
+    heavy = right.withColumn("_all", right.agg(F.sum(rows)).scalar()).where(F.col(rows) * share > F.col("_all")).drop("_all")
+    here = left.join(F.broadcast(heavy), keys)
+    rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right, keys)
+    return here.unionByName(rest)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold rule of the labelled operators."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

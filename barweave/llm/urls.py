@@ -6,8 +6,9 @@
    of the pooled share), or that have no label, merge into ``*``, deepest segment first.
 3. A template is rejected when its smoothed labelled purity (bad + A * prior) / (labelled + A) reaches ``CUT``.
 
-Fixed rules by host and path go first; the longest that fits decides. All statistics are sums that combine map-side, and joins
-are on (host, prefix, segment), so a host with a third of all pages is spread over its segments.
+Fixed rules by host and path go first; the longest that fits decides. All statistics are sums that combine map-side. A node
+with very many segments meets them by broadcast (such nodes are few by definition), so a host with a third of all pages
+does not gather in one task.
 
 Defined results: a null url, or one without "://", has empty host and path and is judged by the template of the empty path;
 repeated rows get equal answers; without labels every template is allowed; paths deeper than ``DEPTH`` share the tail ``**``.
@@ -20,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import saved
+from barweave.llm.common import saved, spread_join
 
 DEPTH = 6
 BRANCH = 8
@@ -61,10 +62,11 @@ def grown(paths: DataFrame, depth: int = DEPTH, branch: int = BRANCH, share: int
         node = F.concat_ws("/", "labels")
         rows = rows.withColumns({"node": node, "segment": F.get("segments", F.lit(d))})
         each = rows.where(F.col("segment").isNotNull()).groupBy("host", "node", "segment").agg(F.sum("n").alias("n_segment"))
-        each = each.withColumn("shape", F.regexp_replace("segment", "[0-9]+", "#"))
+        each = saved(each.withColumn("shape", F.regexp_replace("segment", "[0-9]+", "#")), "segments")
         whole = each.groupBy("host", "node").agg(F.sum("n_segment").alias("n_node"), F.count(F.lit(1)).alias("children"))
-        shapes = each.groupBy("host", "node", "shape").agg(F.sum("n_segment").alias("n_shape"))
-        named = each.join(whole, ["host", "node"]).join(shapes, ["host", "node", "shape"]).select(
+        shapes = each.groupBy("host", "node", "shape").agg(F.sum("n_segment").alias("n_shape"), F.count(F.lit(1)).alias("alike"))
+        placed = spread_join(each, whole, ["host", "node"], "children")
+        named = spread_join(placed, shapes, ["host", "node", "shape"], "alike").select(
             "host", "node", "segment", F.when((F.col("children") <= branch) | (share * F.col("n_segment") >= F.col("n_node")), F.col("segment")).when(
                 share * F.col("n_shape") >= F.col("n_node"), F.col("shape")).otherwise("*").alias("label"))
         rows = saved(rows.join(named, ["host", "node", "segment"], "left").withColumn(
