@@ -37,12 +37,11 @@ REJECT = 0.005
 UNKNOWN = "und"
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = LETTERS[128:] = True
-LETTER = re.compile(r"[^\W\d_]")
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(ASCII_LETTER.search(text)) or (not text.isascii() and bool(LETTER.search(text.decode())))
+    return bool(ASCII_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text.decode())))
 
 
 def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -109,6 +109,7 @@ def test_language(spark):
     assert {(9001, "und"), (9002, "und"), (9003, "und")} <= answers and all(p != "und" for i, p in answers if i > 9003)
     assert {r["lang_pred"] for r in language.languages(awkward(spark)).collect()} == {"und"}
     assert language.languages(docs.limit(0)).count() == 0
+    assert [language.has_letter(t.encode()) for t in ("", "12 ½ ² _", "é", "日", "1a")] == [False, False, True, True, True]
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
