@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,21 +118,24 @@ class Chunk:
         return self.rolling.span(self.start, self.end)
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of about ``limit`` bytes, one text at least."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > limit:
+    lo, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > limit:
             yield lo, i
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
-def raw_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; null counts as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def pieces_of(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 bytes of each text) for parts of about ``limit`` bytes; null counts as empty. Only one part at a time is
+    held as Python objects beside the batch."""
+    raw = column.cast(pa.binary())
+    for lo, hi in chunks(pc.fill_null(pc.binary_length(raw), 0).to_pylist(), limit):
+        yield lo, [x or b"" for x in raw.slice(lo, hi - lo).to_pylist()]
 
 
 def per_chunk(work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], text_col: str, limit: int = CHUNK):
@@ -139,9 +143,8 @@ def per_chunk(work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = raw_bytes(batch.column(text_col))
-            for lo, hi in chunks(texts, limit):
-                yield work(batch.slice(lo, hi - lo), texts[lo:hi])
+            for lo, texts in pieces_of(batch.column(text_col), limit):
+                yield work(batch.slice(lo, len(texts)), texts)
 
     return run
 
@@ -167,10 +170,9 @@ def annotated(docs: DataFrame, text_col: str, out: str, ddl: str, work: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = raw_bytes(batch.column(at))
-            for lo, hi in chunks(texts, limit):
-                columns = [pa.array(values, kind.type) for values, kind in zip(work(texts[lo:hi]), arrow)]
-                part = batch.slice(lo, hi - lo)
+            for lo, texts in pieces_of(batch.column(at), limit):
+                columns = [pa.array(values, kind.type) for values, kind in zip(work(texts), arrow)]
+                part = batch.slice(lo, len(texts))
                 made = pa.StructArray.from_arrays(columns, fields=list(arrow))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=schema.names)
 

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import chunks, raw_bytes, saved
+from barweave.llm.common import pieces_of, saved
 
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
-CACHE = 400_000
+CACHE = 300_000
 
 #: Bytes of texts whose lower case, composition and word classes are the same in every library (printable ASCII, white space
 #: and two-byte letters up to U+024F); any other text goes to the tokenizer whole, as do the exceptions below.
@@ -90,11 +90,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordTokens(tokenizer)
         for batch in batches:
-            texts = raw_bytes(batch.column(1))
-            for lo, hi in chunks(texts):
+            for lo, texts in pieces_of(batch.column(1)):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i in range(lo, hi):
-                    ids = encode(texts[i]) + ending
+                for i, text in enumerate(texts, lo):
+                    ids = encode(text) + ending
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[a : a + 4 * capacity]
                         row.append(i)
