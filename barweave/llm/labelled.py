@@ -16,9 +16,9 @@ def spread(key: Column) -> Column:
 def first_of_each(rows: DataFrame, key: str, target: str, each: int, most: int) -> DataFrame:
     """(key, target): at most ``each`` rows for a value of ``target`` and ``most`` in all, those first in hash order. Counts by
     value give the part of the hash range that holds about that many rows, so ranking sees no more than a little over ``each``
-    rows of a value, however frequent it is."""
-    counts = rows.groupBy(target).agg(F.count(F.lit(1)).alias("of_value"))
-    placed = rows.withColumn("place", F.pmod(spread(F.col(key)), F.lit(1 << 30))).join(counts, target)
+    rows of a value, however frequent it is. The counts that are broadcast are those of the ``most`` commonest values at most."""
+    counts = rows.groupBy(target).agg(F.count(F.lit(1)).alias("of_value")).orderBy(F.desc("of_value"), target).limit(most)
+    placed = rows.withColumn("place", F.pmod(spread(F.col(key)), F.lit(1 << 30))).join(F.broadcast(counts), target)
     near = placed.where(F.col("place") * F.col("of_value") <= (1 << 30) * (1.25 * each + 64))
     rank = F.row_number().over(Window.partitionBy(target).orderBy("place", key))
     return near.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "place", key).limit(most).select(key, target)
