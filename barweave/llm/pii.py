@@ -6,9 +6,11 @@ corpus, contexts and documents give probabilities, and a term t discloses the sh
 
     D(c, t) = PMI(c; t) / IC(c) = 1 + ln p(c | t) / -ln p(c)
 
-of what is to know about an entity c. A pair counts only with evidence: t occurs in at least ``SUPPORT`` different contexts of
-c and in at least ``COVERAGE`` of them. Near c, terms with D >= ``GENERALISE`` are replaced by a placeholder, with D >= ``ERASE``
-removed. Exact copies of a text count as documents, but only once as contexts.
+of what is to know about an entity c. What is decided follows the evidence: p(c | t) is shrunk towards p(c) as if ``PRIOR`` more
+documents with t had been seen, p = (docs(c, t) + PRIOR p(c)) / (docs(t) + PRIOR), so an entity seen once can be disclosed, by less
+the fewer documents say so. t must occur in at least ``COVERAGE`` of the different contexts of c. Near c, terms whose shrunk D is
+``GENERALISE`` or more are replaced by a placeholder, from ``ERASE`` on removed. Exact copies of a text count as documents, but only
+once as contexts.
 
 Offsets come from the lengths of the matches and of the text between them. The patterns below are the contract's patterns
 with possessive quantifiers and a guard against starting inside a run, which changes no match and keeps every scan linear.
@@ -37,7 +39,7 @@ MARKS = {"email": "@", "ip": ".", "card": "0123456789", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 TERM = r"\p{L}{3,}+"
 REACH = 80
-SUPPORT = 3
+PRIOR = 0.5
 COVERAGE = 0.5
 GENERALISE = 0.9
 ERASE = 0.98
@@ -141,9 +143,9 @@ def terms(found: DataFrame) -> DataFrame:
         "key", "copies", "entity", "context", "w.term", "w.start", "w.end")
 
 
-def disclosures(docs: DataFrame, text_col: str, near: DataFrame, found: DataFrame, support: int, coverage: float, least: float) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough evidence that disclose ``least`` or more; document counts are over
-    all of ``docs``."""
+def disclosures(docs: DataFrame, text_col: str, near: DataFrame, found: DataFrame, prior: float, coverage: float, least: float) -> DataFrame:
+    """(entity, term, disclosure, evident) of the pairs that disclose ``least`` or more by the shrunk estimate ``evident``; document
+    counts are over all of ``docs``."""
     listed = found.where(F.size("contexts") > 0).groupBy("key").agg(F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("copies"))
     each = listed.select("key", "copies", F.explode("contexts").alias("c")).select(
         "key", "copies", F.col("c.entity").alias("entity"), F.xxhash64("c.left", "c.right").alias("context"))
@@ -151,24 +153,26 @@ def disclosures(docs: DataFrame, text_col: str, near: DataFrame, found: DataFram
     c_ctx = each.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts_c"))
     ct_docs = near.groupBy("entity", "term", "key").agg(F.first("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("docs_ct"))
     ct_ctx = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts_ct"))
-    ct_ctx = ct_ctx.where(F.col("contexts_ct") >= support)
     pairs = ct_ctx.join(c_ctx, "entity").where(F.col("contexts_ct") >= coverage * F.col("contexts_c")).join(ct_docs, ["entity", "term"]).join(c_docs, "entity")
     # Documents with t in any context are at most all documents with t: a pair whose bound stays below the limit is out.
     t_near = near.groupBy("term", "key").agg(F.first("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("docs_near"))
     n = F.lit(docs.count())
     surprise = F.ln(n / F.col("docs_c"))
     share = lambda of: F.when(surprise > 0, 1 + F.ln(F.least(F.col("docs_ct") / F.col(of), F.lit(1.0))) / surprise)  # an entity of every document is no secret
-    pairs = saved(pairs.join(t_near, "term").where(share("docs_near") >= least), "pairs")
+    pseudo = F.lit(float(prior))
+    shrunk = lambda of: F.when(surprise > 0, 1 + F.ln((F.least("docs_ct", of) + pseudo * F.col("docs_c") / n) / (F.col(of) + pseudo)) / surprise)
+    pairs = saved(pairs.join(t_near, "term").where(shrunk("docs_near") >= least), "pairs")
 
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
     slots = pairs.select(slot("term").alias("slot")).distinct()  # at most SIEVE numbers
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole(F.col(text_col))), F.lit(TERM), F.lit(0)))
     seen = docs.select(F.explode(words).alias("term")).withColumn("slot", slot("term")).join(F.broadcast(slots), "slot", "left_semi")
     t_docs = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    return pairs.join(t_docs, "term").select("entity", "term", share("docs_t").alias("disclosure")).where(F.col("disclosure") >= least)
+    return pairs.join(t_docs, "term").select(
+        "entity", "term", share("docs_t").alias("disclosure"), shrunk("docs_t").alias("evident")).where(F.col("evident") >= least)
 
 
-def searched(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, coverage: float = COVERAGE,
+def searched(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, coverage: float = COVERAGE,
              generalise: float = GENERALISE, erase: float = ERASE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Base spans of every row with the key of its text; the extra spans of each text that has some; the disclosing pairs."""
     text = whole(F.col(text_col))
@@ -177,9 +181,9 @@ def searched(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, co
     strip = lambda k: F.transform(F.col(f"pii_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
     found = saved(found.select("id", "key", "contexts", *[strip(k) for k in KINDS]), "pii")
     near = saved(terms(found), "near")
-    pairs = disclosures(docs, text_col, near, found, support, coverage, generalise)
-    kind = F.when(F.col("disclosure") >= erase, "erase").otherwise("term")
-    extra = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max(F.struct("disclosure", kind.alias("kind"))).alias("top"))
+    pairs = disclosures(docs, text_col, near, found, prior, coverage, generalise)
+    kind = F.when(F.col("evident") >= erase, "erase").otherwise("term")
+    extra = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max(F.struct("evident", kind.alias("kind"))).alias("top"))
     extra = extra.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("top.kind").alias("kind")))).alias("extra"))
     return found, extra, pairs
 

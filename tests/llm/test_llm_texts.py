@@ -156,6 +156,24 @@ def test_disclosing_terms(spark):
     assert texts[500] == rows[-1][1] and texts[100] == rows[40][1]
 
 
+def test_an_entity_seen_once_is_disclosed(spark):
+    """One document suffices as evidence for a placeholder; a word of other documents too, or of every one, discloses nothing."""
+    rows = [(0, "plain Quillon common bob@x.org words")] + [(1 + i, "plain words") for i in range(400)] + [(500 + i, "common") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, _, pairs = pii.searched(df.select(F.lit(None).cast("bigint").alias("id"), "text"))
+    (only,) = pairs.collect()
+    n = len(rows)
+    assert (only["entity"], only["term"], only["disclosure"]) == ("email:bob@x.org", "quillon", 1)
+    assert only["evident"] == pytest.approx(1 + np.log((1 + pii.PRIOR / n) / (1 + pii.PRIOR)) / np.log(n))
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert texts.pop(0) == "plain [TERM] common [EMAIL] words" and texts == dict(rows[1:])
+
+
+def test_disclosing_terms_of_the_tables(spark, sf_dir):
+    spans = pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("spans").collect()
+    assert sum("term:" in r["spans"] for r in spans) > 0
+
+
 def template_tree(paths, branch=urls.BRANCH, share=urls.SHARE, depth=urls.DEPTH):
     """Brute force of the tree: {(host, path): labels} from {(host, path): n}."""
     parts = {k: [s for s in k[1].split("/") if s] for k in paths}
