@@ -1,32 +1,33 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Base spans are the leftmost non-overlapping matches of four patterns (e-mail, IP address, payment card, phone number). Each
-distinct value is a protected entity. The words within ``REACH`` characters of its occurrences are its context; over the whole
-corpus, contexts and documents give probabilities, and a term t discloses the share
+distinct value is a protected entity. The terms of a document are its words outside base spans; over the whole corpus, the
+documents that hold an entity, a term or both give probabilities, and a term t discloses the share
 
     D(c, t) = PMI(c; t) / IC(c) = 1 + ln p(c | t) / -ln p(c)
 
 of what is to know about an entity c. What is decided follows the evidence: p(c | t) is shrunk towards p(c) as if ``PRIOR`` more
 documents with t had been seen, p = (docs(c, t) + PRIOR p(c)) / (docs(t) + PRIOR), so an entity seen once can be disclosed, by less
-the fewer documents say so. t must occur in at least ``COVERAGE`` of the different contexts of c. Near c, terms whose shrunk D is
-``GENERALISE`` or more are replaced by a placeholder, from ``ERASE`` on removed. Exact copies of a text count as documents, but only
-once as contexts.
+the fewer documents say so. t must occur in at least ``COVERAGE`` of the different texts with c. In every document that holds c,
+each occurrence of a term whose shrunk D is ``GENERALISE`` or more is replaced by a placeholder, from ``ERASE`` on removed. Exact
+copies of a text count as documents, but only once as different texts.
 
 Offsets come from the lengths of the matches and of the text between them. The patterns below are the contract's patterns
 with possessive quantifiers and a guard against starting inside a run, which changes no match and keeps every scan linear.
 
-Before the corpus-wide word count, words are sieved by hash against the candidate terms (``SIEVE`` numbers at most are
-broadcast); then counts are combined map-side, so neither a frequent word nor a text with many copies meets in one task.
+Counts are combined map-side, so neither a frequent word nor a text with many copies meets in one task; frequent terms and
+entities meet their documents by broadcast. Terms too frequent elsewhere to disclose any entity are dropped before terms and
+entities of a document are paired.
 
 Defined results: null counts as empty, no spans; equal texts get equal answers whatever their ids; null ids are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import fresh, saved
+from barweave.llm.common import fresh, saved, spread_join
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -38,12 +39,10 @@ PATTERNS = {
 MARKS = {"email": "@", "ip": ".", "card": "0123456789", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 TERM = r"\p{L}{3,}+"
-REACH = 80
 PRIOR = 0.5
 COVERAGE = 0.5
 GENERALISE = 0.9
 ERASE = 0.98
-SIEVE = 1 << 17
 SPAN = "struct<start: bigint, end: bigint>"
 
 
@@ -108,83 +107,86 @@ def located(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({f"pii_{k}": base_spans(text, k) for k in KINDS})
 
 
-def around(text: Column, span: Column) -> list[Column]:
-    """Start of the left context, the left and the right context, and whether the text ends with the latter."""
-    from_ = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, (from_ + 1).cast("int"), (span["start"] - from_).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(REACH))
-    return [from_.alias("from_"), left.alias("left"), right.alias("right"),
-            (F.length(text) <= span["end"] + REACH).alias("last")]
-
-
-def contexts(text: Column) -> Column:
-    """Array of (entity, place and text of its contexts) over the spans of all kinds."""
-    def of(kind: str) -> Column:
-        return F.transform(F.col(f"pii_{kind}"), lambda s: F.struct(
-            F.concat(F.lit(f"{kind}:"), entity(kind, s["found"])).alias("entity"),
-            s["start"].alias("start"), s["end"].alias("end"), *around(text, s)))
-
-    return F.concat(*[of(k) for k in KINDS])
-
-
-def terms(found: DataFrame) -> DataFrame:
-    """(key, copies, entity, context, term, start, end): words near the entities of each distinct text; a word that the
-    window's outer edge may have cut is left out."""
-    texts = found.where(F.size("contexts") > 0).groupBy("key").agg(F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("copies"))
-    one = texts.select("key", "copies", F.explode("contexts").alias("c")).select("key", "copies", "c.*")
-    shift = lambda words, by: F.transform(words, lambda w: F.struct(
-        (w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["found"]).alias("term")))
-    left = F.filter(places(F.col("left"), TERM), lambda w: (w["start"] > 0) | (F.col("from_") == 0))
-    right = F.filter(places(F.col("right"), TERM), lambda w: (w["end"] < F.length("right")) | F.col("last"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,term:string>>")
-    both = F.concat(F.coalesce(shift(left, F.col("from_")), none), F.coalesce(shift(right, F.col("end")), none))
-    context = F.xxhash64("left", "right")
-    return one.select("key", "copies", "entity", context.alias("context"), F.explode(both).alias("w")).select(
-        "key", "copies", "entity", "context", "w.term", "w.start", "w.end")
-
-
-def disclosures(docs: DataFrame, text_col: str, near: DataFrame, found: DataFrame, prior: float, coverage: float, least: float) -> DataFrame:
-    """(entity, term, disclosure, evident) of the pairs that disclose ``least`` or more by the shrunk estimate ``evident``; document
-    counts are over all of ``docs``."""
-    listed = found.where(F.size("contexts") > 0).groupBy("key").agg(F.first("contexts").alias("contexts"), F.count(F.lit(1)).alias("copies"))
-    each = listed.select("key", "copies", F.explode("contexts").alias("c")).select(
-        "key", "copies", F.col("c.entity").alias("entity"), F.xxhash64("c.left", "c.right").alias("context"))
-    c_docs = each.groupBy("entity", "key").agg(F.first("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("docs_c"))
-    c_ctx = each.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts_c"))
-    ct_docs = near.groupBy("entity", "term", "key").agg(F.first("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("docs_ct"))
-    ct_ctx = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts_ct"))
-    pairs = ct_ctx.join(c_ctx, "entity").where(F.col("contexts_ct") >= coverage * F.col("contexts_c")).join(ct_docs, ["entity", "term"]).join(c_docs, "entity")
-    # Documents with t in any context are at most all documents with t: a pair whose bound stays below the limit is out.
-    t_near = near.groupBy("term", "key").agg(F.first("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("docs_near"))
-    n = F.lit(docs.count())
-    surprise = F.ln(n / F.col("docs_c"))
-    share = lambda of: F.when(surprise > 0, 1 + F.ln(F.least(F.col("docs_ct") / F.col(of), F.lit(1.0))) / surprise)  # an entity of every document is no secret
-    pseudo = F.lit(float(prior))
-    shrunk = lambda of: F.when(surprise > 0, 1 + F.ln((F.least("docs_ct", of) + pseudo * F.col("docs_c") / n) / (F.col(of) + pseudo)) / surprise)
-    pairs = saved(pairs.join(t_near, "term").where(shrunk("docs_near") >= least), "pairs")
+def entities() -> Column:
+    """Distinct protected values over the spans of all kinds."""
+    of = lambda kind: F.transform(F.col(f"pii_{kind}"), lambda s: F.concat(F.lit(f"{kind}:"), entity(kind, s["found"])))
+    return F.array_distinct(F.concat(*[of(k) for k in KINDS]))
+
+
+def masked(text: Column) -> Column:
+    """``text`` with blanks in place of its base spans; other places stay."""
+    spans = F.sort_array(F.concat(*[F.transform(F.col(f"pii_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
 
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
-    slots = pairs.select(slot("term").alias("slot")).distinct()  # at most SIEVE numbers
-    words = F.array_distinct(F.regexp_extract_all(F.lower(whole(F.col(text_col))), F.lit(TERM), F.lit(0)))
-    seen = docs.select(F.explode(words).alias("term")).withColumn("slot", slot("term")).join(F.broadcast(slots), "slot", "left_semi")
-    t_docs = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    return pairs.join(t_docs, "term").select(
-        "entity", "term", share("docs_t").alias("disclosure"), shrunk("docs_t").alias("evident")).where(F.col("evident") >= least)
+    rest = lambda end: F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+
+
+def words(body: Column) -> Column:
+    """Distinct terms of a masked text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
+def disclosures(docs: DataFrame, text_col: str, texts: DataFrame, prior: float, coverage: float, least: float) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, disclosure, evident, texts_c) of the pairs that disclose ``least`` or more by the shrunk estimate ``evident``,
+    document counts being over all of ``docs``; (entity, key) with the counts of the entity. ``texts`` are the distinct texts with
+    entities."""
+    each = texts.select("key", "copies", F.explode("entities").alias("entity"))
+    c_docs = saved(each.groupBy("entity").agg(F.sum("copies").alias("docs_c"), F.count(F.lit(1)).alias("texts_c")), "values")
+    listed = saved(spread_join(each, c_docs, ["entity"], "texts_c"), "listed")
+
+    n, pseudo = docs.count(), float(prior)
+    body = masked(whole(F.col(text_col)))
+    t_docs = located(docs, text_col).select(F.explode(words(body)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
+    near = texts.select("key", "copies", F.explode(words(F.col("body"))).alias("term"))
+    t_near = near.groupBy("term").agg(F.sum("copies").alias("docs_near"), F.count(F.lit(1)).alias("texts_near"))
+    # No entity has p(c) < 1 / n, so a term below this bound discloses none.
+    able = (F.col("docs_near") + pseudo) / (F.col("docs_t") + pseudo) >= float(max(n, 1)) ** -(1 - least)
+    known = saved(t_near.join(t_docs, "term").withColumn("able", able), "terms")
+
+    surprise = F.ln(n / F.col("docs_c"))
+    of = lambda p: F.when(surprise > 0, 1 + F.ln(p) / surprise)  # an entity of every document is no secret
+    shrunk = lambda docs_ct: of((docs_ct + pseudo * F.col("docs_c") / n) / (F.col("docs_t") + pseudo))
+    able_here = spread_join(near.select("key", "term"), known, ["term"], "texts_near").where("able").select("key", "term", "docs_t", "docs_near")
+    both = able_here.join(listed, "key").where(shrunk(F.least("docs_c", "docs_near")) >= least)
+    pairs = both.groupBy("entity", "term").agg(
+        F.sum("copies").alias("docs_ct"), F.count(F.lit(1)).alias("texts_ct"), *[F.max(c).alias(c) for c in ("docs_c", "texts_c", "docs_t")])
+    pairs = pairs.where(F.col("texts_ct") >= coverage * F.col("texts_c")).select(
+        "entity", "term", of(F.col("docs_ct") / F.col("docs_t")).alias("disclosure"), shrunk(F.col("docs_ct")).alias("evident"), "texts_c")
+    return saved(pairs.where(F.col("evident") >= least), "pairs"), listed
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(key, term, start, end) of every word of the masked texts."""
+    found = F.regexp_extract_all("body", F.lit(TERM), F.lit(0))
+    parts = F.zip_with(F.slice(F.split("body", TERM, -1), 1, F.size(found)), found, lambda b, w: F.struct(F.length(b).alias("gap"), w.alias("word")))
+    rows = texts.select("key", F.posexplode(parts).alias("nth", "part")).select("key", "nth", "part.*")
+    end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("key").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("end", end).select("key", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
 def searched(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, coverage: float = COVERAGE,
              generalise: float = GENERALISE, erase: float = ERASE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Base spans of every row with the key of its text; the extra spans of each text that has some; the disclosing pairs."""
     text = whole(F.col(text_col))
-    keyed = located(docs.withColumn("pii_key", F.md5(text)), text_col)
-    found = keyed.withColumn("contexts", contexts(text)).withColumnRenamed("pii_key", "key")
+    found = located(docs.withColumn("key", F.md5(text)), text_col).withColumn("entities", entities())
+    found = found.withColumn("body", F.when(F.size("entities") > 0, masked(text)))
     strip = lambda k: F.transform(F.col(f"pii_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
-    found = saved(found.select("id", "key", "contexts", *[strip(k) for k in KINDS]), "pii")
-    near = saved(terms(found), "near")
-    pairs = disclosures(docs, text_col, near, found, prior, coverage, generalise)
+    found = saved(found.select("id", "key", "entities", "body", *[strip(k) for k in KINDS]), "pii")
+    texts = saved(found.where(F.size("entities") > 0).groupBy("key").agg(
+        F.first("entities").alias("entities"), F.first("body").alias("body"), F.count(F.lit(1)).alias("copies")), "texts")
+    pairs, listed = disclosures(docs, text_col, texts, prior, coverage, generalise)
+    told = pairs.groupBy("entity").agg(F.collect_list(F.struct("term", "evident")).alias("told"), F.max("texts_c").alias("texts_c"))
+    hits = spread_join(listed.select("entity", "key"), told, ["entity"], "texts_c").select("key", F.explode("told").alias("t"))
+    hits = saved(hits.groupBy("key", F.col("t.term").alias("term")).agg(F.max("t.evident").alias("evident")), "hits")
     kind = F.when(F.col("evident") >= erase, "erase").otherwise("term")
-    extra = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max(F.struct("evident", kind.alias("kind"))).alias("top"))
-    extra = extra.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("top.kind").alias("kind")))).alias("extra"))
+    extra = occurrences(texts.join(hits.select("key").distinct(), "key", "left_semi")).join(hits, ["key", "term"])
+    extra = extra.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("extra"))
     return found, extra, pairs
 
 

@@ -169,6 +169,25 @@ def test_an_entity_seen_once_is_disclosed(spark):
     assert texts.pop(0) == "plain [TERM] common [EMAIL] words" and texts == dict(rows[1:])
 
 
+def test_terms_disclose_in_the_whole_document(spark):
+    """However far a term stands from the value, in each document that holds the value every occurrence goes, in no other."""
+    far = "plain words " * 40
+    rows = [(i, f"Quillon, {far} QUILLON {'éx' * i} {far}bob@x.org ubob@x.org") for i in range(20)] + [(50, f"bob@x.org {far}"), (51, "a quillon")]
+    rows += [(100 + i, f"{far} {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, _, pairs = pii.searched(df.select(F.lit(None).cast("bigint").alias("id"), "text"))
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pairs.collect()}
+    d = lambda c: pytest.approx(1 + np.log(20 / 21) / -np.log(c / len(rows)))
+    assert got == {("email:bob@x.org", "quillon"): d(21), ("email:ubob@x.org", "quillon"): d(20)}
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data(df).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    for i, t in rows[:20]:
+        more = [s.split(":") for s in spans[i] if not s.startswith("email")]
+        assert [t[int(a):int(b)] for _, a, b in more] == ["Quillon", "QUILLON"]
+        assert "quillon" not in texts[i].lower() and texts[i].count("plain words") == 80
+    assert {i: texts[i] for i, _ in rows[21:]} == dict(rows[21:])
+
+
 def test_disclosing_terms_of_the_tables(spark, sf_dir):
     spans = pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("spans").collect()
     assert sum("term:" in r["spans"] for r in spans) > 0
