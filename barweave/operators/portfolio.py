@@ -110,7 +110,7 @@ def panel_rows(panel: DataFrame, keys: list[str], date: str = "date") -> DataFra
     return panel.select(*keys, date).distinct().withColumn("row_idx", F.row_number().over(w) - 1)
 
 
-def trade_rows(placed: DataFrame, keys: list[str], entity: str = "entity", basis: int = 1) -> DataFrame:
+def trade_rows(placed: DataFrame, keys: list[str], entity: str = "entity", basis: int | Column = 1) -> DataFrame:
     """Per (keys, top_n, row): turnover against the row ``basis`` before, gross return, number of names held.
 
     Every weight is booked with + on its own row and with - on the later row; entries of the same name
@@ -131,7 +131,7 @@ def trade_rows(placed: DataFrame, keys: list[str], entity: str = "entity", basis
         F.sum(F.abs("dw")).alias("turnover"), F.sum("pnl").alias("gross"), F.sum("held").alias("n_held"), F.max("date").alias("date"))
 
 
-def turnover(pos: DataFrame, rows: DataFrame, keys: list[str], basis: int = 1) -> DataFrame:
+def turnover(pos: DataFrame, rows: DataFrame, keys: list[str], basis: int | Column = 1) -> DataFrame:
     """Sum of |w_t - w_(t-1)| per panel row; rows that only unwind count."""
     traded = trade_rows(pos.join(rows, [*keys, "date"]), keys, basis=basis).drop("date")
     return rows.join(traded, [*keys, "row_idx"]).select(*keys, "top_n", "date", "row_idx", "turnover")
@@ -151,12 +151,12 @@ def with_costs(traded: DataFrame, keys: list[str], bps: list[float], charge_unwi
 
 
 def portfolio_returns(pos: DataFrame, rows: DataFrame, keys: list[str], sizes: list[int], bps: list[float] = [20.0],
-                      charge_unwind: bool = True, basis: int = 1) -> DataFrame:
+                      charge_unwind: bool = True, basis: int | Column = 1) -> DataFrame:
     """Gross and net return, turnover per (keys, top_n, row, cost) from given positions.
 
     Rows with neither position nor trade have NULL returns. ``charge_unwind=False`` is the older rule:
     any row without a position is NULL with zero turnover. ``basis`` sets how many rows back the
-    turnover looks (1: the day before; the horizon: the previous rebalance).
+    turnover looks (1: the day before; the horizon, a number or a column of ``keys``: the previous rebalance).
     """
     grid = rows.withColumn("top_n", F.explode(F.array(*[F.lit(n) for n in sizes])))
     traded = trade_rows(pos.join(rows, [*keys, "date"]), keys, basis=basis).drop("date")
@@ -164,7 +164,7 @@ def portfolio_returns(pos: DataFrame, rows: DataFrame, keys: list[str], sizes: l
 
 
 def backtest(panel: DataFrame, keys: list[str], sizes: list[int] = TOP_N_GRID, mode: str = "long_short",
-             bps: list[float] = [20.0], charge_unwind: bool = True, basis: int = 1, **weights) -> DataFrame:
+             bps: list[float] = [20.0], charge_unwind: bool = True, basis: int | Column = 1, **weights) -> DataFrame:
     """``positions`` and ``portfolio_returns`` in one pass over the panel.
 
     The ranking step keeps a marker per date, so row numbers, idle rows and books of all sizes come from

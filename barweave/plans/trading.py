@@ -53,7 +53,7 @@ ROWS = f"""prow AS MATERIALIZED (SELECT {CELLS}, date, row_number() OVER (PARTIT
   FROM (SELECT DISTINCT {CELLS}, date FROM panel) d)"""
 
 
-def port_sql(basis: int = 1) -> str:
+def port_sql(basis: int | str = 1) -> str:
     on = "a.strategy = b.strategy AND a.horizon = b.horizon AND a.fold = b.fold AND a.top_n = b.top_n AND a.entity = b.entity"
     return f"""placed AS MATERIALIZED (SELECT p.*, row_idx FROM pos p JOIN prow r USING (strategy, horizon, fold, date)),
 traded AS (
@@ -228,6 +228,12 @@ def portfolio_returns(spark, sf_dir):
     return portfolio(test_panel(spark, sf_dir))
 
 
+@query("portfolio_returns_rebalanced", f"{CELL_SPEC} top_n:i date:d row_idx:i gross:f turnover:f net:f",
+       "SELECT *, gross - 20.0 / 10000.0 * turnover AS net FROM port", [*PANEL_CTES, RANKED, POS, ROWS, port_sql("b.horizon")])
+def portfolio_returns_rebalanced(spark, sf_dir):
+    return portfolio(test_panel(spark, sf_dir), basis=F.col("horizon"))
+
+
 #: The larger book needs 84 names, which some dates have and others have not: it goes flat and comes back.
 WIDE = [5, 42]
 WIDE_CTES = [*PANEL_CTES, RANKED, pos_sql(WIDE), ROWS, PORT]

@@ -28,3 +28,10 @@ def test_matches_sql(spark, con, sf_dir, name):
 
 def test_every_query_has_sql():
     assert all(q.sql for q in QUERIES.values())
+
+
+def test_turnover_since_the_previous_rebalance(spark, con, sf_dir):
+    verdict, n = compare(con, spark, QUERIES["portfolio_returns_rebalanced"], sf_dir)
+    assert verdict == "ok" and n > 0
+    daily, other = (con.execute(QUERIES[q].sql).df().query("horizon > 1").turnover.sum() for q in ("portfolio_returns", "portfolio_returns_rebalanced"))
+    assert daily != pytest.approx(other)
