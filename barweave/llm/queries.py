@@ -13,6 +13,8 @@ from barweave.llm.common import table
 from barweave.llm.decontaminate import contamination
 from barweave.llm.language import languages
 from barweave.llm.minhash import near_duplicates
+from barweave.llm.negatives import EVERY as EVERY_ANCHOR
+from barweave.llm.negatives import hard_negatives
 from barweave.llm.packing import pack
 from barweave.llm.pii import personal_data
 from barweave.llm.quality import quality_scores
@@ -89,3 +91,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_circulant_minhash", sql.NEAR_DUPLICATES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold="0.85")
+
+
+@query("op12_bond_hard_negatives", sql.HARD_NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % EVERY_ANCHOR == 0)
