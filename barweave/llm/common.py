@@ -92,6 +92,7 @@ def lower_table() -> np.ndarray:
 
 
 LOWER = lower_table()
+SAME = np.arange(256, dtype=np.uint8)
 #: Bytes of words split at blanks and line ends only.
 BLANK_SPLIT = np.ones(256, bool)
 BLANK_SPLIT[[32, 9, 10, 11, 12, 13]] = False
@@ -101,10 +102,10 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 class Chunk:
-    """Some whole texts in one lower-cased buffer, a blank between them, with the bounds of their words."""
+    """Some whole texts in one buffer, lower-cased unless ``fold`` says otherwise, a blank between them, with the bounds of their words."""
 
-    def __init__(self, texts: list[bytes], word: np.ndarray):
-        self.data = LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
+    def __init__(self, texts: list[bytes], word: np.ndarray, fold: np.ndarray = LOWER):
+        self.data = fold[np.frombuffer(b" ".join(texts), np.uint8)]
         sizes = np.array([len(t) for t in texts], np.int64)
         self.doc_start = np.concatenate([[0], np.cumsum(sizes + 1)])
         inside = np.zeros(len(self.data) + 2, np.int8)

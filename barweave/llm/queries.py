@@ -18,6 +18,7 @@ from barweave.llm.negatives import hard_negatives
 from barweave.llm.packing import pack
 from barweave.llm.pii import personal_data
 from barweave.llm.quality import quality_scores
+from barweave.llm.runs import periodic_runs
 from barweave.llm.topk import EVERY, top_inner_products
 from barweave.llm.toxicity import toxicity_scores
 from barweave.llm.urls import document_labels, judged
@@ -97,3 +98,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % EVERY_ANCHOR == 0)
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """The contract's texts: where crc32 of the id ends in 0, the words from number a on become copies of the p words from a on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n, words = F.floor(h / 10), F.size("_words"), F.col("_words")
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, split).alias("_words"))
+    rows = rows.withColumn("_a", F.when(n > 0, (g % n).cast("int")))
+    rows = rows.withColumn("_p", F.when(n > 0, F.floor(1 + (n - F.col("_a")) / (3 + g % 8)).cast("int")))
+    block = F.slice("_words", F.col("_a") + 1, F.col("_p"))
+    copies = F.flatten(F.array_repeat(block, F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), F.col("_a")), F.slice(copies, F.lit(1), n - F.col("_a"))), " ")
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeating(table(spark, sf_dir, "documents")), digest=True)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
