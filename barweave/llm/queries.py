@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barweave.llm import sql
 from barweave.llm.common import table
 from barweave.llm.decontaminate import contamination
+from barweave.llm.extract import main_text
 from barweave.llm.language import languages
 from barweave.llm.minhash import near_duplicates
 from barweave.llm.negatives import EVERY as EVERY_ANCHOR
@@ -94,6 +95,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold="0.85")
 
 
+@query("op11_recurrent_extraction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op12_bond_hard_negatives", sql.HARD_NEGATIVES)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
