@@ -1,29 +1,38 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Base spans are the leftmost non-overlapping matches of four patterns (e-mail, IP address, payment card, phone number). Each
-distinct value is a protected entity. The terms of a document are its words outside base spans; over the whole corpus, the
-documents that hold an entity, a term or both give probabilities, and a term t discloses the share
-
-    D(c, t) = PMI(c; t) / IC(c) = 1 + ln p(c | t) / -ln p(c)
-
-of what is to know about an entity c. What is decided follows the evidence: p(c | t) is shrunk towards p(c) as if ``PRIOR`` more
-documents with t had been seen, p = (docs(c, t) + PRIOR p(c)) / (docs(t) + PRIOR), so an entity seen once can be disclosed, by less
-the fewer documents say so. t must occur in at least ``COVERAGE`` of the different texts with c. In every document that holds c,
-each occurrence of a term whose shrunk D is ``GENERALISE`` or more is replaced by a placeholder, from ``ERASE`` on removed. Exact
-copies of a text count as documents, but only once as different texts.
-
-Offsets come from the lengths of the matches and of the text between them. The patterns below are the contract's patterns
-with possessive quantifiers and a guard against starting inside a run, which changes no match and keeps every scan linear.
+distinct value is a protected entity. The terms of a document are its words outside e-mail addresses (the other kinds hold no
+letters). Over the whole corpus, the different texts that hold an entity c, a term t or both give probabilities, and t discloses
+the share D(c, t) = PMI(c; t) / IC(c) = 1 + ln p(c | t) / -ln p(c) of what is to know about c; -log2 p(c | t) bits stay unknown.
+
+A term stands beside some entity in every text that holds one, so the first text they share says nothing. What decides is how
+often the others confirm it: p(c | t) is estimated as (texts(c, t) - 1) / (texts(t) - 1 + ``PRIOR``). A term that leaves at most
+``LEFT_TERM`` bits by this estimate is replaced by a placeholder, one that leaves at most ``LEFT_ERASE`` is removed; both limits
+are on probabilities and do not move with the size of the corpus. Besides, the confirmations must beat chance: their number k
+against the number e expected if texts with t held c as often as any text does must reach k ln(k / e) - k + e >= ln(terms(c) /
+``CHANCE``), terms(c) being the words of the texts with c, all of which are tried. So words that stand with an entity in one text
+only never count. t must occur in at least ``COVERAGE`` of the texts with c. In every document that holds c, each occurrence of
+such a term goes.
+
+Exact copies of a text that holds entities count once. Entities that stand in the same texts, and terms that do, are one class
+(two 64-bit sums of the texts' hashes and their number): classes are paired, so a list of addresses repeated in several texts is
+one class, not addresses times words.
+
+Offsets come from the lengths of the matches and of the text between them, added up by doubling steps; texts are cut and joined
+by blocks of ``BLOCK`` code points. So work on one text is n log n in its length and its number of spans. The patterns below are
+the contract's patterns with possessive quantifiers and a guard against starting inside a run, which changes no match and keeps every scan linear.
 
 Counts are combined map-side, so neither a frequent word nor a text with many copies meets in one task; frequent terms and
-entities meet their documents by broadcast. Terms too frequent elsewhere to disclose any entity are dropped before terms and
-entities of a document are paired.
+texts with many copies meet their rows by broadcast. Texts without personal data are not shuffled by key.
 
-Defined results: null counts as empty, no spans; equal texts get equal answers whatever their ids; null ids are kept.
+Defined results: null counts as empty, no spans; equal texts get equal answers whatever their ids; null ids are kept; other
+columns, whatever their names, are kept by ``sanitised`` and not read by ``personal_data``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +48,12 @@ PATTERNS = {
 MARKS = {"email": "@", "ip": ".", "card": "0123456789", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 TERM = r"\p{L}{3,}+"
-PRIOR = 0.5
+PRIOR = 1.0
 COVERAGE = 0.5
-GENERALISE = 0.9
-ERASE = 0.98
+LEFT_TERM = 1.0
+LEFT_ERASE = 0.35
+CHANCE = 0.01
+BLOCK = 4096
 SPAN = "struct<start: bigint, end: bigint>"
 
 
@@ -70,20 +81,33 @@ def valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it, also inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], start: Column) -> Column:
+    """Running totals of an array by ``merge``, with ``start`` as neutral element: element i joins the one 1, 2, 4, ... places before it."""
+
+    def doubled(acc: Column, k: Column) -> Column:
+        shift = F.pow(F.lit(2), k).cast("int")
+        before = F.concat(F.array_repeat(start, F.least(shift, F.size(acc))), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - shift, F.lit(0))))
+        return F.zip_with(acc, before, merge)
+
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    return F.when(F.size(values) > 1, F.aggregate(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0))), values, doubled)).otherwise(values)
+
+
 def places(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of all matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("array<struct<start:bigint,end:bigint,found:string>>").alias("out"))
-    between = F.split(text, pattern, -1)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["between"])
-        end = start + F.length(pair["found"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found")))
-        return F.struct(end.alias("at"), F.when(acc["out"].isNull(), one).otherwise(F.concat(acc["out"], one)).alias("out"))
+    def laid(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        parts = F.zip_with(between, found, lambda b, f: (F.length(b) + F.length(f)).cast("bigint"))
+        return let(parts, lambda sizes: F.zip_with(found, running(sizes, lambda a, b: a + b, F.lit(0).cast("bigint")), lambda f, end: F.struct(
+            (end - F.length(f)).alias("start"), end.alias("end"), f.alias("found"))))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(b.alias("between"), f.alias("found")))
-    return F.aggregate(pairs, zero, step)["out"]
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), laid)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -114,17 +138,11 @@ def entities() -> Column:
 
 
 def masked(text: Column) -> Column:
-    """``text`` with blanks in place of its base spans; other places stay."""
-    spans = F.sort_array(F.concat(*[F.transform(F.col(f"pii_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
-
-    rest = lambda end: F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    """``text`` with blanks in place of its e-mail addresses; other places stay."""
+    pattern = PATTERNS["email"]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    blank = F.zip_with(F.split(text, pattern, -1), found, lambda b, f: F.concat(b, F.repeat(F.lit(" "), F.coalesce(F.length(f), F.lit(0)))))
+    return F.when(F.contains(text, F.lit(MARKS["email"])) & F.rlike(text, F.lit(pattern)), F.array_join(blank, "")).otherwise(text)
 
 
 def words(body: Column) -> Column:
@@ -132,33 +150,42 @@ def words(body: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
 
-def disclosures(docs: DataFrame, text_col: str, texts: DataFrame, prior: float, coverage: float, least: float) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, disclosure, evident, texts_c) of the pairs that disclose ``least`` or more by the shrunk estimate ``evident``,
-    document counts being over all of ``docs``; (entity, key) with the counts of the entity. ``texts`` are the distinct texts with
-    entities."""
-    each = texts.select("key", "copies", F.explode("entities").alias("entity"))
-    c_docs = saved(each.groupBy("entity").agg(F.sum("copies").alias("docs_c"), F.count(F.lit(1)).alias("texts_c")), "values")
-    listed = saved(spread_join(each, c_docs, ["entity"], "texts_c"), "listed")
-
-    n, pseudo = docs.count(), float(prior)
-    body = masked(whole(F.col(text_col)))
-    t_docs = located(docs, text_col).select(F.explode(words(body)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    near = texts.select("key", "copies", F.explode(words(F.col("body"))).alias("term"))
-    t_near = near.groupBy("term").agg(F.sum("copies").alias("docs_near"), F.count(F.lit(1)).alias("texts_near"))
-    # No entity has p(c) < 1 / n, so a term below this bound discloses none.
-    able = (F.col("docs_near") + pseudo) / (F.col("docs_t") + pseudo) >= float(max(n, 1)) ** -(1 - least)
-    known = saved(t_near.join(t_docs, "term").withColumn("able", able), "terms")
-
-    surprise = F.ln(n / F.col("docs_c"))
-    of = lambda p: F.when(surprise > 0, 1 + F.ln(p) / surprise)  # an entity of every document is no secret
-    shrunk = lambda docs_ct: of((docs_ct + pseudo * F.col("docs_c") / n) / (F.col("docs_t") + pseudo))
-    able_here = spread_join(near.select("key", "term"), known, ["term"], "texts_near").where("able").select("key", "term", "docs_t", "docs_near")
-    both = able_here.join(listed, "key").where(shrunk(F.least("docs_c", "docs_near")) >= least)
-    pairs = both.groupBy("entity", "term").agg(
-        F.sum("copies").alias("docs_ct"), F.count(F.lit(1)).alias("texts_ct"), *[F.max(c).alias(c) for c in ("docs_c", "texts_c", "docs_t")])
-    pairs = pairs.where(F.col("texts_ct") >= coverage * F.col("texts_c")).select(
-        "entity", "term", of(F.col("docs_ct") / F.col("docs_t")).alias("disclosure"), shrunk(F.col("docs_ct")).alias("evident"), "texts_c")
-    return saved(pairs.where(F.col("evident") >= least), "pairs"), listed
+def text_set(key: str) -> list[Column]:
+    """Aggregates that tell sets of texts apart: two sums of hashes without carry."""
+    return [F.bit_xor(F.xxhash64(key)).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), key)).alias("x2")]
+
+
+def disclosures(docs: DataFrame, text_col: str, texts: DataFrame, prior: float, coverage: float, left: float,
+                chance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of classes that disclose: entity class (c1, c2, texts_c), term class (x1, x2, docs_t), disclosure, evident;
+    (key, entity, c1, c2) of all entities seen in two texts or more; (key, term, x1, x2, docs_t) of the terms that may disclose
+    any. ``texts`` are the distinct texts with entities; texts of ``docs`` without entities count by row."""
+    n = docs.count() - (texts.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0])
+    each = texts.select("key", F.size("terms").alias("tried"), F.explode("entities").alias("entity"))
+    x1, x2 = text_set("key")
+    c_sets = each.groupBy("entity").agg(F.count(F.lit(1)).alias("texts_c"), F.sum("tried").alias("tried_c"), x1.alias("c1"), x2.alias("c2"))
+    c_sets = saved(c_sets.where(F.col("texts_c") >= 2), "values")
+    listed = saved(spread_join(each.select("key", "entity"), c_sets, ["entity"], "texts_c"), "listed")
+    c_class = ["c1", "c2", "texts_c", "tried_c"]
+
+    t_docs = docs.select(F.explode(words(masked(whole(F.col(text_col))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs_all"))
+    near = texts.select("key", "copies", F.explode("terms").alias("term"))
+    t_near = near.groupBy("term").agg(F.sum("copies").alias("docs_near"), F.count(F.lit(1)).alias("texts_near"), x1, x2).where(F.col("texts_near") >= 2)
+    known = t_near.join(t_docs, "term").withColumn("docs_t", F.col("docs_all") - F.col("docs_near") + F.col("texts_near"))
+    told = lambda both: (both - 1) / (F.col("docs_t") - 1 + float(prior))
+    known = saved(known.where(told(F.col("texts_near")) >= 2.0**-left).select("term", "texts_near", "docs_t", "x1", "x2"), "terms")
+    able = saved(spread_join(near.select("key", "term"), known, ["term"], "texts_near").select("key", "term", "x1", "x2", "docs_t"), "able")
+
+    t_class = ["x1", "x2", "docs_t"]
+    held, stands = listed.select("key", *c_class).distinct(), able.select("key", *t_class).distinct()
+    pairs = held.join(stands, "key").groupBy(*c_class, *t_class).agg(F.count(F.lit(1)).alias("texts_ct"))
+    again, expected = F.col("texts_ct") - 1, (F.col("docs_t") - 1) * F.col("texts_c") / F.lit(float(max(n, 1)))
+    beats = again * F.ln(again / expected) - again + expected >= F.ln(F.col("tried_c") / F.lit(chance))
+    pairs = pairs.withColumn("evident", told(F.col("texts_ct"))).where(
+        (F.col("evident") >= 2.0**-left) & (again > 0) & (again > expected) & beats & (F.col("texts_ct") >= coverage * F.col("texts_c")))
+    surprise = F.ln(n / F.col("texts_c"))
+    known_share = F.when(surprise > 0, 1 + F.ln(F.col("texts_ct") / F.col("docs_t")) / surprise)
+    return saved(pairs.select(*c_class, *t_class, known_share.alias("disclosure"), "evident"), "pairs"), listed, able
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
@@ -170,24 +197,28 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).select("key", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
-def searched(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, coverage: float = COVERAGE,
-             generalise: float = GENERALISE, erase: float = ERASE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Base spans of every row with the key of its text; the extra spans of each text that has some; the disclosing pairs."""
+def searched(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, coverage: float = COVERAGE, left_term: float = LEFT_TERM,
+             left_erase: float = LEFT_ERASE, chance: float = CHANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base spans of every row with the key of its text; copies and extra spans of each text with personal data; the disclosing
+    pairs (entity, term, disclosure, evident)."""
     text = whole(F.col(text_col))
     found = located(docs.withColumn("key", F.md5(text)), text_col).withColumn("entities", entities())
     found = found.withColumn("body", F.when(F.size("entities") > 0, masked(text)))
     strip = lambda k: F.transform(F.col(f"pii_{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
     found = saved(found.select("id", "key", "entities", "body", *[strip(k) for k in KINDS]), "pii")
-    texts = saved(found.where(F.size("entities") > 0).groupBy("key").agg(
-        F.first("entities").alias("entities"), F.first("body").alias("body"), F.count(F.lit(1)).alias("copies")), "texts")
-    pairs, listed = disclosures(docs, text_col, texts, prior, coverage, generalise)
-    told = pairs.groupBy("entity").agg(F.collect_list(F.struct("term", "evident")).alias("told"), F.max("texts_c").alias("texts_c"))
-    hits = spread_join(listed.select("entity", "key"), told, ["entity"], "texts_c").select("key", F.explode("told").alias("t"))
-    hits = saved(hits.groupBy("key", F.col("t.term").alias("term")).agg(F.max("t.evident").alias("evident")), "hits")
-    kind = F.when(F.col("evident") >= erase, "erase").otherwise("term")
+    texts = found.where(F.size("entities") > 0).groupBy("key").agg(
+        F.first("entities").alias("entities"), F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
+    texts = saved(texts.withColumn("terms", words(F.col("body"))), "texts")
+    classes, listed, able = disclosures(docs, text_col, texts, prior, coverage, left_term, chance)
+    hits = listed.select("key", "c1", "c2", "texts_c").distinct().join(classes, ["c1", "c2", "texts_c"]).select("key", "x1", "x2", "docs_t", "evident")
+    hits = able.join(hits.groupBy("key", "x1", "x2", "docs_t").agg(F.max("evident").alias("evident")), ["key", "x1", "x2", "docs_t"])
+    hits = saved(hits.select("key", "term", "evident"), "hits")
+    kind = F.when(F.col("evident") >= 2.0**-left_erase, "erase").otherwise("term")
     extra = occurrences(texts.join(hits.select("key").distinct(), "key", "left_semi")).join(hits, ["key", "term"])
     extra = extra.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("extra"))
-    return found, extra, pairs
+    names = listed.select("entity", "c1", "c2", "texts_c").distinct().join(classes, ["c1", "c2", "texts_c"])
+    pairs = names.join(able.select("term", "x1", "x2", "docs_t").distinct(), ["x1", "x2", "docs_t"]).select("entity", "term", "disclosure", "evident")
+    return found, saved(texts.select("key", "copies").join(extra, "key", "left"), "extra"), pairs
 
 
 def written(spans: Column, kind: str) -> Column:
@@ -204,23 +235,36 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found, extra, _ = searched(plain, "text", **options)
     base = F.concat(*[written(F.col(k), k) for k in KINDS])
     more = [F.coalesce(written(of_kind("extra", k), k), F.array().cast("array<string>")) for k in ("term", "erase")]
-    return found.join(extra, "key", "left").select(
+    none = F.lit(None).cast(extra.schema["extra"].dataType)
+    rows = spread_join(found.where(F.size("entities") > 0), extra, ["key"], "copies").drop("copies")
+    return rows.unionByName(found.where(F.size("entities") == 0).withColumn("extra", none)).select(
         F.col("id").alias(id_col), *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, *more), ",").alias("spans"))
 
 
 def replaced(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in brackets ("erase": nothing); overlapping spans become one."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.when(s["kind"] == "erase", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, mark)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        """Code points start..end of the text, read from the blocks that hold them."""
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        some = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return F.substring(some, (start - first * BLOCK + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+
+    def filled(blocks: Column, ends: Column) -> Column:
+        """Per span: the text since the furthest end before it, and its mark unless it lies inside an earlier span."""
+
+        def one(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.element_at(ends, i)).otherwise(F.lit(0).cast("bigint"))
+            mark = F.when(s["kind"] == "erase", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"]), mark)).otherwise("")
+
+        rest = cut(blocks, F.element_at(ends, -1), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
 
-    end = F.aggregate(spans, zero, step)
-    return F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
+    furthest = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(pieces, lambda blocks: let(furthest, lambda ends: filled(blocks, ends)))
 
 
 def labelled(spans: Column, kind: str) -> Column:
@@ -230,12 +274,12 @@ def labelled(spans: Column, kind: str) -> Column:
 def sanitised(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All rows and columns of ``docs``, base and disclosing spans of the text replaced; other texts stay as they are."""
     _, extra, _ = searched(docs.select(F.lit(None).cast("bigint").alias("id"), F.col(text_col).alias("text")), "text", **options)
-    key, more = fresh(docs, "pii_key"), fresh(docs, "pii_extra")
-    text = F.col(text_col)
-    tagged = [labelled(base_spans(whole(text), k), k) for k in KINDS]
+    text, key, spans, more, copies = F.col(text_col), *(fresh(docs, f"pii_{c}") for c in ("key", "spans", "extra", "copies"))
+    tagged = F.concat(*[labelled(base_spans(whole(text), k), k) for k in KINDS])
+    found = docs.withColumn(spans, tagged)
+    held = found.where(F.size(spans) > 0).withColumn(key, F.md5(whole(text)))
+    held = spread_join(held, extra.select(F.col("key").alias(key), F.col("copies").alias(copies), F.col("extra").alias(more)), [key], copies)
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    spans, joined = fresh(docs, "pii_spans"), docs.withColumn(key, F.md5(whole(text)))
-    joined = joined.join(extra.select(F.col("key").alias(key), F.col("extra").alias(more)), key, "left")
-    joined = joined.withColumn(spans, F.sort_array(F.concat(*tagged, F.coalesce(F.col(more), none))))
-    clean = F.when(F.size(spans) > 0, replaced(text, F.col(spans))).otherwise(text)
-    return joined.withColumn(text_col, clean).select(*docs.columns)
+    every = F.sort_array(F.concat(spans, F.coalesce(F.col(more), none)))
+    clean = held.withColumn(spans, every).withColumn(text_col, replaced(text, F.col(spans))).select(*docs.columns)
+    return clean.unionByName(found.where(F.size(spans) == 0).select(*docs.columns))
