@@ -54,13 +54,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _made: dict[str, list[str]] = {}
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one stored intermediate that nothing reads any more."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    made = _made.get(context.applicationId, [])
+    if path in made:
+        made.remove(path)
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete the stored intermediates of this application; call it once no result that reads them is needed. Gives their number."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
-    context = spark.sparkContext
+    paths = _made.get(spark.sparkContext.applicationId, [])[:]
     for p in paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(spark, p)
     return len(paths)
 
 
