@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from barweave.session import scratch_path
+from barweave.session import drop_path, scratch_path
 
 CHUNK = 1 << 20
 _U = np.uint64
@@ -33,7 +33,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: later steps neither recompute nor depend on executors' disks."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for these frames; nothing that is still to run may read them."""
+    for df in frames:
+        drop_path(df.sparkSession, df.saved_at)
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, share: int = 1000) -> DataFrame:

@@ -11,8 +11,16 @@ Buckets of equal bands are searched in two steps, both exact on what the bands f
 Every link is confirmed on full shingle sets. The number of bands follows from ``threshold`` and ``miss``, the accepted
 probability that a pair lying exactly at the threshold shares no band.
 
+Full sets are computed in a second pass over the texts, for classes that share a bucket only: a Bloom filter over their ids, at
+most ``FILTER_BITS`` bits whatever the input, is sent to all tasks, so texts without partner are neither shuffled nor shingled
+again. Beyond the filter's capacity more rows pass it and are left out by the join that follows; results stay the same. What a
+later step no longer reads is deleted from the shared folder at once. A bucket of m classes in several components costs up to m
+blocks of m classes within a factor of the block size, so a large bucket of texts that share bands but no link is quadratic in m.
+
 Defined results: null or empty texts have no shingles, stay alone and are kept; rows with a null id take no part (component
-null, kept); repeated rows get equal answers; columns other than id and text are ignored.
+null, kept); repeated rows get equal answers; rows of different texts under one id are different nodes, linked each by its own
+text, and a component is named by the smallest id of its rows; very long texts are shingled whole, one at a time; an empty table gives no
+rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import BLANK_SPLIT, Chunk, mix64, per_chunk, saved
+from barweave.llm.common import BLANK_SPLIT, Chunk, fresh, mix64, per_chunk, released, saved, spread_join
 
 WIDTH = 5
 ROWS = 5
@@ -35,6 +43,8 @@ MISS = 1e-6
 #: Sets per block: so many that their shingles stay within BLOCK_SHINGLES, between these two numbers.
 BLOCK = (32, 512)
 BLOCK_SHINGLES = 1 << 18
+#: Bits of the filter over the ids whose full sets are wanted: so many an id, and at most so many in all.
+BITS_PER_ID, FILTER_BITS = 16, 1 << 28
 _I = np.uint32
 
 
@@ -116,7 +126,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """id, n_shingles, set key and band keys of every row."""
+    """id, n_shingles, set key, key of the text as it stands and band keys of every row."""
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         sets = shingle_sets(texts, width)
@@ -127,34 +137,64 @@ def sign(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                 keys[i] = row
         return pa.record_batch([
             batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
-            pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "bands"])
+            pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
+            pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "text_key", "bands"])
+
+    return docs.mapInArrow(per_chunk(work, "text"), "id bigint, n_shingles bigint, set_key binary, text_key binary, bands array<bigint>")
+
+
+def digest(shingles: np.ndarray) -> bytes:
+    return hashlib.md5(shingles.tobytes()).digest()
+
 
-    return docs.mapInArrow(per_chunk(work, "text"), "id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
+def bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """(words of a Bloom filter over ``ids``, its size as power of two): ``BITS_PER_ID`` bits an id, ``FILTER_BITS`` at most."""
+    power = min(FILTER_BITS, max(1 << 10, BITS_PER_ID * ids.count())).bit_length() - 1
+    places = ids.select(F.explode(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit("second")))).alias("h"))
+    place = F.shiftrightunsigned("h", 64 - power)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - power}) & 63 as int))")
+    words = places.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (power - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out, power
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the classes ``wanted`` (id, set_key, node), read from the rows of their ids."""
+    filled, power = bloom(wanted.select("id"))
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
+
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        sets = [s.astype(np.int64) for s in shingle_sets(texts, width)]
-        return pa.record_batch([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        held, hit = sent.value, np.ones(len(texts), bool)
+        for c in ("h1", "h2"):
+            place = batch.column(c).to_numpy().view(np.uint64) >> np.uint64(64 - power)
+            hit &= (held[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
+        sets = [x for x in shingle_sets([t for t, h in zip(texts, hit) if h], width) if len(x)] if hit.any() else []
+        return pa.record_batch([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))],
+                               names=["set_key", "shingles"])
 
-    return docs.mapInArrow(per_chunk(work, "text"), "id bigint, shingles array<bigint>")
+    rows = docs.where(F.col("id").isNotNull()).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit("second")).alias("h2"), "text")
+    found = rows.mapInArrow(per_chunk(work, "text"), "set_key binary, shingles array<bigint>")
+    return found.join(wanted.select("set_key", "node"), "set_key").select("node", "shingles").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of ``edges`` (a, b): the smallest id reachable. Labels spread to neighbours and then jump
     to their label's label until nothing changes; each round is stored in the shared folder."""
     both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    label = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "labels")
+    last = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "labels")
     while True:
+        label = last.select("id", "comp")
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         met = label.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = label.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
         step = saved(met.join(jump, "comp", "left").select(
             "id", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
-        label = step.select("id", "comp")
+        released(last)
+        last = step
         if step.where(F.col("was") != F.col("comp")).isEmpty():
-            return label
+            released(both)
+            return step.select("id", "comp")
 
 
 def shared_counts(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -208,31 +248,34 @@ def block_links(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "0.85",
-                    width: int = WIDTH, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept. ``threshold`` is a decimal text, compared exactly."""
+def near_classes(plain: DataFrame, threshold: str, width: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """For ``plain`` (id, text): stored rows (id, n_shingles, set_key, text_key), and stored classes of equal sets that have copies or
+    links (set_key, copies, component, group): the component is the smallest id of the group, which is one connected set of classes."""
     share = Fraction(threshold)
     num, den = share.numerator, share.denominator
     bands = band_count(float(share), rows, miss)
-    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sigs = saved(sign(plain, bands, rows, width), "signatures")
-
-    classes = saved(sigs.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("set_key").agg(
+    signed = saved(sign(plain, bands, rows, width), "signatures")
+    classes = saved(signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("set_key").agg(
         F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"),
-        F.first("bands").alias("bands")), "classes")
-    spread = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+        F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    sigs = saved(signed.drop("bands"), "rows")
+    released(signed)
+
+    spread = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(
-        F.min("id").alias("pivot"), F.max("id").alias("last"), F.min_by("n_shingles", "id").alias("n_pivot"))
+        F.min("node").alias("pivot"), F.max("node").alias("last"), F.min_by("n_shingles", "node").alias("n_pivot"))
     shared = shared.where(F.col("pivot") != F.col("last")).drop("last")
     members = saved(spread.join(shared, "bucket"), "members")
+    nodes = saved(classes.drop("bands"), "nodes")
+    released(classes)
 
-    wanted = members.select("id").distinct()
-    sets = saved(full_sets(plain.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
-    sized = sets.select("id", "shingles", F.size("shingles").cast("bigint").alias("n"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("id", "set_key", "node")
+    sets = saved(full_sets(plain, saved(wanted, "wanted"), width), "sets")
+    sized = sets.select("node", "shingles", F.size("shingles").cast("bigint").alias("n"))
 
     close = F.lit(den) * F.least("n_pivot", "n_shingles") >= F.lit(num) * F.greatest("n_pivot", "n_shingles")
-    pairs = members.where((F.col("id") != F.col("pivot")) & close).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda c: sized.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"), F.col("n").alias(f"n_{c}"))
+    pairs = members.where((F.col("node") != F.col("pivot")) & close).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    side = lambda c: sized.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"), F.col("n").alias(f"n_{c}"))
     common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     tested = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", common.alias("common"))
     stars = tested.where(F.lit(den) * F.col("common") >= F.lit(num) * (F.col("n_a") + F.col("n_b") - F.col("common")))
@@ -240,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(stars)
 
     # Buckets of several components: cut by size level and hash part, compare across components inside blocks.
-    placed = members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = members.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("left_over"))
     open_buckets = open_buckets.where(F.col("lo") != F.col("hi")).select("bucket", "left_over")
     step = -math.log(float(share)) + 1e-9  # two linked sizes are one level apart at most
@@ -248,20 +291,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     home = leveled.withColumn("at_level", F.explode(F.array(F.col("level"), F.col("level") - 1)))
     per = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.lit(BLOCK_SHINGLES) / F.exp(F.col("at_level") * F.lit(step))))
     home = home.withColumn("parts", F.ceil(F.col("left_over") / per).cast("int"))
-    home = home.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    home = home.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     home = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = home.select("bucket", "at_level", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"),
-                         "id", "comp", "n_shingles", "level", "part")
+                         F.col("node").alias("id"), "comp", "n_shingles", "level", "part")
     keys = ["bucket", "at_level", "left", "right"]
     mixed = blocks.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("level").alias("low"))
     mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("low") == F.col("at_level"))).select(*keys)
-    blocks = blocks.join(mixed, keys).join(sized.select("id", "shingles"), "id")
+    blocks = blocks.join(mixed, keys).join(sized.select(F.col("node").alias("id"), "shingles"), "id")
     dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
     across = dealt.mapInArrow(block_links(num, den), "a bigint, b bigint").distinct()
-    label = components(saved(stars.union(across), "links"))
+    links = saved(stars.union(across), "links")
+    released(members, sets, stars)
+    label = components(links)
+
+    placed = nodes.join(label.select(F.col("id").alias("node"), "comp"), "node", "left")
+    least = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("component"))
+    group = F.coalesce("comp", F.when(F.col("copies") > 1, F.col("node")))
+    named = placed.join(least, "comp", "left").where(group.isNotNull()).select("set_key", "copies", F.coalesce("component", "id").alias("component"), group.alias("group"))
+    return sigs, saved(named, "named")
+
+
+def answered(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (id, n_shingles, text_key, component, group) from the results of ``near_classes``. Classes with many copies, fewer than 1000,
+    are joined by broadcast; rows without words or id have no class; the group of rows without copies and links is null."""
+    full = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
+    row = ["id", "n_shingles", "text_key"]
+    heavy = classes.withColumn("all", sigs.agg(F.count(F.lit(1))).scalar()).where(F.col("copies") * 1000 > F.col("all"))
+    met = sigs.where(full).join(F.broadcast(heavy.select("set_key", "component", "group")), "set_key", "left")
+    here = met.where(F.col("group").isNotNull()).select(*row, "component", "group")
+    rest = met.where(F.col("group").isNull()).drop("component", "group").join(classes.drop("copies"), "set_key", "left")
+    alone = sigs.where(~F.coalesce(full, F.lit(False))).select(*row, F.col("id").alias("component"), F.lit(None).cast("bigint").alias("group"))
+    return here.unionByName(rest.select(*row, F.coalesce("component", "id").alias("component"), "group")).unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "0.85",
+                    width: int = WIDTH, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept. ``threshold`` is a decimal text, compared exactly."""
+    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    answer = answered(*near_classes(plain, threshold, width, rows, miss))
+    answer = answer.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+    return answer.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
-    grouped = classes.join(label, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"), "copies", "id")
-    grouped = grouped.where((F.col("copies") > 1) | (F.col("comp") != F.col("id"))).select("set_key", "comp")
-    return sigs.drop("bands").join(grouped, "set_key", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "0.85",
+                            width: int = WIDTH, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """The rows of ``docs``, one of each component: that of the smallest id, of its texts the one with the smallest md5, of rows equal
+    in both the one whose columns hash lowest. Rows without words or id are no one's copies and stay."""
+    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rated = answered(*near_classes(plain, threshold, width, rows, miss)).where(F.col("group").isNotNull())
+    rated = saved(rated.groupBy("id", "text_key", "group").agg(F.count(F.lit(1)).alias("n")), "rated")
+    first = rated.groupBy("group").agg(F.min(F.struct("id", "text_key")).alias("first"), F.count(F.lit(1)).alias("texts"))
+    ranked = spread_join(rated, first, ["group"], "texts")
+    gone = F.struct("id", "text_key") != F.col("first")
+    plans = saved(ranked.where(gone | (F.col("n") > 1)).select("id", "text_key", gone.alias("gone")), "plans")
+    key, number, out = (fresh(docs, c) for c in ("dup_key", "dup_id", "dup_gone"))
+    tagged = docs.withColumns({key: F.unhex(F.md5(F.col(text_col))), number: F.col(id_col).cast("bigint")}).join(
+        plans.select(F.col("id").alias(number), F.col("text_key").alias(key), F.col("gone").alias(out)), [number, key], "left")
+    lone = tagged.where(F.col(out).isNull()).select(*docs.columns)
+    order = F.xxhash64(*[F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    once = tagged.where(~F.col(out)).groupBy(number, key).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return lone.unionByName(once.select("row.*"))

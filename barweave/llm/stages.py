@@ -4,13 +4,13 @@ the columns it was given. Other tables are read from ``sf_dir``."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm import packing, pii, quality
-from barweave.llm.common import fresh, table
+from barweave.llm.common import table
 from barweave.llm.decontaminate import without_leaks
-from barweave.llm.minhash import near_duplicates
+from barweave.llm.minhash import without_near_duplicates
 
 #: The general rule for near duplicates on five-word shingles.
 SIMILARITY = "0.8"
@@ -24,11 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, the one with the smallest id; of repeated rows one stays. Documents without words
     or without an id are no one's copies and stay."""
-    gone = near_duplicates(docs, threshold=SIMILARITY).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    nth, body = fresh(docs, "nth"), F.coalesce(F.md5("text"), F.lit("-"))
-    rows = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", body).orderBy(F.lit(0))))
-    return rows.where((F.col(nth) == 1) | F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull()).drop(nth)
+    return without_near_duplicates(docs, threshold=SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,29 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_id(spark):
+    """Each text of an id has its own links, and only the text that is a copy goes."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, a.upper()), (4, "alone " * 9), (1, a), (5, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"dup_key": F.lit(1), "m": F.create_map(F.lit("k"), F.lit(1))})
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 56, None, True), (1, 56, 1, True), (1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 1, 4, True), (4, 56, 1, False), (5, 56, 1, False)]
+    left = minhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(0, a), (1, min(a, b, key=lambda t: hashlib.md5(t.encode()).digest())), (
+        1, max(a, b, key=lambda t: hashlib.md5(t.encode()).digest())), (4, "alone " * 9)])
+
+
+def test_filter_never_loses_an_id(spark):
+    ids = spark.range(5000).select((F.col("id") * 7919 - 10**9).alias("id"))
+    held, power = minhash.bloom(ids)
+    both = ids.select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit("second")).alias("h2")).toArrow()
+    for c in ("h1", "h2"):
+        place = both[c].to_numpy().view(np.uint64) >> np.uint64(64 - power)
+        assert ((held[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1).all()
+    assert power == 16 and 0.05 < np.unpackbits(held.view(np.uint8)).mean() < 0.2
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
