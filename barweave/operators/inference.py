@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barweave.functions.maths import TINY, as_col, norm_cdf, norm_ppf, safe_div
 from barweave.operators.features import TRADING_DAYS
 from barweave.operators.metrics import moments, periods
-from barweave.operators.ordering import value_ranks
+from barweave.operators.ordering import range_ranks
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
 
@@ -23,12 +23,18 @@ def paired_values(panel: DataFrame, group: list[str], x: str, y: str) -> DataFra
 
 
 def ranked_pairs(panel: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Pairs with ``{c}_less``, ``{c}_eq`` and ``{c}_bucket`` for both sides, and the group size ``n``, ranked by buckets."""
+    """Pairs with ``{c}_less``, ``{c}_eq`` and ``{c}_bucket`` for both sides, and the group size ``n``.
+
+    Both sides are ranked by one range exchange over (group, side, value); a second exchange brings a pair's two ranks together.
+    """
     pairs = paired_values(panel, group, x, y)
-    ranks = lambda c: value_ranks(pairs, group, c, weight=F.col("w")).select(
-        *group, F.col("value").alias(c), F.col("n_eq").alias(f"{c}_eq"), F.col("n_less").alias(f"{c}_less"),
-        F.col("bucket").alias(f"{c}_bucket"), *([F.col("n_total").alias("n")] if c == "x" else []))
-    return pairs.join(ranks("x"), [*group, "x"]).join(ranks("y"), [*group, "y"])
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("value")) for c in "xy"])
+    stacked = pairs.select(*group, "x", "y", "w", F.explode(sides).alias("_s")).select(*group, "x", "y", "w", "_s.*")
+    ranked = range_ranks(stacked, [*group, "side"], "value", "w", ties=["x", "y"])
+    of = lambda c, what: F.max(F.when(F.col("side") == c, F.col(what)))
+    return ranked.groupBy(*group, "x", "y").agg(
+        F.max("w").alias("w"), F.max("n_total").alias("n"), *[of(c, f).alias(f"{c}_{g}") for c in "xy" for f, g in (
+            ("n_less", "less"), ("n_eq", "eq"), ("bucket", "bucket"))])
 
 
 def spearman_ic(panel: DataFrame, group: list[str], x: str = "pred", y: str = "actual", min_pairs: int = 5) -> DataFrame:

@@ -1,57 +1,140 @@
 """Ranks, quantiles and running positions that never put a whole group in one task.
 
 One group may hold a large share of all rows (a date with every entity, a
-source with a third of the articles). Each routine therefore works on value
-or time sub-buckets of the group: totals per bucket are pre-aggregated (a
-bounded handful of rows per group), prefix-summed, and added to the position
-inside the bucket. Bucket edges affect balance only, never the result.
+source with a third of the articles). Ranks and quantiles come from one range
+exchange: rows are dealt by (group, value) into ranges of equal size, so a
+large group spans several ranges, each range counts on its own, and what
+precedes a range in its first group is added from one row per range. Positions
+along time work on time slots of the group. Edges affect balance only, never
+the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from barweave.session import cut_lineage
+
+RANKED = ["n_less", "n_eq", "n_total", "bucket"]
+_LOCAL = ["_less", "_eq", "_n", "_part", "_first_tie", "_last_tie", "_first_group", "_last_group", "_edge"]
+
+
+def changes(columns: list[pa.ChunkedArray]) -> np.ndarray:
+    """Whether each row differs from the one before in any column; nulls and NaN equal themselves."""
+    n = len(columns[0]) if columns else 0
+    out = np.zeros(n, bool)
+    out[:1] = True
+    for column in columns:
+        column = column.combine_chunks()
+        now, was = column.slice(1), column.slice(0, n - 1)
+        same = pc.or_(pc.fill_null(pc.equal(now, was), False), pc.and_(pc.is_null(now, nan_is_null=True), pc.is_null(was, nan_is_null=True)))
+        out[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def spans(starts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stretches that begin where ``starts`` holds: their number per row, their weight per row, and the first row of each."""
+    first = np.flatnonzero(starts)
+    number = np.cumsum(starts) - 1
+    return number, np.add.reduceat(weight, first)[number], first
+
+
+def range_ranks(df: DataFrame, keys: list[str], col: str, weight: str | None = None, ties: list[str] = [], parts: int = 0) -> DataFrame:
+    """``df`` with, per group of ``keys``: n_less and n_eq (weight of smaller and of equal values of ``col``), n_total and the
+    range's number ``bucket``. NULL values take no part. One range exchange sorts by (keys, col, ties); ``ties`` names columns that
+    tell equal values apart, so that a value shared by many rows is spread as well.
+
+    The sorted ranges are checkpointed, since their edges come from a sample and must be the same for both readers: the first and
+    last row of every range (two rows a range) give the offsets, one row a range, that are joined by the range's number. A range
+    is held as Arrow columns by its task; ``parts``, at least ``spark.sql.shuffle.partitions``, sets their number."""
+    spark = df.sparkSession
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = df.where(F.col(col).isNotNull()).withColumn("_rank_w", (F.lit(1) if weight is None else F.col(weight)).cast("bigint"))
+    ordered = known.repartitionByRange(parts, *keys, col, *ties).sortWithinPartitions(*keys, col, *ties).withColumn("_part", F.spark_partition_id())
+    kinds = [T.LongType()] * 3 + [T.IntegerType()] + [T.BooleanType()] * 5
+    schema = T.StructType([f for f in ordered.schema if f.name not in ("_rank_w", "_part")] + [T.StructField(n, t) for n, t in zip(_LOCAL, kinds)])
+    names = schema.names
 
-def value_ranks(df: DataFrame, keys: list[str], col: str, weight: Column | None = None,
-                splits: int = 32) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        w, n = rows["_rank_w"].to_numpy(), rows.num_rows
+        new_group = changes([rows[k] for k in keys]) if keys else np.arange(n) == 0
+        new_tie = new_group | changes([rows[col]])
+        group, total, group_at = spans(new_group, w)
+        tie, equal, tie_at = spans(new_tie, w)
+        before = np.cumsum(w) - w
+        less = before[tie_at][tie] - before[group_at][group]
+        edge = np.zeros(n, bool)
+        edge[[0, -1]] = True
+        made = [less, equal, total, rows["_part"].to_numpy(), tie == 0, tie == tie[-1], group == 0, group == group[-1], edge]
+        out = rows.drop_columns(["_rank_w", "_part"])
+        for name, values in zip(_LOCAL, made):
+            out = out.append_column(name, pa.array(values))
+        yield from out.to_batches(max_chunksize=10000)
+
+    local = cut_lineage(ordered.mapInArrow(count, schema))
+    ends = local.where("_edge").select(*keys, col, *_LOCAL).collect()  # two rows a range at most
+    shifts = spark.createDataFrame(offsets([r.asDict() for r in ends], keys, col) or [(-1, 0, 0, 0, 0, 0)],
+                                   "_part int, _base bigint, _tie_before bigint, _tie_after bigint, _group_before bigint, _group_after bigint")
+    shifted = local.join(F.broadcast(shifts), "_part")
+    only = lambda flag, c: F.when(F.col(flag), F.col(c)).otherwise(F.lit(0))
+    return shifted.withColumns({
+        "n_less": F.col("_less") + only("_first_group", "_base") - only("_first_tie", "_tie_before"),
+        "n_eq": F.col("_eq") + only("_first_tie", "_tie_before") + only("_last_tie", "_tie_after"),
+        "n_total": F.col("_n") + only("_first_group", "_group_before") + only("_last_group", "_group_after"),
+        "bucket": F.col("_part")}).select(*[c for c in names if c not in _LOCAL], *RANKED)
+
+
+def offsets(ends: list[dict[str, Any]], keys: list[str], col: str) -> list[tuple[int, ...]]:
+    """(range, weight of its first group and tie in earlier ranges, of its last tie and group in later ranges) from the end rows."""
+    value = lambda v: "NaN" if v != v else v
+    by_part: dict[int, list[dict[str, Any]]] = {}
+    for r in ends:
+        by_part.setdefault(r["_part"], []).append(r)
+    order = sorted(by_part)
+    first = [next(r for r in by_part[p] if r["_first_tie"]) for p in order]
+    last = [next(r for r in by_part[p] if r["_last_tie"]) for p in order]
+
+    def carried(names: list[str], weight: str, here: list[dict], there: list[dict], steps: range) -> list[int]:
+        """Weight that the stretch at one end of each range has in the ranges before it along ``steps``."""
+        of = lambda r: tuple(value(r[n]) for n in names)
+        out, open_at, total = [0] * len(order), None, 0
+        for i in steps:
+            out[i] = total if open_at == of(here[i]) else 0
+            total = there[i][weight] + (out[i] if of(here[i]) == of(there[i]) else 0)
+            open_at = of(there[i])
+        return out
+
+    up, down = range(len(order)), range(len(order) - 1, -1, -1)
+    group_before, tie_before = carried(keys, "_n", first, last, up), carried([*keys, col], "_eq", first, last, up)
+    group_after, tie_after = carried(keys, "_n", last, first, down), carried([*keys, col], "_eq", last, first, down)
+    return list(zip(order, group_before, tie_before, tie_after, group_before, group_after))
+
+
+def value_ranks(df: DataFrame, keys: list[str], col: str, weight: Column | None = None, splits: int = 0) -> DataFrame:
     """Per group, the distinct values with counts: ``value, n_eq, n_less, n_total, bucket``.
 
-    Ties collapse in the first (partially aggregated) count, so a value shared
-    by most rows costs one row. Up to ``splits`` edges per group are taken by a
-    hash order, which Spark limits inside each map task before the shuffle.
+    Ties collapse in the first (partially aggregated) count, so a value shared by most rows costs one row; ``splits`` is the
+    least number of ranges.
     """
-    counts = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(*keys, F.col(col).alias("value"))
-        .agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("n_eq"))
-    )
-    upto = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col("value")))
-    if keys:
-        pick = Window.partitionBy(*keys).orderBy(F.xxhash64("value"), "value")
-        edges = (
-            counts.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= splits)
-            .groupBy(*keys).agg(F.collect_list("value").alias("_edges"))
-        )
-        placed = counts.join(edges, keys).withColumn("bucket", upto("_edges")).drop("_edges")
-    else:
-        first = counts.orderBy(F.xxhash64("value"), "value").limit(splits)
-        placed = counts.withColumn("_edges", first.agg(F.collect_list("value")).scalar()).withColumn("bucket", upto("_edges")).drop("_edges")
-    own = Window.partitionBy(*keys)
-    by_bucket = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = (
-        placed.groupBy(*keys, "bucket").agg(F.sum("n_eq").alias("_b"))
-        .select(*keys, "bucket", (F.sum("_b").over(by_bucket) - F.col("_b")).alias("_before"), F.sum("_b").over(own).alias("n_total"))
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(offsets, [*keys, "bucket"]).select(
-        *keys, "value", "n_eq",
-        (F.col("_before") + F.sum("n_eq").over(inside) - F.col("n_eq")).alias("n_less"),
-        "n_total", "bucket",
-    )
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("value")).agg(
+        F.sum(F.lit(1) if weight is None else weight).cast("long").alias("_count"))
+    return range_ranks(counts, keys, "value", "_count", parts=splits).select(*keys, "value", "n_eq", "n_less", "n_total", "bucket")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-                    interpolate: bool = True, splits: int = 32) -> DataFrame:
+                    interpolate: bool = True, splits: int = 0) -> DataFrame:
     """Exact quantiles per group, one output column per entry of ``probs``; ``splits`` as in ``value_ranks``.
 
     ``interpolate`` gives the linear rule; otherwise the lower order statistic.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barweave.functions.maths import bounded
-from barweave.operators.ordering import exact_quantiles
+from barweave.operators.ordering import range_ranks
 from barweave.operators.signals import LOG_VAR_HIGH, LOG_VAR_LOW, gate, position, sigma_of
 
 # Floors of the training-time scores.
@@ -63,11 +63,12 @@ def margin_bce(df: DataFrame, keys: list[str], use_margin: bool = True, target:
     With ``use_margin`` only rows whose |position x return| reaches the (lower) median count.
     """
     rows = df.withColumn("_pnl", F.col("position") * F.col(target)).where(F.col("_pnl").isNotNull())
+    rows = rows.groupBy(*keys, "_pnl", "gate").agg(F.count(F.lit(1)).alias("_rows"))
     g = bounded("gate", GATE_EDGE, 1.0 - GATE_EDGE)
     loss = -F.when(F.col("_pnl") > 0, F.ln(g)).otherwise(F.ln(1.0 - g))
     if use_margin:
-        rows = rows.withColumn("_abs", F.abs("_pnl"))
-        cut = exact_quantiles(rows, keys, "_abs", {"_cut": 0.5}, interpolate=False).drop("n")
-        rows = rows.join(cut, keys) if keys else rows.withColumn("_cut", cut.scalar())
-        rows = rows.where(F.col("_abs") >= F.col("_cut"))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(loss).alias("margin_bce"))
+        ranked = range_ranks(rows.withColumn("_abs", F.abs("_pnl")), keys, "_abs", "_rows", ties=["gate"])
+        rows = ranked.where(F.col("n_less") + F.col("n_eq") > F.floor((F.col("n_total") - 1) / 2))
+    scored = rows.withColumn("_loss", loss)
+    mean = F.sum(F.col("_loss") * F.col("_rows")) / F.sum(F.when(F.col("_loss").isNotNull(), F.col("_rows")))
+    return scored.groupBy(*keys).agg(F.sum("_rows").alias("n"), mean.alias("margin_bce"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barweave.operators import inference as inf
-from barweave.operators.ordering import exact_quantiles, last_before, running_index, value_ranks
+from barweave.operators.ordering import exact_quantiles, last_before, range_ranks, running_index, value_ranks
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +71,37 @@ def test_rank_correlations(spark):
         part = pdf[pdf.date == d]
         assert np.isclose(rho[d], part.pred.rank().corr(part.actual.rank()))
         assert np.isclose(tau[d], tau_b(part.pred.to_numpy(), part.actual.to_numpy()))
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_ranges_cut_groups_and_ties(spark, parts):
+    """A group and a value that span many ranges, NaN, null keys and strings: ranks as of the whole group."""
+    rng = np.random.default_rng(parts)
+    rows = [("hot", float(v), int(i), 1 + i % 3) for i, v in enumerate(np.where(rng.random(800) < 0.5, 0.0, rng.integers(-9, 9, 800)))]
+    rows += [(g, float(v), 900 + i, 1) for i, (g, v) in enumerate(zip(rng.choice(["a", "b", "z"], 60), rng.integers(0, 4, 60)))]
+    rows += [(None, 1.0, 2000, 5), (None, float("nan"), 2001, 2), (None, float("nan"), 2002, 1), ("one", -0.0, 2003, 1), ("one", 0.0, 2004, 1), ("x", None, 2005, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, id int, w int").repartition(5)
+    got = {r["id"]: r for r in range_ranks(df, ["g"], "v", "w", ties=["id"], parts=parts).collect()}
+    known = [r for r in rows if r[1] is not None]
+    assert len(got) == len(known)
+    key = lambda v: (v != v, 0.0 if v != v else v)
+    for g, v, i, _ in known:
+        group = [(key(x), w) for h, x, _, w in known if h == g]
+        want = (sum(w for x, w in group if x < key(v)), sum(w for x, w in group if x == key(v)), sum(w for _, w in group))
+        assert (got[i]["n_less"], got[i]["n_eq"], got[i]["n_total"]) == want
+    if parts > 7:
+        assert len({got[i]["bucket"] for _, v, i, _ in rows[:800] if v == 0}) > 5
+    assert range_ranks(df.limit(0), ["g"], "v").collect() == []
+
+
+def test_one_range_exchange_ranks_both_sides(spark):
+    """Rank IC: few exchanges, and with broadcasts off no join on the group's key."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        panel = spark.range(2000).selectExpr("id % 7 AS date", "rand(1) AS pred", "rand(2) AS actual")
+        plan = inf.rank_ic(panel, [], "spearman")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 6 and plan.count("Window") == 0 and "SortMergeJoin" not in plan
+        assert "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin [_part") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
