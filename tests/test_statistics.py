@@ -5,6 +5,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from barweave.functions import norm_cdf, norm_ppf
@@ -117,10 +118,15 @@ def test_holm_and_bh(spark):
     assert np.allclose(got.p_holm, [0.03, 0.06, 0.06, 0.02]) and np.allclose(got.p_bh, [0.02, 0.04, 0.04, 0.02])
 
 
-def test_regression_corr(spark):
+@pytest.mark.parametrize("level", [0.0, 100.0, 1e4, 1e6])
+def test_regression_corr(spark, level):
+    """The same deviations at any level of the values, and on very different scales."""
     rng = np.random.default_rng(4)
-    t, p = rng.normal(size=50), rng.normal(size=50)
-    got = mt.regression_metrics(spark.createDataFrame(pd.DataFrame({"k": 1, "actual": t, "pred": p})), ["k"]).first()
-    u, v = t - t.mean(), p - p.mean()
-    assert math.isclose(got["corr"], (u * v).sum() / math.sqrt((u**2 * v**2).sum()), rel_tol=1e-9)
-    assert math.isclose(got.r2, 1 - ((t - p) ** 2).sum() / (u**2).sum(), rel_tol=1e-9)
+    for scale in (1.0, 0.05):
+        t, p = rng.normal(size=50) + level, scale * rng.normal(size=50) + level
+        got = mt.regression_metrics(spark.createDataFrame(pd.DataFrame({"k": 1, "actual": t, "pred": p})), ["k"]).first()
+        u, v = t - t.mean(), p - p.mean()
+        assert math.isclose(got["corr"], (u * v).sum() / math.sqrt((u**2 * v**2).sum()), rel_tol=1e-6 if level else 1e-9)
+        assert math.isclose(got.r2, 1 - ((t - p) ** 2).sum() / (u**2).sum(), rel_tol=1e-6)
+    flat = mt.regression_metrics(spark.createDataFrame([(1, 2.0, level), (1, 2.0, level + 1)], "k int, actual double, pred double"), ["k"]).first()
+    assert flat["corr"] is None and flat.n == 2
\ No newline at end of file
