@@ -50,6 +50,11 @@ def cross_section_rank(panel: DataFrame, keys: list[str], n_max: int, signal: st
     }).drop("_salt", "_lo", "_hi", "_n")
 
 
+#: Which end of the ranking a book holds, and with which sign.
+LONG, SHORT = ("rank_high", 1.0), ("rank_low", -1.0)
+MODES = {"long_short": [LONG, SHORT], "long_only": [LONG], "short_only": [SHORT]}
+
+
 def legs(panel: DataFrame, keys: list[str], top_n: list[int] | str, mode: str, signal: str, entity: str, date: str,
          n_max: int | None = None, with_rows: bool = False, salts: int = SALTS) -> DataFrame:
     """One row per held name: ``side`` (+1/-1) for every requested book size the date can fill.
@@ -65,13 +70,9 @@ def legs(panel: DataFrame, keys: list[str], top_n: list[int] | str, mode: str, s
     ranked = ranked.withColumn("top_n", F.explode(F.array(*[F.lit(n) for n in top_n]))) if listed else \
         ranked.withColumn("top_n", F.col(top_n))
     filled = (F.col("n_valid") >= 2 * F.col("top_n")) & F.col(signal).isNotNull()
-    sides = []
-    if mode in ("long_short", "long_only"):
-        sides.append(F.when(filled & (F.col("rank_high") <= F.col("top_n")), F.lit(1.0)))
-    if mode in ("long_short", "short_only"):
-        sides.append(F.when(filled & (F.col("rank_low") <= F.col("top_n")), F.lit(-1.0)))
-    if not sides:
+    if mode not in MODES:
         raise ValueError(f"unknown mode: {mode!r}")
+    sides = [F.when(filled & (F.col(rank) <= F.col("top_n")), F.lit(side)) for rank, side in MODES[mode]]
     if with_rows:
         sides.append(F.when(F.col("rank_low") == 1, F.lit(0.0)))
     return ranked.withColumn("side", F.explode(F.array_compact(F.array(*sides)))).drop("rank_low", "rank_high")

@@ -29,7 +29,7 @@ from barweave.plans.trading import (
 from barweave.session import cut_lineage, scratch_path
 from barweave.sources import load_summaries, write_summaries
 from barweave.sources.readers import COST_METRICS
-from barweave.streaming import audit_stream, daily_sentiment_stream, drain
+from barweave.streaming import audit_micro_batches, audit_stream, daily_sentiment_stream, drain, latest_blocks
 
 # ---- rank information coefficients --------------------------------------------------------
 
@@ -513,20 +513,23 @@ def margin_bce(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------------------------------
 
 STREAM_PARTS = 3
+FILES_A_BATCH = 8
+STREAM_BLOCK = 16
 PART_SQL = f"CAST(floor({STREAM_PARTS} * (epoch_us(ts) - lo) / (hi - lo + 1.0)) AS BIGINT)"
 PARTS = f"parts AS (SELECT *, {PART_SQL} AS part FROM (SELECT *, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM articles) p)"
 
 
 def event_stream(spark, sf_dir) -> DataFrame:
-    """The events as files that arrive one after another, each a third of the time span; one micro-batch per file."""
+    """The events as files that arrive in three groups, each a third of the time span; one micro-batch per group."""
     ev = table(spark, sf_dir, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = ev.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
     part = F.floor(STREAM_PARTS * (micros - span["lo"]) / F.lit(span["hi"] - span["lo"] + 1.0))
     path = scratch_path(spark, "arrivals")
     for k in range(STREAM_PARTS):
-        ev.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return score_events(spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path))
+        # The files of one third arrive together: each is written and read by tasks of its own.
+        ev.where(part == k).repartition(FILES_A_BATCH).write.mode("append").parquet(path)
+    return score_events(spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(path))
 
 
 ALL_DAYS = """all_days AS (SELECT entity, CAST(ts AS DATE) AS date, avg(composite_score) AS avg_composite, avg(positive_prob) AS avg_positive, avg(negative_prob) AS avg_negative,
@@ -548,9 +551,19 @@ def daily_stream_complete(spark, sf_dir):
     return drain(daily_sentiment_stream(event_stream(spark, sf_dir)), "daily-sentiment-all", "complete")
 
 
-@query("audit_stream", "batch:i n:i max_sum_error:f sd_positive:f uniform_share:f failures:s",
+@query("audit_micro_batches", "batch:i n:i max_sum_error:f sd_positive:f uniform_share:f failures:s",
        f"SELECT *, {BLOCK_FAILURES} AS failures FROM (SELECT part AS batch, {BLOCK_AGGS} FROM parts GROUP BY part) b", [ARTICLES, PARTS])
+def audited_batches(spark, sf_dir):
+    sink = scratch_path(spark, "batch-audit")
+    audit_micro_batches(event_stream(spark, sf_dir), sink, scratch_path(spark, "batch-audit-progress")).awaitTermination()
+    return spark.read.parquet(sink).withColumn("failures", F.concat_ws(",", "failures"))
+
+
+@query("audit_stream", "entity:i block:i n:i max_sum_error:f sd_positive:f uniform_share:f failures:s late:i",
+       f"""SELECT *, {BLOCK_FAILURES} AS failures, 0 AS late FROM (SELECT entity, idx // {STREAM_BLOCK} AS block, {BLOCK_AGGS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, article_id) - 1 AS idx FROM articles) a GROUP BY 1, 2) b""", [ARTICLES])
 def audited_stream(spark, sf_dir):
+    """Blocks that begin in one micro-batch and end in a later one: the same blocks as of the whole table."""
     sink = scratch_path(spark, "stream-audit")
-    audit_stream(event_stream(spark, sf_dir), sink, scratch_path(spark, "stream-audit-progress")).awaitTermination()
-    return spark.read.parquet(sink).withColumn("failures", F.concat_ws(",", "failures"))
+    audit_stream(event_stream(spark, sf_dir), sink, scratch_path(spark, "stream-audit-progress"), block=STREAM_BLOCK).awaitTermination()
+    return latest_blocks(spark.read.parquet(sink)).drop("closed", "upto").withColumn("failures", F.concat_ws(",", "failures"))

@@ -1,4 +1,4 @@
-"""Streaming forms of the daily roll-up and of the block audit."""
+"""Streaming form of the daily roll-up, and the audit of whole micro-batches."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def audit_batch(batch: DataFrame, batch_id: int) -> DataFrame:
     return block_failures(batch.agg(*block_aggregates())).withColumn("batch_id", F.lit(batch_id))
 
 
-def audit_stream(scored: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def audit_micro_batches(scored: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Audit every micro-batch as one block and write its findings; replays overwrite their own folder."""
 
     def run(batch: DataFrame, batch_id: int) -> None:

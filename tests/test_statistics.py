@@ -61,10 +61,11 @@ def test_normal_functions(spark):
 
 
 def hac(x, lag):
-    e = x - x.mean()
-    n = len(x)
-    s = e @ e / n + sum(2 * (1 - k / (lag + 1)) * (e[k:] @ e[:-k]) / n for k in range(1, min(lag, n - 1) + 1))
-    return math.sqrt(s / n)
+    """Long-run standard error as a quadratic form: deviations around a Bartlett matrix of weights."""
+    place = np.arange(len(x))
+    bartlett = np.clip(1 - np.abs(np.subtract.outer(place, place)) / (lag + 1), 0, None)
+    dev = x - np.mean(x)
+    return math.sqrt(dev @ bartlett @ dev) / len(x)
 
 
 def test_newey_west(spark):
