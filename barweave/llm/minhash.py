@@ -32,10 +32,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import BLANK_SPLIT, Chunk, fresh, mix64, per_chunk, released, saved, spread_join
+from barweave.llm.common import BLANK_SPLIT, Chunk, mix64, per_chunk, released, saved, spread_join
 
 WIDTH = 5
 ROWS = 5
@@ -147,10 +147,15 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.md5(shingles.tobytes()).digest()
 
 
-def bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """(words of a Bloom filter over ``ids``, its size as power of two): ``BITS_PER_ID`` bits an id, ``FILTER_BITS`` at most."""
-    power = min(FILTER_BITS, max(1 << 10, BITS_PER_ID * ids.count())).bit_length() - 1
-    places = ids.select(F.explode(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit("second")))).alias("h"))
+def hashes(*columns: str) -> dict[str, Column]:
+    """The two hashes of a row's key by which a filter knows it."""
+    return {"h1": F.xxhash64(*columns), "h2": F.xxhash64(*columns, F.lit("second"))}
+
+
+def bloom(keys: DataFrame, *columns: str) -> tuple[np.ndarray, int]:
+    """(words of a Bloom filter over the rows' ``columns``, its size as power of two): ``BITS_PER_ID`` bits a row, ``FILTER_BITS`` at most."""
+    power = min(FILTER_BITS, max(1 << 10, BITS_PER_ID * keys.count())).bit_length() - 1
+    places = keys.select(F.explode(F.array(*hashes(*columns).values())).alias("h"))
     place = F.shiftrightunsigned("h", 64 - power)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - power}) & 63 as int))")
     words = places.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
@@ -159,25 +164,43 @@ def bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
     return out, power
 
 
+def passes(held: np.ndarray, power: int, batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows of a batch with h1 and h2 may be in the filter."""
+    hit = np.ones(batch.num_rows, bool)
+    for c in ("h1", "h2"):
+        place = batch.column(c).to_numpy().view(np.uint64) >> np.uint64(64 - power)
+        hit &= (held[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return hit
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the classes ``wanted`` (id, set_key, node), read from the rows of their ids."""
-    filled, power = bloom(wanted.select("id"))
+    filled, power = bloom(wanted, "id")
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        held, hit = sent.value, np.ones(len(texts), bool)
-        for c in ("h1", "h2"):
-            place = batch.column(c).to_numpy().view(np.uint64) >> np.uint64(64 - power)
-            hit &= (held[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) == 1
+        hit = passes(sent.value, power, batch)
         sets = [x for x in shingle_sets([t for t, h in zip(texts, hit) if h], width) if len(x)] if hit.any() else []
         return pa.record_batch([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))],
                                names=["set_key", "shingles"])
 
-    rows = docs.where(F.col("id").isNotNull()).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit("second")).alias("h2"), "text")
+    rows = docs.where(F.col("id").isNotNull()).select(*[c.alias(n) for n, c in hashes("id").items()], "text")
     found = rows.mapInArrow(per_chunk(work, "text"), "set_key binary, shingles array<bigint>")
     return found.join(wanted.select("set_key", "node"), "set_key").select("node", "shingles").dropDuplicates(["node"])
 
 
+def split_by_filter(rows: DataFrame, filled: np.ndarray, power: int, wanted: bool) -> DataFrame:
+    """The rows (with h1, h2) that may be in the filter, or with ``wanted`` false those that are not; where they lie, without h1 and h2."""
+    sent, kept = rows.sparkSession.sparkContext.broadcast(filled), rows.drop("h1", "h2")
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(sent.value, power, batch) == wanted)).select(names)
+
+    return rows.mapInArrow(run, kept.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of ``edges`` (a, b): the smallest id reachable. Labels spread to neighbours and then jump
     to their label's label until nothing changes; each round is stored in the shared folder."""
@@ -305,10 +328,11 @@ def near_classes(plain: DataFrame, threshold: str, width: int, rows: int, miss:
     released(members, sets, stars)
     label = components(links)
 
-    placed = nodes.join(label.select(F.col("id").alias("node"), "comp"), "node", "left")
-    least = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("component"))
-    group = F.coalesce("comp", F.when(F.col("copies") > 1, F.col("node")))
-    named = placed.join(least, "comp", "left").where(group.isNotNull()).select("set_key", "copies", F.coalesce("component", "id").alias("component"), group.alias("group"))
+    placed = saved(nodes.join(label.select(F.col("id").alias("node"), "comp"), "node", "left").select("set_key", "id", "copies", "node", "comp"), "placed")
+    least = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("of_comp"))
+    linked = spread_join(placed.where(F.col("comp").isNotNull()), least, ["comp"], "of_comp").select("set_key", "copies", "component", F.col("comp").alias("group"))
+    copied = placed.where(F.col("comp").isNull() & (F.col("copies") > 1)).select("set_key", "copies", F.col("id").alias("component"), F.col("node").alias("group"))
+    named = linked.unionByName(copied)
     return sigs, saved(named, "named")
 
 
@@ -336,8 +360,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "0.85",
                             width: int = WIDTH, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """The rows of ``docs``, one of each component: that of the smallest id, of its texts the one with the smallest md5, of rows equal
-    in both the one whose columns hash lowest. Rows without words or id are no one's copies and stay."""
+    """The rows of ``docs``, one of each component: that of the smallest id, of its texts the one with the smallest md5, of rows equal in
+    both the one whose columns hash lowest. Rows without words or id are no one's copies and stay. Texts that are no one's copies
+    are not moved."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rated = answered(*near_classes(plain, threshold, width, rows, miss)).where(F.col("group").isNotNull())
     rated = saved(rated.groupBy("id", "text_key", "group").agg(F.count(F.lit(1)).alias("n")), "rated")
@@ -345,10 +370,13 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     ranked = spread_join(rated, first, ["group"], "texts")
     gone = F.struct("id", "text_key") != F.col("first")
     plans = saved(ranked.where(gone | (F.col("n") > 1)).select("id", "text_key", gone.alias("gone")), "plans")
-    key, number, out = (fresh(docs, c) for c in ("dup_key", "dup_id", "dup_gone"))
-    tagged = docs.withColumns({key: F.unhex(F.md5(F.col(text_col))), number: F.col(id_col).cast("bigint")}).join(
-        plans.select(F.col("id").alias(number), F.col("text_key").alias(key), F.col("gone").alias(out)), [number, key], "left")
-    lone = tagged.where(F.col(out).isNull()).select(*docs.columns)
+    # What the filter lets pass is decided exactly; all other rows stay where they lie.
+    filled, power = bloom(plans, "id", "text_key")
+    text, words = F.col(text_col), F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col(id_col).isNotNull()
     order = F.xxhash64(*[F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    once = tagged.where(~F.col(out)).groupBy(number, key).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
-    return lone.unionByName(once.select("row.*"))
+    packed = docs.where(words).select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(text)).alias("text_key"), order.alias("order"), F.struct(*docs.columns).alias("row"))
+    hashed = packed.withColumns(hashes("id", "text_key"))
+    lone = split_by_filter(hashed, filled, power, False)
+    asked = split_by_filter(hashed, filled, power, True).join(plans.where("gone").select("id", "text_key"), ["id", "text_key"], "left_anti")
+    once = asked.groupBy("id", "text_key").agg(F.min_by("row", "order").alias("row"))
+    return docs.where(~words).unionByName(lone.select("row.*")).unionByName(once.select("row.*"))

@@ -104,7 +104,7 @@ def test_different_texts_under_one_id(spark):
 
 def test_filter_never_loses_an_id(spark):
     ids = spark.range(5000).select((F.col("id") * 7919 - 10**9).alias("id"))
-    held, power = minhash.bloom(ids)
+    held, power = minhash.bloom(ids, "id")
     both = ids.select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit("second")).alias("h2")).toArrow()
     for c in ("h1", "h2"):
         place = both[c].to_numpy().view(np.uint64) >> np.uint64(64 - power)
