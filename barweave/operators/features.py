@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barweave.functions.maths import as_col, at_least, inf_to_null, safe_corr, safe_div
+from barweave.functions.maths import TINY, as_col, at_least, inf_to_null, safe_div
+from barweave.operators.frames import Frames, above_zero
 
 EPS = 1e-9
 TRADING_DAYS = 252.0
@@ -76,7 +77,7 @@ def kline(df: DataFrame) -> DataFrame:
 # ---- rolling families -------------------------------------------------------
 #
 # Every value comes from its own trailing frame, so a missing or odd bar affects the frames that hold it and no
-# later one. Window lengths are parameters of the feature set, so the work per row is bounded whatever the history.
+# later one. Frames of all lengths are built from those of power-of-two length (``frames``).
 
 def log_return(w: WindowSpec, d: int = 1, close: str = "close") -> Column:
     return F.ln(safe_div(F.col(close), at_least(F.lag(close, d).over(w), EPS)))
@@ -98,46 +99,75 @@ def ingredients(df: DataFrame, w: WindowSpec) -> DataFrame:
     return stepped.withColumns({"_x": F.when(both, F.col("_r")), "_y": F.when(both, F.col("_dlv"))})
 
 
-def rank_of(d: int) -> Column:
-    """Average-tie percentile of the current close among the last ``d`` values of the held list."""
-    recent = F.slice("_held", -d, d)
-    less = F.array_position(F.sort_array(recent), F.col("_c")) - 1
-    equal = d - F.size(F.array_remove(recent, F.col("_c")))
-    return (less + (equal + 1) / 2.0) / float(d)
+def rank_of(d: int, longest: list[int]) -> Column:
+    """Average-tie percentile of the current close among the last ``d``: counts of smaller and equal closes per stretch of lags."""
+    upto = [x for x in longest if x <= d]
+    less, equal = (sum((F.col(f"_{kind}{x}") for x in upto), F.lit(0)) for kind in ("less", "equal"))
+    return (less + (equal + 2) / 2.0) / float(d)
 
 
-# family -> (column whose frame must be full, formula over the frame and its length)
+def lagged_counts(df: DataFrame, w: WindowSpec, lengths: list[int]) -> DataFrame:
+    """For each stretch between two of ``lengths`` (sorted), how many of the closes at these lags are smaller than, or equal to, the
+    current one."""
+    lags = range(1, lengths[-1])
+    out = df.withColumns({f"_lag{j}": F.lag("_c", j).over(w) for j in lags})
+    counts, lo = {}, 1
+    for d in lengths:
+        of = lambda test: reduce(lambda a, b: a + b, [test(F.col(f"_lag{j}")).cast("int") for j in range(lo, d)], F.lit(0))
+        counts |= {f"_less{d}": of(lambda x: x < F.col("_c")), f"_equal{d}": of(lambda x: x == F.col("_c"))}
+        lo = d
+    return out.withColumns(counts).drop(*[f"_lag{j}" for j in lags])
+
+
+# family -> (sums, pairs whose co-deviations, highs, lows it needs; formula over the frames and a length)
 FAMILIES = {
-    "MA": ("_c", lambda f, d: safe_div(F.col("_c"), F.avg("_c").over(f) + EPS) - 1.0),
-    "STD": ("_r", lambda f, d: F.stddev_samp("_r").over(f)),
-    "MAX": ("_c", lambda f, d: safe_div(F.max("_c").over(f), F.col("_c") + EPS) - 1.0),
-    "MIN": ("_c", lambda f, d: safe_div(F.min("_c").over(f), F.col("_c") + EPS) - 1.0),
-    "RANK": ("_c", lambda f, d: rank_of(d)),
-    "HL": ("_c", lambda f, d: safe_div(F.max("_h").over(f) - F.min("_low").over(f), F.col("_c") + EPS)),
-    "VMA": ("_v", lambda f, d: safe_div(F.col("_v"), F.avg("_v").over(f) + EPS) - 1.0),
-    "VSTD": ("_v", lambda f, d: F.stddev_samp("_lv").over(f)),
-    "CORR": ("_x", lambda f, d: safe_corr("_x", "_y", f)),
-    "SENT_MA": ("_s", lambda f, d: F.avg("_s").over(f) - 0.5),
-    "SENT_STD": ("_s", lambda f, d: F.stddev_samp("_s").over(f)),
+    "MA": (["_c"], [], [], [], lambda f, d: safe_div(F.col("_c"), f.mean("_c", d) + EPS) - 1.0),
+    "STD": ([], [("_r", "_r")], [], [], lambda f, d: f.stddev("_r", d)),
+    "MAX": (["_c"], [], ["_c"], [], lambda f, d: known(f, "_c", d, safe_div(f.extreme("hi", "_c", d), F.col("_c") + EPS) - 1.0)),
+    "MIN": (["_c"], [], [], ["_c"], lambda f, d: known(f, "_c", d, safe_div(f.extreme("lo", "_c", d), F.col("_c") + EPS) - 1.0)),
+    "RANK": (["_c"], [], [], [], None),
+    "HL": (["_c"], [], ["_h"], ["_low"], lambda f, d: known(f, "_c", d, safe_div(f.extreme("hi", "_h", d) - f.extreme("lo", "_low", d), F.col("_c") + EPS))),
+    "VMA": (["_v"], [], [], [], lambda f, d: safe_div(F.col("_v"), f.mean("_v", d) + EPS) - 1.0),
+    "VSTD": ([], [("_lv", "_lv")], [], [], lambda f, d: f.stddev("_lv", d)),
+    "CORR": ([], [("_x", "_x"), ("_y", "_y"), ("_x", "_y")], [], [], lambda f, d: framed_corr(f, "_x", "_y", d)),
+    "SENT_MA": (["_s"], [], [], [], lambda f, d: f.mean("_s", d) - 0.5),
+    "SENT_STD": ([], [("_s", "_s")], [], [], lambda f, d: f.stddev("_s", d)),
 }
 
 
+def known(frames: Frames, c: str, d: int, value: Column) -> Column:
+    """``value`` where all d rows of ``c`` are known."""
+    return F.when(frames.total(c, d).isNotNull(), value)
+
+
+def framed_corr(frames: Frames, x: str, y: str, d: int) -> Column:
+    """Correlation over the last d rows; NULL where a side is constant."""
+    n = F.lit(float(d))
+    sx, sy = (F.sqrt(above_zero(frames.deviations(c, c, d)) / n) for c in (x, y))
+    return F.when((sx > TINY) & (sy > TINY), frames.deviations(x, y, d) / n / (sx * sy))
+
+
 def rolling(bars: DataFrame, names: list[str], entity: str = "entity", date: str = "date") -> DataFrame:
     """Add the named rolling features, of any window length; inputs of unused families never reach the plan."""
     w = by_entity(entity, date)
     rows = bars if "scaled_sentiment" in bars.columns else bars.withColumn("scaled_sentiment", F.lit(0.5))
     split = {n: (n.rpartition("_")[0], n.rpartition("_")[2]) for n in names}
-    out = ingredients(rows, w)
-    ranks = [int(d) for f, d in split.values() if f == "RANK"]
+    wanted: list[dict] = [{}, {}, {}, {}]
+    for family, d in split.values():
+        for need, lengths in zip(FAMILIES.get(family, ()), wanted):
+            for measure in need:
+                lengths.setdefault(measure, set()).add(int(d))
+    frames = Frames(*wanted)
+    out = frames.computed(ingredients(rows, w), w)
+    ranks = sorted({int(d) for f, d in split.values() if f == "RANK"})
     if ranks:
-        out = out.withColumn("_held", F.collect_list("_c").over(trailing(w, max(ranks))))
-    full = {(FAMILIES[f][0], int(d)) for f, d in split.values() if f in FAMILIES}
-    out = out.withColumns({f"_full{c}_{d}": F.count(c).over(trailing(w, d)) == d for c, d in sorted(full)})
+        out = lagged_counts(out, w, ranks)
     features = {}
     for name, (family, d) in split.items():
-        if family in FAMILIES:
-            counted, formula = FAMILIES[family]
-            features[name] = F.when(F.col(f"_full{counted}_{d}"), formula(trailing(w, int(d)), int(d)))
+        if family == "RANK":
+            features[name] = known(frames, "_c", int(d), rank_of(int(d), ranks))
+        elif family in FAMILIES:
+            features[name] = FAMILIES[family][-1](frames, int(d))
         elif family == "RET":
             features[name] = F.ln(safe_div(F.col("_c"), at_least(F.lag("_c", int(d)).over(w), EPS)))
         elif family == "MOM":

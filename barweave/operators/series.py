@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from barweave.functions.maths import TINY, safe_corr
+from barweave.functions.maths import TINY
 from barweave.operators.features import by_entity
-from barweave.operators.inference import lag_pairs
 from barweave.operators.ordering import last_before
 
 
@@ -114,34 +117,81 @@ def point_adjust(df: DataFrame, truth: str, pred: str, entity: str = "entity", o
     return joined.withColumn("adjusted", marked).drop("_run", "_hit")
 
 
-def positions_of(df: DataFrame, col: str, entity: str, date: str, max_t: int | None = None) -> DataFrame:
-    """Per entity: 0-based position ``t``, value ``x`` and length ``n`` (the last ``max_t`` rows when given)."""
-    own = Window.partitionBy(entity)
-    rows = df.where(F.col(col).isNotNull()).select(
-        entity, F.col(col).alias("x"), (F.row_number().over(own.orderBy(date)) - 1).alias("t"),
-        F.count(F.lit(1)).over(own).alias("n"))
-    if max_t is None:
-        return rows
-    skip = F.greatest(F.col("n") - max_t, F.lit(0))
-    return rows.where(F.col("t") >= skip).select(
-        entity, "x", (F.col("t") - skip).alias("t"), (F.col("n") - skip).alias("n"))
+def series_lists(df: DataFrame, col: str, entity: str, date: str) -> DataFrame:
+    """(entity, x): the known values of each entity in time order. A series has one value per date, so a list is bounded by the
+    calendar; the exchange carries rows once, whatever is computed from them."""
+    known = df.where(F.col(col).isNotNull()).select(F.col(entity), F.struct(F.col(date).alias("at"), F.col(col).cast("double").alias("x")).alias("_p"))
+    lists = known.groupBy(entity).agg(F.array_sort(F.collect_list("_p")).alias("_s"))
+    return lists.select(entity, F.transform("_s", lambda p: p["x"]).alias("x"))
+
+
+def per_series(lists: DataFrame, entity: str, fields: str, work: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """One row per element of what ``work`` makes of each series: columns ``fields``, as equally long arrays."""
+    schema = T.StructType([lists.schema[entity], *T.StructType.fromDDL(fields).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [work(values.values.to_numpy(zero_copy_only=False)) for values in batch.column("x")]
+            owner = pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]), pa.int64())
+            columns = [pa.array(np.concatenate([m[k] for m in made]) if made else [], arrow.field(k + 1).type) for k in range(len(arrow) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(entity).take(owner), *columns], schema=arrow)
+
+    return lists.mapInArrow(run, schema)
+
+
+def strongest(amplitude: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest, ties to earlier ones."""
+    return np.argsort(-amplitude, kind="stable")[:k]
 
 
 def dominant_periods(df: DataFrame, col: str, k: int = 2, max_t: int | None = None, entity: str = "entity",
                      date: str = "date") -> DataFrame:
     """Top ``k`` non-zero frequencies by Fourier amplitude per entity, with period n // f.
 
-    The whole series is analysed unless ``max_t`` asks for its last rows only (as a model input length would);
-    the work per entity is rows times frequencies.
+    The whole series is analysed unless ``max_t`` asks for its last rows only (as a model input length would). The transform is a
+    fast one for any length, prime ones included: n log n steps an entity.
     """
-    rows = positions_of(df, col, entity, date, max_t).withColumn("freq", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
-    turn = 2.0 * math.pi * ((F.col("freq") * F.col("t")) % F.col("n")) / F.col("n")
-    waves = rows.groupBy(entity, "n", "freq").agg(
-        F.sum(F.col("x") * F.cos(turn)).alias("_c"), F.sum(F.col("x") * F.sin(turn)).alias("_s"))
-    waves = waves.withColumn("amplitude", F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")))
-    top = Window.partitionBy(entity).orderBy(F.desc("amplitude"), "freq")
-    return waves.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select(
-        entity, "rank", "freq", F.floor(F.col("n") / F.col("freq")).alias("period"), "amplitude")
+    def spectrum(x: np.ndarray) -> list[np.ndarray]:
+        x = x if max_t is None else x[-max_t:]
+        n = len(x)
+        size = np.abs(np.fft.rfft(x - x.mean()))[1:n // 2 + 1] if n > 1 else np.zeros(0)  # the level has frequency 0 only
+        best = strongest(size, k)
+        freq = best + 1
+        return [np.arange(1, len(best) + 1), freq, n // freq, size[best]]
+
+    return per_series(series_lists(df, col, entity, date), entity, "rank int, freq int, period bigint, amplitude double", spectrum)
+
+
+#: Lags with fewer pairs than this are summed directly, where the transform's rounding would show.
+FEW = 32
+
+
+def lag_correlations(x: np.ndarray, lags: int, circular: bool) -> np.ndarray:
+    """Pearson correlation of the series with itself at lags 1..``lags``, NaN where a side is constant; from the power spectrum."""
+    n = len(x)
+    if n < 2 or lags < 1:
+        return np.zeros(0)
+    y = x - x.mean()
+    size = n if circular else 2 * n
+    power = np.abs(np.fft.rfft(y, size)) ** 2
+    shared = np.fft.irfft(power, size)[1:lags + 1]
+    if circular:
+        return np.full(lags, np.nan) if (x == x[0]).all() else np.clip(shared / (y * y).sum(), -1, 1)
+    m = n - np.arange(1, lags + 1)
+    sums, squares = np.concatenate([[0.0], np.cumsum(y)]), np.concatenate([[0.0], np.cumsum(y * y)])
+    late, early = (sums[n] - sums[n - m], squares[n] - squares[n - m]), (sums[m], squares[m])
+    spread = [np.maximum(q - s * s / m, 0.0) for s, q in (late, early)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.clip((shared - late[0] * early[0] / m) / np.sqrt(spread[0] * spread[1]), -1, 1)
+    for k in range(max(1, n - FEW), lags + 1):
+        a, b = x[k:], x[:n - k]
+        sa, sb = a.std(), b.std()
+        out[k - 1] = ((a - a.mean()) * (b - b.mean())).mean() / (sa * sb) if sa > TINY and sb > TINY else np.nan
+    changed = np.flatnonzero(x[1:] != x[:-1])
+    first, last = (changed[0] + 1, n - 1 - changed[-1]) if len(changed) else (n, n)
+    out[m <= max(first, last)] = np.nan  # the first or last m values are all the same
+    return out
 
 
 def autocorr_top_lags(df: DataFrame, col: str, max_lag: int | None = None, factor: float = 1.0, k: int | None = None,
@@ -149,17 +199,16 @@ def autocorr_top_lags(df: DataFrame, col: str, max_lag: int | None = None, facto
     """Strongest lags of each entity's autocorrelation with softmax weights.
 
     All lags from 1 to n-1 are tried unless ``max_lag`` asks for fewer; ``k`` defaults to floor(factor·ln n). ``circular``
-    wraps around the end of the series.
+    wraps around the end of the series. All lags come from one power spectrum: n log n steps an entity.
     """
-    rows = positions_of(df, col, entity, date)
-    top = F.col("n").cast("int") - 1
-    pairs = lag_pairs(rows, [entity, "n"], "t", "x", top if max_lag is None else F.least(F.lit(max_lag), top), circular)
-    acf = pairs.groupBy(entity, "n", "lag").agg(safe_corr("x", "x_lag").alias("autocorr")).where(F.col("autocorr").isNotNull())
-    # A circular series gives lags k and n-k the same value; rounding keeps the smaller one first.
-    top = Window.partitionBy(entity).orderBy(F.desc(F.round("autocorr", 9) if circular else F.col("autocorr")), "lag")
-    wanted = F.lit(k) if k is not None else F.floor(factor * F.ln(F.col("n").cast("double")))
-    kept = acf.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= wanted)
-    whole = Window.partitionBy(entity)
-    weight = F.exp(F.col("autocorr") - F.max("autocorr").over(whole))
-    return kept.withColumn("_w", weight).withColumn("weight", F.col("_w") / F.sum("_w").over(whole)).select(
-        entity, "rank", "lag", "autocorr", "weight")
+    def top(x: np.ndarray) -> list[np.ndarray]:
+        n = len(x)
+        r = lag_correlations(x, n - 1 if max_lag is None else min(max_lag, n - 1), circular)
+        lag = np.flatnonzero(~np.isnan(r))
+        # A circular series gives lags k and n-k the same value; rounding keeps the smaller one first.
+        order = np.round(r[lag], 9) if circular else np.round(r[lag], 12)
+        best = lag[strongest(order, k if k is not None else int(np.floor(factor * np.log(n))) if n else 0)]
+        weight = np.exp(r[best] - r[best].max(initial=-1.0))
+        return [np.arange(1, len(best) + 1), best + 1, r[best], weight / max(weight.sum(), 1e-300)]
+
+    return per_series(series_lists(df, col, entity, date), entity, "rank int, lag int, autocorr double, weight double", top)
