@@ -20,6 +20,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "bar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot does not compile methods beyond 8000 bytes: wide projections then run faster outside whole-stage code.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
