@@ -99,24 +99,10 @@ def ingredients(df: DataFrame, w: WindowSpec) -> DataFrame:
     return stepped.withColumns({"_x": F.when(both, F.col("_r")), "_y": F.when(both, F.col("_dlv"))})
 
 
-def rank_of(d: int, longest: list[int]) -> Column:
-    """Average-tie percentile of the current close among the last ``d``: counts of smaller and equal closes per stretch of lags."""
-    upto = [x for x in longest if x <= d]
-    less, equal = (sum((F.col(f"_{kind}{x}") for x in upto), F.lit(0)) for kind in ("less", "equal"))
-    return (less + (equal + 2) / 2.0) / float(d)
-
-
-def lagged_counts(df: DataFrame, w: WindowSpec, lengths: list[int]) -> DataFrame:
-    """For each stretch between two of ``lengths`` (sorted), how many of the closes at these lags are smaller than, or equal to, the
-    current one."""
-    lags = range(1, lengths[-1])
-    out = df.withColumns({f"_lag{j}": F.lag("_c", j).over(w) for j in lags})
-    counts, lo = {}, 1
-    for d in lengths:
-        of = lambda test: reduce(lambda a, b: a + b, [test(F.col(f"_lag{j}")).cast("int") for j in range(lo, d)], F.lit(0))
-        counts |= {f"_less{d}": of(lambda x: x < F.col("_c")), f"_equal{d}": of(lambda x: x == F.col("_c"))}
-        lo = d
-    return out.withColumns(counts).drop(*[f"_lag{j}" for j in lags])
+def rank_of(d: int) -> Column:
+    """Average-tie percentile of the current close among the last ``d`` of the held closes: smaller ones count twice, equal ones once."""
+    doubled = F.aggregate(F.slice("_held", -d, d), F.lit(1), lambda acc, x: acc + F.when(x < F.col("_c"), 2).when(x == F.col("_c"), 1).otherwise(0))
+    return doubled / (2.0 * d)
 
 
 # family -> (sums, pairs whose co-deviations, highs, lows it needs; formula over the frames and a length)
@@ -161,11 +147,11 @@ def rolling(bars: DataFrame, names: list[str], entity: str = "entity", date: str
     out = frames.computed(ingredients(rows, w), w)
     ranks = sorted({int(d) for f, d in split.values() if f == "RANK"})
     if ranks:
-        out = lagged_counts(out, w, ranks)
+        out = out.withColumn("_held", F.collect_list("_c").over(trailing(w, ranks[-1])))
     features = {}
     for name, (family, d) in split.items():
         if family == "RANK":
-            features[name] = known(frames, "_c", int(d), rank_of(int(d), ranks))
+            features[name] = known(frames, "_c", int(d), rank_of(int(d)))
         elif family in FAMILIES:
             features[name] = FAMILIES[family][-1](frames, int(d))
         elif family == "RET":

@@ -78,7 +78,7 @@ class Frames:
                     merged[self.name(kind, m, k)] = a + b + apart[0] * apart[1] / F.lit(2.0 * half)
                 else:
                     merged[self.name(kind, m, k)] = (F.greatest if kind == "hi" else F.least)(a, b)
-            out = out.withColumns(merged).drop(*[f"_was_{kind}_{m}" for kind, m in due])
+            out = out.withColumns(merged)
         return out.withColumns({self.name(kind, m, k, back): F.lag(self.name(kind, m, k), back).over(w) for kind, m, k, back in sorted(self.earlier(), key=str)})
 
     def earlier(self) -> set:
