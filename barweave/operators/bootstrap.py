@@ -1,16 +1,30 @@
-"""Stationary block bootstrap as windows and joins, reproducible under any partitioning."""
+"""Stationary block bootstrap, reproducible under any partitioning.
+
+A cell's series, one value per date, travels once as a list. A replicate is a sequence of blocks: starts are uniform, lengths
+geometric, both read from one hash of (seed, cell, replicate, block), so a lost task redraws the same numbers. Sums over a block
+are differences of prefix sums, so a replicate costs one step a block and not one a row. Replicates are dealt over tasks in chunks
+of a cell: neither the number of cells nor the longest one limits how many tasks share the work.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from barweave.functions.maths import TINY, hash_uniform, let
-from barweave.operators.inference import lag_pairs
-from barweave.operators.metrics import periods, sharpe
+from barweave.functions.maths import TINY, let
+from barweave.operators.metrics import periods
 
 N_HARD, N_WARN, N_REPLICATES = 6, 12, 100
 QUIET_RUN = 5
+CHUNK = 100
 
 
 def indexed(ts: DataFrame, keys: list[str], cols: list[str], order: str = "row_idx") -> DataFrame:
@@ -29,130 +43,201 @@ def pair_arms(a: DataFrame, b: DataFrame, keys: list[str], col: str = "net", ord
     return both.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def default_block() -> Column:
-    """max(2, n^(1/3)); 2 below four rows."""
-    return F.when(F.col("n") < 4, 2.0).otherwise(F.greatest(F.lit(2.0), F.pow(F.col("n").cast("double"), 1.0 / 3.0)))
+def pair_columns(ts: DataFrame, keys: list[str], arm: str, first: str, second: str, col: str = "net", order: str = "row_idx") -> DataFrame:
+    """``pair_arms`` of two values of the column ``arm`` of one frame, which is read once."""
+    rows = indexed(ts.where(F.col(arm).isin(first, second)), [*keys, arm], [col], order)
+    side = lambda v: F.max(F.when(F.col(arm) == v, F.col(col)))
+    both = rows.groupBy(*keys, "i").agg(side(first).alias("a"), side(second).alias("b")).dropna(subset=["a", "b"])
+    return both.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def block_length(ts: DataFrame, keys: list[str], col: str = "net", order: str = "row_idx", automatic: bool = False) -> DataFrame:
-    """Expected block length per cell: the cube-root rule or the Politis-White plug-in.
+# ---- one row per cell ------------------------------------------------------------------
 
-    The plug-in finds the first run of insignificant autocorrelations, uses lags up to twice its start
-    under a flat-top window, and falls back to the cube-root rule below 2.
-    """
-    rows = indexed(ts, keys, [col], order)
-    size = rows.groupBy(*keys).agg(F.first("n").alias("n"))
-    if not automatic:
-        return size.withColumn("block", default_block())
-    n = F.col("n").cast("double")
-    whole = Window.partitionBy(*keys)
-    centred = rows.withColumn("_x", F.col(col) - F.avg(col).over(whole))
-    reach = F.least(F.ceil(F.sqrt(n)).cast("int") + QUIET_RUN, F.col("n").cast("int") - 1)
-    pairs = lag_pairs(centred, [*keys, "n"], "i", "_x", reach)
-    acov = pairs.groupBy(*keys, "n", "lag").agg((F.sum(F.col("x") * F.col("x_lag")) / n).alias("_c"))
-    var = centred.groupBy(*keys).agg(F.avg(F.col("_x") * F.col("_x")).alias("_c0"))
-    lags = acov.join(var, keys)
-    quiet = F.abs("_c") < 2.0 * F.sqrt(F.log10(n) / n) * F.col("_c0")
-    run = Window.partitionBy(*keys).orderBy("lag").rowsBetween(0, QUIET_RUN - 1)
-    lags = lags.withColumn("_calm", F.count_if(quiet).over(run) == QUIET_RUN)
-    cut = lags.groupBy(*keys).agg(F.min(F.when(F.col("_calm"), F.col("lag"))).alias("_first"), F.max("lag").alias("_top"))
-    m = F.least(F.coalesce(2 * F.col("_first"), F.col("_top")), F.col("_top"))
-    taper = F.col("lag") / F.col("_m")
-    weight = F.when(taper <= 0.5, 1.0).otherwise(2.0 * (1.0 - taper))
-    sums = lags.join(cut.withColumn("_m", m), keys).where(F.col("lag") <= F.col("_m")).groupBy(*keys).agg(
-        F.first("_c0").alias("_c0"), (2.0 * F.sum(weight * F.col("lag") * F.col("_c"))).alias("_g"),
-        (2.0 * F.sum(weight * F.col("_c"))).alias("_s"))
-    spectral = F.col("_c0") + F.col("_s")
-    raw = F.pow(F.abs(F.col("_g") * F.col("_g") / (spectral * spectral)) * n, 1.0 / 3.0)
-    bound = F.ceil(F.least(3.0 * F.sqrt(n), n / 3.0))
-    best = F.when(F.abs(spectral) > TINY, F.least(raw, bound.cast("double")))
-    return size.join(sums, keys, "left").select(
-        *keys, "n", F.when((F.col("n") >= 4) & (best >= 2.0), best).otherwise(default_block()).alias("block"))
-
-
-def resample(rows: DataFrame, keys: list[str], n_boot: int, seed: int, block: str = "block", name: Column | None = None) -> DataFrame:
-    """Resampled positions: ``rep, i, pick`` for every cell, replicate and position.
-
-    Position 0 and every restart (probability 1/block) draw a new position, the others continue the
-    block. Draws are hashes of (seed, cell, replicate, position), so a lost task redraws the same
-    numbers. Work is keyed by (cell, replicate): many small groups, no long ones.
-    """
-    cell = name if name is not None else F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    grid = rows.select(*keys, "i", "n", block, cell.alias("_cell")).withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    restart = (F.col("i") == 0) | (hash_uniform(F.lit(seed), "_cell", "rep", "i", F.lit("r")) < 1.0 / F.col(block))
-    drawn = F.floor(hash_uniform(F.lit(seed), "_cell", "rep", "i", F.lit("p")) * F.col("n"))
-    start = F.when(restart, F.struct(F.col("i").alias("at"), drawn.alias("pos")))
-    w = Window.partitionBy(*keys, "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    last = grid.withColumn("_s", F.last(start, ignorenulls=True).over(w))
-    return last.select(*keys, "rep", "i", ((F.col("_s.pos") + F.col("i") - F.col("_s.at")) % F.col("n")).alias("pick"))
-
-
-def replicate_sharpes(rows: DataFrame, keys: list[str], values: list[str], n_boot: int, seed: int,
-                      horizon: str = "horizon", block: str = "block") -> DataFrame:
-    """Sharpe of every value column per (cell, replicate); all columns share the draws of ``resample``.
-
-    A cell's series, one value per date, travels once as a list. Each replicate walks its draws in a fold over that list, so
-    nothing is shuffled by replicate; sums are taken around the cell's mean.
-    """
-    entry = F.struct("i", *[F.col(v).cast("double").alias(v) for v in values])
-    lists = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("_s"), F.first("n").alias("_n"), F.first(block).alias("_b"),
-        F.first(periods(horizon)).alias("_periods"), *[F.avg(v).alias(f"_m_{v}") for v in values])
-    cell = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    reps = lists.withColumn("_cell", cell).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), *[
-        x for v in values for x in (F.lit(0.0).alias(f"s_{v}"), F.lit(0.0).alias(f"q_{v}"), F.lit(float("inf")).alias(f"lo_{v}"), F.lit(float("-inf")).alias(f"hi_{v}"))])
+def series_of(rows: DataFrame, keys: list[str], values: list[str], carry: dict[str, Column] = {}, order: str = "i") -> DataFrame:
+    """keys, n, one list a value column (``v_``), in order, and what ``carry`` aggregates."""
+    entry = F.struct(F.col(order).alias("_at"), *[F.col(v).cast("double").alias(v) for v in values])
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_s"), *[c.alias(n) for n, c in carry.items()])
+    return lists.select(*keys, F.size("_s").cast("long").alias("n"), *[F.col(f"_s.{v}").alias(f"v_{v}") for v in values], *carry)
 
-    def walk(acc: Column, i: Column) -> Column:
-        restart = (i == 0) | (hash_uniform(F.lit(seed), "_cell", "rep", i, F.lit("r")) < 1.0 / F.col("_b"))
-        drawn = F.floor(hash_uniform(F.lit(seed), "_cell", "rep", i, F.lit("p")) * F.col("_n"))
-        return F.when(restart, drawn).otherwise((acc["pos"] + 1) % F.col("_n"))
 
-    def step(acc: Column, i: Column) -> Column:
-        def add(pos: Column) -> Column:
-            row = F.get("_s", pos.cast("int"))
-            parts = []
-            for v in values:
-                x, d = row[v], row[v] - F.col(f"_m_{v}")
-                parts += [(acc[f"s_{v}"] + d).alias(f"s_{v}"), (acc[f"q_{v}"] + d * d).alias(f"q_{v}"),
-                          F.least(acc[f"lo_{v}"], x).alias(f"lo_{v}"), F.greatest(acc[f"hi_{v}"], x).alias(f"hi_{v}")]
-            return F.struct(pos.cast("bigint").alias("pos"), *parts)
+def cell_name(keys: list[str]) -> Column:
+    return F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
 
-        return let(walk(acc, i), add)
 
-    walked = reps.withColumn("_w", F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), zero, step))
+def cube_root_block(n: int) -> float:
+    """max(2, n^(1/3)); 2 below four rows."""
+    return 2.0 if n < 4 else max(2.0, n ** (1.0 / 3.0))
+
+
+def plug_in_block(x: np.ndarray) -> float:
+    """Politis-White plug-in: lags up to twice the start of the first run of insignificant autocovariances, under a flat-top
+    window; the cube-root rule where the result is below 2 or the long-run variance vanishes."""
+    n = len(x)
+    if n < 4:
+        return cube_root_block(n)
+    dev = x - x.mean()
+    top = min(math.ceil(math.sqrt(n)) + QUIET_RUN, n - 1)
+    acov = np.array([dev[k:] @ dev[:n - k] for k in range(top + 1)]) / n
+    quiet = np.abs(acov[1:]) < 2.0 * math.sqrt(math.log10(n) / n) * acov[0]
+    calm = np.flatnonzero(np.convolve(quiet, np.ones(QUIET_RUN, int), "valid") == QUIET_RUN) if top >= QUIET_RUN else np.zeros(0, int)
+    m = min(2 * (int(calm[0]) + 1), top) if len(calm) else top
+    lag = np.arange(1, m + 1)
+    flat_top = np.minimum(1.0, 2.0 * (1.0 - lag / m))
+    long_run = acov[0] + 2.0 * (flat_top @ acov[1:m + 1])
+    slope = 2.0 * (flat_top @ (lag * acov[1:m + 1]))
+    if abs(long_run) <= TINY:
+        return cube_root_block(n)
+    best = min(((slope / long_run) ** 2 * n) ** (1.0 / 3.0), math.ceil(min(3.0 * math.sqrt(n), n / 3.0)))
+    return float(best) if best >= 2.0 else cube_root_block(n)
+
+
+def with_cell_block(lists: DataFrame, values: list[str], block: float | str | None) -> DataFrame:
+    """``lists`` with the expected block length: the cube-root rule (None), a number, or "auto", the mean of the plug-in lengths of
+    the value columns."""
+    if block != "auto":
+        root = F.when(F.col("n") < 4, 2.0).otherwise(F.greatest(F.lit(2.0), F.pow(F.col("n").cast("double"), 1.0 / 3.0)))
+        return lists.withColumn("block", root if block is None else F.lit(max(2.0, float(block))))
+    schema = T.StructType([*lists.schema.fields, T.StructField("block", T.DoubleType())])
+    names = schema.names
 
-    def ratio(v: str) -> Column:
-        n, s = F.col("_n"), F.col(f"_w.s_{v}")
-        sd = F.sqrt(F.greatest(F.col(f"_w.q_{v}") - s * s / n, F.lit(0.0)) / (n - 1))
-        moves = (n >= 2) & (F.col(f"_w.hi_{v}") > F.col(f"_w.lo_{v}"))
-        return F.when(moves, F.when(sd >= TINY, (F.col(f"_m_{v}") + s / n) / sd * F.sqrt("_periods")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[plug_in_block(x.values.to_numpy(zero_copy_only=False)) for x in batch.column(f"v_{v}")] for v in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.mean(found, axis=0), pa.float64())], names=names)
 
-    return walked.select(*keys, "rep", *[ratio(v).alias(f"s_{v}") for v in values])
+    return lists.mapInArrow(run, schema)
 
 
-def point_sharpes(rows: DataFrame, keys: list[str], values: list[str], horizon: str = "horizon") -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("block").alias("block"), *[sharpe(v, horizon).alias(f"point_{v}") for v in values])
+def block_length(ts: DataFrame, keys: list[str], col: str = "net", order: str = "row_idx", automatic: bool = False) -> DataFrame:
+    """Expected block length per cell: the cube-root rule or the Politis-White plug-in."""
+    lists = series_of(indexed(ts, keys, [col], order), keys, [col])
+    return with_cell_block(lists, [col], "auto" if automatic else None).select(*keys, "n", "block")
 
 
 def with_block(rows: DataFrame, block: float | str | None, keys: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
-    """Expected block length of each cell: the cube-root rule (None), a number, or "auto", the mean of the plug-in lengths of
-    the value columns."""
+    """Rows with the block length of their cell; see ``with_cell_block``."""
     if block != "auto":
-        return rows.withColumn("block", default_block() if block is None else F.lit(max(2.0, float(block))))
-    for v in values:
-        rows = rows.join(block_length(rows, keys, v, "i", automatic=True).select(*keys, F.col("block").alias(f"_block_{v}")), keys)
-    mean = sum((F.col(f"_block_{v}") for v in values), F.lit(0.0)) / len(values)
-    return rows.withColumn("block", mean).drop(*[f"_block_{v}" for v in values])
+        return with_cell_block(rows, [], block)
+    of_cell = with_cell_block(series_of(rows, keys, values), values, block).select(*keys, "block")
+    return rows.join(of_cell, keys)
+
+
+# ---- replicates ------------------------------------------------------------------------
+
+def block_draws(seed: int, cell: str, rep: int, n: int, block: float) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of one replicate's blocks; lengths add up to n."""
+    starts, lengths, left, j = [], [], n, 0
+    shrink = math.log(1.0 - 1.0 / block)
+    while left > 0:
+        digest = hashlib.md5(f"{seed}|{cell}|{rep}|{j}".encode()).hexdigest()
+        size = min(left, 1 + math.floor(math.log(1.0 - int(digest[:8], 16) / 4294967296.0) / shrink))
+        starts.append(int(int(digest[8:16], 16) / 4294967296.0 * n))
+        lengths.append(size)
+        left, j = left - size, j + 1
+    return np.array(starts), np.array(lengths)
+
+
+class Circle:
+    """A series closed to a circle: sums over arcs, and whether an arc is constant."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.mean = x, x.mean()
+        dev = np.concatenate([x, x]) - self.mean
+        self.sums, self.squares = (np.concatenate([[0.0], np.cumsum(d)]) for d in (dev, dev * dev))
+        change = np.flatnonzero(x != np.roll(x, -1))  # an arc from i is constant up to the next change
+        self.run = np.full(len(x), len(x) + 1) if not len(change) else (
+            np.concatenate([change, change + len(x)])[np.searchsorted(change, np.arange(len(x)))] - np.arange(len(x)) + 1)
+
+    def sharpe(self, starts: np.ndarray, lengths: np.ndarray, per_year: float) -> float | None:
+        """Annualised Sharpe of the arcs' values put together; None where they do not vary."""
+        n = len(self.x)
+        if n < 2 or ((lengths <= self.run[starts]).all() and (self.x[starts] == self.x[starts[0]]).all()):
+            return None
+        s = (self.sums[starts + lengths] - self.sums[starts]).sum()
+        q = (self.squares[starts + lengths] - self.squares[starts]).sum()
+        sd = math.sqrt(max(q - s * s / n, 0.0) / (n - 1))
+        return float((self.mean + s / n) / sd * math.sqrt(per_year)) if sd >= TINY else None
+
+
+def replicated(lists: DataFrame, keys: list[str], values: list[str], n_boot: int, seed: int, usable: Column | None = None) -> DataFrame:
+    """Every cell row of ``lists`` (n, block, per_year, v_ lists) once per replicate, with ``rep`` and the Sharpe ``s_`` of each value; a
+    cell that is not ``usable`` once, with NULL."""
+    chunks = F.when(F.lit(True) if usable is None else usable, F.sequence(F.lit(0), F.lit(max(n_boot - 1, 0)), F.lit(CHUNK))).otherwise(F.array(F.lit(-1)))
+    dealt = lists.withColumns({"_cell": cell_name(keys), "_first": F.explode(chunks)}).repartition(*keys, "_first")
+    kept = [f for f in lists.schema if not f.name.startswith("v_")]
+    schema = T.StructType([*kept, T.StructField("rep", T.IntegerType()), *[T.StructField(f"s_{v}", T.DoubleType()) for v in values]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, block, year, cell, first = (batch.column(c).to_pylist() for c in ("n", "block", "per_year", "_cell", "_first"))
+            for i in range(batch.num_rows):
+                reps = range(first[i], min(first[i] + CHUNK, n_boot)) if first[i] >= 0 else [None]
+                circles = [Circle(batch.column(f"v_{v}")[i].values.to_numpy(zero_copy_only=False)) for v in values]
+                drawn = [block_draws(seed, cell[i], r, n[i], block[i]) if r is not None else None for r in reps]
+                sharpes = [[c.sharpe(*d, year[i]) if d else None for d in drawn] for c in circles]
+                same = pa.array([i] * len(reps), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(same) for f in kept), pa.array(list(reps), pa.int32()),
+                                                  *(pa.array(x, pa.float64()) for x in sharpes)], schema=arrow)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def point_of(v: str) -> Column:
+    """Sharpe of a list ``v_`` under ``per_year``."""
+    x, n = F.col(f"v_{v}"), F.col("n")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+
+    def around(mean: Column) -> Column:
+        sd = F.sqrt(total(F.transform(x, lambda e: (e - mean) * (e - mean))) / F.greatest(n - 1, F.lit(1)))
+        return let(sd, lambda s: F.when(s >= TINY, mean / s * F.sqrt("per_year")))
+
+    return F.when((n >= 2) & (F.array_max(x) > F.array_min(x)), let(total(x) / n, around))
+
+
+def cells_of(rows: DataFrame, keys: list[str], values: list[str], block: float | str | None, horizon: str) -> DataFrame:
+    """One row per cell: n, block, per_year, lists and the point Sharpes ``point_``."""
+    carry = {"per_year": F.first(periods(horizon))}
+    if "block" in rows.columns:
+        lists = series_of(rows, keys, values, {**carry, "block": F.first("block")})
+    else:
+        lists = with_cell_block(series_of(rows, keys, values, carry), values, block)
+    return lists.withColumns({f"point_{v}": point_of(v) for v in values})
+
+
+def resample(rows: DataFrame, keys: list[str], n_boot: int, seed: int, block: str = "block") -> DataFrame:
+    """Resampled positions: ``rep, i, pick`` for every cell, replicate and position."""
+    cells = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.first(block).alias("block")).withColumns(
+        {"_cell": cell_name(keys), "rep": F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))})
+    kept = [cells.schema[k] for k in keys]
+    schema = T.StructType([*kept, T.StructField("rep", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("pick", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, size, cell, rep = (batch.column(c).to_pylist() for c in ("n", "block", "_cell", "rep"))
+            for i in range(batch.num_rows):
+                starts, lengths = block_draws(seed, cell[i], rep[i], n[i], size[i])
+                place = np.arange(n[i])
+                pick = (np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + place) % n[i]
+                same = pa.array([i] * n[i], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(same) for f in kept), batch.column("rep").take(same).cast(pa.int32()),
+                                                  pa.array(place), pa.array(pick)], schema=arrow)
+
+    return cells.mapInArrow(run, schema)
+
+
+def replicate_sharpes(rows: DataFrame, keys: list[str], values: list[str], n_boot: int, seed: int, horizon: str = "horizon") -> DataFrame:
+    """Sharpe of every value column per (cell, replicate); all columns share the draws of ``resample``."""
+    cells = cells_of(rows, keys, values, None, horizon)
+    return replicated(cells, keys, values, n_boot, seed).select(*keys, "rep", *[f"s_{v}" for v in values])
 
 
 def stationary_bootstrap(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float | str | None = None,
                          seed: int = 42, col: str = "net", horizon: str = "horizon") -> DataFrame:
     """Sharpe per (cell, replicate)."""
-    rows = with_block(indexed(ts, keys, [col]), block, keys, [col])
-    return replicate_sharpes(rows, keys, [col], n_boot, seed, horizon)
+    cells = cells_of(indexed(ts, keys, [col]), keys, [col], block, horizon)
+    return replicated(cells, keys, [col], n_boot, seed).select(*keys, "rep", f"s_{col}")
 
 
 def percentiles(col: str, name: str) -> list[Column]:
@@ -163,16 +248,15 @@ def percentiles(col: str, name: str) -> list[Column]:
 def sharpe_ci(ts: DataFrame, keys: list[str], n_boot: int = 2000, block: float | str | None = None, seed: int = 42,
               force: bool = False, col: str = "net", horizon: str = "horizon") -> DataFrame:
     """Percentile interval, standard error and the point's own percentile; cells below six rows are refused."""
-    rows = with_block(indexed(ts, keys, [col]), block, keys, [col])
-    point = point_sharpes(rows, keys, [col], horizon)
-    status = F.when(F.col("n") < N_HARD, "refused").when(F.col("n") < N_WARN, "small").otherwise("ok")
-    usable = rows if force else rows.where(F.col("n") >= N_HARD)
-    reps = replicate_sharpes(usable, keys, [col], n_boot, seed, horizon).join(point.select(*keys, f"point_{col}"), keys)
+    cells = cells_of(indexed(ts, keys, [col]), keys, [col], block, horizon)
+    reps = replicated(cells, keys, [col], n_boot, seed, None if force else F.col("n") >= N_HARD)
+    point, drawn = F.col(f"point_{col}"), F.col(f"s_{col}")
     # A replicate equal to the point up to summation order is not below it.
-    below = F.avg((F.col(f"s_{col}") < F.col(f"point_{col}") - 1e-9).cast("double")) * 100.0
+    below = F.avg((drawn < point - 1e-9).cast("double")) * 100.0
     ci = reps.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("block").alias("block"), F.first(point).alias(f"point_{col}"),
         *percentiles(f"s_{col}", "sharpe"), F.stddev_samp(f"s_{col}").alias("boot_se"), below.alias("point_percentile"))
-    return point.join(ci, keys, "left").withColumn("status", status)
+    return ci.withColumn("status", F.when(F.col("n") < N_HARD, "refused").when(F.col("n") < N_WARN, "small").otherwise("ok"))
 
 
 def paired_bootstrap(pairs: DataFrame, keys: list[str], n_boot: int = 2000, block: float | str | None = None,
@@ -181,15 +265,14 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], n_boot: int = 2000, bloc
 
     ``studentized`` adds the interval of (diff - point)/se reflected around the point (from 100 replicates on).
     """
-    rows = pairs if "block" in pairs.columns else with_block(pairs, block, keys, ["a", "b"])
-    point = point_sharpes(rows, keys, ["a", "b"], horizon).withColumn("point_diff", F.col("point_a") - F.col("point_b"))
-    reps = replicate_sharpes(rows, keys, ["a", "b"], n_boot, seed, horizon).dropna(subset=["s_a", "s_b"])
-    reps = reps.withColumn("s_diff", F.col("s_a") - F.col("s_b"))
-    ci = reps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_valid"), *percentiles("s_a", "a"), *percentiles("s_b", "b"),
-        *percentiles("s_diff", "diff"), F.avg((F.col("s_diff") <= 0).cast("double")).alias("p_one_sided"),
-        F.stddev_samp("s_diff").alias("se_diff"))
-    out = point.join(ci, keys, "left")
+    cells = cells_of(pairs, keys, ["a", "b"], block, horizon)
+    reps = replicated(cells, keys, ["a", "b"], n_boot, seed)
+    both = F.col("s_a").isNotNull() & F.col("s_b").isNotNull()
+    reps = reps.withColumns({"s_a": F.when(both, F.col("s_a")), "s_b": F.when(both, F.col("s_b"))}).withColumn("s_diff", F.col("s_a") - F.col("s_b"))
+    out = reps.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("n", "block", "point_a", "point_b")], F.first(F.col("point_a") - F.col("point_b")).alias("point_diff"),
+        F.when(F.count("s_diff") > 0, F.count("s_diff")).alias("n_valid"), *percentiles("s_a", "a"), *percentiles("s_b", "b"), *percentiles("s_diff", "diff"),
+        F.avg((F.col("s_diff") <= 0).cast("double")).alias("p_one_sided"), F.stddev_samp("s_diff").alias("se_diff"))
     if not studentized:
         return out
     # Quantiles of (diff - point)/se are those of diff, shifted and scaled, so the reflected interval needs no second pass.

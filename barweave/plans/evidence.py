@@ -128,25 +128,18 @@ def five(spark, sf_dir) -> DataFrame:
     return pf.non_overlap(portfolio(test_panel(spark, sf_dir), [5]))
 
 
-def saved_five(spark, sf_dir) -> DataFrame:
-    """The same, written out: resampling reads the short series several times."""
-    return cut_lineage(five(spark, sf_dir))
-
-
-def uniform_sql(seed: int, tag: str) -> str:
-    return f"(('0x' || substr(md5('{seed}|' || cell || '|' || rep || '|' || i || '|{tag}'), 1, 8))::UBIGINT / 4294967296.0)"
-
-
 def resample_sql(source: str, keys: list[str], values: list[str], reps: int, seed: int, horizon: str = "horizon") -> str:
+    """Blocks by one md5 each: eight hex digits for the geometric length, eight for the start; cut where the lengths reach n."""
     k = ", ".join(keys)
     cell = " || '/' || ".join(keys)
+    digits = lambda at: f"(('0x' || substr(h, {at}, 8))::UBIGINT / 4294967296.0)"
     sharpes = ", ".join(f"{sharpe_sql('r.' + v, 'max(r.' + horizon + ')')} AS s_{v}" for v in values)
-    return f"""drawn AS (SELECT {k}, rep, i, n, last_value(CASE WHEN restart THEN i END IGNORE NULLS) OVER o AS at, last_value(CASE WHEN restart THEN pos END IGNORE NULLS) OVER o AS pos FROM (
-    SELECT *, i = 0 OR {uniform_sql(seed, 'r')} < 1.0 / block AS restart, CAST(floor({uniform_sql(seed, 'p')} * n) AS BIGINT) AS pos FROM (
-      SELECT {k}, i, n, block, rep, {cell} AS cell FROM {source}, (SELECT unnest(generate_series(0, {reps - 1})) AS rep) g) a) b
-  WINDOW o AS (PARTITION BY {k}, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    return f"""cut AS (SELECT {k}, rep, n, pos, len, CAST(coalesce(sum(len) OVER (PARTITION BY {k}, rep ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS done FROM (
+    SELECT *, 1 + CAST(floor(ln(1.0 - {digits(1)}) / ln(1.0 - 1.0 / block)) AS BIGINT) AS len, CAST(floor({digits(9)} * n) AS BIGINT) AS pos FROM (
+      SELECT {k}, i AS j, n, block, rep, md5('{seed}|' || {cell} || '|' || rep || '|' || i) AS h FROM {source}, (SELECT unnest(generate_series(0, {reps - 1})) AS rep) g) a) b),
+drawn AS (SELECT {k}, rep, (pos + unnest(generate_series(0, least(len, n - done) - 1))) % n AS pick FROM cut WHERE done < n),
 boot AS MATERIALIZED (SELECT {', '.join('d.' + x for x in keys)}, d.rep, {sharpes} FROM drawn d JOIN {source} r
-  ON {' AND '.join(f'd.{x} = r.{x}' for x in keys)} AND r.i = (d.pos + d.i - d.at) % d.n GROUP BY {', '.join('d.' + x for x in keys)}, d.rep)"""
+  ON {' AND '.join(f'd.{x} = r.{x}' for x in keys)} AND r.i = d.pick GROUP BY {', '.join('d.' + x for x in keys)}, d.rep)"""
 
 
 BOOT = resample_sql("rets", CELL, ["net"], REPS, 42)
@@ -154,7 +147,7 @@ BOOT = resample_sql("rets", CELL, ["net"], REPS, 42)
 
 @query("stationary_bootstrap", f"{CELL_SPEC} rep:i s_net:f", "SELECT * FROM boot", [*FIVE_CTES, RETURNS, BOOT])
 def stationary_bootstrap(spark, sf_dir):
-    return bs.stationary_bootstrap(saved_five(spark, sf_dir), CELL, REPS)
+    return bs.stationary_bootstrap(five(spark, sf_dir), CELL, REPS)
 
 
 @query("block_length", f"{CELL_SPEC} n:i block:f", f"SELECT DISTINCT {CELLS}, n, block FROM rets", [*FIVE_CTES, RETURNS])
@@ -179,7 +172,7 @@ AUTO = """auto AS MATERIALIZED (SELECT strategy, horizon, fold, n, CASE WHEN n >
 
 @query("block_length_automatic", f"{CELL_SPEC} n:i block:f", "SELECT * FROM auto", [*FIVE_CTES, RETURNS, PW, AUTO])
 def block_length_automatic(spark, sf_dir):
-    return bs.block_length(saved_five(spark, sf_dir), CELL, automatic=True)
+    return bs.block_length(five(spark, sf_dir), CELL, automatic=True)
 
 
 def quantiles_sql(v: str, name: str) -> str:
@@ -196,7 +189,7 @@ AUTO_BOOT = resample_sql("blocked", CELL, ["net"], REPS, 42)
   SELECT {CELLS}, {quantiles_sql('s_net', 'sharpe')}, stddev_samp(s_net) AS boot_se, avg(CASE WHEN s_net < point_net - 1e-9 THEN 1.0::DOUBLE WHEN s_net IS NULL THEN NULL ELSE 0 END) * 100 AS point_percentile
   FROM boot JOIN point USING (strategy, horizon, fold) WHERE n >= 6 GROUP BY {CELLS}) b USING (strategy, horizon, fold)""", [*FIVE_CTES, RETURNS, PW, AUTO, BLOCKED, AUTO_BOOT, POINT])
 def sharpe_ci(spark, sf_dir):
-    return bs.sharpe_ci(saved_five(spark, sf_dir), CELL, REPS, "auto")
+    return bs.sharpe_ci(five(spark, sf_dir), CELL, REPS, "auto")
 
 
 HF = ["horizon", "fold"]
@@ -216,9 +209,7 @@ PAIRED = f"""paired AS (SELECT *, point_a - point_b AS point_diff FROM (
 
 
 def arm_pairs(spark, sf_dir) -> DataFrame:
-    ts = saved_five(spark, sf_dir)
-    arm = lambda s: ts.where(F.col("strategy") == s)
-    return bs.pair_arms(arm("xs_momentum"), arm("xs_reversal"), HF)
+    return bs.pair_columns(five(spark, sf_dir), HF, "strategy", "xs_momentum", "xs_reversal")
 
 
 @query("paired_bootstrap", "horizon:i fold:s n:i n_valid:i point_a:f point_b:f point_diff:f a_lo:f a_md:f a_hi:f b_lo:f b_md:f b_hi:f diff_lo:f diff_md:f diff_hi:f p_one_sided:f",
