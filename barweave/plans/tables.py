@@ -63,7 +63,12 @@ def scan_prices(spark, sf_dir):
     path = scratch_path(spark, "prices")
     raw = bars(spark, sf_dir).select("entity", F.col("volume").alias("Volume"), F.lit("x").alias("note"), F.col("adj_close").alias("Adj Close"),
                                      F.col("close").alias("Close"), "low", "high", "open", F.col("date").alias("Date"))
-    raw.repartition("entity").write.partitionBy("entity").option("header", True).csv(path)
+    layouts = [raw.columns, list(reversed(raw.columns)), ["date", "entity", "open", "high", "low", "Close", "Adj Close", "Volume"]]
+    for k, names in enumerate(layouts):
+        # Three header orders among the files of one folder, one of them without the unused column.
+        renamed = raw.withColumnRenamed("Date", "date") if "date" in names else raw
+        part = renamed.where(F.col("entity") % len(layouts) == k).select(*names)
+        part.repartition("entity").write.mode("append").partitionBy("entity").option("header", True).csv(path)
     out = read_prices(spark, path, stem=r"entity=([^/]+)/")
     return out.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.functions.text import norm_symbol
+from barweave.sources.csv_files import read_by_header
 
 # Column names of the raw files and their names here.
 NEWS_COLUMNS = {"Date": "ts", "Stock_symbol": "entity", "Article_title": "title", "Article": "body",
@@ -27,30 +28,10 @@ def to_utc(text: Column) -> Column:
     return F.try_to_timestamp(cleaned)
 
 
-def by_name(raw: DataFrame, wanted: dict[str, str], optional: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of ``wanted`` (file name -> name here), found by header whatever their order, case or outer blanks; other
-    columns are left out. A missing required column is an error, a missing optional one is NULL."""
-    found = {}
-    for c in raw.columns:
-        found.setdefault(c.strip().lower(), c)
-    missing = [c for c in wanted if c.lower() not in found and c not in optional]
-    if missing:
-        raise ValueError(f"no column {', '.join(missing)} among {', '.join(raw.columns)}")
-    quoted = lambda c: F.col("`" + found[c.lower()].replace("`", "``") + "`")
-    return raw.select(*[(quoted(c) if c.lower() in found else F.lit(None).cast("string")).alias(n) for c, n in wanted.items()])
-
-
-def csv_texts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """CSV with a header, every column as text."""
-    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("recursiveFileLookup", True).csv(path)
-
-
 def read_news(spark: SparkSession, path: str, trimmed: bool = True) -> DataFrame:
-    """News CSV with quoted multi-line bodies, columns by header name; rows with an unreadable date or no symbol are dropped.
-
-    A quoted line end makes a CSV file unsplittable: keep news in many files, or store them with ``stage_news`` once.
-    """
-    return news_rows(by_name(csv_texts(spark, path, True), NEWS_COLUMNS, ("Url", "Publisher", "Article_title")), trimmed)
+    """News CSV with quoted multi-line bodies, columns by each file's header; rows with an unreadable date or no symbol are dropped.
+    A single large file is read by many tasks."""
+    return news_rows(read_by_header(spark, path, NEWS_COLUMNS, ("Url", "Publisher", "Article_title"), multi_line=True).drop("_file"), trimmed)
 
 
 def news_rows(raw: DataFrame, trimmed: bool = True) -> DataFrame:
@@ -64,12 +45,12 @@ def stage_news(spark: SparkSession, path: str, out: str, parts: int) -> DataFram
 
 
 def read_prices(spark: SparkSession, path: str, stem: str = r"([^/]+)\.[^./]+$") -> DataFrame:
-    """Per-entity price files as one table, columns by header name; the entity is the upper-cased file stem.
+    """Per-entity price files as one table, columns by each file's own header; the entity is the upper-cased file stem.
 
-    ``stem`` extracts it from the path, e.g. ``entity=([^/]+)/`` for folder layouts. All files share one header.
+    ``stem`` extracts it from the path, e.g. ``entity=([^/]+)/`` for folder layouts.
     """
-    raw = csv_texts(spark, path).withColumn("_entity", F.upper(F.regexp_extract(F.col("_metadata.file_path"), stem, 1)))
-    rows = by_name(raw, {**{c: c.replace(" ", "_") for c in PRICE_COLUMNS}, "_entity": "entity"}, ("adj close",))
+    raw = read_by_header(spark, path, {c: c.replace(" ", "_") for c in PRICE_COLUMNS}, ("adj close",))
+    rows = raw.withColumn("entity", F.upper(F.regexp_extract("_file", stem, 1))).drop("_file")
     numbers = {c.replace(" ", "_"): F.col(c.replace(" ", "_")).try_cast("double") for c in PRICE_COLUMNS if c != "date"}
     return rows.withColumns(numbers).withColumn("date", F.to_date(to_utc(F.col("date")))).dropna(subset=["date"])
 
