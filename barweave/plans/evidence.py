@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +17,19 @@ from barweave.operators import metrics as mt
 from barweave.operators import portfolio as pf
 from barweave.operators import report as rp
 from barweave.operators import risk as rk
+from barweave.operators.evaluate import COST_METRICS, evaluate_cells
 from barweave.plans.fixtures import (
-    ARTICLES, BARS, CELL, FOLD_ROWS, PANEL_CTES, SAMPLES, SIGNAL_CTES, VAL_CTES, bars, score_events, signals, table, test_panel, val_panel,
+    ARTICLES, BARS, CELL, FOLD_ROWS, FOLDS, PANEL_CTES, SAMPLES, SIGNAL_CTES, VAL_CTES, bars, score_events, signals, table, test_panel, val_panel,
 )
 from barweave.plans.registry import query
 from barweave.plans.rolling import W, sql_corr
 from barweave.plans.selection import BLOCK_AGGS, BLOCK_FAILURES
 from barweave.plans.trading import (
-    BY_SERIES, CELL_SPEC, CELLS, COSTED, COST_TABLE, GRID, NET, PORT_CTES, PREDICTED, RANKED, ROWS, SERIES, SWEPT, VAL_PORT_CTES,
+    BY_SERIES, CELL_SPEC, CELLS, COSTED, COST_TABLE, GRID, LONG_POS, NET, PORT, PORT_CTES, POS, PREDICTED, RANKED, ROWS, SERIES, SWEPT, VAL_PORT_CTES, VAL_SIDE,
     cost_rows, gate_sql, port_sql, portfolio, pos_sql, predictions, sharpe_sql, sigma_panel, sweep,
 )
 from barweave.session import cut_lineage, scratch_path
 from barweave.sources import load_summaries, write_summaries
-from barweave.sources.readers import COST_METRICS
 from barweave.streaming import audit_micro_batches, audit_stream, daily_sentiment_stream, drain, latest_blocks
 
 # ---- rank information coefficients --------------------------------------------------------
@@ -343,7 +344,6 @@ def expected_max_sharpe(spark, sf_dir):
 
 def renamed(ctes: list[str], old: dict[str, str]) -> list[str]:
     """The same CTE chain under other names, so that one statement can hold two panels."""
-    import re
     out = []
     for c in ctes:
         for a, b in old.items():
@@ -451,6 +451,50 @@ def headline_dsr(spark, sf_dir):
     return rp.headline_dsr(docs, ts, ["model", "horizon", "fold", "arm"], "arm", "c20_net_sharpe")
 
 
+# ---- whole evaluation -----------------------------------------------------------------------------------
+
+TIERS = {1: "full", 2: "aggregate"}
+LONG_SIDE = [re.sub(r"\b(pos|sizes|placed|traded|port|costed|cost_table)\b", r"lo_\1", c) for c in [LONG_POS, PORT, COSTED, COST_TABLE]]
+EVAL_CTES = [*SIGNAL_CTES, *VAL_SIDE, PANEL_CTES[-1], RANKED, POS, ROWS, PORT, COSTED, COST_TABLE, *LONG_SIDE, IC, IC_ROWS, f"""evaluated AS (
+  SELECT b.strategy AS model, b.horizon, b.fold, {ARM_SQL.replace('strategy', 'b.strategy')} AS arm, b.top_n AS best_top_n, n_test_timestamps, n_test_timestamps >= 6 AS inference_valid,
+    CASE b.horizon WHEN 1 THEN 'full' WHEN 2 THEN 'aggregate' ELSE 'unknown' END AS ci_tier, ic_mean, ic_std, c.net_sharpe AS net20, lb.net_sharpe AS long_best, l30.net_sharpe AS long_30
+  FROM val_best b JOIN (SELECT {CELLS}, count(DISTINCT CASE WHEN pred IS NOT NULL THEN date END) AS n_test_timestamps FROM panel GROUP BY {CELLS}) n USING (strategy, horizon, fold)
+  JOIN (SELECT {CELLS}, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std FROM icrow WHERE row_idx % horizon = 0 GROUP BY {CELLS}) i USING (strategy, horizon, fold)
+  JOIN cost_table c ON c.strategy = b.strategy AND c.horizon = b.horizon AND c.fold = b.fold AND c.top_n = b.top_n AND c.cost_bps = 20
+  JOIN lo_cost_table lb ON lb.strategy = b.strategy AND lb.horizon = b.horizon AND lb.fold = b.fold AND lb.top_n = b.top_n AND lb.cost_bps = 20
+  JOIN lo_cost_table l30 ON l30.strategy = b.strategy AND l30.horizon = b.horizon AND l30.fold = b.fold AND l30.top_n = 30 AND l30.cost_bps = 20)"""]
+
+
+def evaluated(spark, sf_dir) -> DataFrame:
+    """Summary documents of every cell, written and read back."""
+    docs = evaluate_cells(signals(spark, sf_dir), CELL, GRID, tiers=TIERS).withColumn("arm", arm_column())
+    path = scratch_path(spark, "evaluation")
+    write_summaries(docs.withColumnRenamed("strategy", "model"), path)
+    docs = load_summaries(spark, path, one_per_file=False)
+    sharpe = lambda field, key: F.try_element_at(field, F.lit(key))["net_sharpe"]
+    return docs.withColumns({"net20": sharpe("cost_sensitivity", "20.0"), "long_best": sharpe("longonly_appendix", "best"), "long_30": sharpe("longonly_appendix", "30")})
+
+
+@query("evaluate_cells", "model:s horizon:i fold:s arm:s best_top_n:i n_test_timestamps:i inference_valid:b ci_tier:s ic_mean:f ic_std:f net20:f long_best:f long_30:f",
+       "SELECT * FROM evaluated", EVAL_CTES)
+def evaluate_query(spark, sf_dir):
+    return evaluated(spark, sf_dir)
+
+
+@query("trial_pool_fallbacks", "arm:s horizon:i fold:s n:i mean_sharpe:f",
+       f"""SELECT arm, horizon, fold, count(*) AS n, avg(sharpe) AS mean_sharpe FROM (
+  SELECT arm, horizon, fold, sharpe FROM trials JOIN rich USING (arm, horizon, fold) UNION ALL
+  SELECT arm, horizon, fold, net20 FROM evaluated WHERE net20 IS NOT NULL AND (arm, horizon, fold) NOT IN (SELECT (arm, horizon, fold) FROM rich)) p GROUP BY 1, 2, 3""",
+       [*EVAL_CTES, f"""trials AS (SELECT {ARM_SQL} AS arm, horizon, fold, val_sharpe AS sharpe FROM val_swept WHERE fold <> '{FOLDS[0].name}' AND val_sharpe IS NOT NULL
+  UNION ALL SELECT arm, horizon, fold, ic_mean FROM evaluated WHERE fold = '{FOLDS[0].name}' AND ic_mean IS NOT NULL)""",
+        "rich AS (SELECT arm, horizon, fold FROM trials GROUP BY 1, 2, 3 HAVING count(*) >= 2)"])
+def trial_pool_fallbacks(spark, sf_dir):
+    """The first fold's documents carry no sweep: their IC means stand in, and where a pool has only one of these, its cell's Sharpe."""
+    docs = evaluated(spark, sf_dir).withColumn("sweep_topn", F.when(F.col("fold") != FOLDS[0].name, F.col("sweep_topn")))
+    pool = rp.trial_pool(docs, ["arm", "horizon", "fold"], sharpe="net20")
+    return pool.groupBy("arm", "horizon", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("sharpe").alias("mean_sharpe"))
+
+
 # ---- risk scores ------------------------------------------------------------------------------------
 
 RISKY = f"""risky AS MATERIALIZED (SELECT *, tanh(10 * mu / (sigma + 1e-3)) AS position, {gate_sql(1.0, '1.0', '2.0')} AS gate FROM (

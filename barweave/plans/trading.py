@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.operators import features as ft
+from barweave.operators import evaluate as ev
 from barweave.operators import metrics as mt
 from barweave.operators import portfolio as pf
 from barweave.operators import report as rp
@@ -306,13 +307,7 @@ def cost_table(panel: DataFrame, sizes=GRID, mode: str = "long_short") -> DataFr
 
 
 def cost_rows(ts: DataFrame) -> DataFrame:
-    """Metrics per series and cost on the rebalance rows; idle rows count in the mean turnover only."""
-    keys = [*SERIES, "cost_bps"]
-    path = mt.drawdown_path(pf.non_overlap(ts), keys)
-    return path.groupBy(*keys).agg(
-        mt.sharpe("net", "horizon").alias("net_sharpe"), (1.0 - F.exp(-F.max(F.col("log_peak") - F.col("log_equity")))).alias("net_mdd"),
-        mt.cumulative_return("net").alias("net_cumulative_return"), F.count("net").cast("double").alias("net_n_obs_nonoverlap"),
-        F.avg("turnover").alias("avg_turnover_per_rebalance"))
+    return ev.cost_rows(ts, CELL)
 
 
 @query("cost_sweep", f"{SERIES_SPEC} cost_bps:f net_sharpe:f net_cumulative_return:g net_n_obs_nonoverlap:f avg_turnover_per_rebalance:f",
@@ -326,8 +321,7 @@ BEST = f"""best AS (SELECT {CELLS}, coalesce(arg_max(top_n, row(val_sharpe, -top
 
 
 def sweep(panel: DataFrame) -> DataFrame:
-    ts = pf.non_overlap(portfolio(panel, bps=[0.0]))
-    return ts.groupBy(*SERIES).agg(mt.sharpe("gross", "horizon").alias("val_sharpe"), F.count("gross").alias("val_n_obs"))
+    return ev.size_sweep(portfolio(panel, bps=[0.0]), CELL)
 
 
 @query("topn_sweep", f"{SERIES_SPEC} val_sharpe:f val_n_obs:i", "SELECT * FROM swept", [*VAL_PORT_CTES, SWEPT])

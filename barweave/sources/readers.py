@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.functions.text import norm_symbol
+from barweave.operators.evaluate import COST_METRICS
 from barweave.sources.csv_files import read_by_header
 
 # Column names of the raw files and their names here.
 NEWS_COLUMNS = {"Date": "ts", "Stock_symbol": "entity", "Article_title": "title", "Article": "body",
                 "Url": "url", "Publisher": "publisher"}
 PRICE_COLUMNS = ["date", "open", "high", "low", "close", "adj close", "volume"]
-COST_METRICS = ["net_sharpe", "net_mdd", "net_cumulative_return", "net_n_obs_nonoverlap", "avg_turnover_per_rebalance"]
 
 SUMMARY_SCHEMA = (
     "model string, horizon int, fold string, arm string, best_top_n int, n_test_timestamps long, inference_valid boolean, "
     "ci_tier string, ic_mean double, ic_std double, "
     "cost_sensitivity map<string, struct<" + ", ".join(f"{m}: double" for m in COST_METRICS) + ">>, "
+    "longonly_appendix map<string, struct<" + ", ".join(f"{m}: double" for m in COST_METRICS) + ">>, "
     "sweep_topn array<struct<top_n: int, val_sharpe_gross: double, val_n_obs: long>>"
 )
 
