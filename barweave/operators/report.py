@@ -19,9 +19,15 @@ def intersect_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace existing rows with the same keys."""
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows replace existing rows with the same keys; NULL keys equal each other. Of new rows with equal keys the last under
+    ``order`` stays, further ties being settled by a hash of the row; existing rows that nothing replaces stay as they are."""
+    rank = [F.col(order)] if order is not None else []
+    plain = [F.col(f.name) for f in new.schema if "map<" not in f.dataType.simpleString()]
+    latest = new.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max_by(F.struct(*new.columns), F.struct(*rank, F.xxhash64(*plain).alias("_hash"))).alias("_row"))
+    replaced = latest.select([f"_key_{k}" for k in keys])
+    same = reduce(lambda a, b: a & b, [existing[k].eqNullSafe(replaced[f"_key_{k}"]) for k in keys])
+    return existing.join(replaced, same, "left_anti").unionByName(latest.select("_row.*"))
 
 
 def cost_map(costs: DataFrame, keys: list[str], metrics: list[str], bps: str = "cost_bps") -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from barweave.functions.calendar import calendar_features
+from barweave.functions.calendar import PARTS_BY_FREQUENCY, calendar_features
 from barweave.functions.maths import inf_to_null
 from barweave.operators import features as ft
 from barweave.operators import sentiment as st
@@ -113,6 +113,23 @@ def kline_shape(spark, sf_dir):
     return ft.kline(bars(spark, sf_dir))
 
 
+PART_SQL_OF = {
+    "minute_of_hour": "minute(ts) / 59.0 - 0.5", "hour_of_day": "hour(ts) / 23.0 - 0.5", "day_of_week": "(isodow(ts) - 1) / 6.0 - 0.5",
+    "day_of_month": "(day(ts) - 1) / 30.0 - 0.5", "day_of_year": "(dayofyear(ts) - 1) / 365.0 - 0.5", "month_of_year": "(month(ts) - 1) / 11.0 - 0.5",
+    "week_of_year": "(week(ts) - 1) / 52.0 - 0.5"}
+
+
+@query("calendar_sets", "event_id:i " + " ".join(f"{f}_{p}:f" for f in "DHWTBMQ" for p in PARTS_BY_FREQUENCY[f]),
+       "SELECT event_id, " + ", ".join(f"{PART_SQL_OF[p]} AS {f}_{p}" for f in "DHWTBMQ" for p in PARTS_BY_FREQUENCY[f]) + " FROM events")
+def calendar_sets(spark, sf_dir):
+    """The feature sets of all frequencies other than seconds, side by side."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = ev
+    for f in "DHWTBMQ":
+        out = calendar_features(out, "ts", f).withColumnsRenamed({p: f"{f}_{p}" for p in PARTS_BY_FREQUENCY[f]})
+    return out
+
+
 @query("calendar_features",
        "event_id:i second_of_minute:f minute_of_hour:f hour_of_day:f day_of_week:f day_of_month:f day_of_year:f "
        "month_of_year:f week_of_year:f",

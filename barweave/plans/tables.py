@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date as Date
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from barweave.functions import norm_symbol, select_text, text_source, utc_day, utc_day_text
@@ -127,6 +129,21 @@ def two_versions(spark, sf_dir):
     return counts.withColumn("origin", F.lit("old")), newer
 
 
+@query("upsert_repeats", "entity:i year:i n:i revision:i",
+       """WITH old AS (SELECT l_suppkey AS entity, nullif(year(l_shipdate), 1992) AS year, count(*) AS n FROM lineitem GROUP BY 1, 2),
+  news AS (SELECT entity, year, n + r AS n, r AS revision FROM old, (SELECT unnest([1, 2, 3]) AS r) g WHERE entity % 2 = 0 AND (year IS NULL OR year >= 1997) AND (r < 3 OR entity % 4 = 0))
+  SELECT entity, year, n, 0 AS revision FROM old WHERE NOT (entity % 2 = 0 AND (year IS NULL OR year >= 1997))
+  UNION ALL SELECT entity, year, n, revision FROM news QUALIFY row_number() OVER (PARTITION BY entity, year ORDER BY revision DESC) = 1""")
+def upsert_repeats(spark, sf_dir):
+    """Null keys, and up to three revisions of a key among the new rows: the last one stays."""
+    li = table(spark, sf_dir, "lineitem")
+    year = F.nullif(F.year("l_shipdate"), F.lit(1992))
+    old = li.groupBy(F.col("l_suppkey").alias("entity"), year.alias("year")).agg(F.count(F.lit(1)).alias("n")).withColumn("revision", F.lit(0))
+    again = old.where((F.col("entity") % 2 == 0) & (F.col("year").isNull() | (F.col("year") >= 1997)))
+    new = again.withColumn("revision", F.explode(F.when(F.col("entity") % 4 == 0, F.array(*[F.lit(r) for r in (1, 2, 3)])).otherwise(F.array(F.lit(1), F.lit(2)))))
+    return rp.upsert(old, new.withColumn("n", F.col("n") + F.col("revision")), ["entity", "year"], order="revision")
+
+
 @query("anti_join_replace", "entity:i year:i n:i",
        """SELECT l_suppkey AS entity, year(l_shipdate) AS year, count(*) AS n FROM lineitem
   WHERE NOT (year(l_shipdate) >= 1999 AND l_suppkey % 2 = 0) GROUP BY 1, 2""")
@@ -218,6 +235,30 @@ def score_articles(spark, sf_dir):
     return scored_texts(spark, sf_dir)
 
 
+def word_scorer():
+    """A scorer as a user would bring one: made once in each task, then handed lists of texts."""
+    import regex
+
+    letters = regex.compile(r"\p{L}+")
+
+    def score(list_of_texts):
+        rows = []
+        for text in list_of_texts:
+            words = letters.findall(text.lower())
+            scale = max(len(words) ** 0.5, 1.0)
+            up, down = (math.exp(sum(w in listed for w in words) / scale) for listed in (DEMO_POSITIVE, DEMO_NEGATIVE))
+            rows.append((len(words), up / (up + down + 1.0), down / (up + down + 1.0), 1.0 / (up + down + 1.0)))
+        return pd.DataFrame(rows, columns=["n_tokens", *st.PROBS])
+
+    return score
+
+
+@query("score_articles_loaded", "article_id:i n_tokens:i positive_prob:f negative_prob:f neutral_prob:f composite_score:f",
+       "SELECT * FROM scored", [TEXTS, CHOSEN, SCORED_TEXTS])
+def score_articles_loaded(spark, sf_dir):
+    return st.score_articles(st.with_text(texts(spark, sf_dir)), load=word_scorer, batch=64)
+
+
 # ---- joins ---------------------------------------------------------------------------
 
 @query("semi_join_universe", "article_id:i entity:s",

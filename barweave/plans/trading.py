@@ -172,6 +172,11 @@ def long_short(spark, sf_dir):
     return pf.positions(test_panel(spark, sf_dir), CELL)
 
 
+@query("short_only", f"{CELL_SPEC} top_n:i date:d entity:i weight:f", "SELECT * FROM pos", [*PANEL_CTES, RANKED, pos_sql(GRID, "short_only")])
+def short_only(spark, sf_dir):
+    return pf.positions(test_panel(spark, sf_dir), CELL, mode="short_only")
+
+
 FILTERED = RANKED.replace("FROM panel WHERE pred IS NOT NULL", "FROM panel WHERE abs(pred) > 0.5")
 
 
