@@ -264,13 +264,12 @@ def test_terms_disclose_in_the_whole_document(spark):
     assert {i: texts[i] for i, _ in rows[21:]} == dict(rows[21:])
 
 
-def template_tree(paths, branch=urls.BRANCH, share=urls.SHARE, depth=urls.DEPTH):
+def template_tree(paths, branch=urls.BRANCH, share=urls.SHARE):
     """Brute force of the tree: {(host, path): labels} from {(host, path): n}."""
     parts = {k: [s for s in k[1].split("/") if s] for k in paths}
-    parts = {k: v if len(v) <= depth else [*v[:depth], "**"] for k, v in parts.items()}
     labels = {k: [] for k in paths}
     shape = lambda s: re.sub("[0-9]+", "#", s)
-    for d in range(depth + 1):
+    for d in range(max(map(len, parts.values()))):
         nodes = {}
         for k, v in parts.items():
             if len(v) > d:
@@ -294,6 +293,78 @@ def test_url_templates(spark):
     assert got == template_tree({(r["host"], r["path"]): r["n"] for r in counted.collect()})
 
 
+def merged_brute(trees):
+    """Brute force of the merging: {(host, labels): template} from {(host, labels): (labelled, bad)}."""
+    template = {k: k[1] for k in trees}
+    for d in reversed(range(max(len(k[1]) for k in trees))):
+        kinds = {}
+        for k, t in template.items():
+            if len(t) > d:
+                hole = (k[0], (*t[:d], "*", *t[d + 1:]))
+                sums = kinds.setdefault(hole, {}).setdefault(t, [0, 0])
+                sums[0] += trees[k][0]
+                sums[1] += trees[k][1]
+        into = {}
+        for (host, hole), branches in kinds.items():
+            p = (sum(b for _, b in branches.values()) + 0.5) / (sum(n for n, _ in branches.values()) + 1.0)
+            for t, (n, b) in branches.items():
+                if len(branches) > 1 and (n == 0 or abs(b / n - p) <= urls.ERRORS * (p * (1 - p) / n) ** 0.5):
+                    into[(host, t)] = hole
+        template = {k: into.get((k[0], t), t) for k, t in template.items()}
+    return template
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merging_and_verdicts_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    urls_, bad = [], {}
+    for _ in range(700):
+        host, kind = rng.choice(["a.example", "b.example"]), rng.choice(["ads", "docs", "x/y/z", "p/q"])
+        tail = "/".join(rng.choice(["one", "two", "k7", "k8", f"id{rng.randint(1, 300)}"]) for _ in range(rng.choice([0, 1, 2, 9])))
+        urls_.append(f"http://{host}/{kind}/{tail}")
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").repartition(3)
+    rows = pages.select("page_id", *[c.alias(n) for c, n in zip(urls.parsed(F.col("url")), ("host", "path"))]).collect()
+    for r in rows:
+        if (r["host"], r["path"]) not in bad and rng.random() < 0.6:
+            bad[r["host"], r["path"]] = int(rng.random() < (0.9 if "/ads" in r["path"] else 0.05))
+    marks = spark.createDataFrame([(h, p, b) for (h, p), b in bad.items()], "host string, path string, bad int")
+    counts = {}
+    for r in rows:
+        counts[r["host"], r["path"]] = counts.get((r["host"], r["path"]), 0) + 1
+    labels = {k: tuple(v) for k, v in template_tree(counts).items()}
+    trees = {}
+    for k, v in labels.items():
+        sums = trees.setdefault((k[0], v), [0, 0])
+        sums[0] += k in bad
+        sums[1] += bad.get(k, 0)
+    template = merged_brute(trees)
+    prior = (sum(bad.values()) + 1) / (len(bad) + 4)
+    totals = {}
+    for (host, v), (n, b) in trees.items():
+        sums = totals.setdefault((host, template[host, v]), [0, 0])
+        sums[0] += n
+        sums[1] += b
+    got = urls.judged(pages, marks, []).collect()
+    assert len(got) == len(rows) and len({r["verdict"] for r in got}) == 2
+    for r in got:
+        t = template[r["host"], labels[r["host"], r["path"]]]
+        n, b = totals[r["host"], t]
+        assert r["template"] == "/" + "/".join(t)
+        assert r["verdict"] == ("block" if (b + urls.WEIGHT * prior) / (n + urls.WEIGHT) >= urls.CUT else "allow")
+
+
+def test_deep_paths_are_told_apart(spark):
+    """Good and bad branches below a long common beginning, and paths of a thousand segments, in a few rounds."""
+    deep = "/".join(f"s{i}" for i in range(1000))
+    rows = [(i, f"http://h.example/a/b/c/d/e/f/{'evil' if i % 2 else 'good'}/{i}") for i in range(120)]
+    rows += [(500 + i, f"http://h.example/{deep}/{'evil' if i % 2 else 'good'}/{i}") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = urls.parsed(F.col("url"))
+    marks = pages.where("page_id % 4 < 2").select(host.alias("host"), path.alias("path"), F.when(F.col("url").contains("evil"), 1).otherwise(0).alias("bad"))
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(pages, marks, []).collect()}
+    assert all((got[i] == "block") == (i % 2 == 1) for i, _ in rows)
+
+
 def test_url_verdicts(spark):
     rows = [(i, f"http://Shop.Example.com/ads/{i}") for i in range(60)] + [(100 + i, f"http://shop.example.com/docs/{i}") for i in range(60)]
     rows += [(300, None), (301, "no scheme"), (302, "http://a.example.net/en/1"), (303, "http://a.NET?x"), (304, "http://a.net/"), (305, "http://é.org/fr/?q"), (306, "http://xorg/fr/"), (306, "http://xorg/fr/")]
