@@ -29,10 +29,17 @@ dwin AS (SELECT doc_id, w, i, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (
 hits AS (SELECT d.doc_id, d.i, d.w, n.item_id FROM dwin d JOIN wins n ON d.w = n.w AND d.g = n.g),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM hits) AS x GROUP BY 1),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
-  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) AS x GROUP BY 1)
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) AS x GROUP BY 1),
+placed AS (SELECT item_id, rn, w, i AS q, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (
+  SELECT item_id, rn, ws, least(len(ws), 10) AS w, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM (SELECT *, row_number() OVER () AS rn FROM bw) AS y WHERE len(ws) > 0) AS x),
+runs AS (SELECT doc_id, rn, i - q AS diagonal, i, w, i - row_number() OVER (PARTITION BY doc_id, rn, i - q ORDER BY i) AS island
+  FROM dwin d JOIN placed p USING (w, g)),
+longest AS (SELECT doc_id, max(n) AS longest_match, arg_max(start, row(n, -start)) AS longest_start FROM (
+  SELECT doc_id, min(i) - 1 AS start, max(i) - min(i) + max(w) AS n FROM runs GROUP BY doc_id, rn, diagonal, island) AS x GROUP BY 1)
 SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(longest_match AS BIGINT) AS longest_match, CAST(longest_start AS BIGINT) AS longest_start
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)"""
 
 TOP_PRODUCTS = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings

@@ -160,8 +160,51 @@ def test_contamination_matches_scan(spark, limit):
 def test_longest_match_is_located(spark):
     bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
     docs = spark.createDataFrame([(5, "start " + " ".join(f"Q{i}" for i in range(3, 16)) + " end")], "doc_id long, text string")
-    match = decontaminate.contamination(docs, bench).first()["matches"]
-    assert [(m["item_id"], m["start"], m["length"]) for m in match] == [(1, 1, 13)]
+    found = decontaminate.contamination(docs, bench).first()
+    assert [(m["item_id"], m["start"], m["length"], m["item_start"]) for m in found["matches"]] == [(1, 1, 13, 3)]
+    assert (found["longest_match"], found["longest_start"]) == (13, 1)
+    apart = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1, 11)) + " x " + " ".join(f"w{i}" for i in range(2, 12)))], "item_id long, text string")
+    docs = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(1, 12)))], "doc_id long, text string")
+    assert {(m["start"], m["length"], m["item_start"]) for m in decontaminate.contamination(docs, apart).first()["matches"]} == {(0, 10, 0), (1, 10, 11)}
+
+
+def test_suffix_arrays_and_longest_matches_by_brute_force():
+    rng = random.Random(12)
+    for depth in (1, 2, 3, 7, 40):
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(12)] + ["a " * 60]
+        seq = decontaminate.Sequence([t.encode() for t in texts])
+        suffix = lambda p: tuple(seq.words[p:min(seq.end[p], p + depth)].tolist())
+        order = seq.suffix_array(depth)
+        assert sorted(order) == list(range(len(seq.words))) and [suffix(p) for p in order] == sorted(suffix(p) for p in order)
+    items = [(1, "a b c a a b"), (2, "c c c c"), (3, "d"), (4, "a " * 20)]
+    needles = decontaminate.Needles(items, 4)
+    best, where = needles.longest_matches(seq, seq.suffix_array(needles.longest))
+    for q in range(len(needles.seq.words)):
+        rest = needles.seq.words[q:needles.seq.end[q]].tolist()
+        agree = lambda p: next((k for k, (x, y) in enumerate(zip(rest, seq.words[p:seq.end[p]].tolist())) if x != y), min(len(rest), int(seq.end[p]) - p))
+        assert best[q] == max(agree(p) for p in range(len(seq.words))) and (best[q] == 0 or agree(int(where[q])) == best[q])
+
+
+@pytest.mark.parametrize("limit", [decontaminate.SLICE, 60])
+def test_matches_are_the_longest_at_their_places(spark, limit):
+    """For every place and item: the longest verbatim agreement of at least a window, less those inside an earlier one."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(k, text(rng.choice([2, 9, 12, 25]))) for k in range(6)] + [(6, "a " * 16)]
+    docs = [(i, " ".join([text(20), rng.choice(items)[1], text(5), "a " * rng.choice([0, 25]), rng.choice(items)[1][4:]])) for i in range(40)]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), limit=limit)
+    for r in got.collect():
+        d = words(docs[r["doc_id"]][1])
+        want = set()
+        for item, t in items:
+            w, end = words(t), -1
+            for p in range(len(d)):
+                best = max((next((k for k in range(min(len(d) - p, len(w) - q)) if d[p + k] != w[q + k]), min(len(d) - p, len(w) - q)) for q in range(len(w))), default=0)
+                if best >= min(10, len(w)) and p + best > end:
+                    want.add((item, p, best))
+                    end = p + best
+        assert {(m["item_id"], m["start"], m["length"]) for m in r["matches"]} == want
+        assert all(d[m["start"]:m["start"] + m["length"]] == words(items[m["item_id"]][1])[m["item_start"]:m["item_start"] + m["length"]] for m in r["matches"])
 
 
 def test_tokens_equal_the_tokenizer():
