@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from barweave.llm.common import saved, spread_join
 
 BRANCH = 8
+#: Segments taken one by one before what the paths of a node share is taken at once; no result depends on it.
+LEVELS = 6
 SHARE = 20
 ERRORS = 2.0
 WEIGHT = 4.0
@@ -57,21 +59,31 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(unlike > 0, unlike - 1).otherwise(F.size(a))
 
 
+def leapt(active: DataFrame) -> DataFrame:
+    """``active`` paths moved on by what all paths of their node have in common; a path alone in its node to its end."""
+    rest = F.slice("segments", F.size("labels") + 1, F.size("segments") - F.size("labels"))
+    rows = active.withColumn("rest", rest)
+    nodes = rows.groupBy("host", "node").agg(F.count(F.lit(1)).alias("paths"), F.min("rest").alias("least"), F.max("rest").alias("most"))
+    nodes = nodes.select("host", "node", "paths", F.when(F.col("paths") > 1, common_prefix(F.col("least"), F.col("most"))).alias("shared"))
+    known = F.when(F.col("shared").isNull(), F.col("rest")).otherwise(F.slice("rest", F.lit(1), F.col("shared")))
+    moved = spread_join(rows, nodes, ["host", "node"], "paths").withColumn("labels", F.concat("labels", known))
+    return saved(moved.withColumn("node", F.concat_ws("/", "labels")).select(*active.columns), "ahead")
+
+
 def grown(paths: DataFrame, branch: int = BRANCH, share: int = SHARE) -> DataFrame:
     """``paths`` (host, path, n, ...) with ``labels``, the template's segments."""
     parts, none = F.filter(F.split("path", "/"), lambda s: s != ""), F.array().cast("array<string>")
     rows = saved(paths.withColumns({"segments": parts, "labels": none}), "paths")
     given = rows.columns
     grows = F.size("labels") < F.size("segments")
-    rest = F.slice("segments", F.size("labels") + 1, F.size("segments") - F.size("labels"))
     finished = rows.where(~grows)
+    level = 0
     while not (active := rows.where(grows)).isEmpty():
-        active = active.withColumns({"node": F.concat_ws("/", "labels"), "rest": rest})
-        nodes = active.groupBy("host", "node").agg(F.count(F.lit(1)).alias("paths"), F.min("rest").alias("least"), F.max("rest").alias("most"))
-        nodes = nodes.select("host", "node", "paths", F.when(F.col("paths") > 1, common_prefix(F.col("least"), F.col("most"))).alias("shared"))
-        known = F.when(F.col("shared").isNull(), F.col("rest")).otherwise(F.slice("rest", F.lit(1), F.col("shared")))
-        ahead = spread_join(active, nodes, ["host", "node"], "paths").withColumn("labels", F.concat("labels", known))
-        ahead = saved(ahead.withColumns({"node": F.concat_ws("/", "labels"), "segment": F.get("segments", F.size("labels"))}).select(*given, "node", "segment"), "ahead")
+        active = active.withColumn("node", F.concat_ws("/", "labels"))
+        if level >= LEVELS:
+            active = leapt(active)
+        ahead = active.withColumn("segment", F.get("segments", F.size("labels")))
+        level += 1
         open_rows = ahead.where(F.col("segment").isNotNull())
         each = open_rows.groupBy("host", "node", "segment").agg(F.sum("n").alias("n_segment"), F.count(F.lit(1)).alias("paths"))
         each = saved(each.withColumn("shape", F.regexp_replace("segment", "[0-9]+", "#")), "segments")
