@@ -31,6 +31,7 @@ from barweave.llm.recurrent import Weights, fit, logits
 
 SAMPLE, SAMPLE_BYTES = 300, 1 << 16
 MADE = 3000
+REPEAT = 3  # how often a page with a landmark is seen in one pass, against once for a made-up one
 HIDDEN = 32
 EPOCHS = 8
 SEED = 11
@@ -86,8 +87,8 @@ def learn_from(sample: list[str], made: int = MADE, epochs: int = EPOCHS, seed:
     for page in (read(p, keep_names=True) for p in sample):
         y = taught(page)
         if y is not None:
-            xs.append(vectors(page, 0, len(page.leaves)))
-            ys.append(y)
+            xs += [vectors(page, 0, len(page.leaves))] * REPEAT
+            ys += [y] * REPEAT
             own = [leaf.text for leaf, one in zip(page.leaves, y) if one]
         else:
             own = [leaf.text for leaf in page.leaves if len(leaf.text) > 80 and leaf.linked < 0.3]
