@@ -89,10 +89,11 @@ def grown(paths: DataFrame, branch: int = BRANCH, share: int = SHARE) -> DataFra
         each = saved(each.withColumn("shape", F.regexp_replace("segment", "[0-9]+", "#")), "segments")
         whole = each.groupBy("host", "node").agg(F.sum("n_segment").alias("n_node"), F.count(F.lit(1)).alias("children"))
         shapes = each.groupBy("host", "node", "shape").agg(F.sum("n_segment").alias("n_shape"), F.count(F.lit(1)).alias("alike"))
-        placed = spread_join(each, whole, ["host", "node"], "children")
+        placed = saved(spread_join(each, whole, ["host", "node"], "children"), "placed")
         named = spread_join(placed, shapes, ["host", "node", "shape"], "alike").select(
             "host", "node", "segment", "paths", F.when((F.col("children") <= branch) | (share * F.col("n_segment") >= F.col("n_node")), F.col("segment")).when(
                 share * F.col("n_shape") >= F.col("n_node"), F.col("shape")).otherwise("*").alias("label"))
+        named = saved(named, "names")
         stepped = spread_join(open_rows, named, ["host", "node", "segment"], "paths").withColumn("labels", F.concat("labels", F.array("label")))
         finished = finished.unionByName(ahead.where(F.col("segment").isNull()).select(*given))
         rows = saved(stepped.select(*given), "paths")
@@ -119,6 +120,7 @@ def merged(rows: DataFrame, errors: float = ERRORS) -> DataFrame:
         pool = kinds.groupBy("host", "hole").agg(F.count(F.lit(1)).alias("branches"), F.sum("l").alias("pool_l"), F.sum("b").alias("pool_b"))
         p = (F.col("pool_b") + 0.5) / (F.col("pool_l") + 1.0)
         alike = (F.col("l") == 0) | (F.abs(F.col("b") / F.col("l") - p) <= errors * F.sqrt(p * (1 - p) / F.col("l")))
+        kinds, pool = saved(kinds, "kinds"), saved(pool, "pools")
         joined = spread_join(kinds, pool, ["host", "hole"], "branches").where((F.col("branches") > 1) & alike).select("host", "template", F.col("hole").alias("into"))
         trees = saved(trees.drop("hole").join(joined, ["host", "template"], "left").withColumn(
             "template", F.coalesce("into", "template")).drop("into"), "templates")
@@ -138,9 +140,10 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
     sums = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("paths"))
     prior = rows.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 4)).alias("p")).first()["p"]
     purity = (F.col("bad") + weight * F.lit(prior)) / (F.col("labelled") + F.lit(weight))
-    answers = spread_join(rows.select("host", "path", "template", "n"), sums.select("host", "template", "paths", purity.alias("purity")), ["host", "template"], "paths")
+    sums = saved(sums.select("host", "template", "paths", purity.alias("purity")), "purities")
+    answers = saved(spread_join(rows.select("host", "path", "template", "n"), sums, ["host", "template"], "paths").drop("paths"), "answers")
     text, verdict = ruled(F.col("host"), F.col("path"), rules)
-    return spread_join(seen, answers.drop("paths"), ["host", "path"], "n").select(
+    return spread_join(seen, answers, ["host", "path"], "n").select(
         F.col("id").alias(id_col), "host", "path", text.alias("rule"),
         F.coalesce(verdict, F.when(F.col("purity") >= cut, "block").otherwise("allow")).alias("verdict"),
         F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), F.col("purity"))
