@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from barweave.llm import extract, recurrent
-from barweave.llm.features import WIDTH
 from barweave.llm.layouts import made_up
 from barweave.llm.leaves import read
 from barweave.llm.queries import QUERIES
