@@ -6,7 +6,8 @@ Buckets of equal bands are searched in two steps, both exact on what the bands f
 
 1. every class is compared with the first class of each of its buckets (a star, not all pairs) and components are joined;
 2. buckets that still hold several components are cut into blocks of bounded size, and each block looks for links between
-   different components only.
+   different components only. A block reports which components it joins, one row fewer than it holds components at most, never
+   the pairs of texts behind them; what is joined in the end are components, not texts.
 
 Every link is confirmed on full shingle sets. The number of bands follows from ``threshold`` and ``miss``, the accepted
 probability that a pair lying exactly at the threshold shares no band.
@@ -235,21 +236,33 @@ def shared_counts(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
         yield np.bincount(holders[flat], minlength=len(sets))
 
 
+def top(up: dict[int, int], c: int) -> int:
+    """The smallest component that ``up`` (component -> smaller joined one) leads to from ``c``."""
+    while c in up:
+        c = up[c]
+    return c
+
+
 def block_links(num: int, den: int):
-    """mapInArrow function over rows sorted by block: links between different components inside each block."""
+    """mapInArrow function over rows sorted by block: the components that links inside a block join, as a spanning forest of them, so that
+    a block gives fewer rows than it holds components however many pairs of its texts are linked."""
     keys = ["bucket", "at_level", "left", "right"]
 
     def links(rows: pa.Table) -> list[tuple[int, int]]:
-        ids, comps, sizes, levels, parts = (rows[c].to_numpy() for c in ("id", "comp", "n_shingles", "level", "part"))
+        comps, sizes, levels, parts = (rows[c].to_numpy() for c in ("comp", "n_shingles", "level", "part"))
         level, left, right = (rows[c][0].as_py() for c in keys[1:])
         shingles = rows["shingles"].combine_chunks()
         values, ends = shingles.flatten().to_numpy(), np.cumsum([0, *sizes])
         sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        found = []
+        found, up = [], {}
         for i, shared in enumerate(shared_counts(sets)):
             own = (np.minimum(levels[i], levels) == level) & (np.minimum(parts[i], parts) == left) & (np.maximum(parts[i], parts) == right)
             ok = own & (comps > comps[i]) & (den * shared >= num * (sizes[i] + sizes - shared))
-            found += [(int(ids[i]), int(ids[k])) for k in np.flatnonzero(ok)]
+            for other in np.unique(comps[ok]).tolist():
+                a, b = top(up, int(comps[i])), top(up, other)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    found.append((a, b))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +336,13 @@ def near_classes(plain: DataFrame, threshold: str, width: int, rows: int, miss:
     mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("low") == F.col("at_level"))).select(*keys)
     blocks = blocks.join(mixed, keys).join(sized.select(F.col("node").alias("id"), "shingles"), "id")
     dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
-    across = dealt.mapInArrow(block_links(num, den), "a bigint, b bigint").distinct()
-    links = saved(stars.union(across), "links")
+    across = saved(dealt.mapInArrow(block_links(num, den), "a bigint, b bigint").distinct(), "links")
     released(members, sets, stars)
-    label = components(links)
+    joined = components(across).select(F.col("id").alias("star"), F.col("comp").alias("whole"))
 
-    placed = saved(nodes.join(label.select(F.col("id").alias("node"), "comp"), "node", "left").select("set_key", "id", "copies", "node", "comp"), "placed")
+    placed = nodes.join(label.select(F.col("id").alias("node"), F.col("comp").alias("own")), "node", "left").withColumn("star", F.coalesce("own", "node"))
+    placed = placed.join(joined, "star", "left").withColumn("comp", F.coalesce("whole", "own"))
+    placed = saved(placed.select("set_key", "id", "copies", "node", "comp"), "placed")
     least = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("of_comp"))
     linked = spread_join(placed.where(F.col("comp").isNotNull()), least, ["comp"], "of_comp").select("set_key", "copies", "component", F.col("comp").alias("group"))
     copied = placed.where(F.col("comp").isNull() & (F.col("copies") > 1)).select("set_key", "copies", F.col("id").alias("component"), F.col("node").alias("group"))

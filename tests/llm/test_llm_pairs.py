@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,19 @@ def test_near_duplicates_inside_small_blocks(spark, monkeypatch):
     assert got == groups(rows, 80, 100)
 
 
+def test_blocks_give_joined_components_not_pairs_of_texts():
+    """Two linked components of 40 texts each have 1600 linked pairs in a block; one row tells all of it."""
+    values = np.arange(20, dtype=np.int64)
+    texts = [(comp, values) for comp in [3] * 40 + [8] * 40] + [(11, values + 1000), (12, values + 1001)]
+    n = len(texts)
+    batch = pa.record_batch({
+        "bucket": pa.array([1] * n, pa.int64()), **{c: pa.array([0] * n, pa.int32()) for c in ("at_level", "left", "right", "level", "part")},
+        "id": pa.array(range(n), pa.int64()), "comp": pa.array([c for c, _ in texts], pa.int64()),
+        "n_shingles": pa.array([20] * n, pa.int64()), "shingles": pa.array([v for _, v in texts], pa.list_(pa.int64()))})
+    found = [r for out in minhash.block_links(80, 100)(iter([batch])) for r in out.to_pylist()]
+    assert found == [{"a": 3, "b": 8}, {"a": 11, "b": 12}]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c")], "doc_id long, text string")
     got = minhash.near_duplicates(df).collect()
