@@ -59,6 +59,17 @@ class OpenBlock:
         return number, self.n, self.err, spread, self.u_sum / self.u_n if self.u_n else None, closed, late, upto
 
 
+def in_order(chunks: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times, ties and probabilities (a row each) of a group's rows in the order (time, tie); rows equal in both keep theirs. Most groups
+    are a few rows in one chunk, so columns are taken as arrays, and ties are compared only where times are equal."""
+    taken = [np.concatenate([c[name].to_numpy(kind) for c in chunks]) for name, kind in (("_us", None), ("_tie", object), *((p, float) for p in PROBS))]
+    us, ids = taken[:2]
+    order = np.argsort(us, kind="stable")
+    if (us[order][1:] == us[order][:-1]).any():
+        order = np.array(sorted(range(len(us)), key=lambda i: (us[i], ids[i])))
+    return us[order], ids[order], np.stack(taken[2:], axis=1)[order]
+
+
 def audited_blocks(scored: DataFrame, block: int = BLOCK, idle: str | None = None, entity: str = "entity", ts: str = "ts", tie: str = "article_id") -> DataFrame:
     """Stream of block figures per entity, in update mode: every closed block, and the open block as far as the micro-batch came.
 
@@ -69,8 +80,10 @@ def audited_blocks(scored: DataFrame, block: int = BLOCK, idle: str | None = Non
     """
     whole = isinstance(scored.schema[tie].dataType, T.IntegralType)
     order = F.lpad((F.col(tie).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0") if whole else F.col(tie).cast("string")
+    stamp = F.col(ts).cast("timestamp")
+    # Every column costs its conversion once a group: the timestamp itself goes along for a watermark only.
     keyed = scored.where(F.col(ts).isNotNull()).select(
-        F.col(entity), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(ts).cast("timestamp").alias("_ts"),
+        F.col(entity), F.unix_micros(stamp).alias("_us"), *([] if idle is None else [stamp.alias("_ts")]),
         F.coalesce(order, F.lit("")).alias("_tie"), *[F.col(p).cast("double").alias(p) for p in PROBS])
     if idle is not None:
         keyed = keyed.withWatermark("_ts", "0 seconds")
@@ -84,11 +97,10 @@ def audited_blocks(scored: DataFrame, block: int = BLOCK, idle: str | None = Non
                 out.append(open_block.row((rows - 1) // block, True, late, rows))
             state.remove()
         else:
-            batch = pd.concat(list(chunks)).sort_values(["_us", "_tie"], kind="stable")
-            us, ids = batch["_us"].to_numpy(), batch["_tie"].to_numpy(object)
+            us, ids, probs = in_order(list(chunks))
             behind = (us < last_ts) | ((us == last_ts) & (ids < last_id))
             late += int(behind.sum())
-            probs = batch[list(PROBS)].to_numpy(float)[~behind]
+            probs = probs[~behind]
             at = 0
             while at < len(probs):
                 take = min(block - open_block.n, len(probs) - at)
@@ -105,10 +117,9 @@ def audited_blocks(scored: DataFrame, block: int = BLOCK, idle: str | None = Non
             if idle is not None and rows:
                 state.setTimeoutTimestamp(max(last_ts // 1000, state.getCurrentWatermarkMs()) + span_ms)
         if out:
-            frame = pd.DataFrame(out, columns=[field.split()[0] for field in BLOCK_ROW.split(", ")])
-            frame.insert(0, entity, pd.Series([key[0]] * len(out)))
-            yield frame
+            yield pd.DataFrame({entity: [key[0]] * len(out), **dict(zip(names, map(list, zip(*out))))})
 
+    names = [field.split()[0] for field in BLOCK_ROW.split(", ")]
     span_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle is not None else 0
     kind = scored.select(entity).schema[0].dataType.simpleString()
     wait = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout

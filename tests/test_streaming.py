@@ -9,8 +9,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from barweave.operators import quality as ql
+from barweave.operators.sentiment import PROBS
 from barweave.session import scratch_path
 from barweave.streaming import audit_stream, latest_blocks
+from barweave.streaming.audit import in_order
 
 COLUMNS = "entity string, article_id long, ts timestamp, positive_prob double, negative_prob double, neutral_prob double"
 
@@ -57,6 +59,20 @@ def test_blocks_run_through_micro_batches(spark):
     assert got.failures.map(list).tolist() == want.failures.map(list).tolist()
 
 
+@pytest.mark.parametrize("times", [6, 10**6])
+def test_rows_of_a_group_are_taken_by_time_and_tie(times):
+    """Over chunks, with shared times and ties: the order of a stable sort of the whole group."""
+    rng = np.random.default_rng(times)
+    n = 60
+    group = pd.DataFrame({"_us": rng.integers(0, times, n), "_tie": [f"{k:03d}" for k in rng.integers(0, 9, n)],
+                          **{p: np.where(rng.random(n) < 0.1, np.nan, rng.random(n)) for p in PROBS}})
+    want = group.sort_values(["_us", "_tie"], kind="stable")
+    for cuts in ([0, n], [0, 1, 20, 20, n]):
+        us, ids, probs = in_order([group[a:b] for a, b in zip(cuts, cuts[1:])])
+        assert us.tolist() == want["_us"].tolist() and ids.tolist() == want["_tie"].tolist()
+        assert np.array_equal(probs, want[list(PROBS)].to_numpy(), equal_nan=True)
+
+
 def test_late_rows_are_counted_not_audited(spark):
     frame = scored(90, 2, ("a", "a", "a"))
     late = frame[10:15].assign(article_id=lambda f: f.article_id + 1000)
