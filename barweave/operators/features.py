@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barweave.functions.maths import TINY, as_col, at_least, inf_to_null, safe_div
-from barweave.operators.frames import Frames, above_zero
+from barweave.functions.maths import TINY, as_col, at_least, inf_to_null
+from barweave.operators.frames import Frames, by_whole_entities, log
 
 EPS = 1e-9
 TRADING_DAYS = 252.0
@@ -79,97 +82,85 @@ def kline(df: DataFrame) -> DataFrame:
 # Every value comes from its own trailing frame, so a missing or odd bar affects the frames that hold it and no
 # later one. Frames of all lengths are built from those of power-of-two length (``frames``).
 
-def log_return(w: WindowSpec, d: int = 1, close: str = "close") -> Column:
-    return F.ln(safe_div(F.col(close), at_least(F.lag(close, d).over(w), EPS)))
-
-
 def finite(col: str) -> Column:
     """NaN and infinity count as missing."""
     x = F.col(col).cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def ingredients(df: DataFrame, w: WindowSpec) -> DataFrame:
-    """Shared inputs: finite prices, 1-row log return, floored volume, its log and change, and the pairs known in both."""
-    known = df.withColumns({
-        **{name: finite(c) for name, c in (("_c", "close"), ("_h", "high"), ("_low", "low"), ("_s", "scaled_sentiment")) if c in df.columns},
-        "_v": at_least(finite("volume"), 1.0)}).withColumn("_lv", F.ln("_v"))
-    stepped = known.withColumns({"_r": log_return(w, close="_c"), "_dlv": F.col("_lv") - F.lag("_lv").over(w)})
-    both = F.col("_r").isNotNull() & F.col("_dlv").isNotNull()
-    return stepped.withColumns({"_x": F.when(both, F.col("_r")), "_y": F.when(both, F.col("_dlv"))})
+INPUTS = {"_c": "close", "_h": "high", "_low": "low", "_s": "scaled_sentiment", "_v": "volume"}
 
 
-def rank_of(d: int) -> Column:
-    """Average-tie percentile of the current close among the last ``d`` of the held closes: smaller ones count twice, equal ones once."""
-    doubled = F.aggregate(F.slice("_held", -d, d), F.lit(1), lambda acc, x: acc + F.when(x < F.col("_c"), 2).when(x == F.col("_c"), 1).otherwise(0))
-    return doubled / (2.0 * d)
+def ingredients(rows: pa.Table, at: np.ndarray) -> Frames:
+    """Shared inputs: finite prices, 1-row log return, floored volume, its log and change, and the pairs known in both."""
+    f = Frames({c: rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in INPUTS if c in rows.column_names}, at)
+    if "_v" in f.columns:
+        f.columns["_v"] = np.maximum(f["_v"], 1.0)
+        f.columns["_lv"] = log(f["_v"])
+    if "_c" in f.columns:
+        f.columns["_r"] = log_return(f, 1)
+    if "_r" in f.columns and "_lv" in f.columns:
+        change = f["_lv"] - f.earlier(f["_lv"], 1)
+        both = ~np.isnan(f["_r"]) & ~np.isnan(change)
+        f.columns |= {"_x": np.where(both, f["_r"], np.nan), "_y": np.where(both, change, np.nan)}
+    return f
 
 
-# family -> (sums, pairs whose co-deviations, highs, lows it needs; formula over the frames and a length)
-FAMILIES = {
-    "MA": (["_c"], [], [], [], lambda f, d: safe_div(F.col("_c"), f.mean("_c", d) + EPS) - 1.0),
-    "STD": ([], [("_r", "_r")], [], [], lambda f, d: f.stddev("_r", d)),
-    "MAX": (["_c"], [], ["_c"], [], lambda f, d: known(f, "_c", d, safe_div(f.extreme("hi", "_c", d), F.col("_c") + EPS) - 1.0)),
-    "MIN": (["_c"], [], [], ["_c"], lambda f, d: known(f, "_c", d, safe_div(f.extreme("lo", "_c", d), F.col("_c") + EPS) - 1.0)),
-    "RANK": (["_c"], [], [], [], None),
-    "HL": (["_c"], [], ["_h"], ["_low"], lambda f, d: known(f, "_c", d, safe_div(f.extreme("hi", "_h", d) - f.extreme("lo", "_low", d), F.col("_c") + EPS))),
-    "VMA": (["_v"], [], [], [], lambda f, d: safe_div(F.col("_v"), f.mean("_v", d) + EPS) - 1.0),
-    "VSTD": ([], [("_lv", "_lv")], [], [], lambda f, d: f.stddev("_lv", d)),
-    "CORR": ([], [("_x", "_x"), ("_y", "_y"), ("_x", "_y")], [], [], lambda f, d: framed_corr(f, "_x", "_y", d)),
-    "SENT_MA": (["_s"], [], [], [], lambda f, d: f.mean("_s", d) - 0.5),
-    "SENT_STD": ([], [("_s", "_s")], [], [], lambda f, d: f.stddev("_s", d)),
-}
+def log_return(f: Frames, d: int) -> np.ndarray:
+    return log(f["_c"] / np.maximum(f.earlier(f["_c"], d), EPS))
 
 
-def known(frames: Frames, c: str, d: int, value: Column) -> Column:
-    """``value`` where all d rows of ``c`` are known."""
-    return F.when(frames.total(c, d).isNotNull(), value)
+def momentum(f: Frames, d: int) -> np.ndarray:
+    past = f.earlier(f["_c"], d)
+    return (f["_c"] - past) / (past + EPS)
 
 
-def framed_corr(frames: Frames, x: str, y: str, d: int) -> Column:
-    """Correlation over the last d rows; NULL where a side is constant."""
-    n = F.lit(float(d))
-    sx, sy = (F.sqrt(above_zero(frames.deviations(c, c, d)) / n) for c in (x, y))
-    return F.when((sx > TINY) & (sy > TINY), frames.deviations(x, y, d) / n / (sx * sy))
+# family -> value over the frames of a length
+FAMILIES = {
+    "RET": log_return,
+    "MA": lambda f, d: f["_c"] / (f.mean("_c", d) + EPS) - 1.0,
+    "STD": lambda f, d: f.stddev("_r", d),
+    "MAX": lambda f, d: f.known("_c", d, f.extreme("hi", "_c", d) / (f["_c"] + EPS) - 1.0),
+    "MIN": lambda f, d: f.known("_c", d, f.extreme("lo", "_c", d) / (f["_c"] + EPS) - 1.0),
+    "RANK": lambda f, d: f.rank("_c", d),
+    "HL": lambda f, d: f.known("_c", d, (f.extreme("hi", "_h", d) - f.extreme("lo", "_low", d)) / (f["_c"] + EPS)),
+    "VMA": lambda f, d: f["_v"] / (f.mean("_v", d) + EPS) - 1.0,
+    "VSTD": lambda f, d: f.stddev("_lv", d),
+    "CORR": lambda f, d: f.corr("_x", "_y", d, TINY),
+    "MOM": momentum,
+    "SENT_MA": lambda f, d: f.mean("_s", d) - 0.5,
+    "SENT_STD": lambda f, d: f.stddev("_s", d),
+}
 
 
-def rolling(bars: DataFrame, names: list[str], entity: str = "entity", date: str = "date") -> DataFrame:
-    """Add the named rolling features, of any window length; inputs of unused families never reach the plan."""
-    w = by_entity(entity, date)
+def rolling(bars: DataFrame, names: list[str], entity: str = "entity", date: str = "date", complete: list[str] = [], min_rows: int = 0) -> DataFrame:
+    """Add the named rolling features, of any window length. Where ``complete`` names columns, rows that miss one of them are
+    dropped, then entities left with fewer than ``min_rows``, as ``complete_rows`` does, by the task that holds the entity."""
     rows = bars if "scaled_sentiment" in bars.columns else bars.withColumn("scaled_sentiment", F.lit(0.5))
-    split = {n: (n.rpartition("_")[0], n.rpartition("_")[2]) for n in names}
-    wanted: list[dict] = [{}, {}, {}, {}]
-    for family, d in split.values():
-        for need, lengths in zip(FAMILIES.get(family, ()), wanted):
-            for measure in need:
-                lengths.setdefault(measure, set()).add(int(d))
-    frames = Frames(*wanted)
-    out = frames.computed(ingredients(rows, w), w)
-    ranks = sorted({int(d) for f, d in split.values() if f == "RANK"})
-    if ranks:
-        out = out.withColumn("_held", F.collect_list("_c").over(trailing(w, ranks[-1])))
-    features = {}
-    for name, (family, d) in split.items():
-        if family == "RANK":
-            features[name] = known(frames, "_c", int(d), rank_of(int(d)))
-        elif family in FAMILIES:
-            features[name] = FAMILIES[family][-1](frames, int(d))
-        elif family == "RET":
-            features[name] = F.ln(safe_div(F.col("_c"), at_least(F.lag("_c", int(d)).over(w), EPS)))
-        elif family == "MOM":
-            past = F.lag("_c", int(d)).over(w)
-            features[name] = safe_div(F.col("_c") - past, past + EPS)
-        else:
-            features[name] = F.col("_s") - 0.5  # SENT_DELTA
     kept = [c for c in rows.columns if c not in names]
-    return inf_to_null(out.select(*kept, *[c.alias(n) for n, c in features.items()]), names)
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def work(table: pa.Table, number: np.ndarray, at: np.ndarray) -> pa.Table:
+        frames = ingredients(table, at)
+        out = table.select(kept)
+        for name in names:
+            family, _, d = name.rpartition("_")
+            value = FAMILIES[family](frames, int(d)) if family in FAMILIES else frames["_s"] - 0.5  # SENT_DELTA
+            out = out.append_column(name, pa.array(np.where(np.isfinite(value), value, np.nan), from_pandas=True))
+        if complete:
+            whole = np.logical_and.reduce([out[c].is_valid().to_numpy() for c in complete])
+            out = out.filter(pa.array(whole & (np.bincount(number, whole)[number] >= min_rows)))
+        return out
+
+    inputs = {name: finite(c) for name, c in INPUTS.items() if c in rows.columns}
+    return by_whole_entities(rows.withColumns(inputs), entity, date, schema, work)
 
 
-def alpha_features(bars: DataFrame, entity: str = "entity", date: str = "date") -> DataFrame:
-    """All 63 features: one exchange and one sort by entity, shared by every frame."""
-    rolled = rolling(bars, [n for n in feature_names() if n not in KLINE], entity, date)
-    out = inf_to_null(kline(rolled), KLINE)
-    return out.select(*bars.columns, *feature_names())
+def alpha_features(bars: DataFrame, entity: str = "entity", date: str = "date", complete: list[str] = [], min_rows: int = 0) -> DataFrame:
+    """All 63 features: one exchange and one sort by entity, shared by every frame; ``complete`` and ``min_rows`` as in ``rolling``."""
+    shaped = inf_to_null(kline(bars), KLINE)
+    rolled = rolling(shaped, [n for n in feature_names() if n not in KLINE], entity, date, complete, min_rows)
+    return rolled.select(*bars.columns, *feature_names())
 
 
 def complete_rows(df: DataFrame, cols: list[str], min_rows: int = 100, entity: str = "entity") -> DataFrame:
@@ -183,9 +174,9 @@ def complete_rows(df: DataFrame, cols: list[str], min_rows: int = 100, entity: s
 def prepared_bars(bars: DataFrame, min_rows: int = 100, entity: str = "entity", date: str = "date") -> DataFrame:
     """Model input from daily bars: prices adjusted, all features, log volume, complete rows only, entities with ``min_rows``
     of them. ``close`` is the adjusted close, the base of return targets."""
-    adjusted = adjust_ohlc(bars)
-    out = alpha_features(adjusted, entity, date).withColumn("log_volume", log1p_volume())
-    return complete_rows(out, [*feature_names(), "log_volume"], min_rows, entity)
+    adjusted = adjust_ohlc(bars).withColumn("log_volume", log1p_volume())
+    out = alpha_features(adjusted, entity, date, [*feature_names(), "log_volume"], min_rows)
+    return out.select(*[c for c in adjusted.columns if c != "log_volume"], *feature_names(), "log_volume")
 
 
 # ---- volatility ------------------------------------------------------------

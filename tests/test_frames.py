@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barweave.operators import features as ft
 from barweave.operators.frames import blocks
+from barweave.plans.registry import rounded
 
 
 def test_blocks_cover_a_frame():
@@ -56,3 +58,25 @@ def test_frames_equal_pandas_and_bad_bars_stay_local(spark, walk, d):
     far = np.r_[0:130, 133 + d + 1:len(walk)]
     for name in names:
         assert np.allclose(broken.loc[far, name].astype(float), clean.loc[far, name].astype(float), rtol=1e-9, atol=1e-12, equal_nan=True), name
+
+
+def test_wide_rows_are_sorted_once_and_entities_span_batches(spark, walk):
+    bars = spark.createDataFrame(walk).withColumn("adj_close", F.lit(None).cast("double"))
+    plan = ft.prepared_bars(bars, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Window" not in plan
+    whole = ft.prepared_bars(bars, 5).toPandas().sort_values(["entity", "date"]).reset_index(drop=True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cut = ft.prepared_bars(bars, 5).toPandas().sort_values(["entity", "date"]).reset_index(drop=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pd.testing.assert_frame_equal(whole, cut)
+    plain = ft.complete_rows(ft.alpha_features(ft.adjust_ohlc(bars)), ft.feature_names(), 5)
+    assert len(whole) == plain.count() > 100 and ft.prepared_bars(bars, len(whole) + 1).count() == 0
+
+
+def test_rounding_is_that_of_round(spark):
+    values = [0.1234565, -0.1234565, 0.0078125, 2.5e-7, -4e-7, 1e300, -1e13 - 0.5, 123456.7890125, float("nan"), float("inf"), float("-inf"), None, 0.0, -0.0]
+    values += list(np.random.default_rng(1).normal(0, 10, 2000)) + [k / 2e6 for k in range(-501, 501)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x")).alias("a"), F.round("x", 6).alias("b"))
+    assert got.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
