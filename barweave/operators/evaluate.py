@@ -9,7 +9,7 @@ from barweave.operators import metrics as mt
 from barweave.operators import portfolio as pf
 from barweave.operators.inference import CI_TIERS, ci_tier, ic_series, ic_summary, rank_ic
 from barweave.operators.report import cost_map
-from barweave.session import cut_lineage
+from barweave.session import cut_lineage, stored
 
 COST_METRICS = ["net_sharpe", "net_mdd", "net_cumulative_return", "net_n_obs_nonoverlap", "avg_turnover_per_rebalance"]
 LONG_SIZE, LONG_BPS = 30, 20.0
@@ -37,9 +37,11 @@ def evaluate_cells(panel: DataFrame, keys: list[str], sizes: list[int] = pf.TOP_
     The book size with the best gross Sharpe on the rows of ``split`` "val" is ``best_top_n``; ``sweep_topn`` lists all sizes.
     On the "test" rows: ``cost_sensitivity`` maps every cost to the metrics of that size; ``longonly_appendix`` those of long-only books of
     that size ("best") and of ``long_size`` names, at ``long_bps``; ``ic_mean`` and ``ic_std`` of the Spearman IC on the rebalance rows;
-    ``n_test_timestamps`` with a prediction, ``inference_valid``, and ``ci_tier`` of the horizon. The panel is ranked once for all
-    sizes and costs of both splits, and once more for the long-only books; what is joined afterwards has one row per cell and size.
+    ``n_test_timestamps`` with a prediction, ``inference_valid``, and ``ci_tier`` of the horizon. The panel is made once and
+    stored, since every part reads it. It is ranked once for all sizes and costs of
+    both splits, and once more for the long-only books; what is joined afterwards has one row per cell and size.
     """
+    panel = stored(panel, "panel")
     books = cut_lineage(pf.backtest(panel, [split, *keys], sizes, bps=bps))
     of = lambda part: books.where(F.col(split) == part).drop(split)
     swept = size_sweep(of("val").where(F.col("cost_bps") == bps[0]), keys, horizon)

@@ -11,6 +11,7 @@ from barweave.functions.maths import TINY, as_col, norm_cdf, norm_ppf, safe_div
 from barweave.operators.features import TRADING_DAYS
 from barweave.operators.metrics import moments, periods
 from barweave.operators.ordering import range_ranks
+from barweave.session import stored
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
 
@@ -114,12 +115,14 @@ def icir_daily(ic: DataFrame, keys: list[str]) -> DataFrame:
 def val_rank_ic(panel: DataFrame, keys: list[str], min_pairs: int = 5, x: str = "pred", y: str = "actual",
                 date: str = "date") -> DataFrame:
     """Mean daily Spearman; flat days are skipped; 0 when no day qualifies."""
-    spread = panel.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, date).agg(
-        F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"))
+    panel = stored(panel.select(*keys, date, x, y), "panel")
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = stored(panel.groupBy(*keys, date).agg(
+        F.stddev_pop(F.when(both, F.col(x))).alias("_sx"), F.stddev_pop(F.when(both, F.col(y))).alias("_sy")), "spread")
     usable = spread.where((F.col("_sx") >= TINY) & (F.col("_sy") >= TINY)).select(*keys, date)
     daily = rank_ic(panel, keys, "spearman", min_pairs, x, y, date).join(usable, [*keys, date], "left_semi")
     mean = daily.groupBy(*keys).agg(F.avg("ic").alias("m"), F.count("ic").alias("n_days"))
-    return panel.select(*keys).distinct().join(mean, keys, "left").select(
+    return spread.select(*keys).distinct().join(mean, keys, "left").select(
         *keys, F.coalesce("n_days", F.lit(0)).alias("n_days"), F.coalesce("m", F.lit(0.0)).alias("val_rank_ic"))
 
 

@@ -51,14 +51,16 @@ def collect_signals(bars: DataFrame, folds: list[Fold], length: int, horizons: l
                     date: str = "date") -> DataFrame:
     """Signal and realised log return of every val/test sample for all strategies, horizons and folds.
 
-    Lags and targets come from one window pass over the bars. Fold labels, scaler and strategies are
-    map-side expansions of the (filtered) anchors, so nothing is windowed once per cell.
+    Lags, scaler and targets come from one exchange and one sort of the bars. Fold labels and strategies are
+    map-side expansions of the (filtered) anchors, so nothing is windowed once per cell and nothing is joined.
     """
     cols = ["close"] + ([sent_col] if sent_col else [])
     lagged = lag_table(bars.select(entity, date, *cols), length, entity, date)
-    labelled = purged_split(sample_index(lagged, length, horizons, entity, date), folds, embargo, date=date)
-    labelled = labelled.where(F.col("split").isin("val", "test"))
-    scaled = apply_scaler(labelled, fit_scaler(bars, folds, cols, entity, date), cols, [entity, "fold"])
+    anchors = sample_index(fit_scaler(lagged, folds, cols, entity, date, beside=True), length, horizons, entity, date)
+    if embargo is None or embargo >= 0:  # val and test anchors begin where the first validation does
+        anchors = anchors.where(F.col(date) >= F.lit(min(min(f.val_start, f.test_start) for f in folds)))
+    labelled = purged_split(anchors, folds, embargo, date=date).where(F.col("split").isin("val", "test"))
+    scaled = apply_scaler(labelled, folds, cols, [entity, "fold"])
     extra = f"z_{sent_col}" if sent_col else None
     rows = F.array(*[
         F.struct(F.lit(s).alias("strategy"), signal_column(s, "sd_close", extra).alias("pred")) for s in strategies])

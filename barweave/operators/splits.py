@@ -111,8 +111,8 @@ def purged_split(df: DataFrame, folds: list[Fold], embargo: int | None = None, p
     labels = F.array(*[
         F.struct(F.lit(f.name).alias("fold"), split_of(f, F.col(date), F.col("target_date"), days, purge).alias("split"))
         for f in folds])
-    kept = F.filter(labels, lambda s: s["split"].isNotNull())
-    return df.withColumn("_f", F.explode(kept)).select(*df.columns, "_f.fold", "_f.split")
+    # Unlabelled rows are dropped after the expansion: a filter of the array would leave compiled code.
+    return df.withColumn("_f", F.explode(labels)).select(*df.columns, "_f.fold", "_f.split").where(F.col("split").isNotNull())
 
 
 def anchor_split(df: DataFrame, folds: list[Fold], date: str = "date") -> DataFrame:
@@ -138,18 +138,22 @@ def eligible_entities(bars: DataFrame, length: int, horizon: int, folds: list[Fo
 # ---- scalers ---------------------------------------------------------------
 
 def fit_scaler(bars: DataFrame, folds: list[Fold], cols: list[str], entity: str = "entity",
-               date: str = "date") -> DataFrame:
+               date: str = "date", beside: bool = False) -> DataFrame:
     """Mean and population deviation per (entity, fold) over rows up to the fold's train end.
 
-    One aggregation serves all folds: rows are not multiplied by the fold count.
+    One aggregation serves all folds: rows are not multiplied by the fold count. ``beside`` gives the rows of ``bars`` instead, each
+    with its entity's ``_m_<fold>_<col>`` and ``_s_<fold>_<col>``: rows already dealt by entity are then neither moved nor joined.
     """
-    aggs = []
+    aggs = {}
     for f in folds:
         for c in cols:
             train = F.when(F.col(date) <= F.lit(f.train_end), F.col(c))
-            aggs += [F.avg(train).alias(f"_m_{f.name}_{c}"), F.stddev_pop(train).alias(f"_s_{f.name}_{c}")]
-    per = bars.groupBy(entity).agg(*aggs)
-    floor = lambda s: F.when(s < 1e-9, 1.0).otherwise(s)
+            aggs |= {f"_m_{f.name}_{c}": F.avg(train), f"_s_{f.name}_{c}": F.stddev_pop(train)}
+    if beside:
+        own = Window.partitionBy(entity)
+        return bars.withColumns({n: a.over(own) for n, a in aggs.items()}).where(F.col(entity).isNotNull())
+    per = bars.groupBy(entity).agg(*[a.alias(n) for n, a in aggs.items()])
+    floor = floored_deviation
     rows = F.array(*[
         F.struct(F.lit(f.name).alias("fold"), *[x for c in cols for x in (
             F.col(f"_m_{f.name}_{c}").alias(f"mu_{c}"), floor(F.col(f"_s_{f.name}_{c}")).alias(f"sd_{c}"))])
@@ -157,9 +161,22 @@ def fit_scaler(bars: DataFrame, folds: list[Fold], cols: list[str], entity: str
     return per.select(entity, F.explode(rows).alias("_r")).select(entity, "_r.*").where(F.col(f"mu_{cols[0]}").isNotNull())
 
 
-def apply_scaler(df: DataFrame, scaler: DataFrame, cols: list[str], keys: list[str] = ["entity"]) -> DataFrame:
-    """Adds ``z_<col>``; both sides hash on the entity, so bars already keyed by it are not moved again."""
-    joined = df.join(scaler, keys)
+def floored_deviation(s: Column) -> Column:
+    return F.when(s < 1e-9, 1.0).otherwise(s)
+
+
+def apply_scaler(df: DataFrame, scaler: DataFrame | list[Fold], cols: list[str], keys: list[str] = ["entity"]) -> DataFrame:
+    """Adds ``z_<col>``; both sides hash on the entity, so bars already keyed by it are not moved again. Where ``scaler`` names the
+    folds, the rows carry what ``fit_scaler`` gave ``beside`` them, and the column ``fold`` tells which applies."""
+    if isinstance(scaler, list):
+        def own(kind: str, c: str) -> Column:
+            return F.coalesce(*[F.when(F.col("fold") == f.name, F.col(f"_{kind}_{f.name}_{c}")) for f in scaler])
+
+        held = [f"_{kind}_{f.name}_{c}" for kind in "ms" for f in scaler for c in cols]
+        joined = df.withColumns({f"mu_{c}": own("m", c) for c in cols} | {f"sd_{c}": floored_deviation(own("s", c)) for c in cols})
+        joined = joined.drop(*held).where(F.col(f"mu_{cols[0]}").isNotNull())
+    else:
+        joined = df.join(scaler, keys)
     return joined.withColumns({f"z_{c}": (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in cols})
 
 

@@ -28,7 +28,7 @@ from barweave.plans.trading import (
     BY_SERIES, CELL_SPEC, CELLS, COSTED, COST_TABLE, GRID, LONG_POS, NET, PORT, PORT_CTES, POS, PREDICTED, RANKED, ROWS, SERIES, SWEPT, VAL_PORT_CTES, VAL_SIDE,
     cost_rows, gate_sql, port_sql, portfolio, pos_sql, predictions, sharpe_sql, sigma_panel, sweep,
 )
-from barweave.session import cut_lineage, scratch_path
+from barweave.session import cut_lineage, scratch_path, stored
 from barweave.sources import load_summaries, write_summaries
 from barweave.streaming import audit_micro_batches, audit_stream, daily_sentiment_stream, drain, latest_blocks
 
@@ -51,7 +51,7 @@ def daily_ic(spark, sf_dir) -> DataFrame:
 
 
 def ic_rows(spark, sf_dir) -> DataFrame:
-    panel = test_panel(spark, sf_dir)
+    panel = stored(test_panel(spark, sf_dir), "panel")
     return inf.ic_series(panel, inf.rank_ic(panel, CELL), pf.panel_rows(panel, CELL), CELL)
 
 

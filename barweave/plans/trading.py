@@ -21,6 +21,7 @@ from barweave.plans.fixtures import (
 )
 from barweave.plans.registry import query
 from barweave.plans.rolling import VOL, W, sql_corr
+from barweave.session import stored
 
 GRID = pf.TOP_N_GRID
 BPS = pf.BPS_GRID
@@ -363,8 +364,8 @@ VOLZ = f"""volz AS (SELECT entity, date, CASE WHEN row_number() OVER ({W}) > 40
   SELECT {BY_SERIES}, date, avg(vol_z) AS port_z FROM pos JOIN volz USING (entity, date) GROUP BY {BY_SERIES}, date) z USING ({BY_SERIES}, date)""",
        [*PORT_CTES, VOL, VOLZ])
 def vol_kill_switch(spark, sf_dir):
-    panel = test_panel(spark, sf_dir)
-    pos = pf.positions(panel, CELL)
+    panel = stored(test_panel(spark, sf_dir), "panel")
+    pos = stored(pf.positions(panel, CELL), "positions")
     ts = pf.portfolio_returns(pos, pf.panel_rows(panel, CELL), CELL, GRID)
     z = ft.vol_zscore(ft.realized_vol(bars(spark, sf_dir))).select("entity", "date", "vol_z")
     return pf.vol_gate(ts, pos.join(z, ["entity", "date"]), SERIES, 0.5)

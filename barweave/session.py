@@ -74,6 +74,13 @@ def release_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written once below the shared folder and read back, for results that several branches of a plan read."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives executor loss."""
     shared_dir(df.sparkSession)

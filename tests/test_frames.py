@@ -77,6 +77,6 @@ def test_wide_rows_are_sorted_once_and_entities_span_batches(spark, walk):
 
 def test_rounding_is_that_of_round(spark):
     values = [0.1234565, -0.1234565, 0.0078125, 2.5e-7, -4e-7, 1e300, -1e13 - 0.5, 123456.7890125, float("nan"), float("inf"), float("-inf"), None, 0.0, -0.0]
-    values += list(np.random.default_rng(1).normal(0, 10, 2000)) + [k / 2e6 for k in range(-501, 501)]
+    values += np.random.default_rng(1).normal(0, 10, 2000).tolist() + [k / 2e6 for k in range(-501, 501)]
     got = spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x")).alias("a"), F.round("x", 6).alias("b"))
     assert got.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()

@@ -131,5 +131,22 @@ def test_plan_shapes(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
     signals = plan_of(fx.signals(spark, sf_dir))
     assert "CartesianProduct" not in signals and "NestedLoop" not in signals
+    assert "Join" not in signals and signals.count("Scan parquet") == 1 and signals.count("Exchange hashpartitioning(entity") == 1
+
+
+def test_a_panel_read_by_several_branches_is_made_once(spark, sf_dir):
+    from barweave.plans.catalog import QUERIES
+    for name in ("vol_kill_switch", "val_rank_ic", "newey_west_se", "ic_summary"):
+        plan = plan_of(QUERIES[name].run(spark, sf_dir))
+        assert plan.count("lineitem.parquet") == (1 if name == "vol_kill_switch" else 0), name  # the volatilities of the bars
+
+
+def test_scaler_beside_the_rows_equals_the_joined_one(spark, sf_dir):
+    b = fx.bars(spark, sf_dir).withColumn("close", F.when(F.col("entity") != 3, F.col("close")))
+    by_join = sp.apply_scaler(sp.purged_split(sp.sample_index(b, 30, [1]), fx.FOLDS), sp.fit_scaler(b, fx.FOLDS, ["close"]), ["close"], ["entity", "fold"])
+    beside = sp.apply_scaler(sp.purged_split(sp.sample_index(sp.fit_scaler(b, fx.FOLDS, ["close"], beside=True), 30, [1]), fx.FOLDS), fx.FOLDS, ["close"])
+    cols = ["entity", "fold", "split", "anchor_idx", F.round("z_close", 9).alias("z"), F.round("sd_close", 6).alias("sd")]
+    want, got = by_join.select(*cols), beside.select(*cols)
+    assert got.count() == want.count() > 0 and want.exceptAll(got).isEmpty() and set(beside.columns) == set(by_join.columns)
     scan = plan_of(fx.table(spark, sf_dir, "lineitem").where("l_quantity > 10").select("l_suppkey"))
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in scan and "l_tax" not in scan
