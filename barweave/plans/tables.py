@@ -70,7 +70,9 @@ def scan_prices(spark, sf_dir):
         # Three header orders among the files of one folder, one of them without the unused column.
         renamed = raw.withColumnRenamed("Date", "date") if "date" in names else raw
         part = renamed.where(F.col("entity") % len(layouts) == k).select(*names)
-        part.repartition("entity").write.mode("append").partitionBy("entity").option("header", True).csv(path)
+        # A file per entity: tasks move their own files in place, the driver would move them one by one.
+        dealt = part.repartition("entity").write.mode("append").partitionBy("entity").option("header", True)
+        dealt.option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path)
     out = read_prices(spark, path, stem=r"entity=([^/]+)/")
     return out.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),

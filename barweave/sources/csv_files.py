@@ -15,17 +15,31 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WHOLE, HEAD, TAIL = 0, 1, 2
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders and files are listed by a few tasks a core while this lasts; Spark's own choice is a task a folder, up to 10000."""
+    was = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(was), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, was)
 
 
 def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """value, file, start: every line with its file and the place in it where the line's split begins."""
-    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(paths)
+    with listed_in_few_tasks(spark):
+        raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(paths)
     return raw.select("value", plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
@@ -77,7 +91,9 @@ def read_by_header(spark: SparkSession, path: str, wanted: dict[str, str], optio
             rows = records(spark, paths).where(~F.col("first")).select("file", fields.alias("r")).select("file", "r.*")
         else:
             reader = spark.read.schema(string_schema(names)).option("header", True).option("enforceSchema", True).option("escape", '"')
-            rows = reader.csv(paths).select("*", plain_path(F.col("_metadata.file_path")).alias("file"))
+            with listed_in_few_tasks(spark):
+                scan = reader.csv(paths)
+            rows = scan.select("*", plain_path(F.col("_metadata.file_path")).alias("file"))
         rows = rows.select(*columns, F.col("file").alias("_file"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:

@@ -68,3 +68,23 @@ def test_news_columns_differ_by_file(spark, tmp_path):
     Path(tmp_path / "b.csv").write_text('Stock_symbol,Publisher,Date,Article\nxyz,p,2020-01-03 10:00:00 UTC,"one ""two"""\n,p,2020-01-03,lost\n')
     got = {r["entity"]: (r["body"], r["publisher"], r["title"]) for r in read_news(spark, str(tmp_path)).collect()}
     assert got == {"ABC": ("first\nsecond", None, None), "XYZ": ('one "two"', "p", None)}
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    from barweave.sources import read_prices
+    from barweave.sources.csv_files import LISTING
+    for k in range(60):
+        folder = tmp_path / f"entity=e{k}"
+        folder.mkdir()
+        (folder / "p.csv").write_text(f"date,open,high,low,close,adj close,volume\n2020-01-02,1,2,0.5,{k},1.4,100\n")
+    was, seen = spark.conf.get(LISTING), []
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        rows = read_prices(spark, str(tmp_path), r"entity=([^/]+)/").collect()
+        for job in tracker.getJobIdsForGroup("listing"):
+            seen += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.entity: r.close for r in rows} == {f"E{k}": float(k) for k in range(60)}
+    assert spark.conf.get(LISTING) == was and seen and max(seen) <= 4 * spark.sparkContext.defaultParallelism
